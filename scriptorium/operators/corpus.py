@@ -162,10 +162,12 @@ def tokenize(df: DataFrame, col: str = "text", out: str = "tokens") -> DataFrame
 
 
 # B10 ------------------------------------------------------------------------
-def chunk_array(col, size: int = CHUNK_SIZE) -> Column:
-    """Consecutive windows of ``size`` tokens, each joined by one space; the
-    last may be shorter; no tokens gives an empty array."""
-    tok = T.tokens(col)
+def chunk_array(tok_col, size: int = CHUNK_SIZE) -> Column:
+    """Consecutive windows of ``size`` tokens of an already materialised token
+    array column, each joined by one space; the last may be shorter; no tokens
+    gives an empty array. (A lambda re-evaluates any expression it captures
+    once per element, so the tokens must be a column, not an expression.)"""
+    tok = T._c(tok_col)
     n = F.size(tok)
     n_chunks = F.floor((n + (size - 1)) / size)
     windows = F.transform(
@@ -179,8 +181,9 @@ def chunk_docs(docs: DataFrame, size: int = CHUNK_SIZE, key: str = "page_id",
     """``(key, doc, chunk_pos, content)``: one row per chunk; a missing
     content counts as ''. Map-only: no shuffle."""
     text = F.coalesce(F.col(content), F.lit(""))
-    return docs.select(key, doc, F.posexplode(chunk_array(text, size)).alias("chunk_pos", "content")) \
-        .withColumn("chunk_pos", F.col("chunk_pos").cast("bigint"))
+    return (docs.select(key, doc, T.tokens(text).alias("_tok"))
+            .select(key, doc, F.posexplode(chunk_array("_tok", size)).alias("chunk_pos", "content"))
+            .withColumn("chunk_pos", F.col("chunk_pos").cast("bigint")))
 
 
 # B11 ------------------------------------------------------------------------
@@ -198,7 +201,8 @@ def chunk_docs_numbered(docs: DataFrame, size: int = CHUNK_SIZE, key: str = "pag
     tok_n = T.token_count(text)
     counts = docs.select(key, order, F.floor((tok_n + (size - 1)) / size).alias("_n"))
     offsets = running_offset(counts, key, order, "_n", out="_off")
-    per_doc = docs.select(key, order, doc, chunk_array(text, size).alias("_chunks"))
+    per_doc = (docs.select(key, order, doc, T.tokens(text).alias("_tok"))
+               .select(key, order, doc, chunk_array("_tok", size).alias("_chunks")))
     return (per_doc.join(offsets, [key, order])
             .select(key, doc, "_off", F.posexplode("_chunks").alias("chunk_pos", "content"))
             .select(key, (F.col("_off") + F.col("chunk_pos")).cast("bigint").alias("chunk_id"),

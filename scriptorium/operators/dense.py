@@ -103,13 +103,16 @@ def lookup_chunk_text(ranked: DataFrame, texts: DataFrame, *, on: list[str],
 def hash_embed(df: DataFrame, col: str = "content", dim: int = 64,
                out: str = "embedding") -> DataFrame:
     """Built-in encoder: feature hashing of tokens into ``dim`` buckets,
-    counts L2-normalised (all JVM-side)."""
-    buckets = F.transform(T.tokens(col), lambda t: F.pmod(F.hash(t), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                         lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    vec = F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)).cast("float"))
-    return df.withColumn(out, vec)
+    counts L2-normalised. JVM-side and map-only; each step is its own column
+    because lambdas re-evaluate captured expressions per element."""
+    step = df.withColumn("_b", F.transform(T.tokens(col), lambda t: F.pmod(F.hash(t), F.lit(dim))))
+    step = step.withColumn("_cnt", F.aggregate(
+        "_b", F.array_repeat(F.lit(0.0), dim),
+        lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b, x + 1.0).otherwise(x))))
+    step = step.withColumn("_norm", F.sqrt(F.aggregate("_cnt", F.lit(0.0), lambda a, x: a + x * x)))
+    vec = F.transform("_cnt", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm"))
+                      .otherwise(F.lit(0.0)).cast("float"))
+    return step.withColumn(out, vec).drop("_b", "_cnt", "_norm")
 
 
 def embed_passages(df: DataFrame, encoder: Callable[[list[str]], np.ndarray], *,

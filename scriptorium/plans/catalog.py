@@ -183,3 +183,299 @@ def q_chunk_text_lookup(spark, d):
 def q_hash_embed(spark, d):
     docs = X.article_docs(spark, d)
     return dense.hash_embed(docs, "content", 64).select("page_id", "doc_id", "embedding")
+
+
+# ---------------------------------------------------------------- D
+from ..functions import constants as K  # noqa: E402
+from ..operators import citations, judge, overlap, shaping  # noqa: E402
+
+
+@query("section_filter")
+def q_section_filter(spark, d):
+    arts = X.conversation_articles(spark, d)
+    return arts.select("page_id", F.array_join(shaping.drop_boilerplate("outlines"), "|").alias("outline"))
+
+
+@query("clean_outline")
+def q_clean_outline(spark, d):
+    arts = X.conversation_articles(spark, d)
+    return arts.select("page_id", F.array_join(shaping.clean_outline("outlines"), "|").alias("outline"))
+
+
+@query("outline_explode")
+def q_outline_explode(spark, d):
+    from ..sources import readers
+    arts = X.conversation_articles(spark, d)
+    as_json = arts.select(F.to_json(F.create_map(F.col("page_id").cast("string"), F.col("outlines")))
+                          .alias("value"))
+    return readers.explode_outline_map(as_json, "value")
+
+
+def _contexts(spark, d, keep=5):
+    """Per section: its first ``keep`` chunk texts (non-ASCII stripped), in rank order."""
+    secs = X.vector_queries(spark, d).select("page_id", "sec_pos", "section")
+    ctx = shaping.section_context(secs, X.section_chunks(spark, d), keep)
+    ctx = ctx.withColumn("chunk", T.strip_non_ascii("chunk"))
+    return shaping.ordered_list(ctx, ["page_id", "sec_pos", "section"], "rank", "chunk", "docs")
+
+
+@query("section_context")
+def q_section_context(spark, d):
+    secs = X.vector_queries(spark, d).select("page_id", "sec_pos", "section")
+    return shaping.section_context(secs, X.section_chunks(spark, d), 5).select(
+        "page_id", "sec_pos", "section", "rank", "chunk_id")
+
+
+@query("numbered_context")
+def q_numbered_context(spark, d):
+    c = _contexts(spark, d)
+    return c.select("page_id", "sec_pos", F.array_join(shaping.numbered(F.col("docs"), "colon"), "\n")
+                    .alias("context"))
+
+
+def _section_prompts(spark, d):
+    c = _contexts(spark, d)
+    head = shaping.fill(K.SECTION_PROMPT_HEAD, keyword=X.page_key(), section=F.col("section"))
+    body = F.array_join(shaping.numbered(F.col("docs"), "colon"), "\n")
+    return c.select("page_id", "sec_pos", head.alias("head"), body.alias("body"),
+                    F.lit(K.SECTION_PROMPT_TAIL).alias("tail"))
+
+
+@query("fit_budget")
+def q_fit_budget(spark, d):
+    p = _section_prompts(spark, d)
+    total = F.size(T.words("head")) + F.size(T.words("body")) + F.size(T.words("tail"))
+    kept = F.size(T.words(shaping.fit_budget("head", "body", "tail", K.PROMPT_BUDGET)))
+    return p.select("page_id", "sec_pos", total.cast("bigint").alias("n_before"),
+                    kept.cast("bigint").alias("n_after"))
+
+
+@query("section_prompt")
+def q_section_prompt(spark, d):
+    p = _section_prompts(spark, d)
+    return p.select("page_id", "sec_pos", F.lit("").alias("sys_prompt"),
+                    shaping.fit_budget("head", "body", "tail", K.PROMPT_BUDGET).alias("usr_prompt"))
+
+
+@query("outline_prompt")
+def q_outline_prompt(spark, d):
+    from pyspark.sql import Window
+    ch = X.section_chunks(spark, d)
+    best = ch.groupBy("page_id", "chunk_id", "chunk").agg(F.max("score").alias("best"))
+    w = Window.partitionBy("page_id").orderBy(F.desc("best"), "chunk_id")
+    top = best.withColumn("rank", F.row_number().over(w)).filter("rank <= 5") \
+        .withColumn("chunk", T.strip_non_ascii("chunk"))
+    docs = shaping.ordered_list(top, ["page_id"], "rank", "chunk", "docs")
+    head = shaping.fill(K.OUTLINE_PROMPT_HEAD, keyword=X.page_key())
+    body = F.array_join(shaping.numbered(F.col("docs"), "colon"), "\n")
+    return docs.select("page_id", shaping.fit_budget(head, body, F.lit(K.OUTLINE_PROMPT_TAIL),
+                                                     K.PROMPT_BUDGET).alias("usr_prompt"))
+
+
+def _writer_messages(spark, d):
+    c = _contexts(spark, d)
+    refs = shaping.numbered(F.col("docs"), "bracket")
+    system = F.when(F.col("section") == "Introduction", F.lit("")).otherwise(
+        F.lit(K.WRITER_PROMPTS["writer_per_section"]))
+    user = shaping.writer_user_prompt(X.page_key(), F.col("section"), refs, "Section")
+    return c.select("page_id", "sec_pos", shaping.messages(system, user).alias("messages"))
+
+
+@query("writer_messages")
+def q_writer_messages(spark, d):
+    m = _writer_messages(spark, d)
+    last = F.element_at("messages", -1)
+    return m.select("page_id", "sec_pos", F.size("messages").cast("bigint").alias("n_messages"),
+                    F.when(F.size("messages") == 2, F.col("messages")[0]["content"]).otherwise(F.lit(""))
+                    .alias("system"), last["content"].alias("user"))
+
+
+@query("message_tokens")
+def q_message_tokens(spark, d):
+    m = _writer_messages(spark, d)
+    return m.select("page_id", "sec_pos", shaping.message_tokens("messages").alias("n_tokens"))
+
+
+@query("budget_split")
+def q_budget_split(spark, d):
+    m = _writer_messages(spark, d).select(
+        "page_id", "sec_pos", shaping.message_tokens("messages").alias("n_tokens"))
+    return shaping.budget_flag(m, "n_tokens", model="gpt-3.5-turbo-0613", reserve=800)
+
+
+@query("parse_response")
+def q_parse_response(spark, d):
+    r = X.responses(spark, d)
+    return r.select("page_id", "idx", shaping.response_content("response").alias("content"))
+
+
+@query("ordered_responses")
+def q_ordered_responses(spark, d):
+    r = X.responses(spark, d).select("page_id", "idx", shaping.response_content("response").alias("content"))
+    o = shaping.ordered_list(r, ["page_id"], "idx", "content", "contents")
+    return o.select("page_id", F.size("contents").cast("bigint").alias("n_responses"),
+                    F.array_join("contents", "\n").alias("text"))
+
+
+@query("section_rows_from_article")
+def q_section_rows_from_article(spark, d):
+    s = X.conversation_sections(spark, d)
+    outline = shaping.ordered_list(s, ["page_id"], "sec_pos", "section", "outline")
+    gen = shaping.ordered_list(s.filter(F.col("role") == "assistant"), ["page_id"], "sec_pos", "text",
+                               "generated_content")
+    art = outline.join(gen, "page_id")
+    return shaping.zip_rows(art, "page_id", ["outline", "generated_content"])
+
+
+@query("article_regroup")
+def q_article_regroup(spark, d):
+    s = X.conversation_sections(spark, d)
+    g = (s.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("sec_pos", "section", "text")))
+                                  .alias("_s")))
+    return g.select("page_id", F.size("_s").cast("bigint").alias("n_sections"),
+                    F.array_join(F.transform("_s", lambda x: x["section"]), "|").alias("outline"),
+                    F.array_join(F.transform("_s", lambda x: x["text"]), "\n").alias("text"))
+
+
+@query("rewrite_merge")
+def q_rewrite_merge(spark, d):
+    s = X.conversation_sections(spark, d)
+    arts = shaping.ordered_list(s.filter(F.col("role") == "assistant"), ["page_id", "key"], "sec_pos",
+                                "text", "_t").select("page_id", "key", F.array_join("_t", "\n").alias("text"))
+    r = X.responses(spark, d).select("page_id", "idx", shaping.response_content("response").alias("content"))
+    latest = corpus.keep_last(r, ["page_id"], "idx")
+    return arts.join(latest, "page_id").select(
+        "page_id", "key", F.concat_ws("\n", "key", "text").alias("rewrite_input"),
+        F.col("content").alias("text"))
+
+
+@query("outline_parse")
+def q_outline_parse(spark, d):
+    s = X.conversation_sections(spark, d)
+    line = F.when(F.pmod("page_id", F.lit(2)) == 1, F.concat(F.lit("=="), F.col("section"), F.lit("==")))\
+        .otherwise(F.concat((F.col("sec_pos") + 1).cast("string"), F.lit(". "), F.col("section")))
+    lines = shaping.ordered_list(s.withColumn("line", line), ["page_id"], "sec_pos", "line", "_l")
+    replies = lines.select("page_id", F.array_join("_l", "\n").alias("reply"))
+    return shaping.parse_outline(replies, "reply")
+
+
+# ---------------------------------------------------------------- E
+PK = X.PAIR_KEYS
+
+
+def _pairs(spark, d):
+    gold, cand = X.text_pairs(spark, d)
+    return overlap.pair_texts(gold, cand, PK)
+
+
+@query("flatten_text")
+def q_flatten_text(spark, d):
+    g = X.generated_articles(spark, d)
+    return g.select("page_id", overlap.flatten_text(overlap.normalize_text_union("json")).alias("text"))
+
+
+@query("missing_candidates")
+def q_missing_candidates(spark, d):
+    return _pairs(spark, d)[1]
+
+
+@query("bleu")
+def q_bleu(spark, d):
+    return overlap.bleu(_pairs(spark, d)[0], PK, (1, 4))
+
+
+@query("meteor_exact")
+def q_meteor_exact(spark, d):
+    return overlap.meteor_exact(_pairs(spark, d)[0], PK)
+
+
+@query("rouge_l")
+def q_rouge_l(spark, d):
+    return overlap.rouge_l(_pairs(spark, d)[0], PK)
+
+
+@query("metric_summary")
+def q_metric_summary(spark, d):
+    pairs = _pairs(spark, d)[0]
+    scores = (overlap.bleu(pairs, PK, (1, 4)).join(overlap.meteor_exact(pairs, PK), PK)
+              .join(pairs.select(*PK, overlap.candidate_length("cand").alias("length")), PK))
+    return overlap.macro_summary(scores, ["bleu_1", "bleu_4", "meteor"], by=["src"])
+
+
+def _units(spark, d):
+    return citations.split_units(X.cited_documents(spark, d), ["doc_id"], "text")
+
+
+@query("citation_units")
+def q_citation_units(spark, d):
+    return _units(spark, d)
+
+
+@query("citation_ids")
+def q_citation_ids(spark, d):
+    u = _units(spark, d)
+    return u.select("doc_id", "unit_pos", citations.hypothesis("unit").alias("hypothesis"),
+                    F.array_join(citations.cited_ids("unit"), ",").alias("cites"))
+
+
+def _premises(spark, d):
+    pairs = citations.cite_pairs(_units(spark, d), ["doc_id"])
+    return citations.attach_premises(pairs, X.premise_lists(spark, d), ["doc_id"])
+
+
+@query("citation_premises")
+def q_citation_premises(spark, d):
+    p = _premises(spark, d)
+    return p.select("doc_id", "unit_pos", "cite_pos", "idx", F.md5("premise").alias("premise_md5"),
+                    F.length("premise").cast("bigint").alias("premise_chars"))
+
+
+@query("nli_inputs")
+def q_nli_inputs(spark, d):
+    p = _premises(spark, d)
+    s = citations.nli_input("premise", "hypothesis")
+    return p.select("doc_id", "unit_pos", "cite_pos", F.md5(s).alias("input_md5"),
+                    F.length(s).cast("bigint").alias("input_chars"))
+
+
+def _labels(spark, d):
+    p = _premises(spark, d)
+    return p.select("doc_id", "unit_pos", "cite_pos",
+                    citations.lexical_support("premise", "hypothesis").alias("label"))
+
+
+@query("lexical_support")
+def q_lexical_support(spark, d):
+    return _labels(spark, d)
+
+
+@query("unit_labels")
+def q_unit_labels(spark, d):
+    ul = citations.unit_labels(_units(spark, d), _labels(spark, d), ["doc_id"])
+    return ul.select("doc_id", "unit_pos", F.array_join("labels", ",").alias("labels"))
+
+
+@query("citation_scores")
+def q_citation_scores(spark, d):
+    ul = citations.unit_labels(_units(spark, d), _labels(spark, d), ["doc_id"])
+    return citations.citation_scores(ul, X.table(spark, d, "documents"), ["doc_id"])
+
+
+@query("judge_prompt")
+def q_judge_prompt(spark, d):
+    r = X.judge_replies(spark, d)
+    p = judge.judge_prompt("keyword", "text")
+    return r.select("doc_id", F.md5(p).alias("prompt_md5"), F.length(p).cast("bigint").alias("prompt_chars"))
+
+
+@query("judge_scores")
+def q_judge_scores(spark, d):
+    r = X.judge_replies(spark, d).select("doc_id", judge.parse_scores("reply").alias("s"))
+    return r.select("doc_id", F.col("s")[0].alias("fluency"), F.col("s")[1].alias("informativeness"),
+                    F.col("s")[2].alias("faithfulness"))
+
+
+@query("judge_summary")
+def q_judge_summary(spark, d):
+    r = X.judge_replies(spark, d).select(judge.parse_scores("reply").alias("score"))
+    return judge.score_means(r, "score")

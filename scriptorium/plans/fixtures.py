@@ -112,3 +112,103 @@ def conversation_articles(spark: SparkSession, d: str) -> DataFrame:
             .select("page_id", "key",
                     F.transform("_s", lambda x: x["section"]).alias("outlines"),
                     F.transform("_s", lambda x: x["text"]).alias("contents")))
+
+
+def page_key(col: str = "page_id"):
+    """Title of a derived article."""
+    return F.concat(F.lit("Topic "), F.col(col).cast("string"))
+
+
+def section_chunks(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
+    """Dense top-``k`` chunks per section query, with the chunk text (the
+    document whose ``doc_id`` is the chunk id; '' when there is none)."""
+    from ..operators import dense
+    ranked = dense.dense_topk(vector_queries(spark, d), vectors(spark, d), k=k, keep=None)
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"),
+                                                F.col("text").alias("chunk"))
+    return (ranked.join(texts, "chunk_id", "left")
+            .withColumn("chunk", F.coalesce("chunk", F.lit(""))))
+
+
+def responses(spark: SparkSession, d: str) -> DataFrame:
+    """Chat responses: each conversation turn wrapped as a completion JSON
+    (``idx`` = turn); a turn with ``(conv_id + turn) % 7 = 0`` failed (``{}``)."""
+    c = table(spark, d, "conversations")
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content"))
+                                               .alias("message"))).alias("choices")))
+    failed = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(7)) == 0
+    return c.select(F.col("conv_id").alias("page_id"), F.col("turn").alias("idx"),
+                    F.when(failed, F.lit("{}")).otherwise(body).alias("response"))
+
+
+def generated_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Generated articles as JSON text: ``text`` is the list of assistant
+    turns for an even ``conv_id``, one string (turns joined by a space) for
+    an odd one."""
+    c = table(spark, d, "conversations").filter(F.col("role") == "assistant")
+    per = (c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("_t"))
+           .select(F.col("conv_id").alias("page_id"), F.transform("_t", lambda x: x["text"]).alias("_l")))
+    as_list = F.to_json(F.struct(F.col("_l").alias("text")))
+    as_str = F.to_json(F.struct(F.array_join("_l", " ").alias("text")))
+    return per.select("page_id", F.when(F.pmod("page_id", F.lit(2)) == 0, as_list)
+                      .otherwise(as_str).alias("json"))
+
+
+PAIR_KEYS = ["src", "page_id", "sec_pos"]
+
+
+def text_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(gold, candidates) keyed by ``src, page_id, sec_pos``: a user turn is
+    gold and the next assistant turn its candidate; every document is gold
+    and the same document without every 7th word its candidate."""
+    c = table(spark, d, "conversations")
+    gold_c = c.filter(F.col("role") == "user").select(
+        F.lit("conv").alias("src"), F.col("conv_id").alias("page_id"), F.col("turn").alias("sec_pos"), "text")
+    cand_c = c.filter(F.col("role") == "assistant").select(
+        F.lit("conv").alias("src"), F.col("conv_id").alias("page_id"),
+        (F.col("turn") - 1).alias("sec_pos"), "text")
+    docs = table(spark, d, "documents")
+    gold_d = docs.select(F.lit("doc").alias("src"), F.col("doc_id").alias("page_id"),
+                         F.lit(0).cast("bigint").alias("sec_pos"), "text")
+    dropped = F.array_join(F.filter(T.words("text"), lambda w, i: F.pmod(i, F.lit(7)) != 6), " ")
+    cand_d = docs.select(F.lit("doc").alias("src"), F.col("doc_id").alias("page_id"),
+                         F.lit(0).cast("bigint").alias("sec_pos"), dropped.alias("text"))
+    return gold_c.unionByName(gold_d), cand_c.unionByName(cand_d)
+
+
+SENTENCE = "[^.\\n]+[.\\n]?"
+
+
+def cited_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a generated text with citations: sentence ``i``
+    (from 1) is followed by ``[i % 7]`` unless ``i % 4 = 0``; ``[0]`` and
+    ids above 5 point outside the 5-document list."""
+    s = F.regexp_extract_all(F.col("text"), F.lit(SENTENCE), 0)
+    marked = F.transform(s, lambda x, i: F.when(F.pmod(i + 1, F.lit(4)) != 0, F.concat(
+        x, F.lit("["), F.pmod(i + 1, F.lit(7)).cast("string"), F.lit("]"))).otherwise(x))
+    return table(spark, d, "documents").select("doc_id", F.array_join(marked, "").alias("text"))
+
+
+def premise_lists(spark: SparkSession, d: str, n: int = 5) -> DataFrame:
+    """The reference list of document ``d``: documents ``d+1`` .. ``d+n``
+    (an equi-join on the computed id, no window)."""
+    docs = table(spark, d, "documents")
+    want = docs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                      F.lit(n - 1).cast("bigint"))).alias("ref_pos"))
+    other = docs.select(F.col("doc_id").alias("_rid"), F.col("text").alias("premise"))
+    return (want.join(other, F.col("_rid") == F.col("doc_id") + 1 + F.col("ref_pos"))
+            .select("doc_id", "ref_pos", "premise"))
+
+
+def judge_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Judge replies for labelled documents: ``Fluency:a,Informativeness:b
+    Faithfulness:c`` with a = doc_id % 8, b = 5 * quality + toxic, c =
+    (7 * doc_id) % 10; every 11th document's reply is ``n/a``."""
+    lab = table(spark, d, "labels")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    reply = F.concat(F.lit("Fluency:"), F.pmod("doc_id", F.lit(8)).cast("string"),
+                     F.lit(",Informativeness:"), (F.col("quality") * 5 + F.col("toxic")).cast("string"),
+                     F.lit(" Faithfulness:"), F.pmod(F.col("doc_id") * 7, F.lit(10)).cast("string"))
+    return lab.join(docs, "doc_id").select(
+        "doc_id", T.first_words("text").alias("keyword"), "text",
+        F.when(F.pmod("doc_id", F.lit(11)) == 0, F.lit("n/a")).otherwise(reply).alias("reply"))

@@ -266,3 +266,345 @@ SELECT c.page_id, c.n_chunks, s.n_sections FROM
 SQL["chunk_text_lookup"] = f"""
 SELECT r.page_id, r.sec_pos, r.rank, r.chunk_id, d.text AS content
 FROM ({DENSE_TOP5}) r JOIN documents d ON d.doc_id = r.chunk_id"""
+
+# ---------------------------------------------------------------- D
+from ..operators import shaping as S  # noqa: E402
+
+NL = "chr(10)"
+
+
+def str_list(values):
+    return "[" + ", ".join(lit(v) for v in values) + "]"
+
+
+CONV_ARTICLES = f"""
+SELECT page_id, key, list(section ORDER BY sec_pos) AS outlines, list(text ORDER BY sec_pos) AS contents
+FROM ({CONV_SECTIONS}) GROUP BY page_id, key"""
+
+DENSE_TOP50 = DENSE_TOP5.replace("WHERE rank <= 5", "WHERE rank <= 50")
+
+SECTION_CHUNKS = f"""
+SELECT r.*, coalesce(d.text, '') AS chunk FROM ({DENSE_TOP50}) r LEFT JOIN documents d ON d.doc_id = r.chunk_id"""
+
+EXCL = str_list(K.PROMPT_EXCLUDED_SECTIONS)
+EXCL_OUTLINE = str_list(K.OUTLINE_EXCLUDED_SECTIONS)
+
+SECTION_CONTEXT = f"""
+SELECT q.page_id, q.sec_pos, q.section, c.rank, c.chunk_id, c.chunk
+FROM ({VECTOR_QUERIES}) q JOIN ({SECTION_CHUNKS}) c ON q.page_id = c.page_id AND q.sec_pos = c.sec_pos
+WHERE NOT list_contains({EXCL}, lower(q.section)) AND c.rank <= 5"""
+
+CONTEXTS = f"""
+SELECT page_id, sec_pos, section, list({non_ascii('chunk')} ORDER BY rank) AS docs
+FROM ({SECTION_CONTEXT}) GROUP BY page_id, sec_pos, section"""
+
+
+def numbered_colon(docs):
+    return f"array_to_string(list_transform({docs}, lambda d, i: 'Document ' || i || ': ' || d), {NL})"
+
+
+def fit(head, body, tail, budget=K.PROMPT_BUDGET):
+    h, b, t = words(head), words(body), words(tail)
+    return (f"array_to_string({h} || {b}[1:greatest(0, {budget} - len({h}) - len({t}))] || {t}, ' ')")
+
+
+def page_key(col="page_id"):
+    return f"('Topic ' || CAST({col} AS VARCHAR))"
+
+
+SEC_HEAD = (f"'I have a topic \"' || {page_key()} || '\" and a section \"' || section || "
+            f"'\" that contains the following documents:' || {NL}")
+OUT_HEAD = f"'I have a topic \"' || {page_key()} || '\" that contains the following documents:' || {NL}"
+
+SQL["section_filter"] = f"""
+SELECT page_id, array_to_string(list_filter(outlines, lambda s: NOT list_contains({EXCL}, lower(s))), '|') AS outline
+FROM ({CONV_ARTICLES})"""
+
+SQL["clean_outline"] = f"""
+SELECT page_id, array_to_string(list_filter(list_transform(outlines, lambda s: replace(s, '_', ' ')),
+  lambda s: NOT list_contains({EXCL_OUTLINE}, lower(s))), '|') AS outline
+FROM ({CONV_ARTICLES})"""
+
+SQL["outline_explode"] = f"""
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY sec_pos) - 1 AS BIGINT) AS sec_pos, section
+FROM ({CONV_SECTIONS})"""
+
+SQL["section_context"] = f"SELECT page_id, sec_pos, section, rank, chunk_id FROM ({SECTION_CONTEXT})"
+
+SQL["numbered_context"] = f"SELECT page_id, sec_pos, {numbered_colon('docs')} AS context FROM ({CONTEXTS})"
+
+_SEC_PROMPTS = f"""
+SELECT page_id, sec_pos, {SEC_HEAD} AS head, {numbered_colon('docs')} AS body,
+  {lit(K.SECTION_PROMPT_TAIL)} AS tail FROM ({CONTEXTS})"""
+
+SQL["fit_budget"] = f"""
+SELECT page_id, sec_pos, CAST(len({words('head')}) + len({words('body')}) + len({words('tail')}) AS BIGINT) AS n_before,
+  CAST(len({words(fit('head', 'body', 'tail'))}) AS BIGINT) AS n_after FROM ({_SEC_PROMPTS})"""
+
+SQL["section_prompt"] = f"""
+SELECT page_id, sec_pos, '' AS sys_prompt, {fit('head', 'body', 'tail')} AS usr_prompt FROM ({_SEC_PROMPTS})"""
+
+SQL["outline_prompt"] = f"""
+WITH best AS (SELECT page_id, chunk_id, chunk, max(score) AS best FROM ({SECTION_CHUNKS}) GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY best DESC, chunk_id) AS rank FROM best),
+docs AS (SELECT page_id, list({non_ascii('chunk')} ORDER BY rank) AS docs FROM top WHERE rank <= 5 GROUP BY page_id)
+SELECT page_id, {fit(OUT_HEAD, numbered_colon('docs'), lit(K.OUTLINE_PROMPT_TAIL))} AS usr_prompt FROM docs"""
+
+_MSGS = f"""
+SELECT page_id, sec_pos,
+  CASE WHEN section = 'Introduction' THEN '' ELSE {lit(K.WRITER_PROMPTS['writer_per_section'])} END AS system,
+  'Keyword: ' || {page_key()} || {NL}
+    || CASE WHEN section IS NULL OR section = '' THEN '' ELSE 'Section: ' || section || {NL} END
+    || CASE WHEN len(docs) > 0 THEN array_to_string(list_transform(docs, lambda d, i: 'Document [' || i || '] ' || d), {NL}) || {NL}
+            ELSE '' END AS user
+FROM ({CONTEXTS})"""
+
+SQL["writer_messages"] = f"""
+SELECT page_id, sec_pos, CAST(CASE WHEN system = '' THEN 1 ELSE 2 END AS BIGINT) AS n_messages, system, user
+FROM ({_MSGS})"""
+
+_TOKENS = f"""
+SELECT page_id, sec_pos, CAST({K.TOKENS_BASE} + {K.TOKENS_PER_MESSAGE} + len({tokens("'user'")}) + len({tokens('user')})
+  + CASE WHEN system = '' THEN 0 ELSE {K.TOKENS_PER_MESSAGE} + len({tokens("'system'")}) + len({tokens('system')}) END
+  AS BIGINT) AS n_tokens FROM ({_MSGS})"""
+
+SQL["message_tokens"] = _TOKENS
+
+SQL["budget_split"] = f"""
+SELECT page_id, sec_pos, n_tokens, n_tokens < {dict(K.MODEL_WINDOWS)['gpt-3.5-turbo-0613'] - 800} AS accepted
+FROM ({_TOKENS})"""
+
+RESPONSES = """
+SELECT conv_id AS page_id, turn AS idx,
+  CASE WHEN (conv_id + turn) % 7 = 0 THEN '{}'
+       ELSE CAST(json_object('choices', json_array(json_object('message', json_object('content', text)))) AS VARCHAR)
+  END AS response
+FROM conversations"""
+
+PARSED = f"""
+SELECT page_id, idx, coalesce({py_strip("json_extract_string(response, '$.choices[0].message.content')")}, '') AS content
+FROM ({RESPONSES})"""
+
+SQL["parse_response"] = PARSED
+
+SQL["ordered_responses"] = f"""
+SELECT page_id, CAST(count(*) AS BIGINT) AS n_responses, array_to_string(list(content ORDER BY idx), {NL}) AS text
+FROM ({PARSED}) GROUP BY page_id"""
+
+SQL["section_rows_from_article"] = f"""
+WITH o AS (SELECT page_id, list(section ORDER BY sec_pos) AS outline FROM ({CONV_SECTIONS}) GROUP BY page_id),
+g AS (SELECT page_id, list(text ORDER BY sec_pos) AS gen FROM ({CONV_SECTIONS}) WHERE role = 'assistant' GROUP BY page_id),
+a AS (SELECT o.page_id, outline, gen FROM o JOIN g ON o.page_id = g.page_id),
+z AS (SELECT page_id, outline, gen, unnest(range(least(len(outline), len(gen)))) AS i FROM a)
+SELECT page_id, CAST(i AS BIGINT) AS sec_pos, outline[i + 1] AS outline, gen[i + 1] AS generated_content FROM z"""
+
+SQL["article_regroup"] = f"""
+SELECT page_id, CAST(count(*) AS BIGINT) AS n_sections, array_to_string(list(section ORDER BY sec_pos), '|') AS outline,
+  array_to_string(list(text ORDER BY sec_pos), {NL}) AS text
+FROM ({CONV_SECTIONS}) GROUP BY page_id"""
+
+SQL["rewrite_merge"] = f"""
+WITH a AS (SELECT page_id, key, array_to_string(list(text ORDER BY sec_pos), {NL}) AS text
+           FROM ({CONV_SECTIONS}) WHERE role = 'assistant' GROUP BY page_id, key),
+r AS (SELECT page_id, arg_max(content, idx) AS content FROM ({PARSED}) GROUP BY page_id)
+SELECT a.page_id, a.key, concat_ws({NL}, a.key, a.text) AS rewrite_input, r.content AS text
+FROM a JOIN r ON a.page_id = r.page_id"""
+
+_LINES = f"""
+SELECT page_id, string_split(array_to_string(list(
+  CASE WHEN page_id % 2 = 1 THEN '==' || section || '==' ELSE CAST(sec_pos + 1 AS VARCHAR) || '. ' || section END
+  ORDER BY sec_pos), {NL}), {NL}) AS lines FROM ({CONV_SECTIONS}) GROUP BY page_id"""
+
+SQL["outline_parse"] = f"""
+WITH l AS (SELECT page_id, regexp_replace(unnest(lines), '\\r$', '') AS line,
+                  generate_subscripts(lines, 1) - 1 AS sec_pos FROM ({_LINES})),
+p AS (SELECT page_id, CAST(sec_pos AS BIGINT) AS sec_pos,
+        CASE WHEN regexp_matches(line, {lit(S._HEADING_LINE)}) THEN regexp_extract(line, {lit(S._HEADING_LINE)}, 1)
+             WHEN regexp_matches(line, {lit(S._NUMBERED_LINE)}) THEN regexp_extract(line, {lit(S._NUMBERED_LINE)}, 1)
+        END AS section FROM l)
+SELECT * FROM p WHERE section IS NOT NULL AND section <> ''"""
+
+# ---------------------------------------------------------------- E
+GENERATED = """
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN CAST(json_object('text', l) AS VARCHAR)
+                     ELSE CAST(json_object('text', array_to_string(l, ' ')) AS VARCHAR) END AS json
+FROM (SELECT conv_id AS page_id, list(text ORDER BY turn) AS l FROM conversations
+      WHERE role = 'assistant' GROUP BY conv_id)"""
+
+SQL["flatten_text"] = f"""
+SELECT page_id, CASE WHEN json_type(json, '$.text') = 'ARRAY'
+                     THEN array_to_string(from_json(json_extract(json, '$.text'), '["VARCHAR"]'), {NL})
+                     ELSE json_extract_string(json, '$.text') END AS text
+FROM ({GENERATED})"""
+
+GOLD = f"""
+SELECT 'conv' AS src, conv_id AS page_id, turn AS sec_pos, text FROM conversations WHERE role = 'user'
+UNION ALL SELECT 'doc', doc_id, CAST(0 AS BIGINT), text FROM documents"""
+
+CAND = f"""
+SELECT 'conv' AS src, conv_id AS page_id, turn - 1 AS sec_pos, text FROM conversations WHERE role = 'assistant'
+UNION ALL SELECT 'doc', doc_id, CAST(0 AS BIGINT),
+  array_to_string(list_filter({words('text')}, lambda w, i: i % 7 <> 0), ' ') FROM documents"""
+
+PAIRS = f"""
+SELECT g.src, g.page_id, g.sec_pos, g.text AS ref, c.text AS cand
+FROM ({GOLD}) g JOIN ({CAND}) c ON g.src = c.src AND g.page_id = c.page_id AND g.sec_pos = c.sec_pos"""
+
+SQL["missing_candidates"] = f"""
+SELECT g.src, g.page_id, g.sec_pos FROM ({GOLD}) g
+WHERE NOT EXISTS (SELECT 1 FROM ({CAND}) c WHERE g.src = c.src AND g.page_id = c.page_id AND g.sec_pos = c.sec_pos)"""
+
+
+def _ngrams_sql(col):
+    return f"""
+SELECT src, page_id, sec_pos, n, g, count(*) AS c FROM (
+  SELECT src, page_id, sec_pos, o.n,
+    unnest(list_transform(range(1, len(w) - o.n + 2), lambda i: array_to_string(w[i:i + o.n - 1], ' '))) AS g
+  FROM (SELECT src, page_id, sec_pos, {words(col)} AS w FROM p) CROSS JOIN (VALUES (1), (2), (3), (4)) o(n))
+GROUP BY ALL"""
+
+
+def _p(n):
+    return (f"CASE WHEN coalesce(h{n}, 0) > 0 THEN h{n} / greatest(1, c - {n - 1}) "
+            f"ELSE {K.FLOAT_MIN!r} END")
+
+
+BLEU = f"""
+WITH p AS ({PAIRS}),
+hc AS ({_ngrams_sql('cand')}),
+hr AS ({_ngrams_sql('ref')}),
+hits AS (SELECT hc.src, hc.page_id, hc.sec_pos, hc.n, sum(least(hc.c, coalesce(hr.c, 0))) AS hit
+         FROM hc LEFT JOIN hr ON hc.src = hr.src AND hc.page_id = hr.page_id AND hc.sec_pos = hr.sec_pos
+                              AND hc.n = hr.n AND hc.g = hr.g GROUP BY ALL),
+wide AS (SELECT src, page_id, sec_pos, max(hit) FILTER (WHERE n = 1) AS h1, max(hit) FILTER (WHERE n = 2) AS h2,
+           max(hit) FILTER (WHERE n = 3) AS h3, max(hit) FILTER (WHERE n = 4) AS h4 FROM hits GROUP BY ALL),
+l AS (SELECT src, page_id, sec_pos, len({words('ref')}) AS r, len({words('cand')}) AS c FROM p),
+j AS (SELECT l.*, h1, h2, h3, h4,
+        CASE WHEN c > r THEN 1.0 WHEN c = 0 THEN 0.0 ELSE exp(1 - r / c) END AS bp
+      FROM l LEFT JOIN wide w ON l.src = w.src AND l.page_id = w.page_id AND l.sec_pos = w.sec_pos)
+SELECT src, page_id, sec_pos,
+  {r6(f"CASE WHEN coalesce(h1, 0) = 0 THEN 0.0 ELSE bp * exp(1.0 * ln({_p(1)})) END")} AS bleu_1,
+  {r6(f"CASE WHEN coalesce(h1, 0) = 0 THEN 0.0 ELSE bp * exp(0.25 * ln({_p(1)}) + 0.25 * ln({_p(2)}) + 0.25 * ln({_p(3)}) + 0.25 * ln({_p(4)})) END")} AS bleu_4
+FROM j"""
+
+SQL["bleu"] = BLEU
+
+METEOR = f"""
+WITH p AS ({PAIRS}),
+h AS (SELECT src, page_id, sec_pos, unnest(w) AS w, generate_subscripts(w, 1) AS hp
+      FROM (SELECT src, page_id, sec_pos, {words('lower(cand)')} AS w FROM p)),
+r AS (SELECT src, page_id, sec_pos, unnest(w) AS w, generate_subscripts(w, 1) AS rp
+      FROM (SELECT src, page_id, sec_pos, {words('lower(ref)')} AS w FROM p)),
+hk AS (SELECT *, row_number() OVER (PARTITION BY src, page_id, sec_pos, w ORDER BY hp DESC) AS k FROM h),
+rk AS (SELECT *, row_number() OVER (PARTITION BY src, page_id, sec_pos, w ORDER BY rp DESC) AS k FROM r),
+m AS (SELECT hk.src, hk.page_id, hk.sec_pos, hp, rp FROM hk JOIN rk
+      ON hk.src = rk.src AND hk.page_id = rk.page_id AND hk.sec_pos = rk.sec_pos AND hk.w = rk.w AND hk.k = rk.k),
+st AS (SELECT m.src, m.page_id, m.sec_pos, count(*) AS m,
+         count(*) FILTER (WHERE EXISTS (SELECT 1 FROM m m2 WHERE m2.src = m.src AND m2.page_id = m.page_id
+                                        AND m2.sec_pos = m.sec_pos AND m2.hp = m.hp + 1 AND m2.rp = m.rp + 1)) AS cont
+       FROM m GROUP BY ALL),
+l AS (SELECT src, page_id, sec_pos, len({words('ref')}) AS rl, len({words('cand')}) AS hl FROM p),
+j AS (SELECT l.*, coalesce(st.m, 0) AS m, coalesce(st.cont, 0) AS cont FROM l LEFT JOIN st
+      ON l.src = st.src AND l.page_id = st.page_id AND l.sec_pos = st.sec_pos),
+f AS (SELECT *, (m / hl) AS pr, (m / rl) AS rc FROM j)
+SELECT src, page_id, sec_pos,
+  {r6(f"CASE WHEN m = 0 THEN 0.0 ELSE (1 - {K.METEOR_GAMMA} * pow((m - cont) / m, {K.METEOR_BETA})) * (pr * rc / ({K.METEOR_ALPHA} * pr + (1 - {K.METEOR_ALPHA}) * rc)) END")} AS meteor
+FROM f"""
+
+SQL["meteor_exact"] = METEOR
+
+SQL["metric_summary"] = f"""
+WITH b AS ({BLEU}), m AS ({METEOR}), p AS ({PAIRS}),
+s AS (SELECT b.src, b.bleu_1, b.bleu_4, m.meteor, len({tokens('p.cand')}) AS length
+      FROM b JOIN m ON b.src = m.src AND b.page_id = m.page_id AND b.sec_pos = m.sec_pos
+      JOIN p ON p.src = b.src AND p.page_id = b.page_id AND p.sec_pos = b.sec_pos)
+SELECT src, count(*) AS n_pairs, {r6('avg(bleu_1) * 100')} AS bleu_1, {r6('avg(bleu_4) * 100')} AS bleu_4,
+  {r6('avg(meteor) * 100')} AS meteor, {r6('avg(length)')} AS avg_length
+FROM s GROUP BY src"""
+
+CITED = f"""
+SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, {lit(X.SENTENCE)}),
+  lambda x, i: CASE WHEN i % 4 <> 0 THEN x || '[' || CAST(i % 7 AS VARCHAR) || ']' ELSE x END), '') AS text
+FROM documents"""
+
+UNITS = f"""
+WITH pc AS (SELECT doc_id, string_split(regexp_replace(text, {lit('(' + T.MARKER + ')')}, chr(1) || '\\1' || chr(1), 'g'),
+                                        chr(1)) AS parts FROM ({CITED})),
+pe AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS p FROM pc),
+pn AS (SELECT *, sum(CASE WHEN NOT regexp_matches(s, {lit('^' + T.MARKER + '$')}) AND s <> '' AND s <> chr(10)
+                     THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS u FROM pe),
+un AS (SELECT doc_id, u, string_agg(s, '' ORDER BY p) AS unit FROM pn GROUP BY doc_id, u)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY u) - 1 AS BIGINT) AS unit_pos, unit
+FROM un WHERE u > 0 OR unit <> ''"""
+
+SQL["citation_units"] = UNITS
+
+SQL["citation_ids"] = f"""
+SELECT doc_id, unit_pos, regexp_replace(unit, {lit(T.MARKER)}, '', 'g') AS hypothesis,
+  array_to_string(list_transform(regexp_extract_all(unit, '\\[([0-9]+)\\]', 1), lambda x: CAST(x AS BIGINT) - 1), ',') AS cites
+FROM ({UNITS})"""
+
+PREMISES = f"""
+WITH c AS (SELECT doc_id, unit_pos, regexp_replace(unit, {lit(T.MARKER)}, '', 'g') AS hypothesis,
+                  list_transform(regexp_extract_all(unit, '\\[([0-9]+)\\]', 1), lambda x: CAST(x AS BIGINT) - 1) AS ids
+           FROM ({UNITS})),
+e AS (SELECT doc_id, unit_pos, hypothesis, unnest(ids) AS idx, generate_subscripts(ids, 1) - 1 AS cite_pos FROM c)
+SELECT e.doc_id, e.unit_pos, CAST(e.cite_pos AS BIGINT) AS cite_pos, e.idx, e.hypothesis,
+  coalesce(d.text, ' ') AS premise
+FROM e LEFT JOIN documents d ON d.doc_id = e.doc_id + 1 + e.idx AND e.idx BETWEEN 0 AND 4"""
+
+SQL["citation_premises"] = f"""
+SELECT doc_id, unit_pos, cite_pos, idx, md5(premise) AS premise_md5, CAST(length(premise) AS BIGINT) AS premise_chars
+FROM ({PREMISES})"""
+
+SQL["nli_inputs"] = f"""
+SELECT doc_id, unit_pos, cite_pos, md5('premise: ' || premise || ' hypothesis: ' || hypothesis) AS input_md5,
+  CAST(length('premise: ' || premise || ' hypothesis: ' || hypothesis) AS BIGINT) AS input_chars
+FROM ({PREMISES})"""
+
+_W = "'[\\p{L}\\p{N}_]+'"
+LABELS = f"""
+SELECT doc_id, unit_pos, cite_pos,
+  CASE WHEN len(h) > 0 AND len(list_intersect(h, p)) / len(h) >= 0.5 THEN '1' ELSE '0' END AS label
+FROM (SELECT doc_id, unit_pos, cite_pos, list_distinct(regexp_extract_all(lower(hypothesis), {_W})) AS h,
+        list_distinct(regexp_extract_all(lower(premise), {_W})) AS p FROM ({PREMISES}))"""
+
+SQL["lexical_support"] = LABELS
+
+UNIT_LABELS = f"""
+SELECT u.doc_id, u.unit_pos, coalesce(l.labels, []) AS labels
+FROM ({UNITS}) u LEFT JOIN (SELECT doc_id, unit_pos, list(label ORDER BY cite_pos) AS labels FROM ({LABELS})
+                            GROUP BY doc_id, unit_pos) l ON u.doc_id = l.doc_id AND u.unit_pos = l.unit_pos"""
+
+SQL["unit_labels"] = f"SELECT doc_id, unit_pos, array_to_string(labels, ',') AS labels FROM ({UNIT_LABELS})"
+
+SQL["citation_scores"] = f"""
+WITH pu AS (SELECT doc_id,
+  CASE WHEN len(labels) > 0 THEN 1 - len(list_filter(labels, lambda x: x = '0')) / len(labels) ELSE 0.0 END AS pre,
+  CASE WHEN len(list_filter(labels, lambda x: x = '1')) > 0 THEN 1.0 ELSE 0.0 END AS rec FROM ({UNIT_LABELS})),
+pa AS (SELECT doc_id, avg(pre) AS pre, avg(rec) AS rec FROM pu GROUP BY doc_id),
+al AS (SELECT d.doc_id, pa.pre, pa.rec FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN pa ON d.doc_id = pa.doc_id)
+SELECT count(*) AS n_articles, {r6('avg(coalesce(rec, 0.0))')} AS citation_recall,
+  {r6('avg(coalesce(pre, 0.0))')} AS citation_precision FROM al"""
+
+REPLIES = f"""
+SELECT l.doc_id, {first_words('d.text')} AS keyword, d.text,
+  CASE WHEN l.doc_id % 11 = 0 THEN 'n/a' ELSE 'Fluency:' || CAST(l.doc_id % 8 AS VARCHAR) || ',Informativeness:'
+    || CAST(l.quality * 5 + l.toxic AS VARCHAR) || ' Faithfulness:' || CAST((l.doc_id * 7) % 10 AS VARCHAR) END AS reply
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
+
+SQL["judge_prompt"] = f"""
+SELECT doc_id, md5(replace(replace({lit(K.JUDGE_USER_TEMPLATE)}, '{{KEYWORD}}', keyword), '{{WIKITEXT}}', text)) AS prompt_md5,
+  CAST(length(replace(replace({lit(K.JUDGE_USER_TEMPLATE)}, '{{KEYWORD}}', keyword), '{{WIKITEXT}}', text)) AS BIGINT) AS prompt_chars
+FROM ({REPLIES})"""
+
+SCORES = f"""
+SELECT doc_id, CASE WHEN len(nums) = 3 THEN list_transform(nums, lambda x: CASE WHEN TRY_CAST(x AS BIGINT) <= {K.JUDGE_MAX_SCORE}
+    THEN TRY_CAST(x AS BIGINT) ELSE CAST(0 AS BIGINT) END) ELSE [CAST(0 AS BIGINT), 0, 0] END AS s
+FROM (SELECT doc_id, regexp_extract_all(coalesce(reply, ''), '([0-9]+)', 1)[1:3] AS nums FROM ({REPLIES}))"""
+
+SQL["judge_scores"] = f"SELECT doc_id, s[1] AS fluency, s[2] AS informativeness, s[3] AS faithfulness FROM ({SCORES})"
+
+SQL["judge_summary"] = f"""
+SELECT count(*) AS n, {r6('avg(s[1])')} AS fluency, {r6('avg(s[2])')} AS informativeness,
+  {r6('avg(s[3])')} AS faithfulness FROM ({SCORES})"""
