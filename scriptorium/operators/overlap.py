@@ -177,11 +177,15 @@ def rouge_l(pairs: DataFrame, keys: list[str], block: int = 16) -> DataFrame:
         out = []
         for ref_sents, cand_sents in zip(rb, cs):
             cand_words = [c.split(" ") for c in cand_sents]
+            cand_sets = [set(c) for c in cand_words]
             u: set[str] = set()
             for rsent in ref_sents:
                 rw = rsent.split(" ")
-                for cw in cand_words:
-                    u |= _lcs_words(rw, cw)
+                rset = set(rw)
+                for cw, cset in zip(cand_words, cand_sets):
+                    # LCS words lie in both sentences: skip a pair that cannot add a new word
+                    if (rset & cset) - u:
+                        u |= _lcs_words(rw, cw)
             out.append(sorted(u))
         return pd.Series(out)
 

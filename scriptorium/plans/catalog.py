@@ -479,3 +479,33 @@ def q_judge_scores(spark, d):
 def q_judge_summary(spark, d):
     r = X.judge_replies(spark, d).select(judge.parse_scores("reply").alias("score"))
     return judge.score_means(r, "score")
+
+
+# ---------------------------------------------------------------- A (resume, streaming)
+@query("resume_pending")
+def q_resume_pending(spark, d):
+    from ..sources import readers
+    lab = X.table(spark, d, "labels")
+    # output file names of finished documents; a name that is not an integer is ignored
+    names = lab.select(F.when(F.col("toxic") == 1, F.concat(F.lit("tmp_"), F.col("doc_id").cast("string")))
+                       .otherwise(F.col("doc_id").cast("string")).alias("_stem"))
+    done = names.select(F.concat(F.lit("/out/"), "_stem", F.lit(".json")).alias("_path")) \
+        .select(readers.file_key("_path").alias("doc_id")).filter(F.col("doc_id").isNotNull())
+    todo = X.table(spark, d, "documents").select("doc_id", "source")
+    return readers.pending(todo, done, "doc_id")
+
+
+@query("incremental_ingest")
+def q_incremental_ingest(spark, d):
+    import uuid
+    from ..session import scratch_path
+    from ..streaming.ingest import ingest_available
+    run = scratch_path(spark, f"ingest-{uuid.uuid4().hex}")
+    schema = "page_id BIGINT, url STRING, html STRING"
+
+    def to_text(df):
+        return df.select("page_id", "url", F.length(corpus.html_text("html")).cast("bigint").alias("n_chars"))
+
+    for _ in range(2):  # the second run finds no new file and adds nothing
+        ingest_available(spark, f"{d.rstrip('/')}/pages*.parquet", schema, f"{run}/out", f"{run}/ckpt", to_text)
+    return spark.read.parquet(f"{run}/out")

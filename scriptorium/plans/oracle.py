@@ -508,7 +508,7 @@ j AS (SELECT l.*, coalesce(st.m, 0) AS m, coalesce(st.cont, 0) AS cont FROM l LE
       ON l.src = st.src AND l.page_id = st.page_id AND l.sec_pos = st.sec_pos),
 f AS (SELECT *, (m / hl) AS pr, (m / rl) AS rc FROM j)
 SELECT src, page_id, sec_pos,
-  {r6(f"CASE WHEN m = 0 THEN 0.0 ELSE (1 - {K.METEOR_GAMMA} * pow((m - cont) / m, {K.METEOR_BETA})) * (pr * rc / ({K.METEOR_ALPHA} * pr + (1 - {K.METEOR_ALPHA}) * rc)) END")} AS meteor
+  {r6(f"CASE WHEN m = 0 THEN 0.0 ELSE (1 - {K.METEOR_GAMMA} * pow((m - cont) / m, {K.METEOR_BETA})) * (pr * rc / (CAST({K.METEOR_ALPHA} AS DOUBLE) * pr + (1 - CAST({K.METEOR_ALPHA} AS DOUBLE)) * rc)) END")} AS meteor
 FROM f"""
 
 SQL["meteor_exact"] = METEOR
@@ -608,3 +608,8 @@ SQL["judge_scores"] = f"SELECT doc_id, s[1] AS fluency, s[2] AS informativeness,
 SQL["judge_summary"] = f"""
 SELECT count(*) AS n, {r6('avg(s[1])')} AS fluency, {r6('avg(s[2])')} AS informativeness,
   {r6('avg(s[3])')} AS faithfulness FROM ({SCORES})"""
+
+# ---------------------------------------------------------------- A
+SQL["resume_pending"] = """
+SELECT doc_id, source FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.toxic <> 1 AND l.doc_id = d.doc_id)"""
