@@ -189,21 +189,29 @@ def chunk_docs(docs: DataFrame, size: int = CHUNK_SIZE, key: str = "page_id",
 # B11 ------------------------------------------------------------------------
 def chunk_docs_numbered(docs: DataFrame, size: int = CHUNK_SIZE, key: str = "page_id",
                         doc: str = "doc_id", order: str = "doc_pos",
-                        content: str = "content") -> DataFrame:
+                        content: str = "content", staging: str | None = None) -> DataFrame:
     """Chunks with ``chunk_id`` continuous from 0 across all documents of a
     ``key``, in ``order`` (the document's position in its article).
 
-    The per-document chunk counts are prefix-summed with a skew-safe two-level
-    scheme (see ``running_offset``) on a narrow projection; chunk texts are
-    built once per document and the offsets joined at document level, before
-    the explode."""
+    Documents are tokenized and cut once; the per-document chunk arrays are
+    staged as a parquet table (``staging``, default a fresh folder under the
+    shared checkpoint folder), which also cuts the lineage. The chunk counts
+    are then read back as a narrow column and prefix-summed with the
+    skew-safe two-level scheme of ``running_offset``; the offsets are joined
+    at document level, before the explode."""
+    import uuid
+
+    from ..session import scratch_path
+    spark = docs.sparkSession
     text = F.coalesce(F.col(content), F.lit(""))
-    tok_n = T.token_count(text)
-    counts = docs.select(key, order, F.floor((tok_n + (size - 1)) / size).alias("_n"))
-    offsets = running_offset(counts, key, order, "_n", out="_off")
     per_doc = (docs.select(key, order, doc, T.tokens(text).alias("_tok"))
-               .select(key, order, doc, chunk_array("_tok", size).alias("_chunks")))
-    return (per_doc.join(offsets, [key, order])
+               .select(key, order, doc, chunk_array("_tok", size).alias("_chunks"))
+               .withColumn("_n", F.size("_chunks")))
+    path = staging or scratch_path(spark, f"chunks-{uuid.uuid4().hex}")
+    per_doc.write.mode("overwrite").parquet(path)
+    staged = spark.read.parquet(path)
+    offsets = running_offset(staged, key, order, "_n", out="_off")
+    return (staged.join(offsets, [key, order])
             .select(key, doc, "_off", F.posexplode("_chunks").alias("chunk_pos", "content"))
             .select(key, (F.col("_off") + F.col("chunk_pos")).cast("bigint").alias("chunk_id"),
                     doc, "content"))

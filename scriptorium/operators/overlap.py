@@ -45,35 +45,40 @@ def pair_texts(gold: DataFrame, cand: DataFrame, keys: list[str]) -> tuple[DataF
 
 
 # E3 -------------------------------------------------------------------------
-def _ngrams(df: DataFrame, keys: list[str], col: str, max_n: int) -> DataFrame:
-    w = df.select(*keys, T.words(col).alias("_w"))
-    per_n = []
-    for n in range(1, max_n + 1):
-        grams = F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1),
-                            lambda i: F.array_join(F.slice("_w", i, n), " "))
-        per_n.append(w.filter(F.size("_w") >= n)
-                     .select(*keys, F.lit(n).alias("n"), F.explode(grams).alias("g")))
-    out = per_n[0]
-    for p in per_n[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(*keys, "n", "g").agg(F.count(F.lit(1)).alias("c"))
+def _ngram_array(words_col: str, n: int) -> Column:
+    grams = F.transform(F.sequence(F.lit(1), F.size(words_col) - n + 1),
+                        lambda i: F.array_join(F.slice(words_col, i, n), " "))
+    # sequence(1, 0) would count down: a text shorter than n has no n-gram
+    return F.when(F.size(words_col) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
 def bleu(pairs: DataFrame, keys: list[str], orders: tuple[int, ...] = (1, 4)) -> DataFrame:
     """``keys, bleu_<n>`` for each requested order: sentence BLEU over
     whitespace tokens, clipped n-gram precision, brevity penalty, no
     smoothing (no unigram hit gives 0; an order without a hit uses the
-    smallest double as its precision)."""
-    max_n = max(len([w for w in BLEU_WEIGHTS[o] if w > 0]) for o in orders)
-    max_n = max(max_n, 4)
-    lens = pairs.select(*keys, F.size(T.words("ref")).alias("r"), F.size(T.words("cand")).alias("c"))
-    hc = _ngrams(pairs, keys, "cand", max_n)
-    hr = _ngrams(pairs, keys, "ref", max_n).withColumnRenamed("c", "rc")
-    hits = (hc.join(hr, [*keys, "n", "g"], "left")
-            .groupBy(*keys, "n").agg(F.sum(F.least("c", F.coalesce("rc", F.lit(0)))).alias("hit")))
-    wide = hits.groupBy(*keys).pivot("n", list(range(1, max_n + 1))).agg(F.first("hit"))
-    out = lens.join(wide, keys, "left")
-    hit = {n: F.coalesce(F.col(str(n)), F.lit(0)) for n in range(1, max_n + 1)}
+    smallest double as its precision).
+
+    Both sides' n-grams go through one exploded stream with a side flag and
+    one aggregation on ``(pair, n, n-gram)`` (partial counts map-side); the
+    clipped hits and the two lengths (unigram totals) then fold per pair."""
+    max_n = 4
+    w = pairs.select(*keys, T.words("cand").alias("_c"), T.words("ref").alias("_r"))
+    def tag(n, s):
+        return lambda g: F.struct(F.lit(n).alias("n"), F.lit(s).alias("s"), g.alias("g"))
+
+    grams = F.flatten(F.array(*[
+        F.transform(_ngram_array(side, n), tag(n, s))
+        for n in range(1, max_n + 1) for side, s in (("_c", 0), ("_r", 1))]))
+    counts = (w.select(*keys, F.explode(grams).alias("_x"))
+              .groupBy(*keys, "_x.n", "_x.g")
+              .agg(F.sum(1 - F.col("_x.s")).alias("c"), F.sum("_x.s").alias("rc")))
+    per_n = counts.groupBy(*keys).agg(
+        *[F.sum(F.when(F.col("n") == n, F.least("c", "rc")).otherwise(0)).alias(f"h{n}")
+          for n in range(1, max_n + 1)],
+        F.sum(F.when(F.col("n") == 1, F.col("c")).otherwise(0)).alias("c"),
+        F.sum(F.when(F.col("n") == 1, F.col("rc")).otherwise(0)).alias("r"))
+    out = pairs.select(*keys).join(per_n, keys, "left")
+    hit = {n: F.coalesce(F.col(f"h{n}"), F.lit(0)) for n in range(1, max_n + 1)}
     den = {n: F.greatest(F.lit(1), F.col("c") - (n - 1)) for n in range(1, max_n + 1)}
     p = {n: F.when(hit[n] > 0, hit[n] / den[n]).otherwise(F.lit(FLOAT_MIN)) for n in hit}
     bp = (F.when(F.col("c") > F.col("r"), F.lit(1.0))
@@ -82,9 +87,9 @@ def bleu(pairs: DataFrame, keys: list[str], orders: tuple[int, ...] = (1, 4)) ->
     cols = []
     for o in orders:
         s = None
-        for n, w in enumerate(BLEU_WEIGHTS[o], start=1):
-            if w:
-                term = F.lit(w) * F.log(p[n])
+        for n, wt in enumerate(BLEU_WEIGHTS[o], start=1):
+            if wt:
+                term = F.lit(wt) * F.log(p[n])
                 s = term if s is None else s + term
         score = F.when(hit[1] == 0, F.lit(0.0)).otherwise(bp * F.exp(s))
         cols.append(T.round6(score).alias(f"bleu_{o}"))
@@ -98,28 +103,43 @@ def meteor_exact(pairs: DataFrame, keys: list[str], alpha: float = METEOR_ALPHA,
     whitespace tokens. The aligner walks the candidate from its end and takes
     the last free reference occurrence of the same word, so the k-th last
     occurrence of a word in the candidate pairs with its k-th last in the
-    reference: a join on ``(pair, word, k)``."""
-    def occ(col, pos):
-        w = pairs.select(*keys, F.posexplode(T.words(F.lower(F.col(col)))).alias(pos, "w"))
-        from pyspark.sql import Window
-        win = Window.partitionBy(*keys, "w").orderBy(F.desc(pos))
-        return w.withColumn("k", F.row_number().over(win))
-
-    h, r = occ("cand", "hp"), occ("ref", "rp")
-    m = h.join(r, [*keys, "w", "k"]).select(*keys, "hp", "rp")
-    nxt = m.select(*keys, (F.col("hp") - 1).alias("hp"), (F.col("rp") - 1).alias("rp"),
-                   F.lit(1).alias("_adj"))
-    adj = m.join(nxt, [*keys, "hp", "rp"], "left")
-    stats = adj.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"),
-                                   F.count("_adj").alias("cont"))
-    lens = pairs.select(*keys, F.size(T.words("ref")).alias("rl"), F.size(T.words("cand")).alias("hl"))
-    s = lens.join(stats, keys, "left").fillna(0, ["m", "cont"])
+    reference.
+
+    Both texts' words go through one exploded stream, shuffled once on
+    ``(pair, word)``: the occurrence rank ``k`` (a window per pair, word and
+    side) and the match (a group-by on ``(pair, word, k)``) reuse that
+    partitioning. Matches of a pair are then ordered by candidate position
+    and a chunk continues when both positions advance by one."""
+    w = pairs.select(*keys, T.words(F.lower(F.col("cand"))).alias("_h"),
+                     T.words(F.lower(F.col("ref"))).alias("_r"))
+    side = lambda s: lambda x, i: F.struct(F.lit(s).alias("s"), i.alias("p"), x.alias("w"))
+    occ = (w.select(*keys, F.size("_h").alias("hl"), F.size("_r").alias("rl"),
+                    F.explode(F.concat(F.transform("_h", side(0)), F.transform("_r", side(1)))).alias("_x"))
+           .select(*keys, "hl", "rl", "_x.s", "_x.p", "_x.w")
+           .repartition(*keys, "w"))
+    from pyspark.sql import Window
+    k = F.row_number().over(Window.partitionBy(*keys, "w", "s").orderBy(F.desc("p")))
+    m = (occ.withColumn("k", k).groupBy(*keys, "w", "k")
+         .agg(F.max(F.when(F.col("s") == 0, F.col("p"))).alias("hp"),
+              F.max(F.when(F.col("s") == 1, F.col("p"))).alias("rp"),
+              F.first("hl").alias("hl"), F.first("rl").alias("rl"))
+         .filter(F.col("hp").isNotNull() & F.col("rp").isNotNull()))
+    per = m.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("hp", "rp"))).alias("_m"),
+                               F.first("hl").alias("hl"), F.first("rl").alias("rl"))
+    a = F.col("_m")
+    n = F.size(a)
+    cont = F.when(n >= 2, F.size(F.filter(F.sequence(F.lit(2), n), lambda i: (
+        F.element_at(a, i)["hp"] == F.element_at(a, i - 1)["hp"] + 1) & (
+        F.element_at(a, i)["rp"] == F.element_at(a, i - 1)["rp"] + 1)))).otherwise(F.lit(0))
+    st = per.select(*keys, n.alias("m"), cont.alias("cont"), "hl", "rl")
     prec = F.col("m") / F.col("hl")
     rec = F.col("m") / F.col("rl")
     fmean = prec * rec / (alpha * prec + (1 - alpha) * rec)
     frag = (F.col("m") - F.col("cont")) / F.col("m")
-    score = F.when(F.col("m") == 0, F.lit(0.0)).otherwise((1 - gamma * F.pow(frag, beta)) * fmean)
-    return s.select(*keys, T.round6(score).alias("meteor"))
+    score = (1 - gamma * F.pow(frag, beta)) * fmean
+    scored = st.select(*keys, T.round6(score).alias("meteor"))
+    return (pairs.select(*keys).join(scored, keys, "left")
+            .withColumn("meteor", F.coalesce("meteor", F.lit(0.0))))
 
 
 # E5 -------------------------------------------------------------------------

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def running_offset(df: DataFrame, key: str, order: str, weight: str,
                    out: str = "offset", partitions: int | None = None) -> DataFrame:
@@ -27,8 +29,11 @@ def running_offset(df: DataFrame, key: str, order: str, weight: str,
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     narrow = df.select(key, order, F.col(weight).cast("bigint").alias("_w"))
+    ensure_checkpoint_dir(spark)
+    # Checkpointed (narrow rows only) so that both branches below see one
+    # block assignment: range bounds come from a sample of the input.
     ranged = narrow.repartitionByRange(n, key, order).withColumn(
-        "_blk", F.spark_partition_id())
+        "_blk", F.spark_partition_id()).checkpoint(eager=True)
     in_block = (Window.partitionBy(key, "_blk").orderBy(order)
                 .rowsBetween(Window.unboundedPreceding, -1))
     local = ranged.withColumn(
