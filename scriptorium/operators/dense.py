@@ -119,7 +119,8 @@ def embed_passages(df: DataFrame, encoder: Callable[[list[str]], np.ndarray], *,
                    col: str = "content", out: str = "embedding", batch: int = 512) -> DataFrame:
     """Hook for a user encoder: ``encoder(list_of_texts) -> (n, dim) array``,
     called on Arrow batches of at most ``batch`` rows inside the tasks."""
-    schema = df.schema.add(out, "array<float>")
+    from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+    schema = StructType([*df.schema.fields, StructField(out, ArrayType(FloatType()))])
 
     def run(it):
         for pdf in it:

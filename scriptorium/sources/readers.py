@@ -42,7 +42,9 @@ def read_articles(spark: SparkSession, path: str, with_rejects: bool = False):
     good = df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record", "_path")
     if not with_rejects:
         return good
-    bad = df.filter(F.col("_corrupt_record").isNotNull()).select("_path", "_corrupt_record")
+    # a data column is kept next to the corrupt record: Spark refuses a raw
+    # JSON query that references only the corrupt-record column
+    bad = df.filter(F.col("_corrupt_record").isNotNull()).select("_path", "id", "_corrupt_record")
     return good, bad
 
 
