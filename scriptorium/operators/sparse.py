@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.constants import BM25_B, BM25_EPSILON, BM25_K1, SPARSE_K
+from ..session import stage
 
 
 def _postings(docs: DataFrame, key: str, doc: str, tok) -> DataFrame:
@@ -46,9 +47,13 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, *, key: str = "page_id",
     repeats) adds ``idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))``.
     """
     text = F.coalesce(F.col(content), F.lit(""))
-    post = _postings(docs, key, doc, T.tokens(text))
-    stats = (docs.select(key, T.token_count(text).alias("_dl"))
-             .groupBy(key).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("_dl").alias("avgdl")))
+    # the postings feed the statistics and the scoring join: staged once
+    post = stage(_postings(docs, key, doc, T.tokens(text)), "bm25-postings")
+    # one tokenizing pass: total tokens come from the postings (sum of tf);
+    # the document count (documents without tokens included) needs no regex
+    n_docs = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n_docs"))
+    stats = (post.groupBy(key).agg(F.sum("tf").alias("_tok")).join(n_docs, key, "right")
+             .select(key, "n_docs", (F.coalesce("_tok", F.lit(0)) / F.col("n_docs")).alias("avgdl")))
     df_ = post.groupBy(key, "term").agg(F.count(F.lit(1)).alias("df"))
     idf = df_.join(stats, key).select(
         key, "term",
@@ -74,7 +79,7 @@ def tfidf_scores(queries: DataFrame, docs: DataFrame, *, key: str = "page_id",
     (1 + df)) + 1`` (smoothed); query terms outside the article's vocabulary
     are dropped."""
     text = F.coalesce(F.col(content), F.lit(""))
-    post = _postings(docs, key, doc, T.terms(text))
+    post = stage(_postings(docs, key, doc, T.terms(text)), "tfidf-postings")
     n = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n_docs"))
     df_ = post.groupBy(key, "term").agg(F.count(F.lit(1)).alias("df"))
     idf = df_.join(n, key).select(
@@ -102,6 +107,8 @@ def topk_padded(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int =
     article; when some scores are negative (BM25 with a negative idf floor)
     the prefix grows by the number of negative scores of that query, which
     is exact: past it, k non-negative documents precede any unscored one."""
+    # the scores feed three branches below: computed once, lineage cut
+    scores = stage(scores, "scores")
     q = queries.select(qid, key).distinct()
     d = docs.select(key, doc, order)
     first_k = (d.withColumn("_p", F.row_number().over(Window.partitionBy(key).orderBy(order, doc)))

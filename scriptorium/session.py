@@ -61,3 +61,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     temp dir on a cluster)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base.rstrip("/"), name)
+
+
+def stage(df, name: str = "stage"):
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    return a DataFrame reading it back: an intermediate used by several
+    branches of a plan is then computed once, its lineage is cut, and it
+    survives the loss of an executor (unlike a cache)."""
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
