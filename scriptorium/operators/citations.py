@@ -24,22 +24,29 @@ _MARK = "\u0001"
 def split_units(df: DataFrame, keys: list[str], col: str = "text") -> DataFrame:
     """``keys, unit_pos, unit``: one row per cited unit, in text order.
 
-    Pieces are exploded with their position; a piece starts a unit unless it
-    is a marker, '' or a lone newline; the unit number is the running count
-    of starts (a window over one text's pieces). Pieces before the first
-    start form a unit of their own when not empty."""
+    Map-only, inside each row: the text is split into pieces (markers kept as
+    pieces); a piece starts a unit unless it is a marker, '' or a lone
+    newline; each unit is the run of pieces from its start to the next start
+    (disjoint slices, so linear in the text). Pieces before the first start
+    form a unit of their own when not empty."""
     marked = F.regexp_replace(T._c(col), f"({T.MARKER})", f"{_MARK}$1{_MARK}")
-    pieces = df.select(*keys, F.posexplode(F.split(marked, _MARK)).alias("_p", "_s"))
-    starts = (~F.col("_s").rlike(f"^{T.MARKER}$")) & (F.col("_s") != "") & (F.col("_s") != "\n")
-    w = (Window.partitionBy(*keys).orderBy("_p")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    numbered = pieces.withColumn("_u", F.sum(starts.cast("int")).over(w))
-    units = (numbered.groupBy(*keys, "_u")
-             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_s"))),
-                                           lambda x: x["_s"]), "").alias("unit")))
-    units = units.filter((F.col("_u") > 0) | (F.col("unit") != ""))
-    w2 = Window.partitionBy(*keys).orderBy("_u")
-    return units.select(*keys, (F.row_number().over(w2) - 1).cast("bigint").alias("unit_pos"), "unit")
+    p = df.select(*keys, F.split(marked, _MARK).alias("_p"))
+    n = F.size("_p")
+
+    def is_start(x):
+        return (~x.rlike(f"^{T.MARKER}$")) & (x != "") & (x != "\n")
+
+    p = p.withColumn("_b", F.filter(F.sequence(F.lit(1), n), lambda i: is_start(F.element_at("_p", i))))
+    b = F.col("_b")
+    nb = F.size(b)
+    head_len = F.when(nb > 0, F.element_at(b, 1) - 1).otherwise(n)
+    head = F.when(head_len > 0, F.array_join(F.slice("_p", 1, head_len), "")).otherwise(F.lit(""))
+    rest = F.transform(b, lambda s, k: F.array_join(F.slice(
+        "_p", s, F.coalesce(F.try_element_at(b, k + 2), n + 1) - s), ""))
+    rest = F.when(nb > 0, rest).otherwise(F.array().cast("array<string>"))
+    units = F.when(head != "", F.concat(F.array(head), rest)).otherwise(rest)
+    return (p.select(*keys, F.posexplode(units).alias("unit_pos", "unit"))
+            .withColumn("unit_pos", F.col("unit_pos").cast("bigint")))
 
 
 # E10 ------------------------------------------------------------------------

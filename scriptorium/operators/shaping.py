@@ -218,3 +218,54 @@ def parse_outline(df: DataFrame, reply: str = "reply", key: str = "page_id") ->
         .when(line.rlike(_NUMBERED_LINE), F.regexp_extract(line, _NUMBERED_LINE, 1))
     return (lines.select(key, F.col("sec_pos").cast("bigint").alias("sec_pos"), name.alias("section"))
             .filter(F.col("section").isNotNull() & (F.col("section") != "")))
+
+
+# D11 ------------------------------------------------------------------------
+def writer_requests(articles: DataFrame, level: str, *, refs: DataFrame | None = None,
+                    retrieved: DataFrame | None = None, num: int = 5, given_outline: bool = False,
+                    model: str = "gpt-3.5-turbo-0613", reserve: int = 800,
+                    key: str = "page_id", title: str = "key", outline: str = "outlines") -> DataFrame:
+    """Writer requests per article at a retrieval level, flagged against the
+    model's token budget (``accepted``; rejected rows are the fail log).
+
+    * ``vanilla``: no references;
+    * ``tfidf`` / ``bm25``: the top ``num`` of the article's own reference docs
+      (``refs``: key, doc_pos, title, url, content) for the article title,
+      written ``Document [i] (Title: t, u) doc``;
+    * any other level: pre-retrieved chunks (``retrieved``: key, rank, chunk),
+      non-ASCII stripped, first ``num``, written ``Document [i] doc``.
+    """
+    from ..functions.constants import WRITER_PROMPTS
+    from . import sparse
+
+    base = articles.select(key, title, outline)
+    lv = level.lower()
+    if lv == "vanilla":
+        system = WRITER_PROMPTS["vanilla_given_outline" if given_outline else "vanilla"]
+        lines = None
+        req = base
+    else:
+        system = WRITER_PROMPTS["writer_given_outline" if given_outline else "writer"]
+        if lv in ("tfidf", "bm25"):
+            q = base.select(key, F.col(key).alias("_qid"), F.col(title).alias("_query"))
+            docs = refs.select(key, F.col("doc_pos").alias("_doc"), "doc_pos", "title", "url", "content")
+            top = sparse.retrieve(q, docs, k=num, method=lv, key=key, qid="_qid", doc="_doc",
+                                  query="_query", content="content")
+            top = top.join(docs, [key, "_doc"]).select(key, "rank", "title", "url", "content")
+            per = (top.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "title", "url", "content")))
+                                        .alias("_r")))
+            lines = numbered(F.transform("_r", lambda x: x["content"]), "titled",
+                             F.transform("_r", lambda x: x["title"]), F.transform("_r", lambda x: x["url"]))
+        else:
+            r = retrieved.filter(F.col("rank") <= num).withColumn("chunk", T.strip_non_ascii("chunk"))
+            per = r.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "chunk"))).alias("_r"))
+            lines = numbered(F.transform("_r", lambda x: x["chunk"]), "bracket")
+        req = base.join(per, key, "left")
+    refs_col = None if lines is None else F.coalesce(lines, F.array().cast("array<string>"))
+    if given_outline:
+        user = outline_user_prompt(title, outline, refs_col)
+    else:
+        user = writer_user_prompt(title, None, refs_col)
+    out = req.select(key, messages(F.lit(system), user).alias("messages"))
+    out = out.withColumn("n_tokens", message_tokens("messages"))
+    return budget_flag(out, "n_tokens", model=model, reserve=reserve)

@@ -71,3 +71,21 @@ def test_section_context_zip_stops_at_shorter(spark):
                                    "page_id long, sec_pos long, rank long, chunk_id long")
     ctx = shaping.section_context(secs, ranked, keep=5)
     assert sorted((r.sec_pos, r.rank) for r in ctx.collect()) == [(0, k) for k in range(1, 6)]
+
+
+def test_writer_requests_levels(spark):
+    arts = spark.createDataFrame([(1, "cat", ["Intro", "Life"]), (2, "dog", [])],
+                                 "page_id long, key string, outlines array<string>")
+    refs = spark.createDataFrame([(1, 0, "T0", "u0", "a dog"), (1, 1, "T1", "u1", "the cat sat"), (1, 2, "T2", "u2", "a bird"),
+                                  (2, 0, "D", "v", "dog dog")],
+                                 "page_id long, doc_pos long, title string, url string, content string")
+    van = {r.page_id: r for r in shaping.writer_requests(arts, "vanilla").collect()}
+    assert van[1].messages[1].content == "Keyword: cat\n" and van[1].accepted
+    bm = {r.page_id: r for r in shaping.writer_requests(arts, "BM25", refs=refs, num=1, given_outline=True).collect()}
+    assert bm[1].messages[1].content == "Keyword: cat\nOutline: Intro, LifeDocument [1] (Title: T1, u1) the cat sat\n"
+    assert bm[2].messages[1].content == "Keyword: dog\nDocument [1] (Title: D, v) dog dog\n"
+    ret = spark.createDataFrame([(1, 2, "bé"), (1, 1, "a")], "page_id long, rank long, chunk string")
+    pre = {r.page_id: r for r in shaping.writer_requests(arts, "dpr", retrieved=ret, reserve=4090).collect()}
+    assert pre[1].messages[1].content == "Keyword: cat\nDocument [1] a\nDocument [2] b\n"
+    assert pre[2].messages[1].content == "Keyword: dog\n"
+    assert not pre[1].accepted
