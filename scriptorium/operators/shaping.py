@@ -269,3 +269,18 @@ def writer_requests(articles: DataFrame, level: str, *, refs: DataFrame | None =
     out = req.select(key, messages(F.lit(system), user).alias("messages"))
     out = out.withColumn("n_tokens", message_tokens("messages"))
     return budget_flag(out, "n_tokens", model=model, reserve=reserve)
+
+
+# D15 / D17 ------------------------------------------------------------------
+def regroup_sections(rows: DataFrame, *, key: str = "page_id", pos: str = "sec_pos",
+                     values: tuple[str, ...] = ("section", "text")) -> DataFrame:
+    """Section rows back to one row per article, each value a list in section
+    order (responses restored to request order, per-section texts to an
+    article). A group is one article's sections."""
+    packed = F.sort_array(F.collect_list(F.struct(pos, *values))).alias("_s")
+    g = rows.groupBy(key).agg(packed)
+    return g.select(key, *[_field_list("_s", v) for v in values])
+
+
+def _field_list(col: str, field: str) -> Column:
+    return F.transform(col, lambda x: x[field]).alias(field)

@@ -330,11 +330,9 @@ def q_section_rows_from_article(spark, d):
 @query("article_regroup")
 def q_article_regroup(spark, d):
     s = X.conversation_sections(spark, d)
-    g = (s.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("sec_pos", "section", "text")))
-                                  .alias("_s")))
-    return g.select("page_id", F.size("_s").cast("bigint").alias("n_sections"),
-                    F.array_join(F.transform("_s", lambda x: x["section"]), "|").alias("outline"),
-                    F.array_join(F.transform("_s", lambda x: x["text"]), "\n").alias("text"))
+    g = shaping.regroup_sections(s, values=("section", "text"))
+    return g.select("page_id", F.size("section").cast("bigint").alias("n_sections"),
+                    F.array_join("section", "|").alias("outline"), F.array_join("text", "\n").alias("text"))
 
 
 @query("rewrite_merge")

@@ -127,3 +127,10 @@ def finished_ids(spark: SparkSession, path: str) -> DataFrame:
 def pending(todo: DataFrame, done: DataFrame, key: str = "page_id") -> DataFrame:
     """Rows of ``todo`` whose key is not finished yet (resume)."""
     return todo.join(done.select(key).distinct(), key, "left_anti")
+
+
+# A3 -------------------------------------------------------------------------
+def read_snapshot(spark: SparkSession, path: str, columns: tuple[str, ...] = ("id", "title", "text")) -> DataFrame:
+    """A corpus snapshot table (``id, title, text``); only the named columns
+    are read (column pruning reaches the parquet scan)."""
+    return spark.read.parquet(path).select(*columns)
