@@ -362,8 +362,12 @@ PK = X.PAIR_KEYS
 
 
 def _pairs(spark, d):
+    """(matched pairs staged once: every metric reads them, several times, and
+    the pairing join shuffles both texts; gold keys without a candidate)."""
+    from ..session import stage
     gold, cand = X.text_pairs(spark, d)
-    return overlap.pair_texts(gold, cand, PK)
+    pairs, missing = overlap.pair_texts(gold, cand, PK)
+    return stage(pairs, "text-pairs"), missing
 
 
 @query("flatten_text")
