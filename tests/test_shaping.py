@@ -89,3 +89,10 @@ def test_writer_requests_levels(spark):
     assert pre[1].messages[1].content == "Keyword: cat\nDocument [1] a\nDocument [2] b\n"
     assert pre[2].messages[1].content == "Keyword: dog\n"
     assert not pre[1].accepted
+
+
+def test_regroup_sections_keeps_order(spark):
+    rows = spark.createDataFrame([(1, 2, "C", "z"), (1, 0, "A", "x"), (1, 1, "B", "y"), (2, 0, "Q", "q")],
+                                 "page_id long, sec_pos long, section string, text string")
+    got = {r.page_id: (r.section, r.text) for r in shaping.regroup_sections(rows).collect()}
+    assert got == {1: (["A", "B", "C"], ["x", "y", "z"]), 2: (["Q"], ["q"])}

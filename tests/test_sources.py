@@ -75,3 +75,12 @@ def test_incremental_ingest_second_run_adds_nothing(spark):
     ingest_available(spark, src + "/b1", schema, work + "/out", work + "/ckpt")
     ingest_available(spark, src + "/b1", schema, work + "/out", work + "/ckpt")
     assert spark.read.parquet(work + "/out").count() == 1
+
+
+def test_read_snapshot_prunes_columns(spark):
+    d = tempfile.mkdtemp(prefix="snap-")
+    spark.createDataFrame([("1", "T", "x", "extra")], "id string, title string, text string, other string") \
+        .write.mode("overwrite").parquet(d + "/s")
+    df = readers.read_snapshot(spark, d + "/s")
+    assert df.columns == ["id", "title", "text"]
+    assert "other" not in df._jdf.queryExecution().executedPlan().toString()
