@@ -98,7 +98,7 @@ def tfidf_scores(queries: DataFrame, docs: DataFrame, *, key: str = "page_id",
 
 def topk_padded(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int = SPARSE_K, *,
                 key: str = "page_id", qid: str = "query_id", doc: str = "doc_id",
-                order: str = "doc_pos") -> DataFrame:
+                order: str = "doc_pos", allow_negative: bool = True) -> DataFrame:
     """``(qid, key, rank, doc, score)``: the ``min(k, n)`` best documents of
     the query's article by (score rounded to 6 digits desc, ``order`` asc);
     documents without a score count 0.
@@ -106,23 +106,25 @@ def topk_padded(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int =
     Candidates are the scored documents plus the first ``k`` documents of the
     article; when some scores are negative (BM25 with a negative idf floor)
     the prefix grows by the number of negative scores of that query, which
-    is exact: past it, k non-negative documents precede any unscored one."""
-    # the scores feed three branches below: computed once, lineage cut
-    scores = stage(scores, "scores")
+    is exact: past it, k non-negative documents precede any unscored one.
+    With ``allow_negative=False`` (cosine scores) that extension is skipped."""
     q = queries.select(qid, key).distinct()
     d = docs.select(key, doc, order)
     first_k = (d.withColumn("_p", F.row_number().over(Window.partitionBy(key).orderBy(order, doc)))
                .filter(F.col("_p") <= k).drop("_p"))
     fill = q.join(first_k, key)
-    neg = (scores.filter(F.col("score") < 0).groupBy(qid, key)
-           .agg(F.count(F.lit(1)).alias("_n_neg")))
-    neg_docs = (d.join(neg.select(key).distinct(), key, "left_semi")
-                .withColumn("_p", F.row_number().over(Window.partitionBy(key).orderBy(order, doc))))
-    fill_more = (neg.join(neg_docs, key).filter(F.col("_p") <= k + F.col("_n_neg"))
-                 .select(qid, key, doc, order))
+    if allow_negative:
+        # the scores feed three branches below: computed once, lineage cut
+        scores = stage(scores, "scores")
+        neg = (scores.filter(F.col("score") < 0).groupBy(qid, key)
+               .agg(F.count(F.lit(1)).alias("_n_neg")))
+        neg_docs = (d.join(neg.select(key).distinct(), key, "left_semi")
+                    .withColumn("_p", F.row_number().over(Window.partitionBy(key).orderBy(order, doc))))
+        fill_more = (neg.join(neg_docs, key).filter(F.col("_p") <= k + F.col("_n_neg"))
+                     .select(qid, key, doc, order))
+        fill = fill.unionByName(fill_more)
     scored = scores.join(d, [key, doc]).select(qid, key, doc, order, "score", F.lit(1).alias("_s"))
-    cand = (fill.unionByName(fill_more).select(qid, key, doc, order, F.lit(0.0).alias("score"),
-                                               F.lit(0).alias("_s"))
+    cand = (fill.select(qid, key, doc, order, F.lit(0.0).alias("score"), F.lit(0).alias("_s"))
             .unionByName(scored)
             .groupBy(qid, key, doc, order).agg(F.max_by("score", "_s").alias("score")))
     w = Window.partitionBy(qid, key).orderBy(F.desc("_r"), F.col(order), F.col(doc))
@@ -141,7 +143,7 @@ def retrieve(queries: DataFrame, docs: DataFrame, k: int = SPARSE_K, method: str
     order = cols.pop("order", "doc_pos")
     keys = {c: cols[c] for c in ("key", "qid", "doc") if c in cols}
     scores = fn(queries, docs, **cols)
-    out = topk_padded(scores, queries, docs, k, order=order, **keys)
+    out = topk_padded(scores, queries, docs, k, order=order, allow_negative=fn is bm25_scores, **keys)
     if indices:
         return out.select(keys.get("qid", "query_id"), keys.get("key", "page_id"), "rank",
                           keys.get("doc", "doc_id"))
