@@ -84,3 +84,12 @@ def test_read_snapshot_prunes_columns(spark):
     df = readers.read_snapshot(spark, d + "/s")
     assert df.columns == ["id", "title", "text"]
     assert "other" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_write_dataset_splits_a_hot_key(spark):
+    out = tempfile.mkdtemp(prefix="hot-")
+    df = spark.range(0, 4000).select((F.col("id") % 1).alias("page_id"), F.col("id").alias("doc_id"))
+    writers.write_dataset(df, os.path.join(out, "ds"), partitions=4)
+    back = spark.read.parquet(os.path.join(out, "ds"))
+    files = back.select(F.input_file_name().alias("f")).distinct().count()
+    assert back.count() == 4000 and files > 1
