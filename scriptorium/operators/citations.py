@@ -70,11 +70,12 @@ def cite_pairs(units: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def attach_premises(pairs: DataFrame, refs: DataFrame, keys: list[str],
-                    python_negative_index: bool = False) -> DataFrame:
+                    python_negative_index: bool = False, missing=" ") -> DataFrame:
     """Premise of each citation from the unit's document list ``refs``
     (``keys, ref_pos, premise``); an id outside the list gives the premise
-    ``' '``. With ``python_negative_index`` an id of -1 (marker ``[0]``)
-    takes the last document, as list indexing would."""
+    ``missing`` (``' '``; an empty array when premises are word sets). With
+    ``python_negative_index`` an id of -1 (marker ``[0]``) takes the last
+    document, as list indexing would."""
     p = pairs
     if python_negative_index:
         n = refs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -85,7 +86,8 @@ def attach_premises(pairs: DataFrame, refs: DataFrame, keys: list[str],
         p = p.withColumn("_look", F.col("idx"))
     r = refs.select(*keys, F.col("ref_pos").alias("_look"), "premise")
     return (p.join(r, [*keys, "_look"], "left")
-            .withColumn("premise", F.coalesce("premise", F.lit(" "))).drop("_look"))
+            .withColumn("premise", F.coalesce("premise", missing if isinstance(missing, Column)
+                                              else F.lit(missing))).drop("_look"))
 
 
 # E12 ------------------------------------------------------------------------
@@ -94,12 +96,21 @@ def nli_input(premise, hyp) -> Column:
 
 
 # E13 ------------------------------------------------------------------------
-def lexical_support(premise, hyp, threshold: float = 0.5) -> Column:
+_WORD = "[\\p{L}\\p{N}_]+"
+
+
+def word_set(col) -> Column:
+    """Distinct lower-cased words (letters, digits, underscore) of a text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(T._c(col)), F.lit(_WORD), 0))
+
+
+def lexical_support(premise, hyp, threshold: float = 0.5, premise_words: bool = False) -> Column:
     """Baseline scorer (lexical, not NLI): "1" when at least ``threshold`` of
-    the hypothesis' distinct lower-cased words occur in the premise."""
-    word = "[\\p{L}\\p{N}_]+"
-    h = F.array_distinct(F.regexp_extract_all(F.lower(T._c(hyp)), F.lit(word), 0))
-    p = F.array_distinct(F.regexp_extract_all(F.lower(T._c(premise)), F.lit(word), 0))
+    the hypothesis' distinct lower-cased words occur in the premise. With
+    ``premise_words`` the premise is already a ``word_set`` column (compute it
+    once per document, not once per citation)."""
+    h = word_set(hyp)
+    p = T._c(premise) if premise_words else word_set(premise)
     share = F.size(F.array_intersect(h, p)) / F.size(h)
     return F.when((F.size(h) > 0) & (share >= threshold), F.lit("1")).otherwise(F.lit("0"))
 

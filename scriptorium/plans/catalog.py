@@ -441,9 +441,13 @@ def q_nli_inputs(spark, d):
 
 
 def _labels(spark, d):
-    p = _premises(spark, d)
+    """Lexical support labels. Each document's word set is computed once and
+    joined to its citations (a document is the premise of up to 5 others)."""
+    pairs = citations.cite_pairs(_units(spark, d), ["doc_id"])
+    refs = X.premise_lists(spark, d, value=citations.word_set("text"))
+    p = citations.attach_premises(pairs, refs, ["doc_id"], missing=F.array().cast("array<string>"))
     return p.select("doc_id", "unit_pos", "cite_pos",
-                    citations.lexical_support("premise", "hypothesis").alias("label"))
+                    citations.lexical_support("premise", "hypothesis", premise_words=True).alias("label"))
 
 
 @query("lexical_support")

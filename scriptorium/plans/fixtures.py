@@ -197,13 +197,15 @@ def cited_documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(marked, "").alias("text"))
 
 
-def premise_lists(spark: SparkSession, d: str, n: int = 5) -> DataFrame:
+def premise_lists(spark: SparkSession, d: str, n: int = 5, value=None) -> DataFrame:
     """The reference list of document ``d``: documents ``d+1`` .. ``d+n``
-    (an equi-join on the computed id, no window)."""
+    (an equi-join on the computed id, no window). ``value`` (default the
+    text) is computed once per document, before the join."""
     docs = table(spark, d, "documents")
     want = docs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                       F.lit(n - 1).cast("bigint"))).alias("ref_pos"))
-    other = docs.select(F.col("doc_id").alias("_rid"), F.col("text").alias("premise"))
+    other = docs.select(F.col("doc_id").alias("_rid"),
+                        (F.col("text") if value is None else value).alias("premise"))
     return (want.join(other, F.col("_rid") == F.col("doc_id") + 1 + F.col("ref_pos"))
             .select("doc_id", "ref_pos", "premise"))
 
