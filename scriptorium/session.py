@@ -72,4 +72,15 @@ def stage(df, name: str = "stage"):
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spread_small(spark.read.parquet(path))
+
+
+def spread_small(df):
+    """An input that scans as fewer partitions than the cluster has cores (a
+    small file of one row group, or an intermediate AQE coalesced into one
+    file) is spread round-robin, so per-row CPU work uses every core; a
+    large input already scans as many partitions and is left as is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
