@@ -38,23 +38,29 @@ def _query_terms(queries: DataFrame, key: str, qid: str, tok) -> DataFrame:
 def bm25_scores(queries: DataFrame, docs: DataFrame, *, key: str = "page_id",
                 qid: str = "query_id", query: str = "query", doc: str = "doc_id",
                 content: str = "content", k1: float = BM25_K1, b: float = BM25_B,
-                epsilon: float = BM25_EPSILON) -> DataFrame:
+                epsilon: float = BM25_EPSILON, stage_postings: bool = True) -> DataFrame:
     """``(qid, key, doc, score)`` for documents sharing a token with the query.
 
     Okapi BM25 over word-and-punctuation tokens, case kept:
     ``idf = ln(N - df + 0.5) - ln(df + 0.5)``; a negative idf is replaced by
     ``epsilon * mean(idf over the article's terms)``; every query token (with
     repeats) adds ``idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))``.
+
+    The postings have two consumers (the per-term aggregate and the scoring
+    join); with ``stage_postings`` they are written once instead of the
+    documents being tokenized twice.
     """
     text = F.coalesce(F.col(content), F.lit(""))
-    # the postings feed the statistics and the scoring join: staged once
-    post = stage(_postings(docs, key, doc, T.tokens(text)), "bm25-postings")
-    # one tokenizing pass: total tokens come from the postings (sum of tf);
-    # the document count (documents without tokens included) needs no regex
+    post = _postings(docs, key, doc, T.tokens(text))
+    if stage_postings:
+        post = stage(post, "bm25-postings")
+    # df and total tokens per (key, term) in one aggregate; the article's
+    # token total is their sum; the document count (documents without tokens
+    # included) needs no regex
+    df_ = post.groupBy(key, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_ttf"))
     n_docs = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n_docs"))
-    stats = (post.groupBy(key).agg(F.sum("tf").alias("_tok")).join(n_docs, key, "right")
+    stats = (df_.groupBy(key).agg(F.sum("_ttf").alias("_tok")).join(n_docs, key, "right")
              .select(key, "n_docs", (F.coalesce("_tok", F.lit(0)) / F.col("n_docs")).alias("avgdl")))
-    df_ = post.groupBy(key, "term").agg(F.count(F.lit(1)).alias("df"))
     idf = df_.join(stats, key).select(
         key, "term",
         (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
@@ -72,14 +78,16 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, *, key: str = "page_id",
 
 def tfidf_scores(queries: DataFrame, docs: DataFrame, *, key: str = "page_id",
                  qid: str = "query_id", query: str = "query", doc: str = "doc_id",
-                 content: str = "content") -> DataFrame:
+                 content: str = "content", stage_postings: bool = True) -> DataFrame:
     """``(qid, key, doc, score)``: cosine of L2-normalised TF-IDF vectors.
 
     Terms are lower-cased runs of 2+ word characters; ``idf = ln((1 + n) /
     (1 + df)) + 1`` (smoothed); query terms outside the article's vocabulary
     are dropped."""
     text = F.coalesce(F.col(content), F.lit(""))
-    post = stage(_postings(docs, key, doc, T.terms(text)), "tfidf-postings")
+    post = _postings(docs, key, doc, T.terms(text))
+    if stage_postings:  # consumed by the df aggregate and the weighting join
+        post = stage(post, "tfidf-postings")
     n = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n_docs"))
     df_ = post.groupBy(key, "term").agg(F.count(F.lit(1)).alias("df"))
     idf = df_.join(n, key).select(
