@@ -196,21 +196,26 @@ def rouge_l(pairs: DataFrame, keys: list[str], block: int = 16) -> DataFrame:
     def lcs_union(rb: pd.Series, cs: pd.Series) -> pd.Series:
         out = []
         for ref_sents, cand_sents in zip(rb, cs):
-            cand_words = [c.split(" ") for c in cand_sents]
-            cand_sets = [set(c) for c in cand_words]
-            u: set[str] = set()
-            for rsent in ref_sents:
-                rw = rsent.split(" ")
-                rset = set(rw)
-                for cw, cset in zip(cand_words, cand_sets):
-                    # LCS words lie in both sentences: skip a pair that cannot add a new word
-                    if (rset & cset) - u:
-                        u |= _lcs_words(rw, cw)
-            out.append(sorted(u))
+            try:
+                cand_words = [c.split(" ") for c in cand_sents]
+                cand_sets = [set(c) for c in cand_words]
+                u: set[str] = set()
+                for rsent in ref_sents:
+                    rw = rsent.split(" ")
+                    rset = set(rw)
+                    for cw, cset in zip(cand_words, cand_sets):
+                        # LCS words lie in both sentences: skip a pair that cannot add a new word
+                        if (rset & cset) - u:
+                            u |= _lcs_words(rw, cw)
+                out.append(sorted(u))
+            except Exception:  # a metric failure scores 0 (NULL here, 0 below)
+                out.append(None)
         return pd.Series(out)
 
-    union = (blocks.select(*keys, F.explode(lcs_union("_rb", "_cs")).alias("_w"))
-             .groupBy(*keys).agg(F.countDistinct("_w").alias("llcs")))
+    # one consumer of the UDF output: the failure flag rides along the explode
+    union = (blocks.select(*keys, lcs_union("_rb", "_cs").alias("_u"))
+             .select(*keys, F.col("_u").isNull().alias("_f"), F.explode_outer("_u").alias("_w"))
+             .groupBy(*keys).agg(F.countDistinct("_w").alias("llcs"), F.max("_f").alias("_failed")))
 
     def distinct_words(col):
         return F.size(F.array_distinct(F.flatten(F.transform(col, lambda x: F.split(x, " ")))))
@@ -220,7 +225,8 @@ def rouge_l(pairs: DataFrame, keys: list[str], block: int = 16) -> DataFrame:
     out = sizes.join(union, keys, "left").fillna(0, ["llcs"])
     r = F.col("llcs") / F.col("m")
     p = F.col("llcs") / F.col("n")
-    f = F.when((F.col("_ncs") == 0) | (F.col("m") == 0) | (F.col("n") == 0), F.lit(0.0)) \
+    f = F.when((F.col("_ncs") == 0) | (F.col("m") == 0) | (F.col("n") == 0)
+               | F.coalesce(F.col("_failed"), F.lit(False)), F.lit(0.0)) \
         .otherwise(2.0 * (r * p) / (r + p + 1e-8))
     return out.select(*keys, T.round6(f).alias("rouge_l"))
 

@@ -48,9 +48,19 @@ def read_articles(spark: SparkSession, path: str, with_rejects: bool = False):
     return good, bad
 
 
+def rejected_array_files(spark: SparkSession, path: str, item: str = SEARCH_HIT) -> DataFrame:
+    """Files under ``path`` that do not parse as a JSON array of ``item``
+    (path and raw text): the log-and-continue side output of the array
+    readers, which skip such files."""
+    raw = (spark.read.text(path, wholetext=True)
+           .withColumn("_path", F.col("_metadata.file_path")))
+    return raw.filter(F.from_json(F.col("value"), f"array<{item}>").isNull()).select("_path", "value")
+
+
 def _read_arrays(spark: SparkSession, path: str, item: str) -> DataFrame:
     """One JSON array per file, elements with their position and the file's
-    integer name; a file that is not an array of ``item`` gives no rows."""
+    integer name; a file that is not an array of ``item`` gives no rows (see
+    ``rejected_array_files``)."""
     raw = (spark.read.text(path, wholetext=True)
            .withColumn("_path", F.col("_metadata.file_path")))
     items = F.from_json(F.col("value"), f"array<{item}>")

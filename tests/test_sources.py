@@ -33,6 +33,8 @@ def test_search_results_docs_and_retrieval(spark):
     _write(d, "bad.json", "{")
     rows = sorted((r.page_id, r.pos, r.url) for r in readers.read_search_results(spark, d).collect())
     assert rows == [(67048321, 0, "http://a"), (67048321, 1, "http://b")]
+    bad = [r._path for r in readers.rejected_array_files(spark, d).collect()]
+    assert len(bad) == 1 and bad[0].endswith("bad.json")
     dd = tempfile.mkdtemp(prefix="docs-")
     _write(dd, "3.json", [{"doc_id": "d1", "content": "c"}, {"doc_id": "d2"}, {"content": "z"}])
     docs = sorted((r.doc_pos, r.doc_id, r.content) for r in readers.read_doc_lists(spark, dd).collect())
