@@ -46,8 +46,13 @@ def pair_texts(gold: DataFrame, cand: DataFrame, keys: list[str]) -> tuple[DataF
 
 # E3 -------------------------------------------------------------------------
 def _ngram_array(words_col: str, n: int) -> Column:
+    """The n-grams of a word array, words joined by one space (words hold no
+    space, so the join is unambiguous); built from direct element reads,
+    cheaper than slicing a sub-array per n-gram."""
+    if n == 1:
+        return F.col(words_col)
     grams = F.transform(F.sequence(F.lit(1), F.size(words_col) - n + 1),
-                        lambda i: F.array_join(F.slice(words_col, i, n), " "))
+                        lambda i: F.concat_ws(" ", *[F.element_at(words_col, i + j) for j in range(n)]))
     # sequence(1, 0) would count down: a text shorter than n has no n-gram
     return F.when(F.size(words_col) >= n, grams).otherwise(F.array().cast("array<string>"))
 
