@@ -96,3 +96,14 @@ def test_regroup_sections_keeps_order(spark):
                                  "page_id long, sec_pos long, section string, text string")
     got = {r.page_id: (r.section, r.text) for r in shaping.regroup_sections(rows).collect()}
     assert got == {1: (["A", "B", "C"], ["x", "y", "z"]), 2: (["Q"], ["q"])}
+
+
+def test_writer_requests_tfidf_level(spark):
+    arts = spark.createDataFrame([(1, "Cat facts", ["Intro"])], "page_id long, key string, outlines array<string>")
+    refs = spark.createDataFrame([(1, 0, "T0", "u0", "dogs bark"), (1, 1, "T1", "u1", "cat facts here"),
+                                  (1, 2, "T2", "u2", "facts")],
+                                 "page_id long, doc_pos long, title string, url string, content string")
+    r = shaping.writer_requests(arts, "tfidf", refs=refs, num=2).first()
+    assert r.messages[0].role == "system"
+    assert r.messages[1].content == ("Keyword: Cat facts\nDocument [1] (Title: T1, u1) cat facts here\n"
+                                     "Document [2] (Title: T2, u2) facts\n")
