@@ -4,8 +4,10 @@ import duckdb
 import __spark_entry__ as E
 
 # queries that run fast enough to check against the oracle at sf0.001 in the suite
-FAST = ["scan_documents", "new_titles", "chunk_docs", "html_to_text", "bm25_topk", "dense_topk",
-        "section_prompt", "parse_response", "citation_units", "judge_scores", "resume_pending"]
+FAST = ["scan_documents", "new_titles", "chunk_docs", "html_to_text", "url_keep_last", "link_union",
+        "bm25_topk", "tfidf_topk", "dense_topk", "section_filter", "clean_outline", "section_prompt",
+        "parse_response", "ordered_responses", "outline_parse", "citation_units", "citation_ids",
+        "judge_scores", "judge_summary", "resume_pending"]
 
 
 def test_entry_smoke(spark):
