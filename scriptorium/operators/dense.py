@@ -53,8 +53,10 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = DENSE_K,
          .withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nb") - 1))))
     raw = F.transform("_c", lambda c: F.struct(dot(F.col("_q"), c["v"]).alias("s"),
                                                c["id"].alias("id")))
-    keyed = F.transform(raw, lambda x: F.struct((-T.round6(x["s"])).alias("ns"),
-                                                x["id"].alias("id"), x["s"].alias("s")))
+    # a NULL score (missing or mismatched vector) ranks last, not first
+    keyed = F.transform(raw, lambda x: F.struct(
+        F.coalesce(-T.round6(x["s"]), F.lit(float("inf"))).alias("ns"),
+        x["id"].alias("id"), x["s"].alias("s")))
     scored = q.join(blocks, [key, "_blk"]).select(
         key, qid, F.slice(F.sort_array(keyed), 1, limit).alias("_top"))
     w = Window.partitionBy(key, qid).orderBy("_t.ns", "_t.id")

@@ -142,3 +142,11 @@ def test_hash_embed_unit_norm_and_hook(spark):
     enc = lambda texts: np.array([[len(t), 1.0] for t in texts])
     out = dense.embed_passages(df, enc, batch=1).orderBy("doc_id").collect()
     assert [list(r.embedding) for r in out] == [[7.0, 1.0], [0.0, 1.0]]
+
+
+def test_dense_null_vector_ranks_last(spark):
+    chunks = spark.createDataFrame([(1, 10, [1.0, 0.0]), (1, 11, None), (1, 12, [0.5, 0.0])],
+                                   "page_id long, chunk_id long, embedding array<float>")
+    qs = spark.createDataFrame([(1, 0, [1.0, 0.0])], "page_id long, sec_pos long, query_embedding array<float>")
+    got = [(r.rank, r.chunk_id) for r in dense.dense_topk(qs, chunks, k=3, keep=3).orderBy("rank").collect()]
+    assert got == [(1, 10), (2, 12), (3, 11)]
