@@ -43,14 +43,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; set a scratch one only when none is set
-    (local tests)."""
+    ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets
+    a scratch folder; a cluster session is an error, because executors would
+    each write to their own disk."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="scriptorium-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
