@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import toxicity
+from . import probminhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,8 @@ def query(name: str):
 @query("op5_toxicity")
 def op5_toxicity(spark, d):
     return toxicity.toxicity_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op9_probminhash")
+def op9_probminhash(spark, d):
+    return probminhash.near_duplicates(table(spark, d, "documents"))
