@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import probminhash, toxicity
+from . import curriculum, probminhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +29,13 @@ def op5_toxicity(spark, d):
 @query("op9_probminhash")
 def op9_probminhash(spark, d):
     return probminhash.near_duplicates(table(spark, d, "documents"))
+
+
+@query("op10_curriculum")
+def op10_curriculum(spark, d):
+    plan = curriculum.plan_mix(table(spark, d, "documents"))
+    first = curriculum.when_demanded(F.least(F.try_divide(F.col("start"), F.col("target")), F.lit(1.0)), F.col("source_no"))
+    return plan.select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target",
+        (F.col("size") * F.col("passes")).cast("bigint").alias("taken"), "passes",
+        F.when(F.col("passes") > 0, first).alias("first_position"))
