@@ -71,11 +71,20 @@ def unit_interval(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
 
 
-def hash_words(words) -> np.ndarray:
+def distinct_codes(values: list) -> tuple[np.ndarray, list]:
+    """(index of each value into the distinct values, distinct values in order
+    of appearance)."""
+    distinct = list(dict.fromkeys(values))
+    index = dict(zip(distinct, range(len(distinct))))
+    return np.fromiter(map(index.__getitem__, values), np.int64, len(values)), distinct
+
+
+def hash_words(words: list[str]) -> np.ndarray:
     """64-bit hashes of a list of strings."""
-    if not len(words):
+    if not words:
         return np.zeros(0, dtype=np.uint64)
-    return mix64(pd.util.hash_array(np.asarray(words, dtype=object), categorize=True))
+    codes, distinct = distinct_codes(words)
+    return mix64(pd.util.hash_array(np.asarray(distinct, dtype=object), categorize=False))[codes]
 
 
 # ---------------------------------------------------------------- Arrow batches

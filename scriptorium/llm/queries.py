@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, probminhash, toxicity
+from . import curriculum, probminhash, toxicity, unigram_pieces
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def query(name: str):
     def deco(fn):
         QUERIES[name] = fn
@@ -39,3 +44,8 @@ def op10_curriculum(spark, d):
         F.col("id").alias("doc_id"), "size", "source_size", "target",
         (F.col("size") * F.col("passes")).cast("bigint").alias("taken"), "passes",
         F.when(F.col("passes") > 0, first).alias("first_position"))
+
+
+@query("op8_unigram_pieces")
+def op8_unigram_pieces(spark, d):
+    return unigram_pieces.round_trip(table(spark, d, "documents"), tokenizer_path("piece_bpe_32k.model"))
