@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, probminhash, toxicity, unigram_pieces
+from . import cotraining, curriculum, probminhash, toxicity, unigram_pieces
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,8 @@ def op10_curriculum(spark, d):
 @query("op8_unigram_pieces")
 def op8_unigram_pieces(spark, d):
     return unigram_pieces.round_trip(table(spark, d, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op3_cotraining")
+def op3_cotraining(spark, d):
+    return cotraining.quality_scores(table(spark, d, "documents"), table(spark, d, "labels"))
