@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, curriculum, probminhash, toxicity, unigram_pieces
-from .common import table
+from . import cotraining, curriculum, probminhash, token_blocks, toxicity, unigram_pieces
+from .common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,3 +54,10 @@ def op8_unigram_pieces(spark, d):
 @query("op3_cotraining")
 def op3_cotraining(spark, d):
     return cotraining.quality_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op2_token_blocks")
+def op2_token_blocks(spark, d):
+    path = shared_path(spark, "token-blocks")
+    token_blocks.write_tokens(table(spark, d, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
+    return token_blocks.document_digests(spark, path).withColumnRenamed("id", "doc_id")
