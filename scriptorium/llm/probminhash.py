@@ -18,11 +18,11 @@ shingles of a long text end after one arrival.
 similarity 0.8 or more misses every bucket with probability below 0.002.
 
 *Verification* is exact, on whole texts, and no bucket is ever expanded into
-all pairs: every text of a bucket is compared with the bucket's hub (its
-smallest key). Because 1 - J is a metric, the distances to the hub bound all
-other distances in the bucket: the second pass compares only texts of a bucket
-that are still in different groups and whose distances to the hub differ by no
-more than the threshold allows. No candidate pair with a link is lost.
+all pairs: every text of a bucket is compared with the bucket's hub, the text
+that meets the most others. Where texts compared with one hub are still in
+different groups, a second pass compares those that may be alike by what they
+have beyond the hub and by their sizes (``_unsettled``: bounds that hold for
+every pair). No candidate pair with a link is lost.
 
 Equal texts are one node from the start. Groups are the connected components,
 found by alternating star contraction over staged edge tables.
@@ -49,6 +49,11 @@ THRESHOLD = 0.8
 BANDS, ROWS = 21, 6
 #: Texts compared with one copy of a hub's text.
 SALT_ROWS = 64
+#: A shingle that so many and such a share of a hub's texts have counts as the
+#: hub's. Any value is right; it only decides which of two joins finds a pair.
+MANY_TEXTS, MANY_SHARE = 8, 0.05
+#: ratio of neighbouring size slots
+SLOT = 1.5
 
 
 # ---------------------------------------------------------------- inside tasks
@@ -140,29 +145,50 @@ def _signed(batches, bands, rows):
         yield pa.RecordBatch.from_arrays([b.column("key"), lists], names=["key", "bands"])
 
 
-def _verified(batches):
+LINKS = ("key binary, hub binary, sim double, common long, weight double, core long, "
+         "heavy array<struct<w: double, n: long>>, extra array<long>")
+
+
+def _slack(threshold: float) -> float:
+    """Largest sum of the shares that two alike texts have outside what they share."""
+    return (1 - threshold) * (2 - threshold) + 1e-9
+
+
+def _verified(batches, threshold):
     """Rows ordered by (hub, salt, role): a hub's text (role 0) and then the
-    texts compared with it."""
+    texts compared with it: ``common`` shingles of the text are in the hub,
+    ``extra`` are the others; ``weight`` is the sum of its weights, ``heavy``
+    how many shingles have each weight (falling), and ``core`` how many of its
+    heaviest shingles a text alike to it must share at least."""
     hub, hub_h, hub_w = None, None, None
     for b in slices(batches, "text"):
         hubs, roles, keys = b.column("hub").to_pylist(), b.column("role").to_numpy(zero_copy_only=False), b.column("key")
         doc, h, w = shingles(texts_of(b, "text"))
         at = np.searchsorted(doc, np.arange(b.num_rows + 1))
-        sim = np.full(b.num_rows, np.nan)
+        rows, out = [], []
         for i in range(b.num_rows):
             hi, wi = h[at[i]:at[i + 1]], w[at[i]:at[i + 1]]
             if roles[i] == 0:
                 hub, hub_h, hub_w = hubs[i], hi.copy(), wi.copy()
             elif hubs[i] == hub:
-                sim[i] = similarity(hub_h, hub_w, hi, wi)
-        keep = np.flatnonzero(~np.isnan(sim))
-        yield pa.RecordBatch.from_arrays(
-            [keys.take(pa.array(keep)), b.column("hub").take(pa.array(keep)), pa.array(sim[keep])],
-            names=["key", "hub", "sim"])
+                other = np.setdiff1d(hi, hub_h, assume_unique=True)
+                value, n = np.unique(wi, return_counts=True)
+                top = np.cumsum(np.sort(wi)[::-1])
+                rows.append(i)
+                out.append({"sim": similarity(hub_h, hub_w, hi, wi), "common": len(hi) - len(other), "weight": float(wi.sum()),
+                            "core": int(np.searchsorted(top, (1 - _slack(threshold)) * wi.sum())) + 1,
+                            "heavy": [{"w": a, "n": c} for a, c in zip(value[::-1].tolist(), n[::-1].tolist())],
+                            "extra": other.view(np.int64)})
+        found = pa.array(rows, pa.int64())
+        fields = pa.schema([("sim", pa.float64()), ("common", pa.int64()), ("weight", pa.float64()), ("core", pa.int64()),
+                            ("heavy", pa.list_(pa.struct([("w", pa.float64()), ("n", pa.int64())]))), ("extra", pa.list_(pa.int64()))])
+        values = pa.RecordBatch.from_pylist(out, schema=fields)
+        yield pa.RecordBatch.from_arrays([keys.take(found), b.column("hub").take(found), *values.columns],
+                                         names=["key", "hub", *fields.names])
 
 
 # ---------------------------------------------------------------- stages
-def _verify(pairs: DataFrame, texts: DataFrame, reps: DataFrame, name: str) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """``key, hub, sim`` for distinct ``pairs (key, hub)``. A hub's text goes
     once to every ``SALT_ROWS`` texts that are compared with it, so neither a
     large group nor a long text gathers in one task."""
@@ -177,7 +203,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, reps: DataFrame, name: str) -> D
     rows = (texts.join(wanted.hint("shuffle_hash"), same)
             .select("hub", "salt", "role", wanted["key"], "text")
             .repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role"))
-    return staged(rows.mapInArrow(_verified, "key binary, hub binary, sim double").dropDuplicates(["key", "hub"]), name)
+    links = rows.mapInArrow(lambda it: _verified(it, threshold), LINKS)
+    return staged(links.dropDuplicates(["key", "hub"]), "near-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -204,6 +231,64 @@ def components(edges: DataFrame) -> DataFrame:
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _unsettled(known: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """``key, hub``: pairs of texts compared with one hub that are in different
+    groups and may still be alike.
+
+    Let H be the hub's shingles and those that many of its texts have besides.
+    If x and y share no shingle outside H, they share at most
+    i = min(|x & H|, |y & H|), and the share of a text's weight outside what
+    they share is at least out(i) = 1 - (its i largest weights) / weight. With
+    weights normalised to p and q, every term of J is at most
+    max(p_d, q_d) / sum of max(p, q), and J is at most the sum of min(p, q);
+    together, J >= t needs
+
+        out_x(i) + out_y(i) <= (1 - t) (2 - t).
+
+    So the pairs are those that share a shingle outside H (joined on it) and
+    those that fulfil this (joined on slots of ``core``); at least one of the
+    two, x, is not in the hub's group."""
+    own = roots.withColumnRenamed("node", "key")
+    of_hub = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    star = (known.join(own, "key", "left").join(of_hub, "hub", "left")
+            .withColumn("root", F.coalesce("root", "key")).withColumn("hub_root", F.coalesce("hub_root", "hub")))
+    split = star.filter("root <> hub_root").select("hub").distinct()
+    star = staged(star.join(split, "hub"), "near-apart")
+    beyond = star.select("hub", "key", "root", "hub_root", F.explode("extra").alias("e"))
+    texts = star.groupBy("hub").agg(F.count("*").alias("texts"))
+    many = staged(beyond.groupBy("hub", "e").agg(F.count("*").alias("n")).filter(f"n >= {MANY_TEXTS}").join(texts, "hub")
+                  .filter(F.col("n") >= F.col("texts") * MANY_SHARE).select("hub", "e"), "near-common")
+    more = beyond.join(many, ["hub", "e"]).groupBy("hub", "key").agg(F.count("*").alias("more"))
+    star = staged(star.drop("extra").join(more, ["hub", "key"], "left")
+                  .withColumn("common", F.col("common") + F.coalesce("more", F.lit(0))).drop("more"), "near-apart")
+    beyond = beyond.join(many, ["hub", "e"], "left_anti")
+    apart = "rx <> ry AND x <> y"
+    shared = (beyond.filter("root <> hub_root").select("hub", "e", F.col("key").alias("x"), F.col("root").alias("rx"))
+              .join(beyond.select("hub", "e", F.col("key").alias("y"), F.col("root").alias("ry")), ["hub", "e"]).filter(apart))
+    x = star.filter("root <> hub_root").withColumnRenamed("key", "x").withColumnRenamed("root", "rx")
+    y = star.withColumnRenamed("key", "y").withColumnRenamed("root", "ry")
+    def outside(i, p=""):
+        top = F.aggregate(F.col(f"heavy{p}"), F.struct(i.cast("double").alias("left"), F.lit(0.0).alias("sum")),
+                          lambda a, v: F.struct((a["left"] - F.least(a["left"], v["n"])).alias("left"),
+                                                (a["sum"] + F.least(a["left"], v["n"]) * v["w"]).alias("sum")),
+                          lambda a: a["sum"])
+        return 1 - top / F.col(f"weight{p}")
+
+    def slot(size):
+        return F.floor(F.log(F.greatest(size, F.lit(1))) / float(np.log(SLOT)))
+
+    i = F.least(F.col("common"), F.col("common_y"))
+    plain = (F.col("heavy")[0]["w"] == 1) & (F.col("heavy_y")[0]["w"] == 1)  # J <= i / (|x| + |y| - i)
+    sized = (x.withColumn("slot", F.explode(F.sequence(F.lit(0), slot(F.col("common")))))
+             .select("hub", "slot", "x", "rx", "common", "weight", "heavy")
+             .join(y.select("hub", slot(F.col("core")).alias("slot"), "y", "ry",
+                            *[F.col(c).alias(f"{c}_y") for c in ("common", "weight", "heavy")]), ["hub", "slot"])
+             .filter(apart).filter(F.when(plain, F.col("weight") + F.col("weight_y") <= (1 + 1 / threshold) * i + 1e-6)
+                                   .otherwise(outside(i) + outside(i, "_y") <= _slack(threshold))))
+    pairs = shared.select("x", "y").unionByName(sized.select("x", "y"))
+    return pairs.select(F.greatest("x", "y").alias("key"), F.least("x", "y").alias("hub")).distinct()
+
+
 def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
                  bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``key, rep, rep_rows, copies, root``: every distinct text, its smallest id,
@@ -217,35 +302,23 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reps = staged(per_id.groupBy("key").agg(smallest.alias("s"), F.sum("n").alias("copies"))
                   .select("key", F.col("s.id").alias("rep"), F.col("s.n").alias("rep_rows"), "copies"), "near-reps")
     member = staged(signed.select("key", F.posexplode("bands").alias("band", "bucket")), "near-bands")
-    hubs = (member.groupBy("band", "bucket").agg(F.min("key").alias("hub"), F.count("*").alias("n"))
-            .filter("n > 1").select("band", "bucket", "hub"))
-    shared = staged(member.join(hubs, ["band", "bucket"]), "near-buckets")
+    sizes = member.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    crowded = staged(member.join(sizes, ["band", "bucket"]), "near-crowded")
+    # the hub of a bucket is the text that meets the most others over all its
+    # buckets: among copies of one text, the text itself or what is nearest to it
+    mass = crowded.groupBy("key").agg(F.sum("n").alias("mass"))
+    ranked = crowded.join(mass, "key")
+    hubs = ranked.groupBy("band", "bucket").agg(F.max(F.struct("mass", "key")).alias("h")).select(
+        "band", "bucket", F.col("h.key").alias("hub"))
+    shared = staged(crowded.drop("n").join(hubs, ["band", "bucket"]), "near-buckets")
     pairs = shared.filter("key <> hub").select("key", "hub").distinct()
-    known = _verify(pairs, texts, reps.select("key", "rep"), "near-links")
+    known = _verify(pairs, texts, reps.select("key", "rep"), threshold)
     links = known.filter(F.col("sim") >= threshold - 1e-9).select(F.col("key").alias("u"), F.col("hub").alias("v"))
     roots = staged(components(links), "near-roots")
 
-    # texts of one bucket that are still in different groups
-    rooted = (shared.join(roots.withColumnRenamed("node", "key"), "key", "left")
-              .withColumn("root", F.coalesce("root", "key"))
-              .join(known.select("key", "hub", "sim"), ["key", "hub"], "left")
-              .withColumn("far", 1 - F.coalesce("sim", F.lit(1.0))))
-    split = (rooted.groupBy("band", "bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"))
-             .filter("a <> b").select("band", "bucket"))
-    apart = staged(rooted.join(split, ["band", "bucket"]).select("band", "bucket", "hub", "key", "root", "far"), "near-apart")
-    reach = 1 - threshold
-    step = F.floor(F.col("far") / reach)
-    left = apart.filter(F.col("key") != F.col("hub")).select(
-        "band", "bucket", F.explode(F.array(step - 1, step, step + 1)).alias("step"),
-        F.col("key").alias("x"), F.col("root").alias("rx"), F.col("far").alias("fx"))
-    right = apart.filter(F.col("key") != F.col("hub")).select(
-        "band", "bucket", step.alias("step"), F.col("key").alias("y"), F.col("root").alias("ry"), F.col("far").alias("fy"))
-    more = (left.join(right, ["band", "bucket", "step"])
-            .filter("x > y AND rx <> ry").filter(F.abs(F.col("fx") - F.col("fy")) <= reach + 1e-9)
-            .select(F.col("x").alias("key"), F.col("y").alias("hub")).distinct())
-    more = staged(more, "near-more")
+    more = staged(_unsettled(known, roots, threshold), "near-more")
     if more.head(1):
-        second = _verify(more, texts, reps.select("key", "rep"), "near-links")
+        second = _verify(more, texts, reps.select("key", "rep"), threshold)
         links = links.unionByName(second.filter(F.col("sim") >= threshold - 1e-9)
                                   .select(F.col("key").alias("u"), F.col("hub").alias("v")))
         roots = staged(components(links), "near-roots")
