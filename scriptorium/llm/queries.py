@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, curriculum, probminhash, token_blocks, toxicity, unigram_pieces
+from . import cotraining, curriculum, norm_buckets, probminhash, token_blocks, toxicity, unigram_pieces
 from .common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,20 @@ def op2_token_blocks(spark, d):
     path = shared_path(spark, "token-blocks")
     token_blocks.write_tokens(table(spark, d, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
     return token_blocks.document_digests(spark, path).withColumnRenamed("id", "doc_id")
+
+
+@query("op4_norm_buckets")
+def op4_norm_buckets(spark, d):
+    return norm_buckets.inner_product_topk(table(spark, d, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+SQL["op4_norm_buckets"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda t: t[1] * t[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
