@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, curriculum, norm_buckets, probminhash, token_blocks, toxicity, unigram_pieces
+from . import (cotraining, curriculum, learned_partitions, norm_buckets, probminhash, token_blocks, toxicity,
+               unigram_pieces)
 from .common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +79,8 @@ s AS (
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@query("op1_learned_partitions")
+def op1_learned_partitions(spark, d):
+    return learned_partitions.nearest_neighbours(table(spark, d, "embeddings")).withColumnRenamed("id", "vec_id")
