@@ -37,7 +37,7 @@ SAMPLE = 8192
 GRAPH_K = 10
 CELL = 1024
 HIDDEN = 128
-TARGET_RECALL = 0.97
+TARGET_RECALL = 0.95
 
 
 # ---------------------------------------------------------------- fitting
@@ -161,7 +161,7 @@ def nearest_neighbours(df: DataFrame, k: int = 10, query_every: int = 100, id_co
     """``query_id, rank, id, score`` (Euclidean distance): for every row whose id
     is divisible by ``query_every``, its k nearest found. The router is fitted
     on about ``sample_rows`` vectors; ``parts`` (a power of 2) grows with the
-    square root of the rows, up to one part per 64 sampled vectors."""
+    square root of the rows, up to one part per 128 sampled vectors."""
     spark = df.sparkSession
     raw = clean_vectors(df, id_col, vec_col, allow_zero=False)
     dim = common_dim(raw)
@@ -175,7 +175,7 @@ def nearest_neighbours(df: DataFrame, k: int = 10, query_every: int = 100, id_co
     sample = sample.toPandas()["vec"].to_numpy()
     sample = np.vstack(sample) if len(sample) else np.zeros((0, dim))
     if parts is None:
-        room = max(len(sample) // 64, 1)
+        room = max(len(sample) // 128, 1)
         parts = 1 << int(np.log2(min(max(total ** 0.5 / 8, 1), room)))
     router, visits = fit(sample, parts, k, target_recall)
     shared = spark.sparkContext.broadcast(router)

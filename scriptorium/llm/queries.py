@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (cotraining, curriculum, learned_partitions, norm_buckets, probminhash, token_blocks, toxicity,
-               unigram_pieces)
+from . import (cotraining, curriculum, hilbert_shards, learned_partitions, norm_buckets, probminhash,
+               token_blocks, toxicity, unigram_pieces)
 from .common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,10 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 @query("op1_learned_partitions")
 def op1_learned_partitions(spark, d):
     return learned_partitions.nearest_neighbours(table(spark, d, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query("op6_hilbert_shards")
+def op6_hilbert_shards(spark, d):
+    return hilbert_shards.assign_shards(table(spark, d, "documents")).select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", "law", "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "hilbert")
