@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (cotraining, curriculum, hilbert_shards, learned_partitions, norm_buckets, probminhash,
+from . import (cotraining, curriculum, dom_model, hilbert_shards, learned_partitions, norm_buckets, probminhash,
                token_blocks, toxicity, unigram_pieces)
 from .common import shared_path, table
 
@@ -91,3 +91,8 @@ def op6_hilbert_shards(spark, d):
     return hilbert_shards.assign_shards(table(spark, d, "documents")).select(
         F.col("id").alias("doc_id"), "size", "text_crc32", "law", "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
+@query("op7_dom_model")
+def op7_dom_model(spark, d):
+    return dom_model.extract_pages(table(spark, d, "pages"), table(spark, d, "documents"))
