@@ -71,12 +71,15 @@ def unit_interval(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
 
 
-def distinct_codes(values: list) -> tuple[np.ndarray, list]:
-    """(index of each value into the distinct values, distinct values in order
-    of appearance)."""
-    distinct = list(dict.fromkeys(values))
-    index = dict(zip(distinct, range(len(distinct))))
-    return np.fromiter(map(index.__getitem__, values), np.int64, len(values)), distinct
+def distinct_codes(values: list[str]) -> tuple[np.ndarray, list[str]]:
+    """(index of each string into the distinct strings, distinct strings in
+    order of appearance)."""
+    if "\0" in "".join(values):  # pandas compares strings up to the first NUL
+        distinct = list(dict.fromkeys(values))
+        index = dict(zip(distinct, range(len(distinct))))
+        return np.fromiter(map(index.__getitem__, values), np.int64, len(values)), distinct
+    codes, distinct = pd.factorize(np.array(values, dtype=object))
+    return codes.astype(np.int64), distinct.tolist()
 
 
 def hash_words(words: list[str]) -> np.ndarray:

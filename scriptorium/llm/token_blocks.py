@@ -13,9 +13,8 @@ block index and the document index, so it can be decoded by itself. Files and
 rows are in document order. ``path/index`` has one row per range partition with
 its first position in the whole stream.
 
-*Encoding*: the tokenizer's pattern starts a token at a single space between
-two other characters, so a text's ids are the ids of its words, and a task
-encodes every distinct word of a slice once.
+*Encoding*: a text's ids are the ids of the pieces into which the tokenizer's
+pattern cuts it; a worker encodes every distinct piece once (``Encoder``).
 
 One shuffle moves the texts into id order; encoding, packing and reading back
 are map-only.
@@ -32,6 +31,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,71 +43,138 @@ KEEP = 0.9
 CHUNK = 1 << 18
 END_ID = 2
 #: characters encoded together
-SLICE = 16_000_000
+SLICE = 4_000_000
 #: bytes of text in one range partition
 PARTITION_BYTES = 64 << 20
 WORD_BREAK = re.compile(r"(?<=\S) (?=\S)")
-SPACE = re.compile(r"\s")
+#: white space other than spaces and line breaks
+RARE_SPACE = re.compile(r"[^\S \n]")
+#: pieces of words, and the mark between words
+PIECES = regex.compile(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\0]+|\n|\0")
+#: what makes a word be encoded whole: apostrophes, control characters, special
+#: tokens, and white space other than its first space and single line breaks
+WHOLE = re.compile(r"['\x01-\x09\x0b-\x1f\x7f-\xa0]|<\||\n(?=[\s\0]|\Z)|(?<=\0)[^\S ]|\A[^\S ]|(?<![\0])(?!\A)[^\S\n]| (?=[\s\0]|\Z)")
+SIMPLE = re.compile(r" ?\S+\Z")
+#: distinct pieces a worker remembers before it starts anew
+KNOWN_PIECES = 400_000
 
 
 # ---------------------------------------------------------------- encoding
 class Encoder:
-    """Ids of whole texts by the tokenizers library, word by word."""
+    """Ids of whole texts by the tokenizers library, piece by piece.
+
+    The pattern of byte-level tokenizers cuts a text into runs of letters, of
+    digits and of other characters, each with the space before it; ids never
+    cross these pieces. Texts are split into words at single spaces, distinct
+    words into pieces, and every distinct piece is encoded once. Words that
+    hold an apostrophe (contractions), other white space than single line
+    breaks, or the start of a special token are encoded whole."""
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.newline = self._plain(["\n"])[0]
+        self.pieces: dict[str, int] = {}
+        self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words in order, bounds of the words in them)."""
-        n = len(words)
-        simple = [i for i, w in enumerate(words) if not SPACE.search(w, 1) and "<|" not in w] if len(self.newline) == 1 else []
-        lengths = np.zeros(n, dtype=np.int64)
-        groups = [simple[i:i + 1000] for i in range(0, len(simple), 1000)]
-        # a line break between words is a token of its own
-        rows = [np.array(r, dtype=np.uint32) for r in self._plain(["\n".join([words[i] for i in g]) for g in groups])]
-        flat, where = [], []
-        for g, row in zip(groups, rows):
+    def _learn(self, new: list[str]) -> None:
+        """Encode pieces that are not known yet."""
+        flat, order, lengths = [], [], np.zeros(len(new), dtype=np.int64)
+        joined = [i for i, p in enumerate(new) if SIMPLE.match(p) and "<|" not in p] if len(self.newline) == 1 else []
+        for at in range(0, len(joined), 1000):  # a line break between pieces is a token of its own
+            group = joined[at:at + 1000]
+            row = np.array(self._plain(["\n".join([new[i] for i in group])])[0], dtype=np.uint32)
             breaks = np.flatnonzero(row == self.newline[0])
-            ends = np.append(breaks, len(row))
-            lengths[g] = np.diff(np.append(-1, ends)) - 1
+            lengths[group] = np.diff(np.concatenate([[-1], breaks, [len(row)]])) - 1
             flat.append(np.delete(row, breaks))
-            where.append(np.asarray(g))
-        rest = np.setdiff1d(np.arange(n), np.concatenate(where) if where else np.zeros(0, int), assume_unique=True)
-        for i, r in zip(rest.tolist(), self._plain([words[i] for i in rest.tolist()])):
-            lengths[i] = len(r)
-            flat.append(np.array(r, dtype=np.uint32))
-        where.append(rest)
-        order = np.concatenate(where) if where else np.zeros(0, int)
-        ids = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-        # from the order of encoding to the order of the words
-        at = np.zeros(n, dtype=np.int64)
-        at[order] = np.cumsum(lengths[order]) - lengths[order]
-        return ids[_ranges(at, lengths)], np.append(0, np.cumsum(lengths))
+            order += group
+        rest = sorted(set(range(len(new))) - set(joined))
+        for i, ids in zip(rest, self._plain([new[i] for i in rest])):
+            lengths[i] = len(ids)
+            flat.append(np.array(ids, dtype=np.uint32))
+        order += rest
+        first = len(self.pieces)
+        self.pieces.update(zip([new[i] for i in order], range(first, first + len(order))))
+        self.ids = np.concatenate([self.ids, *flat])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lengths[order])])
+
+    def _rows(self, pieces: list[str]) -> np.ndarray:
+        get = self.pieces.get
+        row = [get(p, -1) for p in pieces]
+        new = list(dict.fromkeys([p for p, r in zip(pieces, row) if r < 0])) if -1 in row else []
+        if new:
+            self._learn(new)
+            row = [get(p) for p in pieces]
+        return np.array(row, dtype=np.int64)
+
+    def _words(self, leads: list[str], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) of ``leads`` and then of ``words`` with a space before each."""
+        if not leads and not words:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        joined = "\0".join(leads) + ("\0" if leads and words else "") + (" " + "\0 ".join(words) if words else "")
+        n = len(leads) + len(words)
+        whole: dict[int, str] = {}
+        if joined.count("\0") != n - 1:  # NULs inside words: rare, so word by word
+            each = leads + [" " + w for w in words]
+            whole = {i: w for i, w in enumerate(each) if "\0" in w}
+            joined = "\0".join(["" if i in whole else w for i, w in enumerate(each)])
+        hits = [m.start() for m in WHOLE.finditer(joined)]
+        if hits:
+            each = joined.split("\0")
+            at = np.cumsum([len(w) + 1 for w in each])
+            for i in np.unique(np.searchsorted(at, hits, side="right")).tolist():
+                whole[i] = each[i]
+                each[i] = ""
+            joined = "\0".join(each)
+        pieces = PIECES.findall(joined)
+        end = np.array([p == "\0" for p in pieces], dtype=bool)
+        of = (np.cumsum(end) - end)[~end]  # the word of each piece
+        odd = sorted(whole)
+        row = self._rows([p for p in pieces if p != "\0"] + [whole[i] for i in odd])
+        of = np.append(of, odd).astype(np.int64)
+        order = np.argsort(of, kind="stable")
+        row, of = row[order], of[order]
+        length = np.diff(self.bounds)[row]
+        cut = np.searchsorted(of, np.arange(n + 1))
+        return self.ids[_ranges(self.bounds[row], length)], np.append(0, np.cumsum(length))[cut]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, bounds of the texts in them)."""
-        parts = [t.split(" ") if t else [] for t in texts]
-        odd = {w for w in set().union(*parts) if not w or w[0].isspace() or w[-1].isspace()} if parts else set()
-        if odd:
-            parts = [p if odd.isdisjoint(p) else WORD_BREAK.split(t) for p, t in zip(parts, texts)]
-        lead, n_lead = distinct_codes([p[0] for p in parts if p])
-        rest, words = distinct_codes([w for p in parts for w in p[1:]])
-        ids, bounds = self._table(n_lead + [" " + w for w in words])
-        codes = np.empty(len(lead) + len(rest), dtype=np.int64)
+        if len(self.pieces) > KNOWN_PIECES:
+            self.pieces, self.ids, self.bounds = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        parts = [_split(t) if t else [] for t in texts]
+        codes, words = distinct_codes([w for p in parts for w in p])
+        # the first word of a text has no space before it
         n = np.array([len(p) for p in parts], dtype=np.int64)
-        first = (np.cumsum(n) - n)[n > 0]
-        is_first = np.zeros(len(codes), dtype=bool)
-        is_first[first] = True
-        codes[is_first], codes[~is_first] = lead, rest + len(n_lead)
+        lead, leads = distinct_codes([p[0] for p in parts if p])
+        codes += len(leads)
+        codes[(np.cumsum(n) - n)[n > 0]] = lead
+        ids, bounds = self._words(leads, words)
         length = np.diff(bounds)[codes]
         return ids[_ranges(bounds[codes], length)], np.append(0, np.cumsum(length))[np.append(0, np.cumsum(n))]
 
 
+def _split(text: str) -> list[str]:
+    """Words between single spaces that stand between other characters."""
+    if (text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or RARE_SPACE.search(text)):
+        return WORD_BREAK.split(text)
+    return text.split(" ")
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(tokenizer_json: str) -> Encoder:
+    """The worker's encoder; its known pieces serve all of the worker's tasks."""
+    if tokenizer_json not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[tokenizer_json] = Encoder(tokenizer_json)
+    return _ENCODERS[tokenizer_json]
+
+
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The concatenated ranges start .. start + length."""
     shift = np.cumsum(length) - length
@@ -195,10 +262,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        encoder = Encoder(shared.value)
+        tokens = encoder(shared.value)
         part, number, position = TaskContext.get().partitionId(), 0, 0
         for b in slices(batches, "text", SLICE):
-            ids, bounds = encoder.encode(texts_of(b, "text"))
+            ids, bounds = tokens.encode(texts_of(b, "text"))
             n_docs = b.num_rows
             length = np.diff(bounds) + 1
             ends = np.cumsum(length)
