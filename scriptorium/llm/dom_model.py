@@ -82,6 +82,8 @@ WORDS = re.compile(r"\w+")
 
 N_ELEMENT = len(TAGS) + 1 + len(HINTS)
 N_BLOCK = 14
+#: labelled variants of a training page, if there are many pages
+VARIANTS = 5
 _LABELS: dict[tuple[str, str], tuple[int, ...]] = {}
 
 
@@ -272,7 +274,7 @@ class Forest:
         return 1 / (1 + np.exp(np.clip(total[:, 0] - total[:, 1], -500, 500))), joint / joint.sum(axis=(1, 2), keepdims=True)
 
 
-def variants(source: str, others: list[str], rng: np.random.Generator) -> list[str]:
+def variants(source: str, others: list[str], rng: np.random.Generator, n: int) -> list[str]:
     """A page whose content blocks carry the mark ``\\x01``, changed: the article
     in another container, other material in and around it."""
     body = re.search(r"(?is)<article[^>]*>(.*?)</article>", source)
@@ -337,7 +339,7 @@ def variants(source: str, others: list[str], rng: np.random.Generator) -> list[s
                     f"<h1>\x01{a[:40]}</h1>", f"<dl><dt>\x01{a[:15]}</dt><dd>\x01{b}</dd></dl>", f"<div>\x01{a}</div>")
 
     out = []
-    for _ in range(5):
+    for _ in range(n):
         opened = pick("<article>", "<main>", f"<div {named(-1)}>", f"<div {named(-1)}>", f"<article><div{plain()}>", f"<section {named(-1)}>",
                       f"<main><article {named(-1)}>", f"<main><div{plain()}>", "<main><section>", f"<div{plain()}><article>", f"<div{plain()}>")
         closed = "".join(f"</{t}>" for t in re.findall(r"<(\w+)", opened)[::-1])
@@ -382,7 +384,8 @@ def train(pages: list[str], texts: list[str], seed: int = 11) -> dict:
     rng = np.random.default_rng(seed)
     if not pages:
         pages = [re.sub(r"(<h1>|<p>)", "\\1\x01", SEED_PAGE)]
-    sources = [v for p in pages for v in (p, *variants(p, texts, rng))]
+    each = max(VARIANTS, -(-VARIANTS * 60 // len(pages)))  # few pages are varied more often
+    sources = [v for p in pages for v in (p, *variants(p, texts, rng, each))]
     parsed = [Page(s) for s in sources]
     y = []
     for p in parsed:
