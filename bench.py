@@ -16,7 +16,8 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = ["chunk_docs", "chunk_ids", "bm25_topk", "tfidf_topk", "dense_topk", "bleu",
-            "meteor_exact", "citation_scores", "section_prompt", "judge_summary"]
+            "meteor_exact", "citation_scores", "section_prompt", "judge_summary", "rouge_l", "topk_padded",
+            "hash_embed", "outline_prompt"]
 
 
 def main():
@@ -28,7 +29,7 @@ def main():
     from scriptorium.plans.catalog import QUERIES
     from scriptorium.session import local_session
 
-    spark = local_session(cpus, shuffle_partitions=int(cpus) * 2, app="scriptorium-bench")
+    spark = local_session(cpus, shuffle_partitions=int(cpus) * 2, app="scriptorium-bench", input_partitions=int(cpus))
     times = {}
     for name in only or HEADLINE:
         fn = QUERIES[name]

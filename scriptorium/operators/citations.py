@@ -56,9 +56,10 @@ def hypothesis(col) -> Column:
 
 
 def cited_ids(col) -> Column:
-    """0-based document ids of the unit's markers, in order, duplicates kept."""
+    """0-based document ids of the unit's markers, in order, duplicates kept; a
+    number beyond 64 bits is NULL, which is outside every list."""
     return F.transform(F.regexp_extract_all(T._c(col), F.lit("\\[([0-9]+)\\]"), 1),
-                       lambda x: x.cast("bigint") - 1)
+                       lambda x: x.try_cast("bigint") - 1)
 
 
 # E11 ------------------------------------------------------------------------
@@ -70,13 +71,15 @@ def cite_pairs(units: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def attach_premises(pairs: DataFrame, refs: DataFrame, keys: list[str],
-                    python_negative_index: bool = False, missing=" ") -> DataFrame:
+                    python_negative_index: bool = False, missing=" ",
+                    only_listed: bool = False) -> DataFrame:
     """Premise of each citation from the unit's document list ``refs``
     (``keys, ref_pos, premise``); an id outside the list gives the premise
     ``missing`` (``' '``; an empty array when premises are word sets). With
     ``python_negative_index`` an id of -1 (marker ``[0]``) takes the last
-    document, as list indexing would."""
-    p = pairs
+    document, as list indexing would. ``only_listed`` drops the citations of
+    texts or sections that have no list at all (sections beyond the lists)."""
+    p = pairs.join(refs.select(*keys).distinct(), keys, "left_semi") if only_listed else pairs
     if python_negative_index:
         n = refs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         p = (p.join(n, keys, "left")

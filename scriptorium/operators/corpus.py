@@ -6,6 +6,8 @@ Every operator takes and returns a DataFrame; nothing is collected.
 
 from __future__ import annotations
 
+import html.entities
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from ..functions import text as T
 from ..functions.constants import CHUNK_SIZE
 from .sequence import running_offset
 
-# --- fixed values: HTML entities decoded by html_to_text; "&amp;" goes last so
-# that "&amp;lt;" becomes the text "&lt;".
+# --- fixed values: the HTML entities of the given pages, for the oracle's SQL;
+# "&amp;" goes last so that "&amp;lt;" becomes the text "&lt;".
 HTML_ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
     ("&apos;", "'"), ("&nbsp;", " "), ("&middot;", "·"),
@@ -58,10 +60,25 @@ def strip_markup(col) -> Column:
 
 
 def unescape_entities(col) -> Column:
-    c = T._c(col)
-    for ent, ch in HTML_ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    """Decode named, decimal and hexadecimal character references (in one pass,
+    so ``&amp;lt;`` becomes the text ``&lt;``); unknown ones stay as they are."""
+    named = F.create_map(*[F.lit(x) for n, ch in html.entities.html5.items() if n.endswith(";") for x in (n[:-1], ch)])
+    parts = F.split(T._c(col), "&")
+
+    def number(digits, base):
+        n = F.try_conv(digits, base) if hasattr(F, "try_conv") else F.conv(digits, base, 10).try_cast("bigint")
+        good = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        return F.when(good, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+    def decode(p):
+        name = F.regexp_extract(p, "^(#?[0-9A-Za-z]{1,32});", 1)
+        ch = (F.when(name.rlike("^#[xX][0-9A-Fa-f]{1,6}$"), number(F.substr(name, F.lit(3)), 16))
+              .when(name.rlike("^#[0-9]{1,7}$"), number(F.substr(name, F.lit(2)), 10))
+              .when(name != "", F.try_element_at(named, name)))
+        return F.when(ch.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(ch, F.substr(p, F.length(name) + 2)))
+
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decode)
+    return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
 
 
 def html_text(col) -> Column:
@@ -121,6 +138,19 @@ def collect_links(references: DataFrame, search_hits: DataFrame,
             .unionByName(search_hits.select(*cols).withColumn("source", F.lit("Google"))))
 
 
+_ANCHOR = "(?is)<a\\s(?:[^>]*\\s)?href\\s*=\\s*[\"']([^\"'>]*)[\"'][^>]*>(.*?)</a>"
+
+
+def extract_links(df: DataFrame, col: str = "html", key: str = "page_id") -> DataFrame:
+    """``(key, title, url)`` for every anchor with a quoted address, whatever
+    its other attributes; the title is the readable text of its content."""
+    c = T._c(col)
+    both = F.arrays_zip(F.regexp_extract_all(c, F.lit(_ANCHOR), 1).alias("url"),
+                        F.regexp_extract_all(c, F.lit(_ANCHOR), 2).alias("title"))
+    return (df.select(key, F.explode(both).alias("_a"))
+            .select(key, html_text(F.col("_a.title")).alias("title"), F.col("_a.url").alias("url")))
+
+
 def explode_references(articles: DataFrame, key: str = "page_id",
                        col: str = "reference") -> DataFrame:
     """``reference`` triples ``[title, url, text]`` to rows."""
@@ -210,8 +240,9 @@ def chunk_docs_numbered(docs: DataFrame, size: int = CHUNK_SIZE, key: str = "pag
     path = staging or scratch_path(spark, f"chunks-{uuid.uuid4().hex}")
     per_doc.write.mode("overwrite").parquet(path)
     staged = spark.read.parquet(path)
-    offsets = running_offset(staged, key, order, "_n", out="_off")
-    return (staged.join(offsets, [key, order])
-            .select(key, doc, "_off", F.posexplode("_chunks").alias("chunk_pos", "content"))
+    offsets = running_offset(staged, key, [order, doc], "_n", out="_off")
+    same = staged[key].eqNullSafe(offsets[key]) & staged[order].eqNullSafe(offsets[order]) & staged[doc].eqNullSafe(offsets[doc])
+    return (staged.join(offsets, same)
+            .select(staged[key], staged[doc], "_off", F.posexplode("_chunks").alias("chunk_pos", "content"))
             .select(key, (F.col("_off") + F.col("chunk_pos")).cast("bigint").alias("chunk_id"),
                     doc, "content"))

@@ -103,13 +103,14 @@ def lookup_chunk_text(ranked: DataFrame, texts: DataFrame, *, on: list[str],
 
 def hash_embed(df: DataFrame, col: str = "content", dim: int = 64,
                out: str = "embedding") -> DataFrame:
-    """Built-in encoder: feature hashing of tokens into ``dim`` buckets,
-    counts L2-normalised. JVM-side and map-only; each step is its own column
-    because lambdas re-evaluate captured expressions per element."""
-    step = df.withColumn("_b", F.transform(T.tokens(col), lambda t: F.pmod(F.hash(t), F.lit(dim))))
-    step = step.withColumn("_cnt", F.aggregate(
-        "_b", F.array_repeat(F.lit(0.0), dim),
-        lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b, x + 1.0).otherwise(x))))
+    """Built-in encoder: feature hashing of tokens into ``dim`` buckets (the
+    last 32 bits of a token's md5), counts L2-normalised. JVM-side and map-only."""
+    bucket = F.transform(T.tokens(F.coalesce(F.col(col), F.lit(""))),
+                         lambda t: F.conv(F.substr(F.md5(t), F.lit(25)), 16, 10).cast("bigint") % dim)
+    step = df.withColumn("_b", bucket)
+    step = step.withColumn("_cnt", F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint")),
+        lambda i: F.size(F.filter("_b", lambda b: b == i)).cast("double")))
     step = step.withColumn("_norm", F.sqrt(F.aggregate("_cnt", F.lit(0.0), lambda a, x: a + x * x)))
     vec = F.transform("_cnt", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm"))
                       .otherwise(F.lit(0.0)).cast("float"))

@@ -27,11 +27,12 @@ def flatten_text(col) -> Column:
 
 def normalize_text_union(json_col, field: str = "text") -> Column:
     """A JSON field holding a string or a list of strings, as
-    ``ARRAY<STRING>``. (A string whose content is itself a JSON array reads
-    as that array.)"""
+    ``ARRAY<STRING>``."""
     raw = F.get_json_object(T._c(json_col), f"$.{field}")
+    # a JSON string does not parse as an array, whatever it begins with
+    items = F.from_json(T._c(json_col), f"struct<{field}:array<string>>")[field]
     return (F.when(raw.isNull(), F.array().cast("array<string>"))
-            .when(F.json_array_length(raw).isNotNull(), F.from_json(raw, "array<string>"))
+            .when(items.isNotNull(), items)
             .otherwise(F.array(raw)))
 
 
@@ -110,18 +111,16 @@ def meteor_exact(pairs: DataFrame, keys: list[str], alpha: float = METEOR_ALPHA,
     occurrence of a word in the candidate pairs with its k-th last in the
     reference.
 
-    Both texts' words go through one exploded stream, shuffled once on
-    ``(pair, word)``: the occurrence rank ``k`` (a window per pair, word and
-    side) and the match (a group-by on ``(pair, word, k)``) reuse that
-    partitioning. Matches of a pair are then ordered by candidate position
+    Both texts' words go through one exploded stream: the occurrence rank
+    ``k`` (a window per pair, word and side) and the match (a group-by on
+    ``(pair, word, k)``) keep the partitioning by pair that the caller gave. Matches of a pair are then ordered by candidate position
     and a chunk continues when both positions advance by one."""
     w = pairs.select(*keys, T.words(F.lower(F.col("cand"))).alias("_h"),
                      T.words(F.lower(F.col("ref"))).alias("_r"))
     side = lambda s: lambda x, i: F.struct(F.lit(s).alias("s"), i.alias("p"), x.alias("w"))
     occ = (w.select(*keys, F.size("_h").alias("hl"), F.size("_r").alias("rl"),
                     F.explode(F.concat(F.transform("_h", side(0)), F.transform("_r", side(1)))).alias("_x"))
-           .select(*keys, "hl", "rl", "_x.s", "_x.p", "_x.w")
-           .repartition(*keys, "w"))
+           .select(*keys, "hl", "rl", "_x.s", "_x.p", "_x.w"))
     from pyspark.sql import Window
     k = F.row_number().over(Window.partitionBy(*keys, "w", "s").orderBy(F.desc("p")))
     m = (occ.withColumn("k", k).groupBy(*keys, "w", "k")

@@ -21,20 +21,22 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 
-def running_offset(df: DataFrame, key: str, order: str, weight: str,
+def running_offset(df: DataFrame, key: str, order: str | list[str], weight: str,
                    out: str = "offset", partitions: int | None = None) -> DataFrame:
     """Rows ``(key, order, out)`` where ``out`` is the sum of ``weight`` over
     the rows of the same ``key`` with a smaller ``order`` (exclusive prefix
-    sum). ``(key, order)`` must be unique."""
+    sum). ``order`` may be several columns; ``(key, order)`` must be unique.
+    NULL is a key like any other."""
+    by = [order] if isinstance(order, str) else list(order)
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    narrow = df.select(key, order, F.col(weight).cast("bigint").alias("_w"))
+    narrow = df.select(key, *by, F.col(weight).cast("bigint").alias("_w"))
     ensure_checkpoint_dir(spark)
     # Checkpointed (narrow rows only) so that both branches below see one
     # block assignment: range bounds come from a sample of the input.
-    ranged = narrow.repartitionByRange(n, key, order).withColumn(
+    ranged = narrow.repartitionByRange(n, key, *by).withColumn(
         "_blk", F.spark_partition_id()).checkpoint(eager=True)
-    in_block = (Window.partitionBy(key, "_blk").orderBy(order)
+    in_block = (Window.partitionBy(key, "_blk").orderBy(*by)
                 .rowsBetween(Window.unboundedPreceding, -1))
     local = ranged.withColumn(
         "_local", F.coalesce(F.sum("_w").over(in_block), F.lit(0)))
@@ -42,6 +44,7 @@ def running_offset(df: DataFrame, key: str, order: str, weight: str,
     across = (Window.partitionBy(key).orderBy("_blk")
               .rowsBetween(Window.unboundedPreceding, -1))
     base = totals.select(
-        key, "_blk", F.coalesce(F.sum("_tot").over(across), F.lit(0)).alias("_base"))
-    return local.join(base, [key, "_blk"]).select(
-        key, order, (F.col("_local") + F.col("_base")).cast("bigint").alias(out))
+        F.col(key).alias("_key"), F.col("_blk").alias("_b"), F.coalesce(F.sum("_tot").over(across), F.lit(0)).alias("_base"))
+    same = local[key].eqNullSafe(F.col("_key")) & (F.col("_blk") == F.col("_b"))
+    return local.join(base, same).select(
+        key, *by, (F.col("_local") + F.col("_base")).cast("bigint").alias(out))

@@ -77,12 +77,14 @@ def ordered_list(df: DataFrame, keys: list[str], pos: str, value: str, out: str)
 
 # D6 -------------------------------------------------------------------------
 def fit_budget(head, body, tail, max_tokens: int = PROMPT_BUDGET) -> Column:
-    """Keep all of ``head`` and ``tail``; cut ``body`` to what is left of the
-    budget (never below zero tokens); words rejoined by one space. Word tokens
-    stand in for a model's BPE tokens."""
-    h, b, t = T.words(head), T.words(body), T.words(tail)
-    room = F.greatest(F.lit(0), F.lit(max_tokens) - F.size(h) - F.size(t))
-    return F.array_join(F.concat(h, F.slice(b, 1, room), t), " ")
+    """``head + body + tail``, with ``body`` cut after the last word that fits
+    the budget (never below zero words); ``head``, ``tail`` and what is kept of
+    ``body`` stay as they are, white space included. Word tokens stand in for a
+    model's BPE tokens."""
+    h, b, t = T._c(head), T._c(body), T._c(tail)
+    room = F.greatest(F.lit(0), F.lit(max_tokens) - F.size(T.words(h)) - F.size(T.words(t)))
+    cut = F.array_join(F.slice(F.regexp_extract_all(b, F.lit(T.SPACED_WORD), 0), 1, room), "")
+    return F.concat(h, F.when(F.size(T.words(b)) <= room, b).otherwise(cut), t)
 
 
 def fill(template: str, **cols) -> Column:
@@ -189,7 +191,7 @@ RESPONSE_SCHEMA = "struct<choices:array<struct<message:struct<content:string>>>>
 def response_content(col) -> Column:
     """First choice's message content, stripped; '' when absent or failed."""
     parsed = F.from_json(T._c(col), RESPONSE_SCHEMA)
-    content = F.element_at(parsed["choices"], 1)["message"]["content"]
+    content = F.try_element_at(parsed["choices"], F.lit(1))["message"]["content"]
     return F.coalesce(T.py_strip(content), F.lit(""))
 
 

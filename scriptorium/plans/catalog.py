@@ -87,19 +87,14 @@ def q_drop_empty_pages(spark, d):
 
 @query("url_keep_last")
 def q_url_keep_last(spark, d):
-    rows = X.url_rows(spark, d).select("host", "url", "pos")
-    return corpus.keep_last(rows, ["host", "url"], "pos")
+    last = corpus.keep_last(X.url_rows(spark, d), ["host", "url"], "pos")
+    return last.select("host", "url", "pos", F.md5("text").alias("text_md5"))
 
 
 @query("link_union")
 def q_link_union(spark, d):
     pages = X.table(spark, d, "pages")
-    anchor = '<a href="([^"]*)">([^<]*)</a>'
-    refs = (pages.select("page_id", F.arrays_zip(
-        F.regexp_extract_all("html", F.lit(anchor), 1).alias("url"),
-        F.regexp_extract_all("html", F.lit(anchor), 2).alias("title")).alias("_a"))
-        .select("page_id", F.explode("_a").alias("_a"))
-        .select("page_id", F.col("_a.title").alias("title"), F.col("_a.url").alias("url")))
+    refs = corpus.extract_links(pages, "html")
     hits = pages.select(
         "page_id",
         corpus.html_text(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"),
@@ -182,7 +177,9 @@ def q_chunk_text_lookup(spark, d):
 @query("hash_embed")
 def q_hash_embed(spark, d):
     docs = X.article_docs(spark, d)
-    return dense.hash_embed(docs, "content", 64).select("page_id", "doc_id", "embedding")
+    e = dense.hash_embed(docs, "content", 64)
+    digits = F.transform("embedding", lambda x: F.round(x.cast("double") * 10_000).cast("bigint").cast("string"))
+    return e.select("page_id", "doc_id", F.array_join(digits, ",").alias("embedding_e4"))
 
 
 # ---------------------------------------------------------------- D
@@ -367,7 +364,8 @@ def _pairs(spark, d):
     from ..session import stage
     gold, cand = X.text_pairs(spark, d)
     pairs, missing = overlap.pair_texts(gold, cand, PK)
-    return stage(pairs, "text-pairs"), missing
+    # dealt by pair once: no metric moves an n-gram or word again
+    return stage(pairs, "text-pairs").repartition(*PK), missing
 
 
 @query("flatten_text")
@@ -378,7 +376,8 @@ def q_flatten_text(spark, d):
 
 @query("missing_candidates")
 def q_missing_candidates(spark, d):
-    return _pairs(spark, d)[1]
+    gold, cand = X.text_pairs(spark, d)
+    return overlap.pair_texts(gold, cand, PK)[1]
 
 
 @query("bleu")
@@ -408,6 +407,15 @@ def _units(spark, d):
     return citations.split_units(X.cited_documents(spark, d), ["doc_id"], "text")
 
 
+@query("metric_summary_all")
+def q_metric_summary_all(spark, d):
+    pairs = _pairs(spark, d)[0]
+    scores = (overlap.bleu(pairs, PK, (1, 4)).join(overlap.meteor_exact(pairs, PK), PK)
+              .join(overlap.rouge_l(pairs, PK), PK)
+              .join(pairs.select(*PK, overlap.candidate_length("cand").alias("length")), PK))
+    return overlap.macro_summary(scores, ["bleu_1", "bleu_4", "meteor", "rouge_l"], by=["src"])
+
+
 @query("citation_units")
 def q_citation_units(spark, d):
     return _units(spark, d)

@@ -23,12 +23,9 @@ SECTION_NAMES = (
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A given table. An input that scans as fewer partitions than the
-    cluster has cores (e.g. a small file of one row group) is spread
-    round-robin first, so per-row CPU work (regexes over text) uses every
-    core; a large input already scans as many partitions and is left as is."""
-    from ..session import spread_small
-    return spread_small(spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet"))
+    """A given table (dealt out as the caller's options say, see ``spread``)."""
+    from ..session import spread
+    return spread(spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet"))
 
 
 def page_of_source(col: str = "source"):
@@ -64,14 +61,14 @@ def sparse_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def url_rows(spark: SparkSession, d: str) -> DataFrame:
-    """pages as link rows: article = host, position = page_id, url without
-    query and fragment."""
+    """Two crawls of every page as link rows: article = host, the full url,
+    the page's text; the second crawl (positions from 10^9 on) found every
+    text in upper case."""
     p = table(spark, d, "pages")
-    return p.select(
-        F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"),
-        F.col("page_id").alias("pos"),
-        F.regexp_replace("url", "[?#].*$", "").alias("url"),
-        "html")
+    host = F.regexp_extract("url", "://([^/?#]+)", 1).alias("host")
+    first = p.select(host, "url", F.col("page_id").alias("pos"), F.col("html").alias("text"))
+    again = p.select(host, "url", (F.col("page_id") + 1_000_000_000).alias("pos"), F.upper("html").alias("text"))
+    return first.unionByName(again)
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:

@@ -217,9 +217,10 @@ SELECT page_id, sec_pos, CAST(length(text) AS BIGINT) AS n_chars FROM ({_SECTION
 WHERE text IS NOT NULL AND {py_strip('text')} <> ''"""
 
 SQL["url_keep_last"] = """
-SELECT host, url, max(pos) AS pos FROM (
-  SELECT regexp_extract(url, '://([^/?#]+)', 1) AS host, page_id AS pos,
-         regexp_replace(url, '[?#].*$', '') AS url FROM pages)
+SELECT host, url, max(pos) AS pos, md5(arg_max(text, pos)) AS text_md5 FROM (
+  SELECT regexp_extract(url, '://([^/?#]+)', 1) AS host, page_id AS pos, url, html AS text FROM pages
+  UNION ALL
+  SELECT regexp_extract(url, '://([^/?#]+)', 1), page_id + 1000000000, url, upper(html) FROM pages)
 GROUP BY host, url"""
 
 _ANCHOR = '<a href="([^"]*)">([^<]*)</a>'
@@ -304,8 +305,9 @@ def numbered_colon(docs):
 
 
 def fit(head, body, tail, budget=K.PROMPT_BUDGET):
-    h, b, t = words(head), words(body), words(tail)
-    return (f"array_to_string({h} || {b}[1:greatest(0, {budget} - len({h}) - len({t}))] || {t}, ' ')")
+    room = f"greatest(0, {budget} - len({words(head)}) - len({words(tail)}))"
+    kept = f"array_to_string(regexp_extract_all({body}, {lit(T.SPACED_WORD)})[1:{room}], '')"
+    return f"({head}) || CASE WHEN len({words(body)}) <= {room} THEN {body} ELSE {kept} END || ({tail})"
 
 
 def page_key(col="page_id"):
@@ -613,3 +615,15 @@ SELECT count(*) AS n, {r6('avg(s[1])')} AS fluency, {r6('avg(s[2])')} AS informa
 SQL["resume_pending"] = """
 SELECT doc_id, source FROM documents d
 WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.toxic <> 1 AND l.doc_id = d.doc_id)"""
+
+SQL["incremental_ingest"] = f"""
+SELECT page_id, url, CAST(length({html_text('html')}) AS BIGINT) AS n_chars FROM pages"""
+
+SQL["hash_embed"] = f"""
+WITH b AS (SELECT page_id, doc_id, list_transform({tokens("coalesce(content, '')")},
+             lambda t: CAST(('0x' || substr(md5(t), 25, 8)) AS BIGINT) % 64) AS b FROM ({ARTICLE_DOCS})),
+c AS (SELECT page_id, doc_id, list_transform(range(64), lambda i: len(list_filter(b, lambda x: x = i))) AS c FROM b),
+n AS (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM c)
+SELECT page_id, doc_id, array_to_string(list_transform(c, lambda x: CAST(round(
+  CASE WHEN n > 0 THEN CAST(CAST(x / n AS FLOAT) AS DOUBLE) * 10000 ELSE 0 END) AS BIGINT)), ',') AS embedding_e4
+FROM n"""

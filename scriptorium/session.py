@@ -24,7 +24,7 @@ RECOMMENDED_CONF = {
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "scriptorium") -> SparkSession:
+                  app: str = "scriptorium", input_partitions: int | None = None) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -37,6 +37,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if input_partitions:
+        spark.conf.set("scriptorium.input.partitions", str(input_partitions))
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -70,20 +72,21 @@ def stage(df, name: str = "stage"):
     """Write ``df`` once as parquet under the shared checkpoint folder and
     return a DataFrame reading it back: an intermediate used by several
     branches of a plan is then computed once, its lineage is cut, and it
-    survives the loss of an executor (unlike a cache)."""
+    survives the loss of an executor (unlike a cache). The folder is removed
+    when the application ends."""
     import uuid
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     df.write.mode("overwrite").parquet(path)
-    return spread_small(spark.read.parquet(path))
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_small(df):
-    """An input that scans as fewer partitions than the cluster has cores (a
-    small file of one row group, or an intermediate AQE coalesced into one
-    file) is spread round-robin, so per-row CPU work uses every core; a
-    large input already scans as many partitions and is left as is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+def spread(df):
+    """Deal ``df`` round-robin into ``scriptorium.input.partitions`` partitions
+    where the caller has set that option (local runs on files of a single row
+    group, which would scan as one task); otherwise ``df`` as it is. The plan
+    never depends on the size of the input."""
+    n = df.sparkSession.conf.get("scriptorium.input.partitions", None)
+    return df.repartition(int(n)) if n else df

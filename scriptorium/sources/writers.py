@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 # A7 / A9 --------------------------------------------------------------------
 def write_dataset(df: DataFrame, path: str, key: str = "page_id", mode: str = "overwrite",
                   partitions: int | None = None) -> None:
-    """Parquet, rows of an article together: range-partitioned on ``key``
-    (tie-broken by a deterministic hash of the row, so one hot article is
-    split over several files instead of one writer task) and sorted within
-    files, so a reader filtering on ``key`` skips row groups by min/max
-    statistics. No directory per article (there are too many)."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartitionByRange(n, F.col(key), F.xxhash64(*[F.col(c) for c in df.columns]))
-     .sortWithinPartitions(key)
-     .write.mode(mode).parquet(path))
+    """Parquet, rows of an article together: rebalanced on ``key`` into files of
+    the session's advisory partition size (a hot article is split over several
+    files, small ones share one) and sorted within files. With ``partitions``
+    the files are that many ranges of ``key`` instead, tied rows by a hash of
+    the columns that can be hashed. No directory per article (there are too
+    many)."""
+    if partitions:
+        plain = [F.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+        dealt = df.repartitionByRange(partitions, F.col(key), F.xxhash64(*plain))
+    else:
+        dealt = df.hint("rebalance", F.col(key))
+    dealt.sortWithinPartitions(key).write.mode(mode).parquet(path)
 
 
 # A8 -------------------------------------------------------------------------

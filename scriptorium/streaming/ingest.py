@@ -17,7 +17,8 @@ def ingest_available(spark: SparkSession, source: str, schema: str, out: str, ch
                      transform: Callable[[DataFrame], DataFrame] = lambda df: df,
                      fmt: str = "parquet", max_files: int | None = None) -> int:
     """Process every input file not yet seen by ``checkpoint`` and append the
-    transformed rows to ``out``. Returns the number of micro-batches run."""
+    transformed rows to ``out``. Returns the number of micro-batches that the
+    checkpoint has seen (0 if there was never an input file)."""
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -26,4 +27,5 @@ def ingest_available(spark: SparkSession, source: str, schema: str, out: str, ch
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return len(q.recentProgress)
+    last = q.lastProgress
+    return last["batchId"] + 1 if last else 0

@@ -86,3 +86,34 @@ def test_explode_sections_stops_at_shorter(spark):
     df = spark.createDataFrame([(1, ["a", "b", "c"], ["x", "y"])], "page_id long, outlines array<string>, contents array<string>")
     got = [(r.sec_pos, r.section, r.content) for r in corpus.explode_sections(df).collect()]
     assert got == [(0, "a", "x"), (1, "b", "y")]
+
+
+def test_character_references(spark):
+    rows = [("&#8211; &eacute; &hellip; &#x27; &mdash; &amp;lt; &nope; AT&T &#xD800; &#99999999; 5 & 6; &lt;b&gt;",), ("",), (None,)]
+    got = [r.t for r in spark.createDataFrame(rows, "t string").select(corpus.unescape_entities("t").alias("t")).collect()]
+    assert got == ["\u2013 \u00e9 \u2026 ' \u2014 &lt; &nope; AT&T &#xD800; &#99999999; 5 & 6; <b>", "", None]
+
+
+def test_links_with_other_attributes_and_markup(spark):
+    html = '<a class="x" href="/a">one <b>two</b></a><a href=\'/b\' id=q>t</a><a name="n">no</a><abbr href="/z">no</abbr>'
+    rows = corpus.extract_links(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()
+    assert [(r.title, r.url) for r in rows] == [("one two", "/a"), ("t", "/b")]
+
+
+def test_chunk_ids_with_null_and_equal_positions(spark):
+    docs = spark.createDataFrame([(None, 0, "a", "x y"), (None, 1, "b", "z"), (1, 0, "c", "p q r"), (1, 0, "d", "s")],
+                                 "page_id long, doc_pos long, doc_id string, content string")
+    rows = corpus.chunk_docs_numbered(docs, size=2).collect()
+    got = sorted((r.page_id or -1, r.chunk_id, r.doc_id) for r in rows)
+    assert got == [(-1, 0, "a"), (-1, 1, "b"), (1, 0, "c"), (1, 1, "c"), (1, 2, "d")]
+
+
+def test_articles_with_a_map_column_can_be_written(spark):
+    import tempfile
+
+    from scriptorium.sources.writers import write_dataset
+    df = spark.createDataFrame([(1, {"a": "b"}), (2, None)], "page_id long, info_kv map<string,string>")
+    out = tempfile.mkdtemp(prefix="map-") + "/ds"
+    write_dataset(df, out)
+    write_dataset(df, out + "2", partitions=2)
+    assert spark.read.parquet(out).count() == spark.read.parquet(out + "2").count() == 2

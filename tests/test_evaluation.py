@@ -13,18 +13,14 @@ KEYS = ["pid"]
 
 # ---------------------------------------------------------------- plain-Python versions
 def py_units(text):
-    pieces = re.split(r"(\[\d+\])", text)
-    units, cur = [], ""
-    for p in pieces:
-        if re.fullmatch(r"\[\d+\]", p) or p in ("", "\n"):
-            cur += p
-        else:
-            if cur:
-                units.append(cur)
-            cur = p
-    if cur:
-        units.append(cur)
-    return units
+    """By positions: a unit begins at every stretch of text between markers
+    that is more than one line break; markers and lone breaks stay with what
+    is before them."""
+    ends = [m.span() for m in re.finditer(r"\[\d+\]", text)]
+    gaps = list(zip([0] + [e for _, e in ends], [s for s, _ in ends] + [len(text)]))
+    begins = [a for a, b in gaps if text[a:b] not in ("", "\n")]
+    cuts = sorted({0, len(text), *begins})
+    return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def py_bleu(ref, cand, weights):
@@ -64,16 +60,36 @@ def py_meteor(ref, cand, alpha=0.9, beta=3, gamma=0.5):
     return (1 - gamma * (chunks / m) ** beta) * fmean
 
 
+def one_lcs(a, b):
+    """Words of the longest common subsequence found from the end: equal last
+    words belong to it; else the last word of ``a`` is dropped where that loses
+    less, otherwise the last word of ``b``."""
+    from functools import cache
+
+    @cache
+    def size(i, j):
+        if not i or not j:
+            return 0
+        return size(i - 1, j - 1) + 1 if a[i - 1] == b[j - 1] else max(size(i - 1, j), size(i, j - 1))
+
+    found, i, j = set(), len(a), len(b)
+    while size(i, j):
+        if a[i - 1] == b[j - 1]:
+            found.add(a[i - 1])
+            i, j = i - 1, j - 1
+        elif size(i - 1, j) > size(i, j - 1):
+            i -= 1
+        else:
+            j -= 1
+    return found
+
+
 def py_rouge_l(ref, cand):
-    from scriptorium.operators.overlap import _lcs_words
     rs = [" ".join(s.split()) for s in ref.split(".") if len(s) > 0]
     cs = [" ".join(s.split()) for s in cand.split(".") if len(s) > 0]
     if not rs or not cs:
         return 0.0
-    u = set()
-    for a in rs:
-        for b in cs:
-            u |= _lcs_words(a.split(" "), b.split(" "))
+    u = set().union(*[one_lcs(a.split(" "), b.split(" ")) for a in rs for b in cs])
     m = len({w for s in rs for w in s.split(" ")})
     n = len({w for s in cs for w in s.split(" ")})
     r, p = len(u) / m, len(u) / n
@@ -199,3 +215,24 @@ def test_judge_parse_and_means(spark):
     p = spark.createDataFrame([("Ada", "text")], "k string, t string")
     prompt = p.select(judge.judge_prompt("k", "t").alias("p")).first().p
     assert prompt == "Keyword:Ada\n    Encyclopedia Text:text\n    Scores:"
+
+
+def test_text_that_begins_with_a_marker(spark):
+    rows = [('{"text": "[1] The city is old.[2]"}',), ('{"text": "[1]"}',), ('{"text": ["a"]}',), ('{"text": "[\\"a\\"]"}',)]
+    df = spark.createDataFrame(rows, "j string")
+    got = [r.t for r in df.select(overlap.flatten_text(overlap.normalize_text_union("j")).alias("t")).collect()]
+    assert got == ["[1] The city is old.[2]", "[1]", "a", '["a"]']
+
+
+def test_long_marker_is_outside_every_list(spark):
+    units = spark.createDataFrame([(1, 0, "Old.[99999999999999999999][1]")], "pid long, unit_pos long, unit string")
+    refs = spark.createDataFrame([(1, 0, "p0")], "pid long, ref_pos long, premise string")
+    got = {r.cite_pos: r.premise for r in citations.attach_premises(citations.cite_pairs(units, KEYS), refs, KEYS).collect()}
+    assert got == {0: " ", 1: "p0"}
+
+
+def test_section_beyond_the_lists_is_dropped(spark):
+    pairs = spark.createDataFrame([(1, 0, 0, 0, "h"), (2, 0, 0, 0, "h")], "pid long, unit_pos long, cite_pos long, idx long, hypothesis string")
+    refs = spark.createDataFrame([(1, 0, "p0")], "pid long, ref_pos long, premise string")
+    assert [r.pid for r in citations.attach_premises(pairs, refs, KEYS, only_listed=True).collect()] == [1]
+    assert citations.attach_premises(pairs, refs, KEYS).count() == 2

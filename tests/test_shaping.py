@@ -13,10 +13,16 @@ def test_section_filters(spark):
 
 
 def test_fit_budget_clamps_at_zero(spark):
-    df = spark.createDataFrame([("h1 h2", "b1 b2 b3 b4", "t1 t2 t3")], "h string, b string, t string")
-    r = df.select(shaping.fit_budget("h", "b", "t", 7).alias("a"), shaping.fit_budget("h", "b", "t", 3).alias("z")).first()
-    assert r.a == "h1 h2 b1 b2 t1 t2 t3"
-    assert r.z == "h1 h2 t1 t2 t3"
+    df = spark.createDataFrame([("h1 h2\n", "b1\nb2  b3 b4", "\nt1 t2 t3")], "h string, b string, t string")
+    r = df.select(*[shaping.fit_budget("h", "b", "t", n).alias(a) for n, a in ((7, "a"), (3, "z"), (9, "all"))]).first()
+    assert r.a == "h1 h2\nb1\nb2\nt1 t2 t3"
+    assert r.z == "h1 h2\n\nt1 t2 t3"
+    assert r["all"] == "h1 h2\nb1\nb2  b3 b4\nt1 t2 t3"  # within the budget nothing changes
+
+
+def test_response_without_choices(spark):
+    df = spark.createDataFrame([('{"choices":[]}',), ("{}",), ("nonsense",), (None,)], "r string")
+    assert [x.c for x in df.select(shaping.response_content("r").alias("c")).collect()] == [""] * 4
 
 
 def test_numbered_and_messages(spark):
