@@ -106,5 +106,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: str,
                 yield b.slice(lo, hi - lo)
 
 
+def text_runs(texts: list[str], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of about ``chars`` characters, for functions that get a
+    whole Arrow batch as a column."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= chars:
+            yield lo, i + 1
+            lo, size = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def texts_of(batch: pa.RecordBatch, text: str) -> list[str]:
     return [t or "" for t in batch.column(text).to_pylist()]

@@ -40,6 +40,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_runs
+
 
 # ---------------------------------------------------------------- fixed values: public HTML vocabulary
 INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp
@@ -460,7 +462,8 @@ def main_text(pages: DataFrame, docs: DataFrame, html_col: str = "html", **colum
 
     @F.pandas_udf("string")
     def run(source: pd.Series) -> pd.Series:
-        return pd.Series(extract([s or "" for s in source], shared.value))
+        sources = [s or "" for s in source]
+        return pd.Series([t for lo, hi in text_runs(sources) for t in extract(sources[lo:hi], shared.value)], dtype=object)
 
     return run(F.col(html_col).cast("string"))
 

@@ -237,17 +237,23 @@ class Pieces:
 
 
 # ---------------------------------------------------------------- the operator
-def encode_texts(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids", scores: str = "zipf") -> DataFrame:
-    """``docs`` with the column ``out``, the piece ids of each text."""
+def encode_texts(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids", scores: str = "zipf",
+                 columns: list[str] | None = None) -> DataFrame:
+    """The ``columns`` of ``docs`` (all, unless named) and ``out``, the piece ids
+    of each text. A column of ``docs`` that is called ``out`` is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(Pieces(path, scores))
+    keep = [c for c in columns or docs.columns if c != out]
+    text = "__text"
+    rows = docs.select(*keep, F.col(text_col).cast("string").alias(text))
+    schema = rows.drop(text).schema.add(out, "array<int>")
 
-    @F.pandas_udf("array<int>")
-    def encode(text: pd.Series) -> pd.Series:
-        ids, bounds = shared.value.encode([t or "" for t in text])
-        ids = ids.astype(np.int32)
-        return pd.Series([ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])])
+    def run(batches):
+        for b in slices(batches, text):
+            ids, bounds = shared.value.encode(texts_of(b, text))
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), lists], names=[*keep, out])
 
-    return docs.withColumn(out, encode(F.col(text_col).cast("string")))
+    return rows.mapInArrow(run, schema)
 
 
 def decode_ids(df: DataFrame, path: str, ids_col: str = "ids", out: str = "text", scores: str = "zipf") -> DataFrame:
@@ -256,9 +262,12 @@ def decode_ids(df: DataFrame, path: str, ids_col: str = "ids", out: str = "text"
 
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
-        lists = [np.asarray(x if x is not None else [], dtype=np.int64) for x in ids]
-        bounds = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int64)
-        return pd.Series(shared.value.decode(np.concatenate(lists) if lists else np.zeros(0, np.int64), bounds))
+        out = []
+        for lo in range(0, len(ids), 256):
+            lists = [np.asarray(x if x is not None else [], dtype=np.int64) for x in ids.iloc[lo:lo + 256]]
+            bounds = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int64)
+            out += shared.value.decode(np.concatenate(lists), bounds)
+        return pd.Series(out, dtype=object)
 
     return df.withColumn(out, decode(F.col(ids_col)))
 
