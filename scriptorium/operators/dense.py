@@ -15,6 +15,7 @@ from __future__ import annotations
 from typing import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,17 +105,21 @@ def lookup_chunk_text(ranked: DataFrame, texts: DataFrame, *, on: list[str],
 def hash_embed(df: DataFrame, col: str = "content", dim: int = 64,
                out: str = "embedding") -> DataFrame:
     """Built-in encoder: feature hashing of tokens into ``dim`` buckets (the
-    last 32 bits of a token's md5), counts L2-normalised. JVM-side and map-only."""
+    last 32 bits of a token's md5), counts L2-normalised. Map-only: tokens are
+    cut and hashed by Spark, an Arrow batch of buckets is counted by numpy."""
     bucket = F.transform(T.tokens(F.coalesce(F.col(col), F.lit(""))),
-                         lambda t: F.conv(F.substr(F.md5(t), F.lit(25)), 16, 10).cast("bigint") % dim)
-    step = df.withColumn("_b", bucket)
-    step = step.withColumn("_cnt", F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint")),
-        lambda i: F.size(F.filter("_b", lambda b: b == i)).cast("double")))
-    step = step.withColumn("_norm", F.sqrt(F.aggregate("_cnt", F.lit(0.0), lambda a, x: a + x * x)))
-    vec = F.transform("_cnt", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm"))
-                      .otherwise(F.lit(0.0)).cast("float"))
-    return step.withColumn(out, vec).drop("_b", "_cnt", "_norm")
+                         lambda t: (F.conv(F.substr(F.md5(t), F.lit(25)), 16, 10).cast("bigint") % dim).cast("int"))
+
+    @F.pandas_udf("array<float>")
+    def count(buckets: pd.Series) -> pd.Series:
+        n = buckets.map(len).to_numpy()
+        row = np.repeat(np.arange(len(buckets)), n)
+        flat = np.concatenate(buckets.tolist()) if n.sum() else np.zeros(0, int)
+        counts = np.bincount(row * dim + flat, minlength=len(buckets) * dim).reshape(-1, dim).astype(np.float64)
+        norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        return pd.Series(list((counts / np.where(norm > 0, norm, 1)).astype(np.float32)))
+
+    return df.withColumn(out, count(bucket))
 
 
 def embed_passages(df: DataFrame, encoder: Callable[[list[str]], np.ndarray], *,

@@ -63,11 +63,11 @@ def sparse_queries(spark: SparkSession, d: str) -> DataFrame:
 def url_rows(spark: SparkSession, d: str) -> DataFrame:
     """Two crawls of every page as link rows: article = host, the full url,
     the page's text; the second crawl (positions from 10^9 on) found every
-    text in upper case."""
+    text with a line before it."""
     p = table(spark, d, "pages")
     host = F.regexp_extract("url", "://([^/?#]+)", 1).alias("host")
     first = p.select(host, "url", F.col("page_id").alias("pos"), F.col("html").alias("text"))
-    again = p.select(host, "url", (F.col("page_id") + 1_000_000_000).alias("pos"), F.upper("html").alias("text"))
+    again = p.select(host, "url", (F.col("page_id") + 1_000_000_000).alias("pos"), F.concat(F.lit("second crawl\n"), "html").alias("text"))
     return first.unionByName(again)
 
 

@@ -220,7 +220,7 @@ SQL["url_keep_last"] = """
 SELECT host, url, max(pos) AS pos, md5(arg_max(text, pos)) AS text_md5 FROM (
   SELECT regexp_extract(url, '://([^/?#]+)', 1) AS host, page_id AS pos, url, html AS text FROM pages
   UNION ALL
-  SELECT regexp_extract(url, '://([^/?#]+)', 1), page_id + 1000000000, url, upper(html) FROM pages)
+  SELECT regexp_extract(url, '://([^/?#]+)', 1), page_id + 1000000000, url, 'second crawl' || chr(10) || html FROM pages)
 GROUP BY host, url"""
 
 _ANCHOR = '<a href="([^"]*)">([^<]*)</a>'
