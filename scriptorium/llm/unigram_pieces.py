@@ -32,6 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import distinct_codes, slices, texts_of
 
@@ -245,7 +246,7 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", out: str =
     keep = [c for c in columns or docs.columns if c != out]
     text = "__text"
     rows = docs.select(*keep, F.col(text_col).cast("string").alias(text))
-    schema = rows.drop(text).schema.add(out, "array<int>")
+    schema = rows.drop(text).schema.add(out, ArrayType(IntegerType()))
 
     def run(batches):
         for b in slices(batches, text):
