@@ -38,7 +38,7 @@ def _query_terms(queries: DataFrame, key: str, qid: str, tok) -> DataFrame:
 def bm25_scores(queries: DataFrame, docs: DataFrame, *, key: str = "page_id",
                 qid: str = "query_id", query: str = "query", doc: str = "doc_id",
                 content: str = "content", k1: float = BM25_K1, b: float = BM25_B,
-                epsilon: float = BM25_EPSILON, stage_postings: bool = True) -> DataFrame:
+                epsilon: float = BM25_EPSILON) -> DataFrame:
     """``(qid, key, doc, score)`` for documents sharing a token with the query.
 
     Okapi BM25 over word-and-punctuation tokens, case kept:
@@ -46,33 +46,29 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, *, key: str = "page_id",
     ``epsilon * mean(idf over the article's terms)``; every query token (with
     repeats) adds ``idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))``.
 
-    The postings have two consumers (the per-term aggregate and the scoring
-    join); with ``stage_postings`` they are written once instead of the
-    documents being tokenized twice.
+    No corpus-size intermediate is written or shuffled: document frequencies
+    are counted with map-side combination (what moves are vocabularies), and
+    only tokens that a query of the same article asks for become postings.
     """
-    text = F.coalesce(F.col(content), F.lit(""))
-    post = _postings(docs, key, doc, T.tokens(text))
-    if stage_postings:
-        post = stage(post, "bm25-postings")
-    # df and total tokens per (key, term) in one aggregate; the article's
-    # token total is their sum; the document count (documents without tokens
-    # included) needs no regex
-    df_ = post.groupBy(key, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_ttf"))
-    n_docs = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n_docs"))
-    stats = (df_.groupBy(key).agg(F.sum("_ttf").alias("_tok")).join(n_docs, key, "right")
-             .select(key, "n_docs", (F.coalesce("_tok", F.lit(0)) / F.col("n_docs")).alias("avgdl")))
+    tok = docs.select(key, doc, T.tokens(F.coalesce(F.col(content), F.lit(""))).alias("_tok"))
+    tok = tok.withColumn("dl", F.size("_tok").cast("bigint"))
+    df_ = tok.select(key, F.explode(F.array_distinct("_tok")).alias("term")).groupBy(key, "term").agg(
+        F.count(F.lit(1)).alias("df"))
+    stats = tok.groupBy(key).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     idf = df_.join(stats, key).select(
         key, "term",
         (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     floor = idf.groupBy(key).agg((F.avg("idf") * epsilon).alias("eps"))
-    idf = idf.join(floor, key).select(
-        key, "term", F.when(F.col("idf") < 0, F.col("eps")).otherwise(F.col("idf")).alias("idf"))
     qt = _query_terms(queries, key, qid, T.tokens(F.coalesce(F.col(query), F.lit(""))))
-    qt = qt.join(idf, [key, "term"])
+    asked = qt.select(key, "term").distinct()
+    idf = idf.join(asked, [key, "term"], "left_semi").join(floor, key).select(
+        key, "term", F.when(F.col("idf") < 0, F.col("eps")).otherwise(F.col("idf")).alias("idf"))
+    post = (tok.select(key, doc, "dl", F.explode("_tok").alias("term")).join(asked, [key, "term"], "left_semi")
+            .groupBy(key, doc, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     tf = F.col("tf")
     norm = F.col("dl") / F.col("avgdl")
     contrib = F.col("qn") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * norm))
-    return (qt.join(post, [key, "term"]).join(stats.select(key, "avgdl"), key)
+    return (qt.join(idf, [key, "term"]).join(post, [key, "term"]).join(stats.select(key, "avgdl"), key)
             .groupBy(qid, key, doc).agg(F.sum(contrib).alias("score")))
 
 
@@ -126,11 +122,14 @@ def topk_padded(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int =
         scores = stage(scores, "scores")
         neg = (scores.filter(F.col("score") < 0).groupBy(qid, key)
                .agg(F.count(F.lit(1)).alias("_n_neg")))
-        neg_docs = (d.join(neg.select(key).distinct(), key, "left_semi")
-                    .withColumn("_p", F.row_number().over(Window.partitionBy(key).orderBy(order, doc))))
-        fill_more = (neg.join(neg_docs, key).filter(F.col("_p") <= k + F.col("_n_neg"))
-                     .select(qid, key, doc, order))
-        fill = fill.unionByName(fill_more)
+        most = neg.agg(F.max("_n_neg")).first()[0]
+        if most:  # a literal limit, so each task keeps only so many rows of an article
+            neg_docs = (d.join(neg.select(key).distinct(), key, "left_semi")
+                        .withColumn("_p", F.row_number().over(Window.partitionBy(key).orderBy(order, doc)))
+                        .filter(F.col("_p") <= k + most))
+            fill_more = (neg.join(neg_docs, key).filter(F.col("_p") <= k + F.col("_n_neg"))
+                         .select(qid, key, doc, order))
+            fill = fill.unionByName(fill_more)
     scored = scores.join(d, [key, doc]).select(qid, key, doc, order, "score", F.lit(1).alias("_s"))
     cand = (fill.select(qid, key, doc, order, F.lit(0.0).alias("score"), F.lit(0).alias("_s"))
             .unionByName(scored)
