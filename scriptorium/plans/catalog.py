@@ -81,7 +81,11 @@ def q_section_extract(spark, d):
 @query("drop_empty_pages")
 def q_drop_empty_pages(spark, d):
     secs = corpus.extract_sections(X.table(spark, d, "pages"), "html")
-    return corpus.drop_empty_texts(secs, "text").select(
+    # of every four pages one was fetched; the others gave blanks, nothing and a block page
+    kind = F.pmod("page_id", F.lit(4))
+    secs = secs.withColumn("text", F.when(kind == 1, F.lit("  ")).when(kind == 2, F.lit(None).cast("string"))
+                           .when(kind == 3, F.concat(F.lit("Access denied. "), "text")).otherwise(F.col("text")))
+    return corpus.drop_empty_texts(secs, "text", ("access denied",)).select(
         "page_id", "sec_pos", F.length("text").cast("bigint").alias("n_chars"))
 
 
@@ -163,7 +167,9 @@ def q_chunk_coverage(spark, d):
 
 @query("retrieval_eligible")
 def q_retrieval_eligible(spark, d):
-    return dense.eligible_articles(X.vectors(spark, d), X.conversation_sections(spark, d))
+    # every vector stands for an article of its own: some have no outline, some outlines no vector
+    vectors = X.vectors(spark, d).withColumn("page_id", F.col("chunk_id"))
+    return dense.eligible_articles(vectors, X.conversation_sections(spark, d))
 
 
 @query("chunk_text_lookup")
@@ -350,7 +356,9 @@ def q_outline_parse(spark, d):
     line = F.when(F.pmod("page_id", F.lit(2)) == 1, F.concat(F.lit("=="), F.col("section"), F.lit("==")))\
         .otherwise(F.concat((F.col("sec_pos") + 1).cast("string"), F.lit(". "), F.col("section")))
     lines = shaping.ordered_list(s.withColumn("line", line), ["page_id"], "sec_pos", "line", "_l")
-    replies = lines.select("page_id", F.array_join("_l", "\n").alias("reply"))
+    # a reply begins and ends with lines that are no section names
+    replies = lines.select("page_id", F.concat(F.lit("Here is the outline:\n\n"), F.array_join("_l", "\n"),
+                                               F.lit("\nI hope it helps.")).alias("reply"))
     return shaping.parse_outline(replies, "reply")
 
 

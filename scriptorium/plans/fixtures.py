@@ -183,11 +183,13 @@ SENTENCE = "[^.\\n]+[.\\n]?"
 
 def cited_documents(spark: SparkSession, d: str) -> DataFrame:
     """Every document as a generated text with citations: sentence ``i``
-    (from 1) is followed by ``[i % 7]`` unless ``i % 4 = 0``; ``[0]`` and
-    ids above 5 point outside the 5-document list."""
+    (from 1) is followed by ``[i % 7]`` unless ``i % 4 = 0``, and every fifth
+    of those by ``[(i + 2) % 7]`` as well; ``[0]`` and ids above 5 point outside the 5-document list."""
     s = F.regexp_extract_all(F.col("text"), F.lit(SENTENCE), 0)
+    second = lambda i: F.when(F.pmod(i + 1, F.lit(5)) == 0, F.concat(
+        F.lit("["), F.pmod(i + 3, F.lit(7)).cast("string"), F.lit("]"))).otherwise(F.lit(""))
     marked = F.transform(s, lambda x, i: F.when(F.pmod(i + 1, F.lit(4)) != 0, F.concat(
-        x, F.lit("["), F.pmod(i + 1, F.lit(7)).cast("string"), F.lit("]"))).otherwise(x))
+        x, F.lit("["), F.pmod(i + 1, F.lit(7)).cast("string"), F.lit("]"), second(i))).otherwise(x))
     return table(spark, d, "documents").select("doc_id", F.array_join(marked, "").alias("text"))
 
 

@@ -213,8 +213,10 @@ FROM p"""
 SQL["section_extract"] = _SECTIONS
 
 SQL["drop_empty_pages"] = f"""
-SELECT page_id, sec_pos, CAST(length(text) AS BIGINT) AS n_chars FROM ({_SECTIONS})
-WHERE text IS NOT NULL AND {py_strip('text')} <> ''"""
+SELECT page_id, sec_pos, CAST(length(text) AS BIGINT) AS n_chars FROM (
+  SELECT page_id, sec_pos, CASE page_id % 4 WHEN 1 THEN '  ' WHEN 2 THEN NULL
+    WHEN 3 THEN 'Access denied. ' || text ELSE text END AS text FROM ({_SECTIONS}))
+WHERE text IS NOT NULL AND {py_strip('text')} <> '' AND NOT contains(lower(text), 'access denied')"""
 
 SQL["url_keep_last"] = """
 SELECT host, url, max(pos) AS pos, md5(arg_max(text, pos)) AS text_md5 FROM (
@@ -260,7 +262,7 @@ SELECT count(*) AS n_articles, CAST(sum(n) AS BIGINT) AS total_distinct, {r6('av
 
 SQL["retrieval_eligible"] = f"""
 SELECT c.page_id, c.n_chunks, s.n_sections FROM
-  (SELECT page_id, count(*) AS n_chunks FROM ({VECTORS}) GROUP BY page_id) c
+  (SELECT chunk_id AS page_id, count(*) AS n_chunks FROM ({VECTORS}) GROUP BY chunk_id) c
   JOIN (SELECT page_id, count(*) AS n_sections FROM ({CONV_SECTIONS}) GROUP BY page_id) s
   ON c.page_id = s.page_id"""
 
@@ -413,9 +415,9 @@ SELECT a.page_id, a.key, concat_ws({NL}, a.key, a.text) AS rewrite_input, r.cont
 FROM a JOIN r ON a.page_id = r.page_id"""
 
 _LINES = f"""
-SELECT page_id, string_split(array_to_string(list(
+SELECT page_id, string_split('Here is the outline:' || {NL} || {NL} || array_to_string(list(
   CASE WHEN page_id % 2 = 1 THEN '==' || section || '==' ELSE CAST(sec_pos + 1 AS VARCHAR) || '. ' || section END
-  ORDER BY sec_pos), {NL}), {NL}) AS lines FROM ({CONV_SECTIONS}) GROUP BY page_id"""
+  ORDER BY sec_pos), {NL}) || {NL} || 'I hope it helps.', {NL}) AS lines FROM ({CONV_SECTIONS}) GROUP BY page_id"""
 
 SQL["outline_parse"] = f"""
 WITH l AS (SELECT page_id, regexp_replace(unnest(lines), '\\r$', '') AS line,
@@ -526,7 +528,8 @@ FROM s GROUP BY src"""
 
 CITED = f"""
 SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, {lit(X.SENTENCE)}),
-  lambda x, i: CASE WHEN i % 4 <> 0 THEN x || '[' || CAST(i % 7 AS VARCHAR) || ']' ELSE x END), '') AS text
+  lambda x, i: CASE WHEN i % 4 <> 0 THEN x || '[' || CAST(i % 7 AS VARCHAR) || ']'
+    || CASE WHEN i % 5 = 0 THEN '[' || CAST((i + 2) % 7 AS VARCHAR) || ']' ELSE '' END ELSE x END), '') AS text
 FROM documents"""
 
 UNITS = f"""
