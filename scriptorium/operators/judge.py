@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.constants import JUDGE_MAX_SCORE, JUDGE_USER_TEMPLATE
+from ..functions.constants import JUDGE_MAX_SCORE, JUDGE_SYSTEM_PROMPT, JUDGE_USER_TEMPLATE
 
 
 # E16 ------------------------------------------------------------------------
@@ -17,6 +17,12 @@ def judge_prompt(keyword, text, template: str = JUDGE_USER_TEMPLATE) -> Column:
     return F.replace(step, F.lit("{WIKITEXT}"), T._c(text))
 
 
+def judge_messages(keyword, text) -> Column:
+    """The judge's request: its instructions and the text to judge."""
+    from .shaping import messages
+    return messages(F.lit(JUDGE_SYSTEM_PROMPT), judge_prompt(keyword, text))
+
+
 # E17 ------------------------------------------------------------------------
 def parse_scores(reply) -> Column:
     """The first three integers of the reply; a value above 5 counts 0; fewer

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.constants import (
     MODEL_WINDOWS, OUTLINE_EXCLUDED_SECTIONS, PROMPT_BUDGET, PROMPT_EXCLUDED_SECTIONS,
-    TOKENS_BASE, TOKENS_PER_MESSAGE, TOKENS_PER_NAME)
+    TOKENS_BASE, TOKENS_PER_MESSAGE, TOKENS_PER_NAME, WRITER_PROMPTS)
 
 
 def _names(values) -> Column:
@@ -138,6 +138,31 @@ def messages(system, user) -> Column:
     return F.when(s.isNull() | (s == ""), F.array(usr_msg)).otherwise(F.array(sys_msg, usr_msg))
 
 
+def rewrite_messages(key, text) -> Column:
+    """The request to rewrite an article: its title and text as one passage."""
+    passage = F.concat(F.lit("Original Passage:\n"), T._c(key), F.lit("\n"), T._c(text))
+    return messages(F.lit(WRITER_PROMPTS["rewrite"]), passage)
+
+
+def outline_messages(key, docs) -> Column:
+    """The request for an outline from retrieved documents."""
+    refs = numbered(T._c(docs), "bracket")
+    return messages(F.lit(WRITER_PROMPTS["outline"]), writer_user_prompt(key, None, refs))
+
+
+def prompt_record(sections: DataFrame, *, key: str = "page_id", title: str = "key", pos: str = "sec_pos",
+                  section: str = "section", docs: str = "docs", system: str = "sys_prompt",
+                  user: str = "usr_prompt") -> DataFrame:
+    """Section rows to one record per article: ``key, outline,
+    retrieved_chunks, sys_prompt, usr_prompt`` as parallel arrays in section
+    order. The group is one article's outline."""
+    fields = (section, docs, system, user)
+    packed = sections.groupBy(key, title).agg(F.sort_array(F.collect_list(F.struct(pos, *fields))).alias("_s"))
+    names = ("outline", "retrieved_chunks", "sys_prompt", "usr_prompt")
+    return packed.select(key, F.col(title).alias("key"), *[
+        F.transform("_s", (lambda field: lambda x: x[field])(f)).alias(n) for f, n in zip(fields, names)])
+
+
 # D12 ------------------------------------------------------------------------
 def message_tokens(msgs) -> Column:
     """3 + per message (3 + tokens of every value, + 1 for a ``name``); word

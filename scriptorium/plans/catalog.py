@@ -293,6 +293,44 @@ def q_writer_messages(spark, d):
                     .alias("system"), last["content"].alias("user"))
 
 
+def _two(df, keys, msgs):
+    m = df.withColumn("_m", msgs)
+    return m.select(*keys, F.size("_m").cast("bigint").alias("n_messages"), F.md5(F.col("_m")[0]["content"]).alias("system_md5"),
+                    F.md5(F.col("_m")[1]["content"]).alias("user_md5"),
+                    (shaping.message_tokens("_m") < dict(K.MODEL_WINDOWS)["gpt-3.5-turbo-0613"]).alias("accepted"))
+
+
+@query("rewrite_requests")
+def q_rewrite_requests(spark, d):
+    s = X.conversation_sections(spark, d)
+    arts = shaping.ordered_list(s, ["page_id", "key"], "sec_pos", "text", "_t").select(
+        "page_id", "key", F.array_join("_t", "\n").alias("text"))
+    return _two(arts, ["page_id"], shaping.rewrite_messages("key", "text"))
+
+
+@query("outline_requests")
+def q_outline_requests(spark, d):
+    c = _contexts(spark, d)
+    return _two(c, ["page_id", "sec_pos"], shaping.outline_messages(X.page_key(), "docs"))
+
+
+@query("judge_requests")
+def q_judge_requests(spark, d):
+    r = X.judge_replies(spark, d)
+    return _two(r, ["doc_id"], judge.judge_messages("keyword", "text"))
+
+
+@query("prompt_records")
+def q_prompt_records(spark, d):
+    s = X.conversation_sections(spark, d)
+    rows = s.select("page_id", "key", "sec_pos", "section", F.array("text").alias("docs"), F.lit("").alias("sys_prompt"),
+                    F.concat_ws("\n", "section", "text").alias("usr_prompt"))
+    r = shaping.prompt_record(rows)
+    return r.select("page_id", "key", F.array_join("outline", "|").alias("outline"),
+                    F.md5(F.array_join(F.flatten("retrieved_chunks"), "|")).alias("chunks_md5"),
+                    F.size("sys_prompt").cast("bigint").alias("n_prompts"), F.md5(F.array_join("usr_prompt", "|")).alias("prompts_md5"))
+
+
 @query("message_tokens")
 def q_message_tokens(spark, d):
     m = _writer_messages(spark, d)

@@ -630,3 +630,31 @@ n AS (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM c)
 SELECT page_id, doc_id, array_to_string(list_transform(c, lambda x: CAST(round(
   CASE WHEN n > 0 THEN CAST(CAST(x / n AS FLOAT) AS DOUBLE) * 10000 ELSE 0 END) AS BIGINT)), ',') AS embedding_e4
 FROM n"""
+
+
+def _two(rows: str, keys: str, system: str, user: str) -> str:
+    limit = dict(K.MODEL_WINDOWS)["gpt-3.5-turbo-0613"]
+    n = (f"{K.TOKENS_BASE} + 2 * {K.TOKENS_PER_MESSAGE} + len({tokens(lit('system'))}) + len({tokens(lit('user'))})"
+         f" + len({tokens('s')}) + len({tokens('u')})")
+    return f"""SELECT {keys}, CAST(2 AS BIGINT) AS n_messages, md5(s) AS system_md5, md5(u) AS user_md5, ({n}) < {limit} AS accepted
+FROM (SELECT {keys}, {lit(system)} AS s, {user} AS u FROM ({rows}))"""
+
+
+SQL["rewrite_requests"] = _two(
+    f"SELECT page_id, key, array_to_string(list(text ORDER BY sec_pos), {NL}) AS text FROM ({CONV_SECTIONS}) GROUP BY page_id, key",
+    "page_id", K.WRITER_PROMPTS["rewrite"], f"'Original Passage:' || {NL} || key || {NL} || text")
+
+SQL["outline_requests"] = _two(
+    CONTEXTS, "page_id, sec_pos", K.WRITER_PROMPTS["outline"],
+    f"""'Keyword: ' || {page_key()} || {NL} || CASE WHEN len(docs) > 0 THEN array_to_string(list_transform(docs,
+      lambda d, i: 'Document [' || i || '] ' || d), {NL}) || {NL} ELSE '' END""")
+
+SQL["judge_requests"] = _two(
+    REPLIES, "doc_id", K.JUDGE_SYSTEM_PROMPT,
+    f"replace(replace({lit(K.JUDGE_USER_TEMPLATE)}, '{{KEYWORD}}', keyword), '{{WIKITEXT}}', text)")
+
+SQL["prompt_records"] = f"""
+SELECT page_id, key, array_to_string(list(section ORDER BY sec_pos), '|') AS outline,
+  md5(array_to_string(list(text ORDER BY sec_pos), '|')) AS chunks_md5, count(*) AS n_prompts,
+  md5(array_to_string(list(section || {NL} || text ORDER BY sec_pos), '|')) AS prompts_md5
+FROM ({CONV_SECTIONS}) GROUP BY page_id, key"""
