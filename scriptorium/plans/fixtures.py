@@ -72,10 +72,10 @@ def url_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """embeddings as chunk vectors: ``label`` is the article, ``vec_id`` the
-    chunk id."""
+    """embeddings as chunk vectors: 200 consecutive ``vec_id`` are the chunks of
+    an article, so articles grow in number and not in size."""
     return table(spark, d, "embeddings").select(
-        F.col("label").cast("bigint").alias("page_id"),
+        F.floor(F.col("vec_id") / 200).alias("page_id"),
         F.col("vec_id").alias("chunk_id"), "embedding")
 
 
@@ -84,7 +84,7 @@ def vector_queries(spark: SparkSession, d: str) -> DataFrame:
     position."""
     names = F.array(*[F.lit(n) for n in SECTION_NAMES])
     return table(spark, d, "embeddings").select(
-        F.col("label").cast("bigint").alias("page_id"),
+        F.floor(F.col("vec_id") / 200).alias("page_id"),
         F.col("vec_id").alias("sec_pos"),
         F.element_at(names, (F.pmod("vec_id", F.lit(len(SECTION_NAMES))) + 1).cast("int")).alias("section"),
         F.col("embedding").alias("query_embedding"))

@@ -86,9 +86,9 @@ FROM conversations c LEFT JOIN (
   SELECT conv_id, {first_words('text')} AS key FROM conversations WHERE turn = 0) k
 ON c.conv_id = k.conv_id"""
 
-VECTORS = "SELECT CAST(label AS BIGINT) AS page_id, vec_id AS chunk_id, embedding FROM embeddings"
+VECTORS = "SELECT vec_id // 200 AS page_id, vec_id AS chunk_id, embedding FROM embeddings"
 
-VECTOR_QUERIES = (f"SELECT CAST(label AS BIGINT) AS page_id, vec_id AS sec_pos, "
+VECTOR_QUERIES = (f"SELECT vec_id // 200 AS page_id, vec_id AS sec_pos, "
                   f"{section_name('vec_id')} AS section, embedding AS query_embedding FROM embeddings")
 
 DENSE_TOP5 = f"""
