@@ -228,6 +228,33 @@ def test_labels_and_pages(spark):
         assert r.text == "\n".join(b for b in blocks if b)
 
 
+def test_toxic_evidence_of_every_word(spark):
+    """More distinct words than any fixed table holds: each keeps its own
+    evidence; texts that are described in blocks agree with plain Python."""
+    rng = np.random.default_rng(6)
+    common = [f"plain{i}" for i in range(3000)]
+    rows = []
+    for i in range(120):  # 1,000 rare words a text, all of four stems
+        own = [f"{'abcd'[i % 4] * 4}{i}x{j}" for j in range(1000)]
+        rows.append(" ".join([*rng.choice(common, 50), *own]))
+    texts = ["", "unheardof", "plain1 plain1 aaaa0x1 bbbb1x2 aaaa_unknown", *rows]
+    ids = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row long, text string").repartition(3)
+    blocks = toxicity.in_blocks(ids)
+    train = blocks.select("block", F.posexplode("rows").alias("idx", "row")).filter("row > 2")
+    model = toxicity.fit(blocks, train.withColumn("grp", F.expr("cast(pmod(row - 3, 3) > 0 as int)")))
+    distinct = {w for t in rows for w in t.split()}
+    assert len(distinct) > 100_000 and model["word"].count() == len(distinct)
+    word = {r["word"]: r["all"] for r in model["word"].collect()}
+    stem = {r["stem"]: r["all"] for r in model["stem"].collect()}
+    got = {r.row: r.x for r in toxicity.described(blocks, model, ["all"]).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts[:8]):
+        w, s = toxicity._hashes(t.split())
+        v = [word.get(a, stem.get(b, 0.0)) for a, b in zip(w.tolist(), s.tolist())]
+        top = sorted(np.maximum(v, 0), reverse=True)[:3]
+        assert got[i] == pytest.approx([np.mean(v), sum(top) / 3, top[0]] if v else [0, 0, 0], abs=1e-9)
+
+
 def test_pipeline(spark):
     d = "/root/testdata/sf0.001"
     docs = table(spark, d, "documents").cache()
