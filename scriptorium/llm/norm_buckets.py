@@ -84,10 +84,15 @@ def search_bucket(ids: np.ndarray, p: np.ndarray, q: np.ndarray, q_ids: np.ndarr
     no query can reach its limit."""
     order = np.lexsort((ids, -np.linalg.norm(p, axis=1)))
     ids, out = ids[order], []
+    repeats = len(np.unique(ids)) < len(ids)
     for j, at, score in candidates(p[order], q, limit):
         own = ids[at]
         other = own != q_ids[j]
         own, score = own[other], score[other]
+        if repeats:  # the better product of each id
+            first = np.lexsort((-score, own))
+            first = first[np.flatnonzero(np.diff(own[first], prepend=own[first[:1]] - 1))]
+            own, score = own[first], score[first]
         exact = not len(score) or np.abs(score.astype(np.float64)).max() < 2.0 ** 53
         s = smallest(-score.astype(np.float64), own, k) if exact else np.lexsort((own, -score))[:k]
         out.append((np.full(len(s), q_ids[j]), own[s], score[s]))
@@ -105,6 +110,7 @@ def inner_product_topk(df: DataFrame, k: int = 5, query_every: int = 50, id_col:
         return spark.createDataFrame([], "query_id long, rank int, id long, score long")
     whole = F.transform("vec", lambda x: F.floor(x * scale).cast("double"))
     ints = raw.filter(F.size("vec") == dim).select(F.col("id").cast("bigint").alias("id"), whole.alias("vec"))
+    ints = ints.distinct()  # equal rows are one candidate and one query
     ints = ints.withColumn("norm", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
@@ -121,7 +127,10 @@ def inner_product_topk(df: DataFrame, k: int = 5, query_every: int = 50, id_col:
     buckets = staged(rows.groupBy("grp").agg(F.max("norm").alias("longest"), F.count("*").alias("n")), "norm-lengths")
     # thresholds from the longest vectors: a bounded number, whatever the input
     seed = rows.orderBy(F.desc("norm"), "id").limit(bucket).select("id", "vec").toPandas()
-    shared = spark.sparkContext.broadcast((seed["id"].to_numpy(np.int64), np.vstack(seed["vec"].to_numpy())))
+    seed = seed.sort_values("id", kind="stable")
+    seed_ids = seed["id"].to_numpy(np.int64)
+    starts = np.flatnonzero(np.diff(seed_ids, prepend=seed_ids[:1] - 1))
+    shared = spark.sparkContext.broadcast((seed_ids, np.vstack(seed["vec"].to_numpy())))
     queries = rows.filter(F.pmod("id", F.lit(query_every)) == 0).select("id", "vec", "norm")
 
     def thresholds(batches):
@@ -130,7 +139,8 @@ def inner_product_topk(df: DataFrame, k: int = 5, query_every: int = 50, id_col:
             q, q_ids = matrix(b.column("vec"), dim), b.column("id").to_numpy(zero_copy_only=False)
             score = products(p, q).astype(np.float64)
             score[ids[:, None] == q_ids[None, :]] = -np.inf
-            limit = np.sort(score, axis=0)[-k] if len(ids) >= k else np.full(len(q), -np.inf)
+            score = np.maximum.reduceat(score, starts, axis=0)  # the better product of each id
+            limit = np.sort(score, axis=0)[-k] if len(score) >= k else np.full(len(q), -np.inf)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(limit)], names=["id", "vec", "norm", "lim"])
 
     queries = queries.mapInArrow(thresholds, "id long, vec array<double>, norm double, lim double")

@@ -208,3 +208,15 @@ def test_products(spark):
     want = plain(df, 50, 5, True, lambda a, b: -sum(math.floor(256 * x) * math.floor(256 * y) for x, y in zip(a, b)))
     assert got == [(q, n, i, -s) for q, n, i, s in want]
     assert norm_buckets.inner_product_topk(df.limit(0)).count() == 0
+
+
+def test_products_of_repeated_rows(spark):
+    """Every row k+1 times, and ids with more than k vectors."""
+    import math
+    rows = [(i, [float(i % 7) + i / 64, float(i % 5) - 2, 1.0]) for i in range(60)] * 6
+    rows += [(i, [9.0 + j / 8, float(i % 3), 2.0]) for i in (61, 62) for j in range(7)]
+    df = spark.createDataFrame([(a, b, 0) for a, b in rows], VEC)
+    want = plain(df, 10, 5, True, lambda a, b: -sum(math.floor(256 * x) * math.floor(256 * y) for x, y in zip(a, b)))
+    for bucket in (8, 16, 1024):
+        got = sorted((r.query_id, r["rank"], r.id, r.score) for r in norm_buckets.inner_product_topk(df, query_every=10, k=5, bucket=bucket).collect())
+        assert got == [(q, n, i, -s) for q, n, i, s in want]
