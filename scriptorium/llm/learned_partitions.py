@@ -167,8 +167,9 @@ def nearest_neighbours(df: DataFrame, k: int = 10, query_every: int = 100, id_co
     dim = common_dim(raw)
     if not dim:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    rows = staged(raw.filter(F.size("vec") == dim).select(F.col("id").cast("bigint").alias("id"), "vec"), "ann-vectors")
-    total = rows.count()
+    rows = staged(raw.filter(F.size("vec") == dim).select(F.col("id").cast("bigint").alias("id"), "vec")
+                  .distinct(), "ann-vectors")  # equal rows are one candidate and one query
+    total, n_ids = rows.agg(F.count("*"), F.countDistinct("id")).first()
     scale = 1_000_000_000
     drawn = F.pmod(F.xxhash64("vec"), F.lit(scale)) < int(scale * min(1.0, sample_rows / total))
     sample = rows.filter(drawn).select("vec").dropDuplicates(["vec"]).orderBy(F.xxhash64("vec")).limit(2 * sample_rows)
@@ -200,8 +201,13 @@ def nearest_neighbours(df: DataFrame, k: int = 10, query_every: int = 100, id_co
 
     def search(ids, base, q, batch):
         q_ids, out = batch.column("id").to_numpy(zero_copy_only=False), []
+        order = np.argsort(ids, kind="stable")
+        ids, base = ids[order], base[order]
+        starts = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
+        ids = ids[starts]
         for j in range(len(q)):
-            d = np.sqrt(((base - q[j]) ** 2).sum(axis=1))
+            # the nearer vector of each id, before the k nearest are taken
+            d = np.minimum.reduceat(np.sqrt(((base - q[j]) ** 2).sum(axis=1)), starts)
             d[ids == q_ids[j]] = np.inf
             at = smallest(d, ids, k)
             at = at[np.isfinite(d[at])]
@@ -220,7 +226,7 @@ def nearest_neighbours(df: DataFrame, k: int = 10, query_every: int = 100, id_co
     queries = rows.filter(F.pmod("id", F.lit(query_every)) == 0).select("id", "vec")
     best = staged(run(queries, visits), "ann-found")
     if visits < parts:
-        enough = best.filter(F.col("rank") == min(k, total - 1)).select(F.col("query_id").alias("id"))
+        enough = best.filter(F.col("rank") == min(k, n_ids - 1)).select(F.col("query_id").alias("id"))
         short = staged(queries.join(enough, "id", "left_anti"), "ann-short")
         if short.head(1):
             again = run(short, parts)

@@ -220,3 +220,16 @@ def test_products_of_repeated_rows(spark):
     for bucket in (8, 16, 1024):
         got = sorted((r.query_id, r["rank"], r.id, r.score) for r in norm_buckets.inner_product_topk(df, query_every=10, k=5, bucket=bucket).collect())
         assert got == [(q, n, i, -s) for q, n, i, s in want]
+
+
+def test_nearest_of_repeated_rows(spark):
+    """Every row ten times, and ids with more than k vectors."""
+    import math
+    rows = [(i, [float(i % 7) + i / 64, float(i % 5) - 2, 1.0]) for i in range(60)] * 10
+    rows += [(i, [3.0 + j / 64, float(i % 3), 1.0]) for i in (61, 62) for j in range(9)]
+    df = spark.createDataFrame([(a, b, 0) for a, b in rows], VEC)
+    want = [(q, n, i, round(s, 9)) for q, n, i, s in plain(df, 10, 5, False, lambda a, b: math.dist(a, b))]
+    for parts, recall in ((4, 1.01), (1, 0.9)):
+        got = sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in learned_partitions.nearest_neighbours(
+            df, query_every=10, k=5, parts=parts, target_recall=recall).collect())
+        assert got == want
