@@ -25,7 +25,8 @@ takes ``sample_pages`` pages; the bound is a parameter.
 
 Defined cases: null or empty html gives an empty text. Markup that is never
 text (scripts, styles, templates, form controls, hidden elements) is dropped by
-the parser. Tags that are not closed end with their parent; stray end tags are
+the parser; an element is hidden by an attribute ``hidden`` or by its own
+style. Tags that are not closed end with their parent; stray end tags are
 ignored. Rows are extracted one by one, so repeated rows agree. Without a
 labelled page the model is trained on ``SEED_PAGE`` and its variants.
 """
@@ -77,7 +78,8 @@ enough. The second one follows.</p><p>Another paragraph says more about it, in a
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>
 |<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*>""", re.S | re.X)
 NAME = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+MAY_HIDE = re.compile(r"hidden|style", re.I)
 PARTS = re.compile(r"[a-z]+|[0-9]+")
 SENTENCE = re.compile(r"[.!?…。！？](?=\s|$)")
 WORDS = re.compile(r"\w+")
@@ -111,6 +113,18 @@ def _element_features(tag: str, attrs: str) -> tuple[int, ...]:
 
 
 # ---------------------------------------------------------------- parsing
+def _hidden(attrs: str) -> bool:
+    """An attribute named hidden, or a style that does not display the element."""
+    if not MAY_HIDE.search(attrs):
+        return False
+    named: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attrs):
+        named.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    style = (x.partition(":") for x in html_lib.unescape(named.get("style", "")).lower().split(";"))
+    rules = {name.strip(): value.replace("!important", "").strip() for name, _, value in style}
+    return "hidden" in named or rules.get("display") == "none" or rules.get("visibility") == "hidden"
+
+
 class Page:
     """Nodes in document order: ``parent`` (position, -1 for the root), and for
     elements the positions of their features, for blocks text and features."""
@@ -126,6 +140,7 @@ class Page:
         run: list[str] = []
         linked = anchor = 0
         bold = False
+        gone = 0  # position of an open hidden element: what is inside it makes no node
 
         def flush():
             nonlocal run, linked, bold
@@ -135,22 +150,38 @@ class Page:
                 text = " ".join((html_lib.unescape(raw) if "&" in raw else raw).split())
                 if text:
                     self.parent.append(node[-1])
-                    self.depth.append(len(node))
+                    self.depth.append(gone or len(node))
                     self.element.append(None)
-                    self.block.append(_block_features(text, linked, bold, stack))
+                    self.block.append(_block_features(text, linked, bold, stack[:gone or None]))
                     self.texts.append(text)
             linked, bold = 0, False
 
         def close(to: int):
+            nonlocal gone
             while len(stack) > to:
                 stack.pop()
                 node.pop()
+            if to <= gone:
+                gone = 0
+
+        def leave(at: int):
+            nonlocal anchor
+            if at < gone:  # the text around a hidden inline element ends
+                flush()
+                anchor = 0
+            close(at)
+
+        def block() -> int:
+            at = len(stack) - 1
+            while stack[at] in INLINE:  # only hidden elements put inline ones on the stack
+                at -= 1
+            return at
 
         at, size = 0, len(source)
         while at < size:
             m = TOKEN.search(source, at)
             piece = source[at:m.start()] if m else source[at:]
-            if piece:
+            if piece and not gone:
                 run.append(piece)
                 if anchor:
                     linked += len(piece)
@@ -158,44 +189,69 @@ class Page:
                 break
             at = m.end()
             if m["cdata"] is not None:
-                run.append(html_lib.escape(m["cdata"]))
+                if not gone:
+                    run.append(html_lib.escape(m["cdata"]))
                 continue
             if not m["tag"]:
                 continue
             tag, attrs = m["tag"].lower(), m["attrs"] or ""
             if m["end"]:
                 if tag in INLINE:
-                    if tag == "a":
+                    if gone:
+                        i = len(stack) - 1
+                        while i > gone and stack[i] in INLINE and stack[i] != tag:
+                            i -= 1
+                        if stack[i] == tag:
+                            close(i)
+                    elif tag == "a":
                         anchor = 0
                 elif tag in stack:
-                    flush()
-                    anchor = 0
-                    close(len(stack) - 1 - stack[::-1].index(tag))
-                elif tag == "p":
+                    i = len(stack) - 1 - stack[::-1].index(tag)
+                    if i <= gone or not gone:
+                        flush()
+                        anchor = 0
+                    close(i)
+                elif tag == "p" and not gone:
                     flush()
                 continue
-            if tag in RAW or (attrs and HIDDEN.search(attrs) and tag not in VOID):
+            if tag in RAW:
                 if not attrs.endswith("/"):
-                    flush()
+                    if not gone:
+                        flush()
                     at = _skip(source, at, tag)
                 continue
+            hidden = bool(attrs) and tag not in VOID and _hidden(attrs)
+            if hidden and attrs.endswith("/"):
+                continue
             if tag in INLINE:
-                if tag == "br":
+                if (hidden or gone) and tag not in VOID:
+                    stack.append(tag)
+                    node.append(node[-1])
+                    gone = gone or len(stack) - 1
+                elif gone:
+                    pass
+                elif tag == "br":
                     run.append(" ")
                 elif tag == "a":
                     anchor = 1
                 elif tag in ("b", "strong"):
                     bold = True
                 continue
-            flush()
-            anchor = 0
+            if not gone:
+                flush()
+                anchor = 0
             if tag in VOID:
                 continue
-            if stack[-1] == "p":
-                close(len(stack) - 1)
+            if stack[block()] == "p":
+                leave(block())
             ends = CLOSES.get(tag)
-            while ends and stack[-1] in ends:
-                close(len(stack) - 1)
+            while ends and stack[block()] in ends:
+                leave(block())
+            if hidden or gone:
+                stack.append(tag)
+                node.append(node[-1])
+                gone = gone or len(stack) - 1
+                continue
             self.parent.append(node[-1])
             self.depth.append(len(node))
             self.element.append(_element_features(tag, attrs))

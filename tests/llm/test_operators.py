@@ -255,6 +255,27 @@ def test_toxic_evidence_of_every_word(spark):
         assert got[i] == pytest.approx([np.mean(v), sum(top) / 3, top[0]] if v else [0, 0, 0], abs=1e-9)
 
 
+@pytest.mark.parametrize("source,texts", [
+    ('<article class="post hidden md:block"><p>one</p></article><p>two', ["one", "two"]),
+    ('<div class="overflow hidden wide" data-style="display:none">one</div>', ["one"]),
+    ('<p>see <a href="/v" title="the hidden valley">this valley</a> here', ["see this valley here"]),
+    ('<p aria-hidden="true">one</p><p title=" hidden ">two</p><p style="color:red; overflow:hidden">three', ["one", "two", "three"]),
+    ('<div hidden>x<div>y</div>z</div><div HIDDEN=""><p>x</div><p class="a"hidden>x</p><p>one', ["one"]),
+    ('<p style="Display : NONE !important">x</p><p style="color:red;visibility:hidden">x</p><p>one', ["one"]),
+    ('<p hidden>x<p>one<p hidden>x<div>two</div>three', ["one", "two", "three"]),
+    ('<ul><li hidden>x <b>y<li>one<li hidden>x</ul>two', ["one", "two"]),
+    ('<table><tr><td hidden>x<td>one<tr hidden><td>x<tr><td>two</table>', ["one", "two"]),
+    ('<section><div hidden>x<p>y</section><p>one', ["one"]),
+    ('<p>one <span hidden>x <span>y</span> z</span>two <i hidden>x</p><p>three', ["one two", "three"]),
+    ('<div>one <span hidden>x<div>y</div><br>z</span>two</div>', ["one two"]),
+    ('<p>one <span hidden>x<p>two', ["one", "two"])])
+def test_only_hidden_elements_are_dropped(source, texts):
+    page = dom_model.Page(source)
+    assert page.texts == texts
+    assert len(page.parent) == len(page.depth) == len(page.element) == len(page.block)
+    assert all(page.depth[i] == page.depth[p] + 1 for i, p in enumerate(page.parent) if p >= 0)
+
+
 def test_pipeline(spark):
     d = "/root/testdata/sf0.001"
     docs = table(spark, d, "documents").cache()
