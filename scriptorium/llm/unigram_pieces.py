@@ -32,9 +32,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType
 
-from .common import distinct_codes, slices, texts_of
+from .common import SLICE_CHARS, distinct_codes, slices, text_runs, texts_of
 
 MARK = "▁"
 #: added to the lowest score for a character written as bytes
@@ -239,20 +239,31 @@ class Pieces:
 
 # ---------------------------------------------------------------- the operator
 def encode_texts(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids", scores: str = "zipf",
-                 columns: list[str] | None = None) -> DataFrame:
+                 columns: list[str] | None = None, decoded: bool = False) -> DataFrame:
     """The ``columns`` of ``docs`` (all, unless named) and ``out``, the piece ids
-    of each text. A column of ``docs`` that is called ``out`` is replaced."""
+    of each text. ``decoded`` also decodes the ids in the same pass and adds
+    ``text_crc32`` (of the decoded text) and ``same`` (the decoded text is the
+    text). Columns of ``docs`` that are called like added ones are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(Pieces(path, scores))
-    keep = [c for c in columns or docs.columns if c != out]
+    added = [out, "text_crc32", "same"] if decoded else [out]
+    keep = [c for c in columns or docs.columns if c not in added]
     text = "__text"
     rows = docs.select(*keep, F.col(text_col).cast("string").alias(text))
     schema = rows.drop(text).schema.add(out, ArrayType(IntegerType()))
+    if decoded:
+        schema = schema.add("text_crc32", LongType()).add("same", BooleanType())
 
     def run(batches):
         for b in slices(batches, text):
-            ids, bounds = shared.value.encode(texts_of(b, text))
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), lists], names=[*keep, out])
+            texts = texts_of(b, text)
+            ids, bounds = shared.value.encode(texts)
+            new = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))]
+            if decoded:
+                back = []
+                for lo, hi in text_runs(texts, SLICE_CHARS // 16):  # decoding holds several numbers for each byte
+                    back += shared.value.decode(ids[bounds[lo]:bounds[hi]], bounds[lo:hi + 1] - bounds[lo])
+                new += [pa.array([zlib.crc32(t.encode()) for t in back], pa.int64()), pa.array([a == t for a, t in zip(back, texts)], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *new], names=[*keep, *added])
 
     return rows.mapInArrow(run, schema)
 

@@ -297,3 +297,10 @@ def test_pipeline(spark):
     back = unigram_pieces.decode_ids(coded, tokenizer_path("piece_bpe_32k.model"))
     assert {r.doc_id: r.text for r in back.collect()} == {r.doc_id: r.text for r in rows}
     assert set(QUERIES) == {k for k in QUERIES if k.startswith("op")} and len(QUERIES) == 10
+
+
+def test_pipeline_decodes_its_pieces(spark):
+    d = "/root/testdata/sf0.001"
+    docs = table(spark, d, "documents")
+    rows = corpus_pipeline.encode(spark, docs, d).join(docs.select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc")), "doc_id").collect()
+    assert len(rows) == docs.count() and all(r.same and r.text_crc32 == r.crc for r in rows)
