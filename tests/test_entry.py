@@ -1,4 +1,6 @@
 
+import sys
+
 import duckdb
 
 import __spark_entry__ as E
@@ -24,6 +26,19 @@ def test_registry_consistent():
     assert plain - set(s) == {"rouge_l", "metric_summary_all"}
 
 
+def test_registry_without_llm(monkeypatch):
+    """The corpus operators are registered whether or not the training-data
+    subpackage and the pipeline are there."""
+    whole, sql = E.queries(), E.oracle_sql()
+    for gone in ([m for m in sys.modules if m.startswith("scriptorium.llm")] + ["scriptorium.llm"]):
+        monkeypatch.setitem(sys.modules, gone, None)
+    monkeypatch.delitem(sys.modules, "corpus_pipeline", raising=False)
+    rest, rest_sql = E.queries(), E.oracle_sql()
+    assert rest == {k: f for k, f in whole.items() if k in rest} and len(rest) >= 58
+    assert rest_sql == {k: s for k, s in sql.items() if k in rest}
+    assert not [k for k in rest if k == "pipeline" or k.startswith("op") and k[2].isdigit()]
+
+
 def _norm(v):
     return round(v, 6) if isinstance(v, float) else v
 
