@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (cotraining, curriculum, dom_model, filter_diagrams, hilbert_shards, learned_partitions, norm_buckets, probminhash,
-               token_blocks, toxicity, unigram_pieces)
+               token_blocks, toxicity, unigram_pieces, whitening, zstd_language)
 from .common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,11 @@ def op7_dom_model(spark, d):
     return dom_model.extract_pages(table(spark, d, "pages"), table(spark, d, "documents"))
 
 
+@query("op11_zstd_language")
+def op11_zstd_language(spark, d):
+    return zstd_language.identify(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query("op12_filter_diagrams")
 def op12_filter_diagrams(spark, d):
     return filter_diagrams.filter_audit(table(spark, d, "documents"), table(spark, d, "labels"))
@@ -138,3 +143,8 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
   CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
   CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
 FROM r"""
+
+
+@query("op13_whitening")
+def op13_whitening(spark, d):
+    return whitening.whiten(table(spark, d, "embeddings")).withColumnRenamed("id", "vec_id")
