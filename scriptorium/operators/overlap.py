@@ -2,14 +2,21 @@
 (exact-match stage), ROUGE-L (summary level), candidate length, and their
 macro means.
 
-Multiset work is done the Spark way: n-grams and words are exploded and
-counted with map-side partial aggregation, then matched by equi-joins on
-``(pair, n-gram)``; no pair of texts is ever crossed with another.
+A pair of texts is one row, and every metric is a function of that row alone:
+they are computed in one map-only pass over Arrow batches. No n-gram, word or
+sentence becomes a row and nothing is shuffled beyond the join that pairs the
+texts. Inside a batch the words of all texts are numbered once and n-grams,
+clipped counts and alignments are integer array operations on the whole batch.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from math import isqrt
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +24,12 @@ from ..functions import text as T
 from ..functions.constants import (
     BLEU_WEIGHTS, FLOAT_MIN, METEOR_ALPHA, METEOR_BETA, METEOR_GAMMA)
 
+#: characters of both texts of the pairs handled at once (a longer pair is alone)
+BATCH_CHARS = 2_000_000
+#: bits of the LCS rows that are kept for the walk back; beyond, rows are computed again block by block
+ROW_BITS = 1 << 28
+MAX_ORDER = 4
+
 
 # E1 -------------------------------------------------------------------------
 def flatten_text(col) -> Column:
@@ -45,194 +58,261 @@ def pair_texts(gold: DataFrame, cand: DataFrame, keys: list[str]) -> tuple[DataF
     return pairs, missing
 
 
-# E3 -------------------------------------------------------------------------
-def _ngram_array(words_col: str, n: int) -> Column:
-    """The n-grams of a word array, words joined by one space (words hold no
-    space, so the join is unambiguous); built from direct element reads,
-    cheaper than slicing a sub-array per n-gram."""
-    if n == 1:
-        return F.col(words_col)
-    grams = F.transform(F.sequence(F.lit(1), F.size(words_col) - n + 1),
-                        lambda i: F.concat_ws(" ", *[F.element_at(words_col, i + j) for j in range(n)]))
-    # sequence(1, 0) would count down: a text shorter than n has no n-gram
-    return F.when(F.size(words_col) >= n, grams).otherwise(F.array().cast("array<string>"))
+# E3, E4 ---------------------------------------------------------------------
+class _Words:
+    """The words of a batch of pairs, one after the other: of every pair the
+    candidate's, then the reference's."""
+
+    def __init__(self, cands: list[str], refs: list[str]):
+        lists = [t.split() for pair in zip(cands, refs) for t in pair]
+        number: dict[str, int] = {}
+        self.pairs = len(cands)
+        self.code = np.array([number.setdefault(w, len(number)) for x in lists for w in x], dtype=np.int64)
+        self.vocabulary = list(number)
+        self.sizes = np.array([len(x) for x in lists], dtype=np.int64)
+        self.text = np.repeat(np.arange(len(lists)), self.sizes)
+
+    def lower(self) -> np.ndarray:
+        number: dict[str, int] = {}
+        again = np.array([number.setdefault(w.lower(), len(number)) for w in self.vocabulary], dtype=np.int64)
+        return again[self.code] if len(again) else self.code
+
+    def length(self, side: int) -> np.ndarray:
+        """Words of every pair's candidate (side 0) or reference (side 1)."""
+        return self.sizes[side::2]
+
+
+def _clipped_hits(w: _Words) -> np.ndarray:
+    """Per order 1 to 4 and pair: the candidate's n-grams that the reference
+    has too, each as often as it occurs in both. An n-gram of order n is
+    numbered from the number of its first n - 1 words and its last word."""
+    size = len(w.vocabulary) + 1
+    at = np.arange(len(w.code))
+    gram, out = w.text // 2, np.zeros((MAX_ORDER, w.pairs), dtype=np.int64)
+    for n in range(MAX_ORDER):
+        whole = at + n < len(w.code)
+        at, gram = at[whole], gram[whole]
+        inside = w.text[at] == w.text[at + n]
+        at, gram = at[inside], gram[inside]
+        if not len(at):
+            break
+        _, gram = np.unique(gram * size + w.code[at + n], return_inverse=True)
+        kinds, side = int(gram.max()) + 1, w.text[at] % 2
+        both = np.minimum(np.bincount(gram[side == 0], minlength=kinds), np.bincount(gram[side == 1], minlength=kinds))
+        owner = np.zeros(kinds, dtype=np.int64)
+        owner[gram] = w.text[at] // 2
+        out[n] = np.bincount(owner, weights=both, minlength=w.pairs)
+    return out
 
 
-def bleu(pairs: DataFrame, keys: list[str], orders: tuple[int, ...] = (1, 4)) -> DataFrame:
-    """``keys, bleu_<n>`` for each requested order: sentence BLEU over
-    whitespace tokens, clipped n-gram precision, brevity penalty, no
-    smoothing (no unigram hit gives 0; an order without a hit uses the
-    smallest double as its precision).
-
-    Both sides' n-grams go through one exploded stream with a side flag and
-    one aggregation on ``(pair, n, n-gram)`` (partial counts map-side); the
-    clipped hits and the two lengths (unigram totals) then fold per pair."""
-    max_n = 4
-    w = pairs.select(*keys, T.words("cand").alias("_c"), T.words("ref").alias("_r"))
-    def tag(n, s):
-        return lambda g: F.struct(F.lit(n).alias("n"), F.lit(s).alias("s"), g.alias("g"))
-
-    grams = F.flatten(F.array(*[
-        F.transform(_ngram_array(side, n), tag(n, s))
-        for n in range(1, max_n + 1) for side, s in (("_c", 0), ("_r", 1))]))
-    counts = (w.select(*keys, F.explode(grams).alias("_x"))
-              .groupBy(*keys, "_x.n", "_x.g")
-              .agg(F.sum(1 - F.col("_x.s")).alias("c"), F.sum("_x.s").alias("rc")))
-    per_n = counts.groupBy(*keys).agg(
-        *[F.sum(F.when(F.col("n") == n, F.least("c", "rc")).otherwise(0)).alias(f"h{n}")
-          for n in range(1, max_n + 1)],
-        F.sum(F.when(F.col("n") == 1, F.col("c")).otherwise(0)).alias("c"),
-        F.sum(F.when(F.col("n") == 1, F.col("rc")).otherwise(0)).alias("r"))
-    out = pairs.select(*keys).join(per_n, keys, "left")
-    hit = {n: F.coalesce(F.col(f"h{n}"), F.lit(0)) for n in range(1, max_n + 1)}
-    den = {n: F.greatest(F.lit(1), F.col("c") - (n - 1)) for n in range(1, max_n + 1)}
-    p = {n: F.when(hit[n] > 0, hit[n] / den[n]).otherwise(F.lit(FLOAT_MIN)) for n in hit}
-    bp = (F.when(F.col("c") > F.col("r"), F.lit(1.0))
-          .when(F.col("c") == 0, F.lit(0.0))
-          .otherwise(F.exp(1 - F.col("r") / F.col("c"))))
-    cols = []
+def _bleu(w: _Words, orders: tuple[int, ...]) -> dict[str, np.ndarray]:
+    hits, c, r = _clipped_hits(w), w.length(0), w.length(1)
+    n = np.arange(MAX_ORDER)[:, None]
+    precision = np.where(hits > 0, hits / np.maximum(1, c - n), FLOAT_MIN)
+    brevity = np.where(c > r, 1.0, np.exp(1 - r / np.maximum(c, 1)))
+    out = {}
     for o in orders:
-        s = None
-        for n, wt in enumerate(BLEU_WEIGHTS[o], start=1):
-            if wt:
-                term = F.lit(wt) * F.log(p[n])
-                s = term if s is None else s + term
-        score = F.when(hit[1] == 0, F.lit(0.0)).otherwise(bp * F.exp(s))
-        cols.append(T.round6(score).alias(f"bleu_{o}"))
-    return out.select(*keys, *cols)
-
-
-# E4 -------------------------------------------------------------------------
-def meteor_exact(pairs: DataFrame, keys: list[str], alpha: float = METEOR_ALPHA,
-                 beta: float = METEOR_BETA, gamma: float = METEOR_GAMMA) -> DataFrame:
-    """``keys, meteor``: METEOR with the exact-match stage only, lower-cased
-    whitespace tokens. The aligner walks the candidate from its end and takes
-    the last free reference occurrence of the same word, so the k-th last
-    occurrence of a word in the candidate pairs with its k-th last in the
-    reference.
-
-    Both texts' words go through one exploded stream: the occurrence rank
-    ``k`` (a window per pair, word and side) and the match (a group-by on
-    ``(pair, word, k)``) keep the partitioning by pair that the caller gave. Matches of a pair are then ordered by candidate position
-    and a chunk continues when both positions advance by one."""
-    w = pairs.select(*keys, T.words(F.lower(F.col("cand"))).alias("_h"),
-                     T.words(F.lower(F.col("ref"))).alias("_r"))
-    side = lambda s: lambda x, i: F.struct(F.lit(s).alias("s"), i.alias("p"), x.alias("w"))
-    occ = (w.select(*keys, F.size("_h").alias("hl"), F.size("_r").alias("rl"),
-                    F.explode(F.concat(F.transform("_h", side(0)), F.transform("_r", side(1)))).alias("_x"))
-           .select(*keys, "hl", "rl", "_x.s", "_x.p", "_x.w"))
-    from pyspark.sql import Window
-    k = F.row_number().over(Window.partitionBy(*keys, "w", "s").orderBy(F.desc("p")))
-    m = (occ.withColumn("k", k).groupBy(*keys, "w", "k")
-         .agg(F.max(F.when(F.col("s") == 0, F.col("p"))).alias("hp"),
-              F.max(F.when(F.col("s") == 1, F.col("p"))).alias("rp"),
-              F.first("hl").alias("hl"), F.first("rl").alias("rl"))
-         .filter(F.col("hp").isNotNull() & F.col("rp").isNotNull()))
-    per = m.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("hp", "rp"))).alias("_m"),
-                               F.first("hl").alias("hl"), F.first("rl").alias("rl"))
-    a = F.col("_m")
-    n = F.size(a)
-    cont = F.when(n >= 2, F.size(F.filter(F.sequence(F.lit(2), n), lambda i: (
-        F.element_at(a, i)["hp"] == F.element_at(a, i - 1)["hp"] + 1) & (
-        F.element_at(a, i)["rp"] == F.element_at(a, i - 1)["rp"] + 1)))).otherwise(F.lit(0))
-    st = per.select(*keys, n.alias("m"), cont.alias("cont"), "hl", "rl")
-    prec = F.col("m") / F.col("hl")
-    rec = F.col("m") / F.col("rl")
-    fmean = prec * rec / (alpha * prec + (1 - alpha) * rec)
-    frag = (F.col("m") - F.col("cont")) / F.col("m")
-    score = (1 - gamma * F.pow(frag, beta)) * fmean
-    scored = st.select(*keys, T.round6(score).alias("meteor"))
-    return (pairs.select(*keys).join(scored, keys, "left")
-            .withColumn("meteor", F.coalesce("meteor", F.lit(0.0))))
+        logs = sum(wt * np.log(p) for wt, p in zip(BLEU_WEIGHTS[o], precision) if wt)
+        out[f"bleu_{o}"] = np.where(hits[0] > 0, brevity * np.exp(logs), 0.0)
+    return out
+
+
+def _from_last(key: np.ndarray) -> np.ndarray:
+    """How many equal keys come after each key."""
+    order = np.argsort(key[::-1], kind="stable")
+    rows = key[::-1][order]
+    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+    out = np.empty(len(rows), dtype=np.int64)
+    out[len(rows) - 1 - order] = place
+    return out
+
+
+def _meteor(w: _Words, alpha: float, beta: float, gamma: float) -> np.ndarray:
+    """The aligner walks the candidate from its end and takes the last free
+    reference occurrence of the same word, so the k-th last occurrence of a word
+    in the candidate pairs with its k-th last in the reference."""
+    code = w.lower()
+    _, key = np.unique((w.text // 2) * (len(w.vocabulary) + 1) + code, return_inverse=True)
+    sides = []
+    for side in (0, 1):
+        at = np.flatnonzero(w.text % 2 == side)
+        sides.append((at, key[at] * (len(code) + 1) + (_from_last(key[at]) if len(at) else 0)))
+    _, c, r = np.intersect1d(sides[0][1], sides[1][1], assume_unique=True, return_indices=True)
+    c, r = sides[0][0][c], sides[1][0][r]
+    order = np.argsort(c)
+    c, r = c[order], r[order]
+    pair = w.text[c] // 2
+    matches = np.bincount(pair, minlength=w.pairs)
+    go_on = (np.diff(c) == 1) & (np.diff(r) == 1) & (np.diff(pair) == 0)
+    chunks = matches - np.bincount(pair[1:][go_on], minlength=w.pairs)
+    some = np.maximum(matches, 1)
+    precision, recall = some / np.maximum(w.length(0), 1), some / np.maximum(w.length(1), 1)
+    mean = precision * recall / (alpha * precision + (1 - alpha) * recall)
+    return np.where(matches > 0, (1 - gamma * (chunks / some) ** beta) * mean, 0.0)
 
 
 # E5 -------------------------------------------------------------------------
-def _sentences(col) -> Column:
-    """Split on '.', keep non-empty pieces, whitespace-normalised."""
-    parts = F.split(T._c(col), "\\.")
-    return F.transform(F.filter(parts, lambda s: F.length(s) > 0),
-                       lambda s: F.array_join(T.words(s), " "))
-
-
-def _lcs_words(ref: list[str], hyp: list[str]) -> set[str]:
-    """Words of one longest common subsequence (reconstructed from the end:
-    on a tie the step goes to the shorter candidate prefix)."""
-    n, m = len(ref), len(hyp)
-    if not n or not m:
-        return set()
-    table = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        ri, row, prev = ref[i - 1], table[i], table[i - 1]
-        for j in range(1, m + 1):
-            if ri == hyp[j - 1]:
-                row[j] = prev[j - 1] + 1
-            else:
-                row[j] = prev[j] if prev[j] >= row[j - 1] else row[j - 1]
-    out, i, j = set(), n, m
-    while i and j:
-        if ref[i - 1] == hyp[j - 1]:
-            out.add(ref[i - 1])
-            i, j = i - 1, j - 1
-        elif table[i - 1][j] > table[i][j - 1]:
-            i -= 1
-        else:
-            j -= 1
+def sentences(text: str) -> list[list[str]]:
+    """Pieces between full stops as lists of words (a blank piece holds one
+    empty word)."""
+    return [s.split() or [""] for s in text.split(".") if s]
+
+
+def word_bits(words: list[str]) -> dict[str, int]:
+    """For every word an integer whose bits are its positions."""
+    out: dict[str, int] = {}
+    for j, w in enumerate(words):
+        out[w] = out.get(w, 0) | 1 << j
     return out
 
 
-def rouge_l(pairs: DataFrame, keys: list[str], block: int = 16) -> DataFrame:
-    """``keys, rouge_l``: summary-level ROUGE-L F1. Sentences split at '.';
-    the LCS words of every (reference sentence, candidate sentence) pair are
-    united per text; ``F = 2PR / (P + R + 1e-8)`` with ``P = |U| / |cand
-    words|`` and ``R = |U| / |ref words|`` (distinct words).
-
-    Reference sentences are cut into blocks of ``block``; each (block,
-    candidate text) row runs the LCS dynamic programme in a pandas UDF and
-    returns its distinct LCS words; the union is a distinct count, so no row
-    holds more than one block of the reference."""
-    s = pairs.select(*keys, _sentences("ref").alias("_rs"), _sentences("cand").alias("_cs"))
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.size("_rs") / F.lit(block)))
-    blocks = s.select(*keys, "_rs", "_cs",
-                      F.explode(F.sequence(F.lit(0), (n_blocks - 1).cast("int"))).alias("_b"))
-    blocks = blocks.select(*keys, F.slice("_rs", F.col("_b") * block + 1, block).alias("_rb"), "_cs")
-
-    @F.pandas_udf("array<string>")
-    def lcs_union(rb: pd.Series, cs: pd.Series) -> pd.Series:
-        out = []
-        for ref_sents, cand_sents in zip(rb, cs):
-            try:
-                cand_words = [c.split(" ") for c in cand_sents]
-                cand_sets = [set(c) for c in cand_words]
-                u: set[str] = set()
-                for rsent in ref_sents:
-                    rw = rsent.split(" ")
-                    rset = set(rw)
-                    for cw, cset in zip(cand_words, cand_sets):
-                        # LCS words lie in both sentences: skip a pair that cannot add a new word
-                        if (rset & cset) - u:
-                            u |= _lcs_words(rw, cw)
-                out.append(sorted(u))
-            except Exception:  # a metric failure scores 0 (NULL here, 0 below)
-                out.append(None)
-        return pd.Series(out)
-
-    # one consumer of the UDF output: the failure flag rides along the explode
-    union = (blocks.select(*keys, lcs_union("_rb", "_cs").alias("_u"))
-             .select(*keys, F.col("_u").isNull().alias("_f"), F.explode_outer("_u").alias("_w"))
-             .groupBy(*keys).agg(F.countDistinct("_w").alias("llcs"), F.max("_f").alias("_failed")))
-
-    def distinct_words(col):
-        return F.size(F.array_distinct(F.flatten(F.transform(col, lambda x: F.split(x, " ")))))
-
-    sizes = s.select(*keys, distinct_words("_rs").alias("m"), distinct_words("_cs").alias("n"),
-                     F.size("_cs").alias("_ncs"))
-    out = sizes.join(union, keys, "left").fillna(0, ["llcs"])
-    r = F.col("llcs") / F.col("m")
-    p = F.col("llcs") / F.col("n")
-    f = F.when((F.col("_ncs") == 0) | (F.col("m") == 0) | (F.col("n") == 0)
-               | F.coalesce(F.col("_failed"), F.lit(False)), F.lit(0.0)) \
-        .otherwise(2.0 * (r * p) / (r + p + 1e-8))
-    return out.select(*keys, T.round6(f).alias("rouge_l"))
+def lcs_words(ref: list[str], bits: dict[str, int], width: int, row_bits: int = ROW_BITS) -> set[str]:
+    """Words of one longest common subsequence of ``ref`` and the words whose
+    ``bits`` are given, ``width`` of them, found from the end: on a tie the step
+    goes to the shorter candidate prefix.
+
+    Bit-parallel: the table's row of a reference word is one integer whose bit j
+    is 0 where the length grows at the candidate's word j, and follows from the
+    row before by one addition. Walking back, the highest bit that matches or is
+    0 says where a row is left. Rows that would take more than ``row_bits`` are
+    kept at every so many words and computed again from there."""
+    full = (1 << width) - 1
+    every = max(1, len(ref) if len(ref) * width <= row_bits else isqrt(len(ref)))
+    kept, row = [], full
+
+    def following(row: int, word: str) -> int:
+        hit = row & bits.get(word, 0)
+        return (row + hit | row - hit) & full if hit else row
+
+    for start in range(0, len(ref), every):
+        kept.append(row)
+        if start + every < len(ref):
+            for w in ref[start:start + every]:
+                row = following(row, w)
+    found, open_ = set(), full
+    for block in range(len(kept) - 1, -1, -1):
+        part, rows, row = ref[block * every:(block + 1) * every], [], kept[block]
+        for w in part:
+            row = following(row, w)
+            rows.append(row)
+        for w, row in zip(reversed(part), reversed(rows)):
+            match = bits.get(w, 0)
+            at = (match | ~row) & open_
+            if not at:  # nothing in common before here
+                return found
+            top = at.bit_length()
+            if match >> top - 1 & 1:
+                found.add(w)
+                open_ = (1 << top - 1) - 1
+            else:
+                open_ = (1 << top) - 1
+    return found
+
+
+def union_lcs(refs: list[list[str]], cands: list[list[str]]) -> set[str]:
+    """Words of the longest common subsequences of all pairs of sentences.
+
+    A subsequence holds only words of both its sentences. So a reference
+    sentence is compared with a candidate sentence only for a common word that
+    is not found yet, the nearest sentences first."""
+    where: dict[str, list[int]] = {}
+    wanted = {w for r in refs for w in r}
+    for j, c in enumerate(cands):
+        for w in wanted.intersection(c):
+            where.setdefault(w, []).append(j)
+    bits: dict[int, dict[str, int]] = {}
+    found: set[str] = set()
+    for i, r in enumerate(refs):
+        tried: set[int] = set()
+        for w in set(r):
+            if w in found or w not in where:
+                continue
+            for j in sorted(where[w], key=lambda j: abs(j - i)):
+                if j in tried:
+                    continue
+                tried.add(j)
+                if j not in bits:
+                    bits[j] = word_bits(cands[j])
+                found |= lcs_words(r, bits[j], len(cands[j]))
+                if w in found:
+                    break
+    return found
+
+
+def _rouge_l(cand: str, ref: str) -> float:
+    refs, cands = sentences(ref), sentences(cand)
+    if not refs or not cands:
+        return 0.0
+    n = len(union_lcs(refs, cands))
+    recall, precision = (n / len({w for x in side for w in x}) for side in (refs, cands))
+    return 2.0 * (recall * precision) / (recall + precision + 1e-8)
+
+
+# E3 to E6 -------------------------------------------------------------------
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about ``BATCH_CHARS``."""
+    size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+               for c in ("ref", "cand"))
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // BATCH_CHARS)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
+def overlap_scores(pairs: DataFrame, keys: list[str], metrics: tuple[str, ...] = ("bleu", "meteor", "rouge_l"), *,
+                   orders: tuple[int, ...] = (1, 4), alpha: float = METEOR_ALPHA, beta: float = METEOR_BETA,
+                   gamma: float = METEOR_GAMMA) -> DataFrame:
+    """``keys`` and the asked metrics (``bleu_<n>`` for each of ``orders``,
+    ``meteor``, ``rouge_l``) of every row of ``pairs (keys, ref, cand)``, all in
+    one map-only pass. A null text is an empty one; a pair without a common word
+    scores 0, so an empty text does, too. Rows are scored one by one: repeated
+    keys stay separate rows.
+
+    * BLEU: sentence BLEU over whitespace words, clipped n-gram precision,
+      brevity penalty, no smoothing (an order without a hit uses the smallest
+      double as its precision).
+    * METEOR: exact-match stage over lower-cased words.
+    * ROUGE-L: summary level, sentences split at '.'; the words of the longest
+      common subsequences of all sentence pairs are united, ``F = 2PR / (P + R +
+      1e-8)`` with ``P = |U| / |candidate's words|``, ``R = |U| / |reference's
+      words|`` (distinct words)."""
+    kept = pairs.select(*keys)
+    names = [n for m in metrics for n in ([f"bleu_{o}" for o in orders] if m == "bleu" else [m])]
+    schema = kept.schema
+    for n in names:
+        schema = schema.add(n, "double")
+
+    def run(batches):
+        for b in batches:
+            for part in _runs(b):
+                ref, cand = ([t or "" for t in part.column(c).to_pylist()] for c in ("ref", "cand"))
+                words = _Words(cand, ref) if {"bleu", "meteor"} & set(metrics) else None
+                found = _bleu(words, orders) if "bleu" in metrics else {}
+                if "meteor" in metrics:
+                    found["meteor"] = _meteor(words, alpha, beta, gamma)
+                if "rouge_l" in metrics:
+                    found["rouge_l"] = np.array([_rouge_l(c, r) for c, r in zip(cand, ref)])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *(pa.array(found[n]) for n in names)],
+                                                 names=[*keys, *names])
+
+    scored = pairs.select(*keys, F.col("ref").cast("string").alias("ref"), F.col("cand").cast("string").alias("cand")).mapInArrow(run, schema)
+    return scored.select(*keys, *[T.round6(n).alias(n) for n in names])
+
+
+def bleu(pairs: DataFrame, keys: list[str], orders: tuple[int, ...] = (1, 4)) -> DataFrame:
+    """``keys, bleu_<n>`` for each requested order."""
+    return overlap_scores(pairs, keys, ("bleu",), orders=orders)
+
+
+def meteor_exact(pairs: DataFrame, keys: list[str], **weights) -> DataFrame:
+    """``keys, meteor``."""
+    return overlap_scores(pairs, keys, ("meteor",), **weights)
+
+
+def rouge_l(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, rouge_l``."""
+    return overlap_scores(pairs, keys, ("rouge_l",))
 
 
 # E7 / E8 --------------------------------------------------------------------

@@ -405,13 +405,7 @@ PK = X.PAIR_KEYS
 
 
 def _pairs(spark, d):
-    """(matched pairs staged once: every metric reads them, several times, and
-    the pairing join shuffles both texts; gold keys without a candidate)."""
-    from ..session import stage
-    gold, cand = X.text_pairs(spark, d)
-    pairs, missing = overlap.pair_texts(gold, cand, PK)
-    # dealt by pair once: no metric moves an n-gram or word again
-    return stage(pairs, "text-pairs").repartition(*PK), missing
+    return overlap.pair_texts(*X.text_pairs(spark, d), PK)[0]
 
 
 @query("flatten_text")
@@ -428,25 +422,27 @@ def q_missing_candidates(spark, d):
 
 @query("bleu")
 def q_bleu(spark, d):
-    return overlap.bleu(_pairs(spark, d)[0], PK, (1, 4))
+    return overlap.bleu(_pairs(spark, d), PK, (1, 4))
 
 
 @query("meteor_exact")
 def q_meteor_exact(spark, d):
-    return overlap.meteor_exact(_pairs(spark, d)[0], PK)
+    return overlap.meteor_exact(_pairs(spark, d), PK)
 
 
 @query("rouge_l")
 def q_rouge_l(spark, d):
-    return overlap.rouge_l(_pairs(spark, d)[0], PK)
+    return overlap.rouge_l(_pairs(spark, d), PK)
+
+
+def _summary(spark, d, metrics, names):
+    pairs = _pairs(spark, d).withColumn("length", overlap.candidate_length("cand"))
+    return overlap.macro_summary(overlap.overlap_scores(pairs, [*PK, "length"], metrics), names, by=["src"])
 
 
 @query("metric_summary")
 def q_metric_summary(spark, d):
-    pairs = _pairs(spark, d)[0]
-    scores = (overlap.bleu(pairs, PK, (1, 4)).join(overlap.meteor_exact(pairs, PK), PK)
-              .join(pairs.select(*PK, overlap.candidate_length("cand").alias("length")), PK))
-    return overlap.macro_summary(scores, ["bleu_1", "bleu_4", "meteor"], by=["src"])
+    return _summary(spark, d, ("bleu", "meteor"), ["bleu_1", "bleu_4", "meteor"])
 
 
 def _units(spark, d):
@@ -455,11 +451,7 @@ def _units(spark, d):
 
 @query("metric_summary_all")
 def q_metric_summary_all(spark, d):
-    pairs = _pairs(spark, d)[0]
-    scores = (overlap.bleu(pairs, PK, (1, 4)).join(overlap.meteor_exact(pairs, PK), PK)
-              .join(overlap.rouge_l(pairs, PK), PK)
-              .join(pairs.select(*PK, overlap.candidate_length("cand").alias("length")), PK))
-    return overlap.macro_summary(scores, ["bleu_1", "bleu_4", "meteor", "rouge_l"], by=["src"])
+    return _summary(spark, d, ("bleu", "meteor", "rouge_l"), ["bleu_1", "bleu_4", "meteor", "rouge_l"])
 
 
 @query("citation_units")

@@ -170,7 +170,7 @@ def test_bleu_meteor_rouge_random(spark):
     p = _pairs(spark, rows)
     b = {r.pid: (r.bleu_1, r.bleu_4) for r in overlap.bleu(p, KEYS).collect()}
     m = {r.pid: r.meteor for r in overlap.meteor_exact(p, KEYS).collect()}
-    rl = {r.pid: r.rouge_l for r in overlap.rouge_l(p, KEYS, block=2).collect()}
+    rl = {r.pid: r.rouge_l for r in overlap.rouge_l(p, KEYS).collect()}
     for i, (ref, cand) in enumerate(rows):
         assert b[i][0] == round(py_bleu(ref, cand, (1, 0, 0, 0)), 6), (ref, cand)
         assert b[i][1] == round(py_bleu(ref, cand, (0.25,) * 4), 6), (ref, cand)
@@ -179,15 +179,44 @@ def test_bleu_meteor_rouge_random(spark):
 
 
 def test_lcs_words_is_a_longest_common_subsequence():
+    """Also where only every few rows are kept for the walk back."""
     rnd = random.Random(2)
-    for _ in range(200):
-        a = [rnd.choice("abcd") for _ in range(rnd.randint(0, 9))]
-        b = [rnd.choice("abcd") for _ in range(rnd.randint(0, 9))]
-        words = overlap._lcs_words(a, b)
-        assert words <= set(a) & set(b)
+    for _ in range(300):
+        a = [rnd.choice("abcd") for _ in range(rnd.randint(0, 19))]
+        b = [rnd.choice("abcde") for _ in range(rnd.randint(0, 19))]
+        words = overlap.lcs_words(a, overlap.word_bits(b), len(b))
+        assert words == one_lcs(tuple(a), tuple(b)) == overlap.lcs_words(a, overlap.word_bits(b), len(b), row_bits=1)
         assert bool(words) == (lcs_len(a, b) > 0)
 
 
+def test_union_of_lcs_skips_no_word():
+    rnd = random.Random(3)
+    for _ in range(100):
+        side = [[[rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 7))] for _ in range(rnd.randint(1, 6))] for _ in range(2)]
+        assert overlap.union_lcs(*side) == set().union(*[one_lcs(tuple(a), tuple(b)) for a in side[0] for b in side[1]])
+
+
+def test_one_pass_over_awkward_pairs(spark):
+    """All metrics together equal each alone; nulls, blanks, one long text, NUL
+    characters, repeated keys, many pairs to a batch of few characters."""
+    rnd = random.Random(8)
+    long = " ".join(rnd.choice(["a", "b", "c.", "dd", "e."]) for _ in range(4000))
+    rows = [(None, "a b"), ("a b", None), (None, None), ("", ""), (" . . ", "."), ("a\0b c", "a\0c c"), (long, long[:3000]), ("x y z.", "x y z.")]
+    rows += [(random_text(rnd, rnd.randint(0, 9)), random_text(rnd, rnd.randint(0, 9))) for _ in range(40)]
+    df = spark.createDataFrame([(i // 2, r, c) for i, (r, c) in enumerate(rows)], "pid long, ref string, cand string").withColumn("bleu_1 ", F.lit(1))
+    order = lambda d: sorted(tuple(r) for r in d.collect())
+    every = order(overlap.overlap_scores(df, KEYS))
+    assert len(every) == len(rows) and all(0 <= x <= 1 for r in every for x in r[1:])
+    assert sorted(r[:3] for r in every) == order(overlap.bleu(df, KEYS))
+    assert sorted((r[0], r[3]) for r in every) == order(overlap.meteor_exact(df, KEYS))
+    assert sorted((r[0], r[4]) for r in every) == order(overlap.rouge_l(df, KEYS))
+    for pid, b1, b4, m, _ in every:
+        texts = [((r or ""), (c or "")) for i, (r, c) in enumerate(rows) if i // 2 == pid and len(r or "") < 1000]
+        wanted = [(round(py_bleu(r, c, (1, 0, 0, 0)), 6), round(py_bleu(r, c, (0.25,) * 4), 6), round(py_meteor(r, c), 6)) for r, c in texts]
+        assert (b1, b4, m) in wanted or pid == 3
+    assert overlap.overlap_scores(df.limit(0), KEYS).count() == 0
+
+
 def test_summary_and_missing(spark):
     gold = spark.createDataFrame([(1, "a b"), (2, "c d")], "pid long, text string")
     cand = spark.createDataFrame([(1, "a b")], "pid long, text string")
