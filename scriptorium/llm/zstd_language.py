@@ -46,6 +46,8 @@ DICT_BYTES = 131_072
 TOTAL_BYTES = 64 << 20
 MAX_LANGUAGES = 2_000
 PIECE = 1_024
+#: least mean length of pieces, in characters, that their number is reckoned with
+SHORT = 16
 LEVEL = 6
 MIN_MATCH = 4
 MIN_MARGIN = 0.01
@@ -66,21 +68,25 @@ def dictionaries(docs: DataFrame, learn: Column, text_col: str = "text", lang_co
     text = F.col(text_col).cast("string")
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & text.rlike("\\p{L}")).select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text).alias("key"), text.alias("text"))
-    langs = (rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("key").alias("texts"))
+    langs = (rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("key").alias("texts"),
+                                     F.avg(F.least(F.length("text"), F.lit(PIECE))).alias("chars"))
              .orderBy(F.desc("n"), "lang").limit(max_languages).collect())
     if not langs:
         return {}
     size = min(dict_bytes, total_bytes // len(langs))
-    pieces = max(1, 2 * size // PIECE)  # plain pieces are shorter than their texts
-    # four times as many by expectation, of which the smallest hashes are taken
-    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4 * pieces / max(1, r["texts"]))) for r in langs], "lang string, share double")
+    # pieces for twice the bytes, as plain pieces are shorter than their texts; four
+    # times as many are drawn by expectation, of which the smallest hashes are taken
+    wanted = {r["lang"]: int(2 * size / max(r["chars"], SHORT)) + 1 for r in langs}
+    share = docs.sparkSession.createDataFrame(
+        [(r["lang"], min(1.0, 4 * wanted[r["lang"]] / max(1, r["texts"])), wanted[r["lang"]]) for r in langs],
+        "lang string, share double, pieces int")
     place = (F.pmod(F.col("key"), F.greatest(F.length("text") - PIECE + 1, F.lit(1))) + 1).cast("int")
     drawn = F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < F.col("share") * float(1 << 40)
     found = (rows.join(F.broadcast(share), "lang").filter(drawn)
-             .select("lang", "key", F.col("text").substr(place, F.lit(PIECE)).alias("piece"))
-             .groupBy("lang", "key").agg(F.min("piece").alias("piece"))
+             .select("lang", "key", "pieces", F.col("text").substr(place, F.lit(PIECE)).alias("piece"))
+             .groupBy("lang", "key", "pieces").agg(F.min("piece").alias("piece"))
              .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")))
-             .filter(F.col("nth") <= pieces).orderBy("lang", "nth").collect())
+             .filter(F.col("nth") <= F.col("pieces")).orderBy("lang", "nth").collect())
     content = {r["lang"]: [] for r in langs}
     for r in found:
         content[r["lang"]].append(plain(r["piece"]))

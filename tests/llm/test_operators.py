@@ -296,7 +296,7 @@ def test_pipeline(spark):
     coded = pieces(spark, docs, d)
     back = unigram_pieces.decode_ids(coded, tokenizer_path("piece_bpe_32k.model"))
     assert {r.doc_id: r.text for r in back.collect()} == {r.doc_id: r.text for r in rows}
-    assert set(QUERIES) == {k for k in QUERIES if k.startswith("op")} and len(QUERIES) == 10
+    assert set(QUERIES) == {k for k in QUERIES if k.startswith("op")} and len(QUERIES) == 13
 
 
 def test_pipeline_decodes_its_pieces(spark):
