@@ -2,32 +2,29 @@
 and embedding hooks.
 
 Brute-force top-k needs every (query, chunk) score of an article, but never
-as rows: the chunks of an article are packed into blocks of about
-``block_rows`` vectors; each query is replicated once per block of its
-article and joined on ``(key, block)`` (so a hot article spreads over many
-tasks); each (query, block) row scores its block with JVM higher-order
-functions and keeps only its local top-k. The final top-k per query merges
-``blocks * k`` candidates.
+as rows: the chunks of an article are dealt into blocks of about ``block_rows``
+vectors, and the article's queries are sent to each of its blocks (so a hot
+article spreads over many tasks). Inside a task a block's vectors form a matrix
+that is multiplied with batches of its queries, and every query keeps its best k
+of the block. The final top-k per query merges ``blocks * k`` candidates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.constants import DENSE_K, DENSE_KEEP
 
-
-def dot(a, b):
-    """Dot product of two float arrays, summed left to right in double."""
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-        F.lit(0.0).cast("double"), lambda acc, v: acc + v)
+#: query vectors multiplied with a block at once
+QUERY_ROWS = 1024
 
 
 def section_query_text(section, title):
@@ -35,6 +32,74 @@ def section_query_text(section, title):
     return F.concat(F.lower(T._c(section)), F.lit(" of "), F.lower(T._c(title)), F.lit("?"))
 
 
+def _matrices(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The whole vectors of an array column by their length: (row numbers,
+    matrix of doubles). A null vector or one that holds a null is in none."""
+    column = column.cast(pa.list_(pa.float64()))
+    starts, flat = column.offsets.to_numpy(), column.values
+    size = np.diff(starts)
+    ok = ~column.is_null().to_numpy(zero_copy_only=False)
+    holes = np.append(0, np.cumsum(flat.is_null().to_numpy(zero_copy_only=False)))
+    ok &= holes[starts[1:]] == holes[starts[:-1]]
+    flat = flat.fill_null(0.0).to_numpy(zero_copy_only=False)
+    out = {}
+    for length in np.unique(size[ok]).tolist():
+        rows = np.flatnonzero(ok & (size == length))
+        out[length] = rows, flat[starts[rows][:, None] + np.arange(length)]
+    return out
+
+
+def _best(score: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, chunk) numbers of each query's k highest scores by (score rounded
+    to 6 digits, ``place``); a missing score (NaN) comes last."""
+    key = np.where(np.isnan(score), np.inf, -np.round(score, 6))
+    q, n = key.shape
+    k = min(k, n)
+    bound = np.partition(key, k - 1, axis=1)[:, k - 1]
+    row, col = np.nonzero(key <= bound[:, None])  # ties at the bound included
+    order = np.lexsort((place[col], key[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, np.arange(q))
+    keep = np.arange(len(row)) - first[row] < k
+    return row[keep], col[keep]
+
+
+def _search_blocks(batches: Iterator[pa.RecordBatch], k: int, key: str, qid: str, cid: str) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block and role (chunks before queries): the chunks of one
+    block are kept, its queries are scored batch by batch. A task holds the
+    vectors of one block at a time."""
+    block, held, chunks = None, [], None
+    for b in batches:
+        number, role = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_no", "_role"))
+        cuts = np.flatnonzero((np.diff(number) != 0) | (np.diff(role) != 0)) + 1
+        cuts = np.unique(np.concatenate([[0], cuts, np.arange(0, b.num_rows, QUERY_ROWS), [b.num_rows]])).tolist()
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            part = b.slice(lo, hi - lo)
+            if number[lo] != block:
+                block, held, chunks = number[lo], [], None
+            if role[lo] == 0:
+                held.append(part)
+                continue
+            if not held:
+                continue
+            if chunks is None:
+                held = pa.Table.from_batches(held).combine_chunks()
+                ids = held.column(cid).chunk(0) if held.num_rows else pa.array([])
+                chunks = ids, np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1], _matrices(held.column("_vec").chunk(0))
+                held = True
+            ids, place, by_length = chunks
+            score = np.full((part.num_rows, len(ids)), np.nan)
+            for length, (rows, vectors) in _matrices(part.column("_vec")).items():
+                if length in by_length:
+                    at, own = by_length[length]
+                    score[np.ix_(rows, at)] = vectors @ own.T
+            q, c = _best(score, place, k)
+            value = score[q, c]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(key).take(pa.array(q)), part.column(qid).take(pa.array(q)), ids.take(pa.array(c)),
+                 pa.array(value, mask=np.isnan(value))], names=[key, qid, cid, "score"])
+
+
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = DENSE_K,
                keep: int | None = DENSE_KEEP, *, key: str = "page_id",
                qid: str = "sec_pos", cid: str = "chunk_id",
@@ -42,29 +107,29 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = DENSE_K,
                block_rows: int = 1024) -> DataFrame:
     """``(key, qid, rank, cid, score)``: the ``min(k, n)`` chunks of the
     query's article with the largest dot product (score rounded to 6 digits
-    desc, chunk id asc), then cut to the first ``keep``."""
+    desc, chunk id asc), then cut to the first ``keep``. A pair without a product
+    (a null vector, one that holds a null, two lengths) ranks last with a
+    null score; articles without chunks and null keys give no rows."""
     limit = min(k, keep) if keep else k
+    spark = chunks.sparkSession
     per_page = chunks.groupBy(key).agg(
-        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows))).alias("_nb"))
-    blocks = (chunks.join(per_page, key)
-              .withColumn("_blk", F.pmod(F.xxhash64(cid), F.col("_nb")))
-              .groupBy(key, "_blk")
-              .agg(F.collect_list(F.struct(F.col(cid).alias("id"), F.col(cvec).alias("v"))).alias("_c")))
-    q = (queries.select(key, qid, F.col(qvec).alias("_q")).join(per_page, key)
-         .withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nb") - 1))))
-    raw = F.transform("_c", lambda c: F.struct(dot(F.col("_q"), c["v"]).alias("s"),
-                                               c["id"].alias("id")))
-    # a NULL score (missing or mismatched vector) ranks last, not first
-    keyed = F.transform(raw, lambda x: F.struct(
-        F.coalesce(-T.round6(x["s"]), F.lit(float("inf"))).alias("ns"),
-        x["id"].alias("id"), x["s"].alias("s")))
-    scored = q.join(blocks, [key, "_blk"]).select(
-        key, qid, F.slice(F.sort_array(keyed), 1, limit).alias("_top"))
-    w = Window.partitionBy(key, qid).orderBy("_t.ns", "_t.id")
-    return (scored.select(key, qid, F.explode("_top").alias("_t"))
-            .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-            .select(key, qid, F.col("rank").cast("bigint").alias("rank"),
-                    F.col("_t.id").alias(cid), T.round6("_t.s").alias("score")))
+        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows))).cast("bigint").alias("_nb"))
+    ids = {c: dict(d.dtypes)[c] for d, c in ((queries, key), (queries, qid), (chunks, cid))}
+    dealt = (chunks.join(per_page, key).withColumn("_blk", F.pmod(F.xxhash64(cid), F.col("_nb")))
+             .select(key, "_blk", F.lit(0).alias("_role"), F.lit(None).cast(ids[qid]).alias(qid), cid, F.col(cvec).alias("_vec")))
+    asked = (queries.join(per_page, key)
+             .withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nb") - 1)))
+             .select(key, "_blk", F.lit(1).alias("_role"), qid, F.lit(None).cast(ids[cid]).alias(cid), F.col(qvec).alias("_vec")))
+    # rows of a block stand together; its number tells where the next one begins
+    rows = dealt.unionByName(asked).withColumn("_no", F.xxhash64(key, "_blk"))
+    rows = (rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key, "_blk")
+            .sortWithinPartitions(key, "_blk", "_role").select(key, "_no", "_role", qid, cid, "_vec"))
+    found = rows.mapInArrow(lambda it: _search_blocks(it, limit, key, qid, cid),
+                            f"{key} {ids[key]}, {qid} {ids[qid]}, {cid} {ids[cid]}, score double")
+    found = found.withColumn("score", T.round6("score"))
+    w = Window.partitionBy(key, qid).orderBy(F.desc_nulls_last("score"), cid)
+    return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+            .select(key, qid, F.col("rank").cast("bigint").alias("rank"), cid, "score"))
 
 
 def nest_results(ranked: DataFrame, *, key: str = "page_id", qid: str = "sec_pos",

@@ -141,7 +141,8 @@ def q_section_query_text(spark, d):
 
 
 def _dense(spark, d, keep=5):
-    return dense.dense_topk(X.vector_queries(spark, d), X.vectors(spark, d), k=50, keep=keep)
+    # blocks small enough for the large article to take several at every size
+    return dense.dense_topk(X.vector_queries(spark, d), X.vectors(spark, d), k=50, keep=keep, block_rows=128)
 
 
 @query("dense_topk")

@@ -71,21 +71,27 @@ def url_rows(spark: SparkSession, d: str) -> DataFrame:
     return first.unionByName(again)
 
 
+def vector_page(col: str = "vec_id"):
+    """The article of a vector: a third of all vectors belong to article 0, which
+    grows with the table; of the others 200 consecutive ``vec_id`` are an article's
+    chunks, so these articles grow in number and not in size."""
+    return F.when(F.col(col) % 3 == 0, F.lit(0)).otherwise(F.floor(F.col(col) / 200) + 1)
+
+
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """embeddings as chunk vectors: 200 consecutive ``vec_id`` are the chunks of
-    an article, so articles grow in number and not in size."""
+    """embeddings as chunk vectors of the articles of ``vector_page``."""
     return table(spark, d, "embeddings").select(
-        F.floor(F.col("vec_id") / 200).alias("page_id"),
-        F.col("vec_id").alias("chunk_id"), "embedding")
+        vector_page().alias("page_id"), F.col("vec_id").alias("chunk_id"), "embedding")
 
 
 def vector_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Every vector is also a section query of its own article; section name by
+    """Vectors as section queries of their own article: of the large article 0
+    those whose id is divisible by 50, of the others all; section name by
     position."""
     names = F.array(*[F.lit(n) for n in SECTION_NAMES])
-    return table(spark, d, "embeddings").select(
-        F.floor(F.col("vec_id") / 200).alias("page_id"),
-        F.col("vec_id").alias("sec_pos"),
+    rows = table(spark, d, "embeddings").withColumn("page_id", vector_page())
+    return rows.filter((F.col("page_id") > 0) | (F.col("vec_id") % 50 == 0)).select(
+        "page_id", F.col("vec_id").alias("sec_pos"),
         F.element_at(names, (F.pmod("vec_id", F.lit(len(SECTION_NAMES))) + 1).cast("int")).alias("section"),
         F.col("embedding").alias("query_embedding"))
 

@@ -86,10 +86,13 @@ FROM conversations c LEFT JOIN (
   SELECT conv_id, {first_words('text')} AS key FROM conversations WHERE turn = 0) k
 ON c.conv_id = k.conv_id"""
 
-VECTORS = "SELECT vec_id // 200 AS page_id, vec_id AS chunk_id, embedding FROM embeddings"
+VECTOR_PAGE = "CASE WHEN vec_id % 3 = 0 THEN 0 ELSE vec_id // 200 + 1 END"
 
-VECTOR_QUERIES = (f"SELECT vec_id // 200 AS page_id, vec_id AS sec_pos, "
-                  f"{section_name('vec_id')} AS section, embedding AS query_embedding FROM embeddings")
+VECTORS = f"SELECT {VECTOR_PAGE} AS page_id, vec_id AS chunk_id, embedding FROM embeddings"
+
+VECTOR_QUERIES = (f"SELECT {VECTOR_PAGE} AS page_id, vec_id AS sec_pos, "
+                  f"{section_name('vec_id')} AS section, embedding AS query_embedding FROM embeddings "
+                  "WHERE vec_id % 3 <> 0 OR vec_id % 50 = 0")
 
 DENSE_TOP5 = f"""
 WITH s AS (

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from scriptorium.operators import dense, sparse
 
@@ -122,6 +123,35 @@ def test_dense_topk_blocks_match_numpy(spark):
         assert sorted(got[(page, s)]) == exp
 
 
+def test_dense_topk_of_a_hot_article_and_wide_vectors(spark):
+    """One article with most vectors, 768 dimensions, equal scores across blocks,
+    vectors of two lengths and with nulls; any id type."""
+    rnd = np.random.default_rng(4)
+    base = rnd.normal(size=(40, 768)).astype(np.float32)
+    rows = [("hot" if i < 300 else f"p{i % 5}", f"c{i:03d}", base[i % 40].tolist()) for i in range(330)]
+    rows += [("hot", "x1", [1.0, 2.0]), ("hot", "x2", None), ("hot", "x3", [1.0] * 767 + [None])]
+    asked = [("hot", s, rnd.normal(size=768).astype(np.float32).tolist()) for s in range(5)] + [("p1", 9, base[0].tolist()), ("none", 1, [1.0])]
+    asked += [("hot", 10, [1.0, 1.0]), ("hot", 11, None)]
+    chunks = spark.createDataFrame(rows, "page string, cid string, v array<float>")
+    qs = spark.createDataFrame(asked, "page string, qid int, q array<float>")
+    names = {"key": "page", "qid": "qid", "cid": "cid", "qvec": "q", "cvec": "v"}
+    for block_rows in (16, 1024):
+        got = {}
+        for r in dense.dense_topk(qs, chunks, k=20, keep=None, block_rows=block_rows, **names).collect():
+            got.setdefault((r.page, r.qid), []).append((r["rank"], r.cid, r.score))
+        for page, qid, q in asked:
+            cand = []
+            for p, c, v in rows:
+                if p == page:
+                    whole = q is not None and v is not None and len(v) == len(q) and None not in v
+                    cand.append((c, round(float(np.dot(np.array(q, float), np.array(v, float))), 6) if whole else None))
+            cand.sort(key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
+            want = [(i + 1, c, s) for i, (c, s) in enumerate(cand[:20])]
+            assert [(a, b) for a, b, _ in sorted(got.get((page, qid), []))] == [(a, b) for a, b, _ in want]
+            assert all(x[2] == (None if y[2] is None else pytest.approx(y[2], abs=2e-6)) for x, y in zip(sorted(got.get((page, qid), [])), want))
+    assert dense.dense_topk(qs.limit(0), chunks, **names).count() == 0
+
+
 def test_nest_coverage_and_section_query(spark):
     ranked = spark.createDataFrame(
         [(1, 0, "Intro", 1, 10), (1, 0, "Intro", 2, 11), (1, 1, "Life", 1, 11), (2, 0, "A", 1, 5)],
