@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips and held-out labels."""
 
+import math
 import struct
 from collections import Counter, defaultdict
 
@@ -215,10 +216,6 @@ def test_labels_and_pages(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     good = cotraining.quality_scores(docs, labels).join(labels, "doc_id").toPandas()
     assert ((good.predicted == 1) != (good.quality == 1)).mean() < 0.05
-    toxic = toxicity.toxicity_scores(docs, labels).join(labels, "doc_id").toPandas()
-    clean = toxic[toxic.toxic == 0]
-    assert clean.predicted.mean() < 0.03
-    assert toxic[toxic.toxic == 1].predicted.mean() > 0.6
     pages = table(spark, SF, "pages")
     for r in dom_model.extract_pages(pages, docs).join(pages.select("page_id", "html"), "page_id").collect():
         import html
@@ -228,31 +225,74 @@ def test_labels_and_pages(spark):
         assert r.text == "\n".join(b for b in blocks if b)
 
 
-def test_toxic_evidence_of_every_word(spark):
-    """More distinct words than any fixed table holds: each keeps its own
-    evidence; texts that are described in blocks agree with plain Python."""
+def plain_kneser_ney(texts_by_class):
+    """Evidence of a word by a plain version of the toxicity models: texts are
+    given by class (0 ordinary, 1 toxic)."""
+    from collections import defaultdict
+    starts = lambda w: ["^" + (w + "$")[:i] for i in range(1, min(len(w) + 1, toxicity.STEM) + 1)]
+    n = [Counter(g for t in texts for w in set(t.split()) for g in starts(w)) for texts in texts_by_class]
+
+    def discount(counts):
+        one, two = (sum(v == k for v in counts.values()) for k in (1, 2))
+        return min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.75
+
+    before = defaultdict(set)
+    for g in set(n[0]) | set(n[1]):
+        for k in range(1, len(g)):
+            before[g[k:]].add(g[k - 1])
+    shared = {s: len(x) for s, x in before.items()}
+    low, symbols = discount(shared), sum(len(s) == 1 for s in shared) + 1
+
+    def p_shared(s):
+        same = [v for x, v in shared.items() if x[:-1] == s[:-1] and len(x) == len(s)]
+        shorter = p_shared(s[1:]) if len(s) > 1 else 1 / symbols
+        return max(shared[s] - low, 0) / sum(same) + low * len(same) / sum(same) * shorter
+
+    def log_p(c, g, d):
+        after = [v for x, v in n[c].items() if x[:-1] == g[:-1]]
+        own = max(n[c][g] - d, 0) / sum(after) if after else 0
+        left = d * len(after) / sum(after) if after else 1
+        known = g in n[0] or g in n[1]
+        return math.log(own + left * p_shared(g[1:])) if known else math.log(left)
+
+    d = [discount(x) for x in n]
+    return lambda w: sum(log_p(1, g, d[1]) - log_p(0, g, d[0]) for g in starts(w))
+
+
+def test_toxicity_model_is_kneser_ney(spark, monkeypatch):
+    """Counts, discounts, shared continuations and evidence of blocks equal the
+    plain version, whatever the blocks."""
     rng = np.random.default_rng(6)
-    common = [f"plain{i}" for i in range(3000)]
-    rows = []
-    for i in range(120):  # 1,000 rare words a text, all of four stems
-        own = [f"{'abcd'[i % 4] * 4}{i}x{j}" for j in range(1000)]
-        rows.append(" ".join([*rng.choice(common, 50), *own]))
-    texts = ["", "unheardof", "plain1 plain1 aaaa0x1 bbbb1x2 aaaa_unknown", *rows]
-    ids = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row long, text string").repartition(3)
-    blocks = toxicity.in_blocks(ids)
-    train = blocks.select("block", F.posexplode("rows").alias("idx", "row")).filter("row > 2")
-    model = toxicity.fit(blocks, train.withColumn("grp", F.expr("cast(pmod(row - 3, 3) > 0 as int)")))
-    distinct = {w for t in rows for w in t.split()}
-    assert len(distinct) > 100_000 and model["word"].count() == len(distinct)
-    word = {r["word"]: r["all"] for r in model["word"].collect()}
-    stem = {r["stem"]: r["all"] for r in model["stem"].collect()}
-    got = {r.row: r.x for r in toxicity.described(blocks, model, ["all"]).collect()}
-    assert len(got) == len(texts)
-    for i, t in enumerate(texts[:8]):
-        w, s = toxicity._hashes(t.split())
-        v = [word.get(a, stem.get(b, 0.0)) for a, b in zip(w.tolist(), s.tolist())]
+    letters = list("abcdeé")
+    word = lambda: "".join(rng.choice(letters, rng.integers(1, 8)))
+    words = [word() for _ in range(150)]
+    texts = [" ".join(rng.choice(words, rng.integers(3, 30))) for _ in range(40)] + ["", "never seen zzz abz", "abcde"]
+    toxic = {i for i in range(40) if i % 3 == 0}
+    evidence = plain_kneser_ney([[t for i, t in enumerate(texts[:40]) if (i in toxic) == c] for c in (False, True)])
+    got = []
+    for pairs in (2_000_000, 50):
+        monkeypatch.setattr(toxicity, "BLOCK_PAIRS", pairs)
+        ids = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+        blocks = toxicity.in_blocks(ids)
+        train = blocks.select("block", F.posexplode("rows").alias("idx", "row")).filter("row < 40")
+        model = toxicity.fit(blocks, train.withColumn("grp", F.expr("cast(pmod(row, 3) > 0 as int)")))
+        got.append({r.row: r.x for r in toxicity.described(blocks, model, ["a"]).collect()})
+        assert len(got[-1]) == len(texts)
+    for i, t in enumerate(texts):
+        v = [evidence(w) for w in set(t.split())]
         top = sorted(np.maximum(v, 0), reverse=True)[:3]
-        assert got[i] == pytest.approx([np.mean(v), sum(top) / 3, top[0]] if v else [0, 0, 0], abs=1e-9)
+        wanted = [np.mean(v), sum(top) / 3, top[0]] if v else [0, 0, 0]
+        assert got[0][i] == pytest.approx(wanted, abs=1e-5) == got[1][i], t
+
+
+def test_toxicity_held_out(spark):
+    """Only rows that took no part in learning."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    held = toxicity.toxicity_scores(docs, labels).filter("held_out").join(labels, "doc_id").toPandas()
+    clean, bad = held[held.toxic == 0], held[held.toxic == 1]
+    assert clean.predicted.mean() < 0.03
+    auc = np.mean([(b > clean.score).mean() + (b == clean.score).mean() / 2 for b in bad.score])
+    assert auc > 0.85
 
 
 @pytest.mark.parametrize("source,texts", [
