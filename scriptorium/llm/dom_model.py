@@ -48,7 +48,10 @@ from .common import text_runs
 INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp
 small span strike strong sub sup time tt u var wbr label""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg math iframe object select button head canvas audio video".split())
+#: elements whose content is no markup, and elements whose content is markup that is not shown as text
+RAW = frozenset("script style textarea title".split())
+NO_TEXT = frozenset("noscript template svg math iframe object select button canvas audio video".split())
+FOREIGN = frozenset("svg math".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"},
           "tfoot": {"tr", "td", "th", "tbody"}}
@@ -220,6 +223,18 @@ class Page:
                         flush()
                     at = _skip(source, at, tag)
                 continue
+            if tag == "head":  # its elements have no text; whatever else comes belongs to the body
+                continue
+            if tag in NO_TEXT:
+                if not attrs.endswith("/"):
+                    if not gone:
+                        flush()
+                    stack.append(tag)
+                    node.append(node[-1])
+                    gone = gone or len(stack) - 1
+                continue
+            if gone and stack[gone] in FOREIGN and tag in TAGS:  # ends a drawing that was left open
+                close(gone)
             hidden = bool(attrs) and tag not in VOID and _hidden(attrs)
             if hidden and attrs.endswith("/"):
                 continue
@@ -262,16 +277,14 @@ class Page:
 
 
 def _skip(source: str, at: int, tag: str) -> int:
-    """The position after the end of an element whose content is no text."""
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(source, at):
-        if tag in ("script", "style", "textarea", "title"):  # their content holds no elements
-            if m[1]:
-                return m.end()
-            continue
-        depth += -1 if m[1] else (0 if m[0].endswith("/>") else 1)
-        if not depth:
-            return m.end()
+    """The position after the end of an element whose content is no markup. A
+    title without an end tag ends with the head, the others with the page."""
+    end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
+    if end:
+        return end.end()
+    if tag == "title":
+        end = re.compile(r"(?=</head|<body)|(?=<[a-z!/])", re.I).search(source, at)
+        return end.start() if end else len(source)
     return len(source)
 
 
