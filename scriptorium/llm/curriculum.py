@@ -25,7 +25,9 @@ tasks; only (id, source, size, hash) is shuffled for them.
 Defined cases: a null text has size 0; documents of size 0 are never placed;
 a null source is a source of its own, last in order; a source without words
 has target 0. Rows that agree in id and text are separate documents with
-neighbouring offsets. Empty input gives empty output.
+neighbouring offsets; those that differ in another column (source, say) each
+come as often as the plan takes them. Very long texts are only counted. Other
+columns, whatever their names, are kept. Empty input gives empty output.
 """
 
 from __future__ import annotations
@@ -85,22 +87,28 @@ def when_demanded(share: Column, source_no: Column, schedules=SCHEDULES) -> Colu
     return out
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row (maps as JSON)."""
+    return F.xxhash64(*[F.to_json(F.col(f"`{c}`")) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes])
+
+
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              weights=WEIGHTS, max_repeats: int = MAX_REPEATS, partitions: int | None = None) -> DataFrame:
-    """One row per row of ``docs``: ``id, hash, size, source_no, source_size,
-    target, start`` (offset in the source) and ``passes`` (times taken)."""
+    """One row per row of ``docs``: ``id, hash, row`` (the whole row's hash), ``size,
+    source_no, source_size, target, start`` (offset in the source) and ``passes``
+    (times taken)."""
     spark = docs.sparkSession
     text = text_or_empty(text_col)
     rows = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
-                              F.xxhash64(F.col(id_col), text).alias("hash"),
+                              F.xxhash64(F.col(id_col), text).alias("hash"), row_hash(docs).alias("row"),
                               F.regexp_count(text, F.lit(WORDS)).cast("bigint").alias("size")), "mix-sizes")
     targets = staged(source_targets(rows, weights, max_repeats), "mix-targets")
     numbered = rows.join(targets.select("source", "source_no"), rows["source"].eqNullSafe(targets["source"]))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = staged(numbered.select("id", "hash", "size", "source_no")
-                    .repartitionByRange(n, "source_no", "hash", "id")
+    ranged = staged(numbered.select("id", "hash", "row", "size", "source_no")
+                    .repartitionByRange(n, "source_no", "hash", "id", "row")
                     .withColumn("block", F.spark_partition_id()), "mix-blocks")
-    inside = Window.partitionBy("source_no", "block").orderBy("hash", "id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_no", "block").orderBy("hash", "id", "row").rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     across = Window.partitionBy("source_no").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = (ranged.groupBy("source_no", "block").agg(F.sum("size").alias("words"))
@@ -110,7 +118,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     # whole passes before the target: start + k * source_size + size <= target
     fit = F.floor(F.try_divide(F.col("target") - F.col("start") - F.col("size"), F.col("source_size"))) + 1
     passes = F.when(F.col("size") > 0, F.greatest(F.least(fit, F.lit(max_repeats)), F.lit(0))).otherwise(0)
-    placed = staged(placed.select("id", "hash", "size", "source_no", "source_size", "target", "start",
+    placed = staged(placed.select("id", "hash", "row", "size", "source_no", "source_size", "target", "start",
                                   passes.cast("int").alias("passes")), "mix-placed")
     # the rest of each source goes to the document of the last pass that fits it best
     rest = targets.join(placed.groupBy("source_no").agg(F.sum(F.col("size") * F.col("passes")).alias("words")), "source_no")
@@ -126,12 +134,17 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
             .withColumn("passes", F.col("passes") + F.col("extra")))
 
 
+def pass_position(pass_no: Column, schedules=SCHEDULES) -> Column:
+    """The training position of a planned document's pass (from 0)."""
+    share = F.try_divide(F.col("start") + pass_no * F.col("source_size"), F.col("target"))
+    return when_demanded(F.least(share, F.lit(1.0)), F.col("source_no"), schedules)
+
+
 def positions(plan: DataFrame, schedules=SCHEDULES) -> DataFrame:
     """One row per taken document and pass, with its training position. The
     document that fills up a source comes at the end of the source's demand."""
     each = plan.filter("passes > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
-    share = F.try_divide(F.col("start") + F.col("pass") * F.col("source_size"), F.col("target"))
-    return each.withColumn("position", when_demanded(F.least(share, F.lit(1.0)), F.col("source_no"), schedules))
+    return each.withColumn("position", pass_position(F.col("pass"), schedules))
 
 
 def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -139,10 +152,11 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs`` as often as the mix takes them, range-sorted by
     training position."""
     each = positions(plan_mix(docs, id_col, text_col, source_col, weights, max_repeats), schedules)
-    each = each.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), F.col("pass").alias("__pass"),
+    each = each.select(F.col("row").alias("__row"), F.col("hash").alias("__hash"), F.col("pass").alias("__pass"),
                        F.col("position").alias("__position"))
-    own = F.xxhash64(F.col(id_col), text_or_empty(text_col))
-    rows = docs.withColumn("__own", own).dropDuplicates([id_col, "__own"])
-    placed = rows.join(each.hint("shuffle_hash"), (F.col("__own") == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id")))
+    # rows that agree in all columns stand for each other
+    rows = docs.withColumn("__own", F.xxhash64(F.col(id_col), text_or_empty(text_col))).withColumn("__all", row_hash(docs))
+    rows = rows.dropDuplicates(["__own", "__all"])
+    placed = rows.join(each.hint("shuffle_hash"), (F.col("__own") == F.col("__hash")) & (F.col("__all") == F.col("__row")))
     return (placed.repartitionByRange("__position", "__hash", "__pass").sortWithinPartitions("__position", "__hash", "__pass")
-            .select(*[rows[c] for c in docs.columns]))
+            .select(*[rows[f"`{c}`"] for c in docs.columns]))

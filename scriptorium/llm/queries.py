@@ -40,11 +40,14 @@ def op9_probminhash(spark, d):
 @query("op10_curriculum")
 def op10_curriculum(spark, d):
     plan = curriculum.plan_mix(table(spark, d, "documents"))
-    first = curriculum.when_demanded(F.least(F.try_divide(F.col("start"), F.col("target")), F.lit(1.0)), F.col("source_no"))
-    return plan.select(
+    every = F.transform(F.sequence(F.lit(0), F.col("passes") - 1), lambda k: curriculum.pass_position(k))
+    mixed = plan.select(
         F.col("id").alias("doc_id"), "size", "source_size", "target",
         (F.col("size") * F.col("passes")).cast("bigint").alias("taken"), "passes",
-        F.when(F.col("passes") > 0, first).alias("first_position"))
+        F.when(F.col("passes") > 0, every).otherwise(F.array().cast("array<double>")).alias("positions"))
+    first = F.get("positions", F.lit(0))
+    return (mixed.withColumn("first_position", first).repartitionByRange(F.asc_nulls_last("first_position"), "doc_id")
+            .sortWithinPartitions(F.asc_nulls_last("first_position"), "doc_id"))
 
 
 @query("op8_unigram_pieces")
