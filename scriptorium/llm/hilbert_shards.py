@@ -16,7 +16,8 @@ equal text are neighbours.
 
 Defined cases: null numbers count as 0, null categories are a category of
 their own, a null text has size ``OVERHEAD`` and CRC 0. Rows that repeat are
-separate rows. With fewer rows than shards, some shards stay empty.
+separate rows. Very long texts count by their size like others. Columns of other
+names play no part. With fewer rows than shards, some shards stay empty; empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -26,14 +27,15 @@ from pyspark.sql import functions as F
 
 from .common import staged, text_or_empty
 
-BITS = 5
+#: two cells to a doubling, so 7 bits hold every 63-bit number
+BITS = 7
 SHARDS = 40
 OVERHEAD = 16
 
 
 def category_cell(col: Column, bits: int = BITS) -> Column:
-    """A category's cell: a hash, so no list of categories is needed."""
-    return F.when(col.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(col), F.lit(1 << bits))).cast("bigint")
+    """A category's cell: a hash, so no list of categories is needed; cell 0 is null's."""
+    return F.when(col.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(col), F.lit((1 << bits) - 1)) + 1).cast("bigint")
 
 
 def number_cell(col: Column, bits: int = BITS, per_doubling: int = 2) -> Column:

@@ -344,3 +344,116 @@ def test_pipeline_decodes_its_pieces(spark):
     docs = table(spark, d, "documents")
     rows = corpus_pipeline.encode(spark, docs, d).join(docs.select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc")), "doc_id").collect()
     assert len(rows) == docs.count() and all(r.same and r.text_crc32 == r.crc for r in rows)
+
+
+GOOD = "The river runs past the old town and the mill. People walk there in the evening, when it is cool."
+
+
+@pytest.mark.parametrize("source,texts", [
+    ("<html><head><title>t</title><meta charset=x><body><article><p>one</p></article>", ["one"]),  # no </head>
+    ("<html><head><title>t<body><p>one</p>", ["one"]),  # no </title> either
+    ("<html><head><title>t</title></head><p>one", ["one"]),
+    ("<head><script>x<p>y</script><style>p{}</style><p>one", ["one"]),
+    ("<div><button>Share</div><p>one</p>", ["one"]),
+    ("<article><p>one <button>x</p><p>two</p></article>", ["one", "two"]),
+    ("<div><select><option>a<option>b</div><p>one", ["one"]),
+    ("<div><svg><path d='x'><text>x</text><p>one</p></div><p>two", ["one", "two"]),
+    ("<svg><g><title>x</title></g></svg><p>one", ["one"]),
+    ("<div><noscript><img src=x>enable it</div><p>one", ["one"]),
+    ("<noscript><p>x</p></noscript><p>one<video><track>x</video></p>", ["one"]),
+    ("<template><div>x<template>y</template></div>z</template>one", ["one"]),
+    ("<button/>one", ["one"])])
+def test_elements_left_open_lose_no_page(source, texts):
+    page = dom_model.Page(source)
+    assert page.texts == texts
+    assert len(page.parent) == len(page.depth) == len(page.element) == len(page.block)
+
+
+def test_marginals_against_enumeration():
+    """Content probabilities and joint ones of small trees equal the sums over
+    all labellings."""
+    import itertools
+    rng = np.random.default_rng(1)
+    sources = ["<div><p>one.</p><p>two</p></div>", "<nav><a href=x>a</a></nav><article><h1>t</h1><p>x <b>y</b>.</p></article>", "one", ""]
+    pages = [dom_model.Page(s) for s in sources]
+    model = {"element": rng.normal(size=dom_model.N_ELEMENT + 1), "block": rng.normal(size=dom_model.N_BLOCK + 1),
+             "pair_element": rng.normal(size=(2, 2)), "pair_block": rng.normal(size=(2, 2))}
+    for page in pages:
+        forest = dom_model.Forest([page])
+        p, joint = forest.infer(model)
+        n = len(page.parent)
+        unary = np.zeros(n)
+        unary[~forest.is_block] = forest.x_element @ model["element"][:-1] + model["element"][-1]
+        unary[forest.is_block] = forest.x_block @ model["block"][:-1] + model["block"][-1]
+        total, content, both = 0.0, np.zeros(n), np.zeros((n, 2, 2))
+        for labels in itertools.product((0, 1), repeat=n):
+            score = sum(unary[i] for i in range(n) if labels[i])
+            for i, up in enumerate(page.parent):
+                if up >= 0:
+                    score += model["pair_block" if forest.is_block[i] else "pair_element"][labels[up], labels[i]]
+            weight = math.exp(score)
+            total += weight
+            for i in range(n):
+                content[i] += weight * labels[i]
+                if page.parent[i] >= 0:
+                    both[i, labels[page.parent[i]], labels[i]] += weight
+        assert np.allclose(p, content / total)
+        inner = [i for i in range(n) if page.parent[i] >= 0]
+        assert np.allclose(joint[inner], both[inner] / total)
+
+
+def test_mix_keeps_rows_that_differ_in_other_columns(spark):
+    """Equal id and text in two sources: each comes as often as it is planned."""
+    rows = [(1, GOOD, "a", "en"), (1, GOOD, "b", "fr"), (1, GOOD, "b", "fr"), (2, "one two three", "a", "en"), (3, "x " * 40, "c", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("extra", F.create_map(F.lit("k"), F.col("lang")))
+    plan = curriculum.plan_mix(docs).join(docs.select(curriculum.row_hash(docs).alias("row"), "source", "lang").distinct(), "row")
+    wanted = Counter()
+    for r in plan.collect():
+        wanted[r.id, r.source, r.lang] += r.passes
+    got = Counter((r.doc_id, r.source, r.lang) for r in curriculum.training_order(docs).collect())
+    assert got == +wanted and {(1, "a", "en"), (1, "b", "fr")} <= set(got)
+
+
+def test_taken_words_by_hand(spark):
+    """Passes over each source's hash order against a plain walk, and positions
+    of all passes in the registered query."""
+    rng = np.random.default_rng(2)
+    rows = [(i, "w " * int(rng.integers(0, 30)), "abcd"[int(rng.integers(4)) if i % 3 else 0]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = curriculum.plan_mix(docs).collect()
+    by = defaultdict(list)
+    for r in plan:
+        by[r.source_no].append(r)
+    for own in by.values():
+        own.sort(key=lambda r: (r.hash, r.id, r.row))
+        target, whole, at = own[0].target, sum(r["size"] for r in own), 0
+        for r in own:
+            assert r.start == at
+            passes = sum(at + k * whole + r["size"] <= target for k in range(3)) if r["size"] else 0
+            assert r.passes - passes in (0, 1)
+            at += r["size"]
+        extra = [r for r in own if r["size"] and r.passes > sum(r.start + k * whole + r["size"] <= target for k in range(3))]
+        taken = sum(r["size"] * r.passes for r in own)
+        assert len(extra) <= 1 and abs(target - taken) <= max((r["size"] for r in own), default=0)
+    found = QUERIES["op10_curriculum"](spark, "/root/testdata/sf0.001").collect()
+    assert all(len(r.positions) == r.passes and sorted(r.positions) == r.positions for r in found)
+    firsts = [r.first_position for r in found if r.passes]
+    assert firsts == sorted(firsts) and all(0 <= p <= 1 for r in found for p in r.positions)
+
+
+def test_shards_are_runs_and_prune(spark):
+    """Shards follow the curve, slots its order; a filter on two dimensions
+    touches few shards; null is a cell of its own; long texts have cells of their own."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    rows = hilbert_shards.assign_shards(docs, 40).join(docs.select(F.col("doc_id").alias("id"), "source", "lang"), "id").toPandas()
+    rows = rows.sort_values(["shard", "slot"])
+    assert rows.hilbert.is_monotonic_increasing
+    touched = [part[(part["size"] > low) & (part["size"] <= high)].shard.nunique()
+               for _, part in rows.groupby(["lang"]) for low, high in ((0, 400), (4000, 10 ** 9))]
+    assert np.mean(touched) < 15
+    df = spark.createDataFrame([(2 ** k,) for k in range(0, 62)], "n long")
+    cells = [r.c for r in df.select(hilbert_shards.number_cell(F.col("n")).alias("c")).collect()]
+    assert len(set(cells)) == len(cells) and max(cells) < 2 ** hilbert_shards.BITS
+    names = spark.createDataFrame([(f"s{i}",) for i in range(2000)] + [(None,)], "s string")
+    cells = names.select("s", hilbert_shards.category_cell(F.col("s")).alias("c")).collect()
+    assert {r.c for r in cells if r.s is None} == {0} and min(r.c for r in cells if r.s is not None) == 1
