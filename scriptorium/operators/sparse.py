@@ -3,103 +3,167 @@
 The corpus of a query is the set of documents of one article (``key``).
 Scoring is an inverted-index join: query terms meet the postings of the
 same ``(key, term)``; documents that share no term with the query are never
-paired with it. Statistics (document frequency, lengths, the BM25 idf floor)
-are taken over all postings before the join, with map-side partial
-aggregation, so a hot article or a hot term is pre-reduced before any
-shuffle; AQE splits skewed join partitions.
+paired with it. Texts are cut into terms and counted inside Arrow batches;
+document frequencies are aggregated with map-side combination, so a hot article
+or a hot term is reduced before any shuffle; AQE splits skewed join partitions.
+No corpus-size intermediate is written.
 
 Top-k always returns ``min(k, n)`` documents of the article: documents that
 match nothing score 0 and are filled in by document order.
+
+``build_index`` stores the weights of all postings once, in blocks of documents
+with the largest weight of every block; ``search_index`` asks it many times and
+reads only blocks that can still reach a query's top k.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.constants import BM25_B, BM25_EPSILON, BM25_K1, SPARSE_K
 from ..session import stage
 
+#: characters of text that are counted at once (a longer text is alone)
+BATCH_CHARS = 2_000_000
+#: Python's word class holds the letters, digits and underscore of ``T.TOKEN``, ``T.TERM``
+_SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_TOKEN = re.compile(f"\\w+|[^\\w{_SPACE}]")
+_TERM = re.compile("\\w{2,}")
+CUTS = {"tokens": _TOKEN.findall, "terms": lambda text: _TERM.findall(text.lower())}
+#: the same in Spark, for the queries
+CUT_COLUMNS = {"tokens": T.tokens, "terms": T.terms}
+
+
+def _counted(texts: list[str], cut) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """(text, term number, count of every distinct term of a text; the terms; tokens per text)."""
+    number: dict[str, int] = {}
+    codes, size = [], []
+    for t in texts:
+        found = cut(t)
+        size.append(len(found))
+        codes.extend([number.setdefault(w, len(number)) for w in found])
+    size = np.array(size, dtype=np.int64)
+    pair, count = np.unique(np.repeat(np.arange(len(texts)), size) * max(1, len(number)) + np.array(codes, dtype=np.int64), return_counts=True)
+    return pair // max(1, len(number)), pair % max(1, len(number)), count, list(number), size
+
+
+def _runs(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = (np.flatnonzero(np.diff(np.cumsum(size) // BATCH_CHARS)) + 1).tolist()
+    for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
+def postings(docs: DataFrame, cut: str, *, key: str = "page_id", doc: str = "doc_id", content: str = "content",
+             lengths: bool = False) -> DataFrame:
+    """``(key, doc, dl, term, tf)`` for every distinct term of a document, in one
+    map-only pass. With ``lengths`` every document has one more row with a null
+    term, so that aggregating by term counts documents and their lengths, too."""
+    types = dict(docs.dtypes)
 
-def _postings(docs: DataFrame, key: str, doc: str, tok) -> DataFrame:
-    """``(key, doc, dl, term, tf)`` for every distinct term of a document."""
-    return (docs.select(key, doc, tok.alias("_tok"))
-            .select(key, doc, F.size("_tok").cast("bigint").alias("dl"),
-                    F.explode("_tok").alias("term"))
-            .groupBy(key, doc, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    def run(batches):
+        for b in batches:
+            for part in _runs(b, "_text"):
+                texts = [t or "" for t in part.column("_text").to_pylist()]
+                row, code, count, terms, size = _counted(texts, CUTS[cut])
+                term = pa.array(terms, pa.string()).take(pa.array(code))
+                if lengths:
+                    row, count = np.append(row, np.arange(len(texts))), np.append(count, np.zeros(len(texts), np.int64))
+                    term = pa.concat_arrays([term, pa.nulls(len(texts), pa.string())])
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(key).take(at), part.column(doc).take(at), pa.array(size[row]), term, pa.array(count.astype(np.int64))],
+                    names=[key, doc, "dl", "term", "tf"])
 
+    return docs.select(key, doc, F.col(content).cast("string").alias("_text")).mapInArrow(
+        run, f"{key} {types[key]}, {doc} {types[doc]}, dl bigint, term string, tf bigint")
 
-def _query_terms(queries: DataFrame, key: str, qid: str, tok) -> DataFrame:
+
+def _query_terms(queries: DataFrame, cut: str, key: str, qid: str, query: str) -> DataFrame:
+    tok = CUT_COLUMNS[cut](F.coalesce(F.col(query), F.lit("")))
     return (queries.select(qid, key, F.explode(tok).alias("term"))
             .groupBy(qid, key, "term").agg(F.count(F.lit(1)).alias("qn")))
 
 
+# ---------------------------------------------------------------- weights
+def bm25_terms(docs: DataFrame, *, key: str = "page_id", doc: str = "doc_id", content: str = "content",
+               epsilon: float = BM25_EPSILON) -> tuple[DataFrame, DataFrame]:
+    """(``key, term, idf``, ``key, avgdl``): ``idf = ln(N - df + 0.5) - ln(df + 0.5)``;
+    a negative one is replaced by ``epsilon * mean(idf over the article's terms)``."""
+    counts = (postings(docs, "tokens", key=key, doc=doc, content=content, lengths=True)
+              .groupBy(key, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl")))
+    stats = counts.filter("term IS NULL").select(key, F.col("df").alias("n_docs"), (F.col("dl") / F.col("df")).alias("avgdl"))
+    idf = counts.filter("term IS NOT NULL").join(stats, key).select(
+        key, "term", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    floor = idf.groupBy(key).agg((F.avg("idf") * epsilon).alias("eps"))
+    idf = idf.join(floor, key).select(key, "term", F.when(F.col("idf") < 0, F.col("eps")).otherwise(F.col("idf")).alias("idf"))
+    return idf, stats.select(key, "avgdl")
+
+
+def _bm25_weight(k1: float, b: float) -> Column:
+    tf, norm = F.col("tf"), F.col("dl") / F.col("avgdl")
+    return F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * norm))
+
+
 def bm25_scores(queries: DataFrame, docs: DataFrame, *, key: str = "page_id",
                 qid: str = "query_id", query: str = "query", doc: str = "doc_id",
                 content: str = "content", k1: float = BM25_K1, b: float = BM25_B,
                 epsilon: float = BM25_EPSILON) -> DataFrame:
     """``(qid, key, doc, score)`` for documents sharing a token with the query.
 
-    Okapi BM25 over word-and-punctuation tokens, case kept:
-    ``idf = ln(N - df + 0.5) - ln(df + 0.5)``; a negative idf is replaced by
-    ``epsilon * mean(idf over the article's terms)``; every query token (with
+    Okapi BM25 over word-and-punctuation tokens, case kept: every query token (with
     repeats) adds ``idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))``.
 
-    No corpus-size intermediate is written or shuffled: document frequencies
-    are counted with map-side combination (what moves are vocabularies), and
-    only tokens that a query of the same article asks for become postings.
-    """
-    tok = docs.select(key, doc, T.tokens(F.coalesce(F.col(content), F.lit(""))).alias("_tok"))
-    tok = tok.withColumn("dl", F.size("_tok").cast("bigint"))
-    df_ = tok.select(key, F.explode(F.array_distinct("_tok")).alias("term")).groupBy(key, "term").agg(
-        F.count(F.lit(1)).alias("df"))
-    stats = tok.groupBy(key).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    idf = df_.join(stats, key).select(
-        key, "term",
-        (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    floor = idf.groupBy(key).agg((F.avg("idf") * epsilon).alias("eps"))
-    qt = _query_terms(queries, key, qid, T.tokens(F.coalesce(F.col(query), F.lit(""))))
+    Document frequencies and lengths are one aggregation (what moves are
+    vocabularies), and only tokens that a query of the same article asks for become
+    postings."""
+    names = {"key": key, "doc": doc, "content": content}
+    idf, stats = bm25_terms(docs, epsilon=epsilon, **names)
+    qt = _query_terms(queries, "tokens", key, qid, query)
     asked = qt.select(key, "term").distinct()
-    idf = idf.join(asked, [key, "term"], "left_semi").join(floor, key).select(
-        key, "term", F.when(F.col("idf") < 0, F.col("eps")).otherwise(F.col("idf")).alias("idf"))
-    post = (tok.select(key, doc, "dl", F.explode("_tok").alias("term")).join(asked, [key, "term"], "left_semi")
-            .groupBy(key, doc, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    tf = F.col("tf")
-    norm = F.col("dl") / F.col("avgdl")
-    contrib = F.col("qn") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * norm))
-    return (qt.join(idf, [key, "term"]).join(post, [key, "term"]).join(stats.select(key, "avgdl"), key)
-            .groupBy(qid, key, doc).agg(F.sum(contrib).alias("score")))
+    post = postings(docs, "tokens", **names).join(asked, [key, "term"], "left_semi")
+    known = idf.join(asked, [key, "term"], "left_semi").join(stats, key)
+    return (qt.join(known, [key, "term"]).join(post, [key, "term"])
+            .groupBy(qid, key, doc).agg(F.sum(F.col("qn") * _bm25_weight(k1, b)).alias("score")))
+
+
+def tfidf_terms(docs: DataFrame, post: DataFrame, key: str) -> DataFrame:
+    """``key, term, idf`` with ``idf = ln((1 + n) / (1 + df)) + 1`` (smoothed)."""
+    n = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n_docs"))
+    df_ = post.groupBy(key, "term").agg(F.count(F.lit(1)).alias("df"))
+    return df_.join(n, key).select(key, "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def tfidf_scores(queries: DataFrame, docs: DataFrame, *, key: str = "page_id",
                  qid: str = "query_id", query: str = "query", doc: str = "doc_id",
-                 content: str = "content", stage_postings: bool = True) -> DataFrame:
+                 content: str = "content") -> DataFrame:
     """``(qid, key, doc, score)``: cosine of L2-normalised TF-IDF vectors.
 
-    Terms are lower-cased runs of 2+ word characters; ``idf = ln((1 + n) /
-    (1 + df)) + 1`` (smoothed); query terms outside the article's vocabulary
-    are dropped."""
-    text = F.coalesce(F.col(content), F.lit(""))
-    post = _postings(docs, key, doc, T.terms(text))
-    if stage_postings:  # consumed by the df aggregate and the weighting join
-        post = stage(post, "tfidf-postings")
-    n = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n_docs"))
-    df_ = post.groupBy(key, "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df_.join(n, key).select(
-        key, "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = post.join(idf, [key, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    Terms are lower-cased runs of 2+ word characters; query terms outside the
+    article's vocabulary are dropped. Every posting meets its idf once; the
+    documents' norms and the products with queries are two aggregations of that
+    join (one exchange of the narrow postings)."""
+    post = postings(docs, "terms", key=key, doc=doc, content=content).drop("dl")
+    idf = tfidf_terms(docs, post, key)
+    weighted = post.join(idf, [key, "term"]).select(key, "term", doc, (F.col("tf") * F.col("idf")).alias("w"))
     dnorm = weighted.groupBy(key, doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dnorm"))
-    qt = _query_terms(queries, key, qid, T.terms(F.coalesce(F.col(query), F.lit(""))))
-    qw = qt.join(idf, [key, "term"]).withColumn("qw", F.col("qn") * F.col("idf"))
-    qnorm = qw.groupBy(qid, key).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    return (qw.join(qnorm, [qid, key])
-            .join(weighted.select(key, doc, "term", "w"), [key, "term"])
-            .join(dnorm, [key, doc])
-            .groupBy(qid, key, doc)
-            .agg(F.sum(F.col("qw") / F.col("qnorm") * F.col("w") / F.col("dnorm")).alias("score")))
+    qw = _query_terms(queries, "terms", key, qid, query).join(idf, [key, "term"]).withColumn("qw", F.col("qn") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy(qid, key)))
+    qw = qw.select(qid, key, "term", (F.col("qw") / norm).alias("qw"))
+    dot = (qw.join(weighted, [key, "term"]).groupBy(qid, key, doc).agg(F.sum(F.col("qw") * F.col("w")).alias("dot")))
+    return dot.join(dnorm, [key, doc]).select(qid, key, doc, (F.col("dot") / F.col("dnorm")).alias("score"))
 
 
+# ---------------------------------------------------------------- top k
 def topk_padded(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int = SPARSE_K, *,
                 key: str = "page_id", qid: str = "query_id", doc: str = "doc_id",
                 order: str = "doc_pos", allow_negative: bool = True) -> DataFrame:
@@ -155,3 +219,102 @@ def retrieve(queries: DataFrame, docs: DataFrame, k: int = SPARSE_K, method: str
         return out.select(keys.get("qid", "query_id"), keys.get("key", "page_id"), "rank",
                           keys.get("doc", "doc_id"))
     return out
+
+
+# ---------------------------------------------------------------- a stored index
+def build_index(docs: DataFrame, path: str, method: str = "bm25", *, block_docs: int = 128, key: str = "page_id",
+                doc: str = "doc_id", content: str = "content", order: str = "doc_pos", k1: float = BM25_K1, b: float = BM25_B,
+                epsilon: float = BM25_EPSILON, parts: int = 64) -> None:
+    """Write an inverted index of every article's documents below ``path``:
+
+    * ``docs``: ``key, doc, order, blk``, an article's documents dealt into blocks of
+      about ``block_docs``;
+    * ``terms``: ``key, term, idf``;
+    * ``blocks``: ``key, term, blk, top``, the largest weight in each block of a
+      term's postings (narrow: no documents);
+    * ``postings``: the same blocks with their documents and weights, in folders
+      by a hash of (key, term, blk), so that a reader opens few of them.
+
+    A document's score for a query is the sum over query terms of the stored
+    weight times the query's own (see ``search_index``)."""
+    names = {"key": key, "doc": doc, "content": content}
+    size = docs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_docs)).alias("_nb"))
+    dealt = docs.select(key, doc, order).join(size, key).select(
+        key, doc, order, F.pmod(F.xxhash64(doc), F.col("_nb")).cast("int").alias("blk"))
+    dealt.write.mode("overwrite").parquet(f"{path}/docs")
+    spark = docs.sparkSession
+    if method == "bm25":
+        idf, stats = bm25_terms(docs, epsilon=epsilon, **names)
+        post = postings(docs, "tokens", **names)
+    else:
+        post = postings(docs, "terms", **names).drop("dl")
+        idf = tfidf_terms(docs, post, key)
+    idf.write.mode("overwrite").parquet(f"{path}/terms")
+    idf = spark.read.schema(idf.schema).parquet(f"{path}/terms")
+    if method == "bm25":
+        weighted = post.join(idf, [key, "term"]).join(stats, key).select(key, "term", doc, _bm25_weight(k1, b).alias("w"))
+    else:
+        weighted = post.join(idf, [key, "term"]).select(key, "term", doc, (F.col("tf") * F.col("idf")).alias("w"))
+        dnorm = weighted.groupBy(key, doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dnorm"))
+        weighted = weighted.join(dnorm, [key, doc]).select(key, "term", doc, (F.col("w") / F.col("dnorm")).alias("w"))
+    where = spark.read.schema(dealt.schema).parquet(f"{path}/docs").select(key, doc, "blk")
+    # a group is one term in one block of documents: about block_docs rows at most
+    blocks = (weighted.join(where, [key, doc]).groupBy(key, "term", "blk")
+              .agg(F.max("w").alias("top"), F.collect_list(F.struct(F.col(doc).alias("doc"), "w")).alias("docs"))
+              .withColumn("part", F.pmod(F.xxhash64(key, "term", "blk"), F.lit(parts)).cast("int")))
+    blocks.repartition(parts, "part").sortWithinPartitions("part", key, "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    (spark.read.parquet(f"{path}/postings").select(key, "term", "blk", "top")
+     .write.mode("overwrite").parquet(f"{path}/blocks"))
+
+
+def index_scores(queries: DataFrame, spark: SparkSession, path: str, k: int, method: str = "bm25", *, key: str = "page_id",
+                 qid: str = "query_id", query: str = "query", doc: str = "doc_id", parts: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(``qid, key, doc, score`` of every document that can be among a query's top
+    k, the blocks read ``qid, key, blk, bound``).
+
+    A block's documents score at most ``bound``, the sum of its terms' largest
+    weights. The k blocks with the highest bounds are scored first; their k-th best
+    score is a limit that a document of the top k reaches, so of the others only
+    blocks whose bound reaches it are read."""
+    terms = spark.read.parquet(f"{path}/terms")
+    cut = "tokens" if method == "bm25" else "terms"
+    qt = _query_terms(queries, cut, key, qid, query)
+    if method == "bm25":
+        qw = qt.select(qid, key, "term", F.col("qn").cast("double").alias("qw"))
+    else:
+        known = qt.join(terms, [key, "term"]).withColumn("qw", F.col("qn") * F.col("idf"))
+        norm = F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy(qid, key)))
+        qw = known.select(qid, key, "term", (F.col("qw") / norm).alias("qw"))
+    qw = stage(qw, "index-queries")
+    bounds = (qw.join(spark.read.parquet(f"{path}/blocks"), [key, "term"])
+              .groupBy(qid, key, "blk").agg(F.sum(F.greatest(F.col("qw") * F.col("top"), F.lit(0.0))).alias("bound")))
+    falling = Window.partitionBy(qid, key).orderBy(F.desc("bound"), "blk")
+    bounds = stage(bounds.withColumn("nth", F.row_number().over(falling)), "index-bounds")
+
+    def scored(blocks: DataFrame) -> DataFrame:
+        wanted = qw.join(blocks.select(qid, key, "blk"), [qid, key])
+        wanted = wanted.withColumn("part", F.pmod(F.xxhash64(key, "term", "blk"), F.lit(parts)).cast("int"))
+        return (wanted.join(spark.read.parquet(f"{path}/postings").drop("top"), ["part", key, "term", "blk"])
+                .select(qid, key, "qw", F.explode("docs").alias("p"))
+                .groupBy(qid, key, F.col("p.doc").alias(doc)).agg(F.sum(F.col("qw") * F.col("p.w")).alias("score")))
+
+    seeds = stage(scored(bounds.filter(F.col("nth") <= k)), "index-seeds")
+    best = Window.partitionBy(qid, key).orderBy(F.desc("score"))
+    limit = (seeds.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k)
+             .select(qid, key, F.greatest(F.col("score"), F.lit(0.0)).alias("limit")))
+    # scores are rounded to 6 digits before ranking: what could tie there is read as well
+    rest = bounds.filter(F.col("nth") > k).join(limit, [qid, key], "left").filter(
+        F.col("bound") >= F.coalesce("limit", F.lit(0.0)) - 1e-6)
+    rest = stage(rest.select(qid, key, "blk", "bound"), "index-rest")
+    read = bounds.filter(F.col("nth") <= k).select(qid, key, "blk", "bound").unionByName(rest)
+    return seeds.unionByName(scored(rest)), read
+
+
+def search_index(queries: DataFrame, path: str, k: int = SPARSE_K, method: str = "bm25", *, key: str = "page_id",
+                 qid: str = "query_id", query: str = "query", doc: str = "doc_id", order: str = "doc_pos") -> DataFrame:
+    """``(qid, key, rank, doc, score)`` from an index of ``build_index``: the same
+    rows as ``retrieve`` over the documents."""
+    spark = queries.sparkSession
+    scores, _ = index_scores(queries, spark, path, k, method, key=key, qid=qid, query=query, doc=doc)
+    return topk_padded(scores, queries, spark.read.parquet(f"{path}/docs"), k, key=key, qid=qid, doc=doc, order=order,
+                       allow_negative=method == "bm25")

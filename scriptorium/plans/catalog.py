@@ -134,6 +134,23 @@ def q_topk_padded(spark, d):
     return _sparse(spark, d, "bm25", 60)
 
 
+def _indexed(spark, d, method, k):
+    from ..session import scratch_folder
+    path = scratch_folder(spark, f"{method}-index")
+    sparse.build_index(X.article_docs(spark, d), path, method)
+    return sparse.search_index(X.sparse_queries(spark, d), path, k, method)
+
+
+@query("bm25_index_topk")
+def q_bm25_index_topk(spark, d):
+    return _indexed(spark, d, "bm25", 5)
+
+
+@query("tfidf_index_topk")
+def q_tfidf_index_topk(spark, d):
+    return _indexed(spark, d, "tfidf", 5)
+
+
 @query("section_query_text")
 def q_section_query_text(spark, d):
     s = X.conversation_sections(spark, d)

@@ -661,3 +661,7 @@ SELECT page_id, key, array_to_string(list(section ORDER BY sec_pos), '|') AS out
   md5(array_to_string(list(text ORDER BY sec_pos), '|')) AS chunks_md5, count(*) AS n_prompts,
   md5(array_to_string(list(section || {NL} || text ORDER BY sec_pos), '|')) AS prompts_md5
 FROM ({CONV_SECTIONS}) GROUP BY page_id, key"""
+
+# the stored index ranks as the exhaustive search does
+SQL["bm25_index_topk"] = SQL["bm25_topk"]
+SQL["tfidf_index_topk"] = SQL["tfidf_topk"]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -68,19 +69,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base.rstrip("/"), name)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new sub-folder of the shared checkpoint folder, removed when the
+    application ends."""
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
 def stage(df, name: str = "stage"):
     """Write ``df`` once as parquet under the shared checkpoint folder and
     return a DataFrame reading it back: an intermediate used by several
     branches of a plan is then computed once, its lineage is cut, and it
     survives the loss of an executor (unlike a cache). The folder is removed
     when the application ends."""
-    import uuid
-    spark = df.sparkSession
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    path = scratch_folder(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df):

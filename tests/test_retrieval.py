@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.operators import dense, sparse
 
@@ -96,6 +97,43 @@ def test_tfidf_matches_python(spark):
         assert sorted(got[qid]) == exp, (qid, got[qid], exp)
 
 
+@pytest.mark.parametrize("method", ["bm25", "tfidf"])
+def test_index_ranks_like_the_exhaustive_search(spark, tmp_path, method):
+    """Negative weights, padding, queries without a match; a large article, of
+    which only the blocks that can reach the top k are read."""
+    rnd = np.random.default_rng(5)
+    vocab = [f"w{i}" for i in range(60)]
+    large = [" ".join(rnd.choice(vocab, 12, p=np.arange(60, 0, -1) / 1830)) for _ in range(240)]
+    large[17] = "rare gem " * 3
+    large[230] = "rare gem w1"
+    pages = dict(PAGES) | {4: large}
+    queries = QUERIES + [(10, 4, "rare gem w0"), (11, 4, "w0 w1 w2"), (12, 4, "nothing"), (13, 4, "w59 w58")]
+    d, q = build(spark, pages, queries)
+    order = lambda df: sorted(tuple(r) for r in df.collect())
+    for block_docs in (8,):
+        path = str(tmp_path / f"{method}{block_docs}")
+        sparse.build_index(d.repartition(3), path, method, block_docs=block_docs)
+        for k in (2, 50):
+            got = order(sparse.search_index(q, path, k, method))
+            assert got == order(sparse.retrieve(q, d, k=k, method=method)), (method, block_docs, k)
+        _, read = sparse.index_scores(q, spark, path, 2, method)
+        blocks = spark.read.parquet(path + "/docs").filter("page_id = 4").select("blk").distinct().count()
+        assert 0 < read.filter("query_id = 10").count() < blocks / 2
+
+
+def test_postings_cut_like_spark(spark):
+    """Tokens and terms counted in batches equal the column expressions."""
+    texts = ["a b_c 12 ½ ² ǅ x", "Straße ÉCOLE i\u0307 日本語 テキスト!", None, "", "\x85 \u3000 a\x1cb", "a,b;;c", "\0 nul\0l"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string").withColumn("page_id", F.lit(1))
+    for cut, column in sparse.CUT_COLUMNS.items():
+        want = sorted((i, t, n) for i, ts in df.select("doc_id", column(F.coalesce("content", F.lit(""))).alias("t")).collect()
+                      for t, n in {t: ts.count(t) for t in ts}.items())
+        rows = sparse.postings(df, cut).collect()
+        assert sorted((r.doc_id, r.term, r.tf) for r in rows) == want
+        whole = sparse.postings(df, cut, lengths=True).filter("term is null")
+        assert whole.count() == len(texts)
+
+
 def test_retrieve_indices_only(spark):
     d, q = build(spark, PAGES, QUERIES)
     cols = sparse.retrieve(q, d, k=2, method="bm25", indices=True).columns
