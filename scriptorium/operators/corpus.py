@@ -71,9 +71,10 @@ def unescape_entities(col) -> Column:
         return F.when(good, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
 
     def decode(p):
-        name = F.regexp_extract(p, "^(#?[0-9A-Za-z]{1,32});", 1)
-        ch = (F.when(name.rlike("^#[xX][0-9A-Fa-f]{1,6}$"), number(F.substr(name, F.lit(3)), 16))
-              .when(name.rlike("^#[0-9]{1,7}$"), number(F.substr(name, F.lit(2)), 10))
+        name = F.regexp_extract(p, "^(#[xX]?0*[0-9A-Fa-f]{1,8}|[0-9A-Za-z]{1,32});", 1)
+        digits = F.regexp_replace(name, "^#[xX]?0*", "")
+        ch = (F.when(name.rlike("^#[xX]0*[0-9A-Fa-f]{1,6}$"), number(digits, 16))
+              .when(name.rlike("^#0*[0-9]{1,7}$"), number(digits, 10))
               .when(name != "", F.try_element_at(named, name)))
         return F.when(ch.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(ch, F.substr(p, F.length(name) + 2)))
 
@@ -115,6 +116,67 @@ def extract_sections(df: DataFrame, col: str = "html", form: str = "html",
         clean(name_raw).alias("section"), clean(body_raw).alias("text"))
 
 
+_LEVEL_HEADING = "(?is)<h([1-6])[^>]*>(.*?)</h[1-6][^>]*>"
+_LEVEL_WIKI = "(?m)^(==+) *([^=\\n]+?) *==+ *$"
+_REF_URL = "https?://[^\\s<>\"'\\]\\[|}]+"
+
+
+def page_records(df: DataFrame, col: str = "html", form: str = "html", key: str = "page_id") -> DataFrame:
+    """One record per page: ``key, title, summary, sections, content,
+    content_by_section, references``.
+
+    ``sections`` is an array of ``pos, level, name, path``; a heading's path holds
+    the names of the headings it lies under and its own: its parent is the last
+    heading before it of a smaller level (``<h1>``..``<h6>``, or the number of ``=``
+    signs). ``title`` is the ``<title>`` or else the first ``<h1>`` (a wiki page's is
+    empty), ``summary`` the text before the first section (an ``<h1>`` that is the
+    title's heading begins none), ``content_by_section`` the sections' texts in their order,
+    ``content`` all text, ``references`` the distinct addresses of links in order of
+    appearance. A null page is an empty one; a page is one row and its headings a
+    running array of it, so nothing is shuffled."""
+    c = F.coalesce(T._c(col).cast("string"), F.lit(""))
+    if form == "html":
+        for pat in (_SCRIPT, _STYLE, _COMMENT):
+            c = F.regexp_replace(c, pat, " ")
+        heading, clean = _LEVEL_HEADING, html_text
+        found = html_text(F.regexp_extract(c, "(?is)<title[^>]*>(.*?)</title>", 1))
+        first = html_text(F.regexp_extract(c, "(?is)<h1[^>]*>(.*?)</h1[^>]*>", 1))
+        title = F.when(found != "", found).otherwise(first)
+        body = F.regexp_replace(c, "(?is)<title[^>]*>.*?</title>", " ")
+        links = F.transform(F.regexp_extract_all(c, F.lit(_ANCHOR), 1), unescape_entities)
+    elif form == "wiki":
+        heading, clean, title, body = _LEVEL_WIKI, T.collapse_ws, F.lit(""), c
+        links = F.regexp_extract_all(c, F.lit(_REF_URL), 0)
+    else:
+        raise ValueError(f"unknown form {form!r}")
+    parts = F.split(F.regexp_replace(body, heading, "\u0001$1\u0002$2\u0003"), "\u0001")
+    rows = df.select(key, title.alias("title"), links.alias("links"), parts.alias("parts"))
+    mark = F.substring_index
+    level = lambda x: mark(x, "\u0002", 1)
+    heads = F.transform(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), lambda x: F.struct(
+        (level(x).cast("int") if form == "html" else F.length(level(x))).alias("level"),
+        clean(mark(mark(x, "\u0003", 1), "\u0002", -1)).alias("name"),
+        clean(F.regexp_replace(x, "^[^\u0003]*\u0003", "")).alias("text")))
+    rows = rows.select(key, "title", "links", clean(F.element_at("parts", 1)).alias("lead"), heads.alias("heads"))
+    # the heading that repeats the page's title begins no section
+    own = (F.size("heads") > 0) & (F.element_at("heads", 1)["level"] == 1) if form == "html" else F.lit(False)
+    rows = rows.withColumn("own", own).withColumn("h", F.when(F.col("own"), F.slice("heads", 2, F.greatest(F.size("heads") - 1, F.lit(0)))).otherwise(F.col("heads")))
+    start = F.struct(F.array().cast("array<struct<level:int,name:string>>").alias("open"),
+                     F.array().cast("array<struct<pos:int,level:int,name:string,path:array<string>>>").alias("all"))
+
+    def under(a, x):
+        open_ = F.concat(F.filter(a["open"], lambda o: o["level"] < x["level"]), F.array(F.struct(x["level"].alias("level"), x["name"].alias("name"))))
+        return F.struct(open_.alias("open"), F.concat(a["all"], F.array(F.struct(
+            F.size(a["all"]).alias("pos"), x["level"].alias("level"), x["name"].alias("name"), F.transform(open_, lambda o: o["name"]).alias("path")))).alias("all"))
+
+    summary = T.collapse_ws(F.concat_ws(" ", F.col("lead"), F.when(F.col("own"), F.element_at("heads", 1)["text"])))
+    every = F.concat(F.array(F.col("lead")), F.flatten(F.transform("heads", lambda x: F.array(x["name"], x["text"]))))
+    return rows.select(
+        key, "title", summary.alias("summary"), F.aggregate("h", start, under, lambda a: a["all"]).alias("sections"),
+        F.array_join(F.filter(every, lambda x: x != ""), "\n").alias("content"),
+        F.transform("h", lambda x: x["text"]).alias("content_by_section"), F.array_distinct("links").alias("references"))
+
+
 # B4 -------------------------------------------------------------------------
 def explode_sections(df: DataFrame, key: str = "page_id", names: str = "outlines",
                      contents: str = "contents") -> DataFrame:

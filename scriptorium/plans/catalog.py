@@ -78,6 +78,15 @@ def q_section_extract(spark, d):
     return corpus.extract_sections(X.table(spark, d, "pages"), "html")
 
 
+@query("page_sections")
+def q_page_sections(spark, d):
+    r = corpus.page_records(X.wiki_pages(spark, d), "wikitext", "wiki")
+    return r.select("page_id", "summary", F.array_join("references", " ").alias("links"),
+                    F.posexplode(F.arrays_zip("sections", "content_by_section")).alias("pos", "z")).select(
+        "page_id", "summary", "links", F.col("pos").cast("bigint").alias("pos"), F.col("z.sections.level").cast("bigint").alias("level"),
+        F.array_join("z.sections.path", " > ").alias("path"), F.col("z.content_by_section").alias("text"))
+
+
 @query("drop_empty_pages")
 def q_drop_empty_pages(spark, d):
     secs = corpus.extract_sections(X.table(spark, d, "pages"), "html")
@@ -552,6 +561,81 @@ def q_judge_summary(spark, d):
 
 
 # ---------------------------------------------------------------- A (resume, streaming)
+@query("outline_map_split")
+def q_outline_map_split(spark, d):
+    """Outlines written as JSON objects on one line each, read by byte ranges."""
+    from ..session import scratch_folder
+    from ..sources import json_split
+    path = scratch_folder(spark, "outline-map")
+    X.write_outline_maps(X.conversation_articles(spark, d), path)
+    return json_split.read_outline_map_split(spark, path)
+
+
+@query("search_results_split")
+def q_search_results_split(spark, d):
+    """Pages as search results in JSON arrays on one line each, read by byte ranges."""
+    from ..session import scratch_folder
+    from ..sources import json_split
+    path = scratch_folder(spark, "search-results")
+    pages = X.table(spark, d, "pages").select(F.to_json(F.struct(
+        F.col("page_id").cast("string").alias("title"), F.col("url").alias("link"), F.col("html").alias("text"))).alias("value"))
+    X.write_elements(pages, path, "[", "]")
+    hits = json_split.read_json_array_split(spark, path, "struct<title:string,link:string,text:string>")
+    return hits.select(F.col("title").cast("bigint").alias("page_id"), F.col("link").alias("url"), F.md5("text").alias("text_md5"))
+
+
+def _events(spark, d):
+    """Requests and responses of every conversation, in four files: a turn's response
+    comes up to three files after (or before) its request; every seventh failed and
+    has none. The last file holds a row that ends all waiting."""
+    s = X.conversation_sections(spark, d)
+    n = s.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    at = lambda file: F.timestamp_seconds(F.lit(1_700_000_000) + file * 60)
+    ask = s.join(n, "page_id").withColumn("file", F.pmod(F.col("page_id") + F.col("sec_pos"), F.lit(2)))
+    ask = ask.select("page_id", F.lit("request").alias("kind"), F.col("sec_pos").alias("idx"), "n", "section", F.lit(None).cast("string").alias("text"), at(F.col("file")).alias("at"), "file")
+    got = s.filter(F.pmod(F.col("page_id") + F.col("sec_pos"), F.lit(7)) != 0).withColumn("file", F.pmod(F.col("page_id") + 3 * F.col("sec_pos"), F.lit(4)))
+    got = got.select("page_id", F.lit("response").alias("kind"), F.col("sec_pos").alias("idx"), F.lit(None).cast("bigint").alias("n"),
+                     F.lit(None).cast("string").alias("section"), "text", at(F.col("file")).alias("at"), "file")
+    return ask.unionByName(got)
+
+
+@query("article_stream")
+def q_article_stream(spark, d):
+    """Articles put together from a stream of several micro-batches."""
+    import uuid
+    from ..session import scratch_folder
+    from ..streaming import regroup
+    base = scratch_folder(spark, "article-stream")
+    events = _events(spark, d)
+    columns = [c.split()[0] for c in regroup.EVENT.split(", ")]
+    # the files in their order: a reader takes one after the other
+    for i in range(4):
+        events.filter(F.col("file") == i).select(*columns).coalesce(1).write.mode("append").parquet(f"{base}/events")
+    end = spark.range(1).select(F.lit(-1).cast("bigint").alias("page_id"), F.lit("response").alias("kind"), F.lit(0).cast("bigint").alias("idx"),
+                                F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("text"),
+                                F.timestamp_seconds(F.lit(1_800_000_000)).alias("at"))
+    end.coalesce(1).write.mode("append").parquet(f"{base}/events")
+    stream = spark.readStream.schema(regroup.EVENT).option("maxFilesPerTrigger", 1).parquet(f"{base}/events")
+    (regroup.regroup_stream(stream, "1 hour").writeStream.format("parquet").option("path", f"{base}/out")
+     .option("checkpointLocation", f"{base}/state-{uuid.uuid4().hex}").outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    out = spark.read.schema("page_id bigint, sections array<string>, texts array<string>, missing bigint, timed_out boolean").parquet(f"{base}/out")
+    return out.select("page_id", F.array_join("sections", "|").alias("sections"), F.md5(F.array_join("texts", "|")).alias("texts_md5"),
+                      "missing", F.col("timed_out").cast("int").alias("timed_out"))
+
+
+@query("ingest_new_ids")
+def q_ingest_new_ids(spark, d):
+    """Pages in three files, the last of which repeats ids of the first ones; run twice."""
+    from ..session import scratch_folder
+    from ..streaming import ingest
+    base = scratch_folder(spark, "ingest-ids")
+    pages = X.table(spark, d, "pages").select("page_id", "url")
+    for part in (F.pmod("page_id", F.lit(2)) == 0, F.pmod("page_id", F.lit(2)) == 1, F.pmod("page_id", F.lit(3)) == 0):
+        pages.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        ingest.ingest_new_ids(spark, f"{base}/in", "page_id BIGINT, url STRING", f"{base}/out", f"{base}/state", ["page_id"])
+    return spark.read.schema("page_id BIGINT, url STRING").parquet(f"{base}/out").select("page_id", "url")
+
+
 @query("resume_pending")
 def q_resume_pending(spark, d):
     from ..sources import readers

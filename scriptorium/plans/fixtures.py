@@ -122,6 +122,19 @@ def conversation_articles(spark: SparkSession, d: str) -> DataFrame:
                     F.transform("_s", lambda x: x["text"]).alias("contents")))
 
 
+def wiki_pages(spark: SparkSession, d: str) -> DataFrame:
+    """conversations as wiki texts: turn 0 is the lead, every further turn a section
+    of level 2, 3 or 4 by ``(turn * turn + conv_id) % 3``, with an address after
+    every third turn."""
+    s = conversation_sections(spark, d)
+    marks = F.repeat(F.lit("="), (F.pmod(F.col("sec_pos") * F.col("sec_pos") + F.col("page_id"), F.lit(3)) + 2).cast("int"))
+    link = F.when(F.pmod(F.col("sec_pos"), F.lit(3)) == 0, F.concat(F.lit("\n[https://example.org/"), F.pmod(F.col("sec_pos"), F.lit(4)).cast("string"), F.lit(" more]")))
+    line = F.concat(F.when(F.col("sec_pos") > 0, F.concat(marks, F.lit(" "), F.col("section"), F.lit(" "), marks, F.lit("\n"))).otherwise(F.lit("")),
+                    F.col("text"), F.coalesce(link, F.lit("")))
+    return (s.withColumn("_line", line).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("sec_pos", "_line"))).alias("_l"))
+            .select("page_id", F.array_join(F.transform("_l", lambda x: x["_line"]), "\n").alias("wikitext")))
+
+
 def page_key(col: str = "page_id"):
     """Title of a derived article."""
     return F.concat(F.lit("Topic "), F.col(col).cast("string"))
@@ -224,3 +237,25 @@ def judge_replies(spark: SparkSession, d: str) -> DataFrame:
     return lab.join(docs, "doc_id").select(
         "doc_id", T.first_words("text").alias("keyword"), "text",
         F.when(F.pmod("doc_id", F.lit(11)) == 0, F.lit("n/a")).otherwise(reply).alias("reply"))
+
+
+def write_elements(elements: DataFrame, path: str, opening: str, closing: str) -> None:
+    """JSON elements (a text column) as files that hold one JSON value on one line each."""
+    def bracketed(batches):
+        import pyarrow as pa
+        first, last = True, None
+        for b in batches:
+            for v in b.column(0).to_pylist():
+                if last is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([last])], names=["value"])
+                last, first = (opening if first else "") + v, False
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last + closing])], names=["value"])
+
+    elements.select("value").mapInArrow(bracketed, "value string").write.mode("overwrite").option("lineSep", ",").text(path)
+
+
+def write_outline_maps(articles: DataFrame, path: str) -> None:
+    """``{"<page_id>": [section, ...], ...}`` in files of many articles each."""
+    entry = F.to_json(F.create_map(F.col("page_id").cast("string"), F.col("outlines")))
+    write_elements(articles.withColumn("_e", entry).select(F.expr("substring(_e, 2, length(_e) - 2)").alias("value")), path, "{", "}")

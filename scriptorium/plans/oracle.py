@@ -665,3 +665,35 @@ FROM ({CONV_SECTIONS}) GROUP BY page_id, key"""
 # the stored index ranks as the exhaustive search does
 SQL["bm25_index_topk"] = SQL["bm25_topk"]
 SQL["tfidf_index_topk"] = SQL["tfidf_topk"]
+
+SQL["outline_map_split"] = SQL["outline_explode"]
+
+SQL["search_results_split"] = "SELECT page_id, url, md5(html) AS text_md5 FROM pages"
+
+SQL["ingest_new_ids"] = "SELECT page_id, url FROM pages"
+
+SQL["article_stream"] = f"""
+WITH s AS ({CONV_SECTIONS}),
+r AS (SELECT *, CASE WHEN (page_id + sec_pos) % 7 <> 0 THEN text END AS reply FROM s)
+SELECT page_id, array_to_string(list(section ORDER BY sec_pos), '|') AS sections,
+  md5(array_to_string(list(coalesce(reply, '') ORDER BY sec_pos), '|')) AS texts_md5,
+  CAST(sum(CASE WHEN reply IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing,
+  CAST(max(CASE WHEN reply IS NULL THEN 1 ELSE 0 END) AS INTEGER) AS timed_out
+FROM r GROUP BY page_id"""
+
+SQL["page_sections"] = f"""
+WITH s AS ({CONV_SECTIONS}),
+h AS (SELECT page_id, sec_pos, section, CAST(2 + (sec_pos * sec_pos + page_id) % 3 AS BIGINT) AS level,
+  text || CASE WHEN sec_pos % 3 = 0 THEN chr(10) || '[https://example.org/' || (sec_pos % 4) || ' more]' ELSE '' END AS body FROM s),
+lead AS (SELECT page_id, {collapse('body')} AS summary FROM h WHERE sec_pos = 0),
+links AS (SELECT page_id, array_to_string(list(url ORDER BY first), ' ') AS links FROM (
+  SELECT page_id, 'https://example.org/' || (sec_pos % 4) AS url, min(sec_pos) AS first FROM h WHERE sec_pos % 3 = 0 GROUP BY ALL) GROUP BY page_id),
+up AS (SELECT a.page_id, a.sec_pos, b.sec_pos AS up_pos, b.section AS up_name FROM h a JOIN h b ON a.page_id = b.page_id
+  AND b.sec_pos <= a.sec_pos AND b.sec_pos > 0 AND a.sec_pos > 0
+  AND (b.sec_pos = a.sec_pos OR b.level < (SELECT min(m.level) FROM h m WHERE m.page_id = a.page_id AND m.sec_pos > b.sec_pos AND m.sec_pos <= a.sec_pos)))
+SELECT h.page_id, lead.summary, coalesce(links.links, '') AS links, h.sec_pos - 1 AS pos, h.level,
+  p.path, {collapse('h.body')} AS text
+FROM h JOIN lead USING (page_id) LEFT JOIN links USING (page_id)
+JOIN (SELECT page_id, sec_pos, array_to_string(list(up_name ORDER BY up_pos), ' > ') AS path FROM up GROUP BY page_id, sec_pos) p
+  ON p.page_id = h.page_id AND p.sec_pos = h.sec_pos
+WHERE h.sec_pos > 0"""
