@@ -21,8 +21,9 @@ _MARK = "\u0001"
 
 
 # E9 -------------------------------------------------------------------------
-def split_units(df: DataFrame, keys: list[str], col: str = "text") -> DataFrame:
-    """``keys, unit_pos, unit``: one row per cited unit, in text order.
+def split_units(df: DataFrame, keys: list[str], col: str = "text", outer: bool = False) -> DataFrame:
+    """``keys, unit_pos, unit``: one row per cited unit, in text order. With
+    ``outer`` a text without units keeps one row of nulls.
 
     Map-only, inside each row: the text is split into pieces (markers kept as
     pieces); a piece starts a unit unless it is a marker, '' or a lone
@@ -45,7 +46,8 @@ def split_units(df: DataFrame, keys: list[str], col: str = "text") -> DataFrame:
         "_p", s, F.coalesce(F.try_element_at(b, k + 2), n + 1) - s), ""))
     rest = F.when(nb > 0, rest).otherwise(F.array().cast("array<string>"))
     units = F.when(head != "", F.concat(F.array(head), rest)).otherwise(rest)
-    return (p.select(*keys, F.posexplode(units).alias("unit_pos", "unit"))
+    explode = F.posexplode_outer if outer else F.posexplode
+    return (p.select(*keys, explode(units).alias("unit_pos", "unit"))
             .withColumn("unit_pos", F.col("unit_pos").cast("bigint")))
 
 
@@ -93,6 +95,20 @@ def attach_premises(pairs: DataFrame, refs: DataFrame, keys: list[str],
                                               else F.lit(missing))).drop("_look"))
 
 
+def cite_records(records: DataFrame, keys: list[str], text: str = "text", refs: str = "refs",
+                 outer: bool = False) -> DataFrame:
+    """``keys, unit_pos, hypothesis, cite_pos, idx, ref``: one row per citation of
+    records that carry their own list ``refs`` (of texts, or of ids of texts that
+    are joined later); ``ref`` is null outside the list. Map-only: text and list are
+    one row. With ``outer`` units without citations and texts without units keep one
+    row (null ``cite_pos``, null ``unit_pos``), as the scores need them."""
+    u = split_units(records, [*keys, refs], text, outer)
+    explode = F.posexplode_outer if outer else F.posexplode
+    cited = u.select(*keys, "unit_pos", hypothesis("unit").alias("hypothesis"), refs, explode(cited_ids("unit")).alias("cite_pos", "idx"))
+    ref = F.when(F.col("idx") >= 0, F.get(F.col(refs), F.when(F.col("idx") < F.size(refs), F.col("idx")).otherwise(-1).cast("int")))
+    return cited.select(*keys, "unit_pos", "hypothesis", F.col("cite_pos").cast("bigint").alias("cite_pos"), "idx", ref.alias("ref"))
+
+
 # E12 ------------------------------------------------------------------------
 def nli_input(premise, hyp) -> Column:
     return F.concat(F.lit("premise: "), T._c(premise), F.lit(" hypothesis: "), T._c(hyp))
@@ -144,8 +160,23 @@ def unit_labels(units: DataFrame, labels: DataFrame, keys: list[str]) -> DataFra
             .withColumn("labels", F.coalesce("labels", F.array().cast("array<string>"))))
 
 
+def labels_per_unit(cited: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, unit_pos, labels ARRAY<STRING>`` in citation order from labelled rows of
+    ``cite_records(outer=True)`` (column ``label``); one grouping, uncited units keep
+    an empty list and texts without units a null ``unit_pos``."""
+    one = F.when(F.col("cite_pos").isNotNull(), F.struct("cite_pos", "label"))
+    return (cited.groupBy(*keys, "unit_pos").agg(F.sort_array(F.collect_list(one)).alias("_l"))
+            .select(*keys, "unit_pos", F.transform("_l", lambda x: x["label"]).alias("labels")))
+
+
 # E15 ------------------------------------------------------------------------
-def citation_scores(unit_lbls: DataFrame, articles: DataFrame, keys: list[str]) -> DataFrame:
+def scores_of_units(unit_lbls: DataFrame, keys: list[str]) -> DataFrame:
+    """``citation_scores`` from the rows of ``labels_per_unit``, which hold every
+    article: no other table is read."""
+    return citation_scores(unit_lbls, None, keys, unit_lbls)
+
+
+def citation_scores(unit_lbls: DataFrame, articles: DataFrame | None, keys: list[str], every: DataFrame | None = None) -> DataFrame:
     """Recall (a unit with any "1") and precision (1 - share of "0") per unit;
     units without citations add 0 but count in the per-article denominator;
     per-article means, then means over all ``articles`` (those without units
@@ -154,12 +185,14 @@ def citation_scores(unit_lbls: DataFrame, articles: DataFrame, keys: list[str])
     n = F.size(lab)
     zeros = F.size(F.filter(lab, lambda x: x == "0"))
     ones = F.size(F.filter(lab, lambda x: x == "1"))
-    per_unit = unit_lbls.select(
-        *keys,
-        F.when(n > 0, 1 - zeros / n).otherwise(F.lit(0.0)).alias("_pre"),
-        F.when(ones > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("_rec"))
-    per_art = per_unit.groupBy(*keys).agg(F.avg("_pre").alias("precision"), F.avg("_rec").alias("recall"))
-    all_art = articles.select(*keys).distinct().join(per_art, keys, "left")
+    pre = F.when(n > 0, 1 - zeros / n).otherwise(F.lit(0.0))
+    rec = F.when(ones > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    if every is not None:  # an article without units is a row with a null unit
+        unit = F.col("unit_pos").isNotNull()
+        all_art = every.groupBy(*keys).agg(F.avg(F.when(unit, pre)).alias("precision"), F.avg(F.when(unit, rec)).alias("recall"))
+    else:
+        per_art = unit_lbls.groupBy(*keys).agg(F.avg(pre).alias("precision"), F.avg(rec).alias("recall"))
+        all_art = articles.select(*keys).distinct().join(per_art, keys, "left")
     return all_art.agg(
         F.count(F.lit(1)).alias("n_articles"),
         T.round6(F.avg(F.coalesce("recall", F.lit(0.0)))).alias("citation_recall"),

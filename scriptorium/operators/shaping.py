@@ -253,7 +253,9 @@ def writer_requests(articles: DataFrame, level: str, *, refs: DataFrame | None =
                     model: str = "gpt-3.5-turbo-0613", reserve: int = 800,
                     key: str = "page_id", title: str = "key", outline: str = "outlines") -> DataFrame:
     """Writer requests per article at a retrieval level, flagged against the
-    model's token budget (``accepted``; rejected rows are the fail log).
+    model's token budget (``accepted``; rejected rows are the fail log), with the
+    documents used (``retrieve``, empty without references) as the written article
+    keeps them.
 
     * ``vanilla``: no references;
     * ``tfidf`` / ``bm25``: the top ``num`` of the article's own reference docs
@@ -269,7 +271,7 @@ def writer_requests(articles: DataFrame, level: str, *, refs: DataFrame | None =
     lv = level.lower()
     if lv == "vanilla":
         system = WRITER_PROMPTS["vanilla_given_outline" if given_outline else "vanilla"]
-        lines = None
+        lines = docs_used = None
         req = base
     else:
         system = WRITER_PROMPTS["writer_given_outline" if given_outline else "writer"]
@@ -281,19 +283,23 @@ def writer_requests(articles: DataFrame, level: str, *, refs: DataFrame | None =
             top = top.join(docs, [key, "_doc"]).select(key, "rank", "title", "url", "content")
             per = (top.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "title", "url", "content")))
                                         .alias("_r")))
-            lines = numbered(F.transform("_r", lambda x: x["content"]), "titled",
+            docs_used = F.transform("_r", lambda x: x["content"])
+            lines = numbered(docs_used, "titled",
                              F.transform("_r", lambda x: x["title"]), F.transform("_r", lambda x: x["url"]))
         else:
             r = retrieved.filter(F.col("rank") <= num).withColumn("chunk", T.strip_non_ascii("chunk"))
             per = r.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "chunk"))).alias("_r"))
-            lines = numbered(F.transform("_r", lambda x: x["chunk"]), "bracket")
+            docs_used = F.transform("_r", lambda x: x["chunk"])
+            lines = numbered(docs_used, "bracket")
         req = base.join(per, key, "left")
     refs_col = None if lines is None else F.coalesce(lines, F.array().cast("array<string>"))
     if given_outline:
         user = outline_user_prompt(title, outline, refs_col)
     else:
         user = writer_user_prompt(title, None, refs_col)
-    out = req.select(key, messages(F.lit(system), user).alias("messages"))
+    none = F.array().cast("array<string>")
+    used = none if docs_used is None else F.coalesce(docs_used, none)
+    out = req.select(key, messages(F.lit(system), user).alias("messages"), used.alias("retrieve"))
     out = out.withColumn("n_tokens", message_tokens("messages"))
     return budget_flag(out, "n_tokens", model=model, reserve=reserve)
 

@@ -244,7 +244,8 @@ def q_outline_explode(spark, d):
 def _contexts(spark, d, keep=5):
     """Per section: its first ``keep`` chunk texts (non-ASCII stripped), in rank order."""
     secs = X.vector_queries(spark, d).select("page_id", "sec_pos", "section")
-    ctx = shaping.section_context(secs, X.section_chunks(spark, d), keep)
+    # ranked and cut on ids; texts are joined to what is left
+    ctx = X.with_chunk_text(shaping.section_context(secs, X.section_ranks(spark, d, keep=keep), keep), spark, d)
     ctx = ctx.withColumn("chunk", T.strip_non_ascii("chunk"))
     return shaping.ordered_list(ctx, ["page_id", "sec_pos", "section"], "rank", "chunk", "docs")
 
@@ -252,7 +253,7 @@ def _contexts(spark, d, keep=5):
 @query("section_context")
 def q_section_context(spark, d):
     secs = X.vector_queries(spark, d).select("page_id", "sec_pos", "section")
-    return shaping.section_context(secs, X.section_chunks(spark, d), 5).select(
+    return shaping.section_context(secs, X.section_ranks(spark, d, keep=5), 5).select(
         "page_id", "sec_pos", "section", "rank", "chunk_id")
 
 
@@ -290,11 +291,10 @@ def q_section_prompt(spark, d):
 @query("outline_prompt")
 def q_outline_prompt(spark, d):
     from pyspark.sql import Window
-    ch = X.section_chunks(spark, d)
-    best = ch.groupBy("page_id", "chunk_id", "chunk").agg(F.max("score").alias("best"))
+    best = X.section_ranks(spark, d).groupBy("page_id", "chunk_id").agg(F.max("score").alias("best"))
     w = Window.partitionBy("page_id").orderBy(F.desc("best"), "chunk_id")
-    top = best.withColumn("rank", F.row_number().over(w)).filter("rank <= 5") \
-        .withColumn("chunk", T.strip_non_ascii("chunk"))
+    top = best.withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
+    top = X.with_chunk_text(top, spark, d).withColumn("chunk", T.strip_non_ascii("chunk"))
     docs = shaping.ordered_list(top, ["page_id"], "rank", "chunk", "docs")
     head = shaping.fill(K.OUTLINE_PROMPT_HEAD, keyword=X.page_key())
     body = F.array_join(shaping.numbered(F.col("docs"), "colon"), "\n")
@@ -494,8 +494,10 @@ def q_citation_ids(spark, d):
 
 
 def _premises(spark, d):
-    pairs = citations.cite_pairs(_units(spark, d), ["doc_id"])
-    return citations.attach_premises(pairs, X.premise_lists(spark, d), ["doc_id"])
+    """Citations resolved to documents on narrow rows; texts are joined last."""
+    cited = citations.cite_records(X.cited_records(spark, d), ["doc_id"])
+    texts = X.table(spark, d, "documents").select(F.col("doc_id").alias("ref"), F.col("text").alias("premise"))
+    return cited.join(texts, "ref", "left").withColumn("premise", F.coalesce("premise", F.lit(" ")))
 
 
 @query("citation_premises")
@@ -513,12 +515,12 @@ def q_nli_inputs(spark, d):
                     F.length(s).cast("bigint").alias("input_chars"))
 
 
-def _labels(spark, d):
+def _labels(spark, d, outer=False):
     """Lexical support labels. Each document's word set is computed once and
     joined to its citations (a document is the premise of up to 5 others)."""
-    pairs = citations.cite_pairs(_units(spark, d), ["doc_id"])
-    refs = X.premise_lists(spark, d, value=citations.word_set("text"))
-    p = citations.attach_premises(pairs, refs, ["doc_id"], missing=F.array().cast("array<string>"))
+    cited = citations.cite_records(X.cited_records(spark, d), ["doc_id"], outer=outer)
+    words = X.table(spark, d, "documents").select(F.col("doc_id").alias("ref"), citations.word_set("text").alias("premise"))
+    p = cited.join(words, "ref", "left").withColumn("premise", F.coalesce("premise", F.array().cast("array<string>")))
     return p.select("doc_id", "unit_pos", "cite_pos",
                     citations.lexical_support("premise", "hypothesis", premise_words=True).alias("label"))
 
@@ -530,14 +532,23 @@ def q_lexical_support(spark, d):
 
 @query("unit_labels")
 def q_unit_labels(spark, d):
-    ul = citations.unit_labels(_units(spark, d), _labels(spark, d), ["doc_id"])
+    ul = citations.labels_per_unit(_labels(spark, d, outer=True), ["doc_id"]).filter("unit_pos IS NOT NULL")
     return ul.select("doc_id", "unit_pos", F.array_join("labels", ",").alias("labels"))
 
 
 @query("citation_scores")
 def q_citation_scores(spark, d):
-    ul = citations.unit_labels(_units(spark, d), _labels(spark, d), ["doc_id"])
-    return citations.citation_scores(ul, X.table(spark, d, "documents"), ["doc_id"])
+    return citations.scores_of_units(citations.labels_per_unit(_labels(spark, d, outer=True), ["doc_id"]), ["doc_id"])
+
+
+@query("section_premises")
+def q_section_premises(spark, d):
+    """Citations of generated articles, each resolved in its own section's list."""
+    from ..operators import articles
+    secs = articles.sections_of(articles.generated(X.generated_records(spark, d), "json"), ["page_id"])
+    p = citations.cite_records(secs, ["page_id", "sec_pos"], refs="retrieve")
+    return p.select("page_id", "sec_pos", "unit_pos", "cite_pos", "idx", F.md5("hypothesis").alias("hypothesis_md5"),
+                    F.md5(F.coalesce("ref", F.lit(" "))).alias("premise_md5"))
 
 
 @query("judge_prompt")
@@ -584,6 +595,91 @@ def q_search_results_split(spark, d):
     return hits.select(F.col("title").cast("bigint").alias("page_id"), F.col("link").alias("url"), F.md5("text").alias("text_md5"))
 
 
+def _folder(spark, name):
+    from ..session import scratch_folder
+    return scratch_folder(spark, name)
+
+
+@query("article_files")
+def q_article_files(spark, d):
+    """Articles written as JSON objects in files, with a broken file among them, and read
+    back; the broken one goes aside."""
+    from ..sources import readers
+    path = _folder(spark, "article-files")
+    a = X.conversation_articles(spark, d)
+    X.write_elements(a.select(F.to_json(F.struct(F.col("page_id").alias("id"), "key", "outlines", "contents")).alias("value")), path, "[", "]")
+    a.groupBy().agg(F.lit('{"id": 1, "outlines": ["cut').alias("value")).write.mode("append").text(path)
+    good, bad = readers.read_articles(spark, path, with_rejects=True)
+    good = good.select("page_id", "key", F.array_join("outlines", "|").alias("outlines"), F.md5(F.array_join("contents", "|")).alias("contents_md5"))
+    return good.unionByName(bad.select(F.col("id").alias("page_id"), F.lit("rejected").alias("key"),
+                                       F.col("_corrupt_record").alias("outlines"), F.lit(None).cast("string").alias("contents_md5")))
+
+
+@query("search_files")
+def q_search_files(spark, d):
+    from ..sources import readers
+    path = _folder(spark, "search-files")
+    pages = X.table(spark, d, "pages").select(F.to_json(F.struct(
+        F.col("page_id").cast("string").alias("title"), F.col("url").alias("link"), F.col("html").alias("text"))).alias("value"))
+    X.write_elements(pages, path, "[", "]")
+    return readers.read_search_results(spark, path).select(F.col("title").cast("bigint").alias("page_id"), "url", F.md5("text").alias("text_md5"))
+
+
+@query("retrieval_files")
+def q_retrieval_files(spark, d):
+    from ..sources import readers
+    path = _folder(spark, "retrieval-files")
+    sections = X.vector_queries(spark, d).select("page_id", "sec_pos", "section")
+    nested = dense.nest_results(_dense(spark, d).join(sections, ["page_id", "sec_pos"]))
+    X.write_elements(nested.select(F.to_json(F.struct(F.col("page_id").alias("id"), "sections", F.col("top_chunks").alias("top-chunks"))).alias("value")), path, "[", "]")
+    r = readers.read_retrieval_results(spark, path)
+    return r.select("page_id", "sec_pos", "section", "rank", F.col("chunk").cast("bigint").alias("chunk_id"))
+
+
+@query("dataset_files")
+def q_dataset_files(spark, d):
+    """Chunked documents written clustered by article, section rows as JSON lines, over-budget
+    keys aside; all read back."""
+    from ..sources import writers
+    path = _folder(spark, "dataset-files")
+    docs = X.article_docs(spark, d).select("page_id", "doc_id", F.length("content").cast("bigint").alias("n_chars"))
+    writers.write_with_rejects(docs.withColumn("accepted", F.col("n_chars") < 2000), f"{path}/good", f"{path}/log", key="doc_id")
+    writers.write_dataset(docs, f"{path}/all", "page_id")
+    writers.write_jsonl(docs, f"{path}/lines")
+    whole = spark.read.schema(docs.schema).parquet(f"{path}/all").withColumn("kind", F.lit("all"))
+    good = spark.read.schema(docs.schema).parquet(f"{path}/good").withColumn("kind", F.lit("good"))
+    lines = spark.read.schema(docs.schema).json(f"{path}/lines").withColumn("kind", F.lit("lines"))
+    log = spark.read.schema("doc_id bigint").json(f"{path}/log").select(
+        F.lit(None).cast("bigint").alias("page_id"), "doc_id", F.lit(None).cast("bigint").alias("n_chars"), F.lit("log").alias("kind"))
+    return whole.unionByName(good).unionByName(lines).unionByName(log)
+
+
+@query("retrieve_indices")
+def q_retrieve_indices(spark, d):
+    return sparse.retrieve(X.sparse_queries(spark, d), X.article_docs(spark, d), k=5, method="TFIDF", indices=True)
+
+
+@query("attach_responses")
+def q_attach_responses(spark, d):
+    """Requests of every conversation's user turns get the text of the turn after, other fields kept."""
+    from ..operators import articles
+    c = X.table(spark, d, "conversations")
+    inputs = c.filter("role = 'user'").select("conv_id", "turn", F.upper("role").alias("kind"), F.md5("text").alias("asked_md5"), "text")
+    replies = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), "text")
+    return articles.attach_responses(inputs, replies, ["conv_id", "turn"])
+
+
+@query("article_records")
+def q_article_records(spark, d):
+    """Section texts with the chunks that each was written from, as one record per article."""
+    from ..operators import articles
+    c = _contexts(spark, d)
+    secs = c.select("page_id", "sec_pos", "section", F.concat(F.col("section"), F.lit(": "), F.element_at("docs", 1)).alias("text"), F.col("docs").alias("retrieve"))
+    r = articles.article_records(secs, ["page_id"])
+    return r.select("page_id", F.array_join("outline", "|").alias("outline"), F.md5(F.array_join("text", "|")).alias("text_md5"),
+                    F.md5(F.array_join(F.transform("retrieve", lambda x: F.array_join(x, "~")), "|")).alias("retrieve_md5"))
+
+
 def _events(spark, d):
     """Requests and responses of every conversation, in four files: a turn's response
     comes up to three files after (or before) its request; every seventh failed and

@@ -140,11 +140,15 @@ def page_key(col: str = "page_id"):
     return F.concat(F.lit("Topic "), F.col(col).cast("string"))
 
 
-def section_chunks(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
-    """Dense top-``k`` chunks per section query, with the chunk text (the
-    document whose ``doc_id`` is the chunk id; '' when there is none)."""
+def section_ranks(spark: SparkSession, d: str, k: int = 50, keep: int | None = None) -> DataFrame:
+    """Dense top-``k`` chunks per section query, the first ``keep`` of them."""
     from ..operators import dense
-    ranked = dense.dense_topk(vector_queries(spark, d), vectors(spark, d), k=k, keep=None)
+    return dense.dense_topk(vector_queries(spark, d), vectors(spark, d), k=k, keep=keep, block_rows=128)
+
+
+def with_chunk_text(ranked: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """Ranked chunks with their texts (the document whose ``doc_id`` is the chunk
+    id; '' when there is none)."""
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"),
                                                 F.col("text").alias("chunk"))
     return (ranked.join(texts, "chunk_id", "left")
@@ -212,6 +216,32 @@ def cited_documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(marked, "").alias("text"))
 
 
+def cited_records(spark: SparkSession, d: str, n: int = 5) -> DataFrame:
+    """``doc_id, text, refs``: the cited documents with their reference lists as ids,
+    documents ``d+1`` .. ``d+n``."""
+    ids = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.col("doc_id") + i)
+    return cited_documents(spark, d).withColumn("refs", ids)
+
+
+def generated_records(spark: SparkSession, d: str) -> DataFrame:
+    """Generated articles as stored JSON: ``text`` and ``retrieve``. The sections of a
+    conversation are its assistant turns, section ``i`` ends with ``[i % 4]`` and
+    ``[1]``; the list of a section is the first user turn before it (or ``none``) and its own text. An
+    even conversation has a list of texts and a list of lists, an odd one a single
+    text (sections joined by newline) and the list of all user turns."""
+    c = table(spark, d, "conversations")
+    rows = (c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("_t"))
+            .select("conv_id", F.filter("_t", lambda x: x["role"] == "assistant").alias("_a"),
+                    F.filter("_t", lambda x: x["role"] == "user").alias("_u")))
+    marked = F.transform("_a", lambda x, i: F.concat(x["text"], F.lit("["), F.pmod(i, F.lit(4)).cast("string"), F.lit("][1]")))
+    before = lambda x: F.concat(F.transform(F.filter("_u", lambda u: u["turn"] < x["turn"]), lambda u: u["text"]), F.array(F.lit("none")))
+    lists = F.transform("_a", lambda x: F.array(F.element_at(before(x), 1), x["text"]))
+    users = F.transform("_u", lambda u: u["text"])
+    per = F.to_json(F.struct(marked.alias("text"), lists.alias("retrieve")))
+    one = F.to_json(F.struct(F.array_join(marked, "\n").alias("text"), users.alias("retrieve")))
+    return rows.filter(F.size("_a") > 0).select(F.col("conv_id").alias("page_id"), F.when(F.pmod("conv_id", F.lit(2)) == 0, per).otherwise(one).alias("json"))
+
+
 def premise_lists(spark: SparkSession, d: str, n: int = 5, value=None) -> DataFrame:
     """The reference list of document ``d``: documents ``d+1`` .. ``d+n``
     (an equi-join on the computed id, no window). ``value`` (default the
@@ -240,19 +270,21 @@ def judge_replies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def write_elements(elements: DataFrame, path: str, opening: str, closing: str) -> None:
-    """JSON elements (a text column) as files that hold one JSON value on one line each."""
+    """JSON elements (a text column ``value``) as files that hold one JSON array or
+    object each, an element per line."""
     def bracketed(batches):
         import pyarrow as pa
-        first, last = True, None
+        one = lambda v: pa.RecordBatch.from_arrays([pa.array([v])], names=["value"])
+        last, begin = None, opening
         for b in batches:
             for v in b.column(0).to_pylist():
                 if last is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([last])], names=["value"])
-                last, first = (opening if first else "") + v, False
+                    yield one(last + ",")
+                last, begin = begin + v, ""
         if last is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([last + closing])], names=["value"])
+            yield one(last + closing)
 
-    elements.select("value").mapInArrow(bracketed, "value string").write.mode("overwrite").option("lineSep", ",").text(path)
+    elements.select("value").mapInArrow(bracketed, "value string").write.mode("overwrite").text(path)
 
 
 def write_outline_maps(articles: DataFrame, path: str) -> None:

@@ -697,3 +697,61 @@ FROM h JOIN lead USING (page_id) LEFT JOIN links USING (page_id)
 JOIN (SELECT page_id, sec_pos, array_to_string(list(up_name ORDER BY up_pos), ' > ') AS path FROM up GROUP BY page_id, sec_pos) p
   ON p.page_id = h.page_id AND p.sec_pos = h.sec_pos
 WHERE h.sec_pos > 0"""
+
+_RECORD_SECTIONS = """
+WITH a AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE role = 'assistant'),
+m AS (SELECT conv_id, i, turn, text AS own, text || '[' || (i % 4) || '][1]' AS marked FROM a),
+fu AS (SELECT a.conv_id, a.turn, arg_min(u.text, u.turn) AS first_user FROM a JOIN conversations u
+  ON u.conv_id = a.conv_id AND u.role = 'user' AND u.turn < a.turn GROUP BY a.conv_id, a.turn),
+us AS (SELECT conv_id, list(text ORDER BY turn) AS texts FROM conversations WHERE role = 'user' GROUP BY conv_id)
+SELECT m.conv_id AS page_id, i AS sec_pos, marked AS text, [coalesce(fu.first_user, 'none'), own] AS docs
+FROM m LEFT JOIN fu ON fu.conv_id = m.conv_id AND fu.turn = m.turn WHERE m.conv_id % 2 = 0
+UNION ALL
+SELECT m.conv_id, 0, string_agg(marked, chr(10) ORDER BY m.turn), any_value(us.texts)
+FROM m LEFT JOIN us ON us.conv_id = m.conv_id WHERE m.conv_id % 2 = 1 GROUP BY m.conv_id"""
+
+SQL["section_premises"] = f"""
+WITH sec AS ({_RECORD_SECTIONS}),
+pe AS (SELECT page_id, sec_pos, unnest(parts) AS s, generate_subscripts(parts, 1) AS p FROM (
+  SELECT page_id, sec_pos, string_split(regexp_replace(text, {lit('(' + T.MARKER + ')')}, chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS parts FROM sec)),
+pn AS (SELECT *, sum(CASE WHEN NOT regexp_matches(s, {lit('^' + T.MARKER + '$')}) AND s <> '' AND s <> chr(10) THEN 1 ELSE 0 END)
+  OVER (PARTITION BY page_id, sec_pos ORDER BY p ROWS UNBOUNDED PRECEDING) AS u FROM pe),
+un AS (SELECT page_id, sec_pos, u, string_agg(s, '' ORDER BY p) AS unit FROM pn GROUP BY page_id, sec_pos, u),
+uu AS (SELECT page_id, sec_pos, row_number() OVER (PARTITION BY page_id, sec_pos ORDER BY u) - 1 AS unit_pos, unit FROM un WHERE u > 0 OR unit <> ''),
+c AS (SELECT page_id, sec_pos, unit_pos, regexp_replace(unit, {lit(T.MARKER)}, '', 'g') AS hypothesis,
+  list_transform(regexp_extract_all(unit, '\\[([0-9]+)\\]', 1), lambda x: CAST(x AS BIGINT) - 1) AS ids FROM uu),
+e AS (SELECT *, unnest(ids) AS idx, generate_subscripts(ids, 1) - 1 AS cite_pos FROM c)
+SELECT e.page_id, CAST(e.sec_pos AS BIGINT) AS sec_pos, CAST(unit_pos AS BIGINT) AS unit_pos, CAST(cite_pos AS BIGINT) AS cite_pos, idx,
+  md5(hypothesis) AS hypothesis_md5,
+  md5(CASE WHEN idx >= 0 AND idx < len(sec.docs) THEN coalesce(sec.docs[idx + 1], ' ') ELSE ' ' END) AS premise_md5
+FROM e JOIN sec ON sec.page_id = e.page_id AND sec.sec_pos = e.sec_pos"""
+
+SQL["article_files"] = f"""
+SELECT page_id, any_value(key) AS key, array_to_string(list(section ORDER BY sec_pos), '|') AS outlines,
+  md5(array_to_string(list(text ORDER BY sec_pos), '|')) AS contents_md5
+FROM ({CONV_SECTIONS}) GROUP BY page_id
+UNION ALL SELECT NULL, 'rejected', '{{"id": 1, "outlines": ["cut' || chr(10), NULL"""
+
+SQL["search_files"] = SQL["search_results_split"]
+
+SQL["retrieval_files"] = f"""
+SELECT r.page_id, CAST(dense_rank() OVER (PARTITION BY r.page_id ORDER BY r.sec_pos) - 1 AS BIGINT) AS sec_pos, q.section, r.rank, r.chunk_id
+FROM ({SQL["dense_topk"]}) r JOIN ({VECTOR_QUERIES}) q ON q.page_id = r.page_id AND q.sec_pos = r.sec_pos"""
+
+SQL["dataset_files"] = f"""
+WITH a AS (SELECT page_id, doc_id, CAST(length(content) AS BIGINT) AS n_chars FROM ({ARTICLE_DOCS}))
+SELECT *, 'all' AS kind FROM a UNION ALL SELECT *, 'lines' FROM a UNION ALL SELECT *, 'good' FROM a WHERE n_chars < 2000
+UNION ALL SELECT NULL, doc_id, NULL, 'log' FROM a WHERE n_chars >= 2000"""
+
+SQL["retrieve_indices"] = f"SELECT query_id, page_id, rank, doc_id FROM ({SQL['tfidf_topk']})"
+
+SQL["attach_responses"] = """
+SELECT u.conv_id, u.turn, upper(u.role) AS kind, md5(u.text) AS asked_md5, a.text
+FROM conversations u JOIN (SELECT conv_id, turn - 1 AS turn, max(text) AS text FROM conversations WHERE role = 'assistant' GROUP BY ALL) a
+  ON a.conv_id = u.conv_id AND a.turn = u.turn WHERE u.role = 'user'"""
+
+SQL["article_records"] = f"""
+SELECT page_id, array_to_string(list(section ORDER BY sec_pos), '|') AS outline,
+  md5(array_to_string(list(section || ': ' || docs[1] ORDER BY sec_pos), '|')) AS text_md5,
+  md5(array_to_string(list(array_to_string(docs, '~') ORDER BY sec_pos), '|')) AS retrieve_md5
+FROM ({CONTEXTS}) GROUP BY page_id"""
