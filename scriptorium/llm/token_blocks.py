@@ -14,18 +14,22 @@ rows are in document order. ``path/index`` has one row per range partition with
 its first position in the whole stream.
 
 *Encoding*: a text's ids are the ids of the pieces into which the tokenizer's
-pattern cuts it; a worker encodes every distinct piece once (``Encoder``).
+pattern cuts it; a worker encodes every distinct piece once (``Encoder``). This holds
+for byte-level files without a normaliser, whose added tokens begin with ``<|``
+(``cut_in_pieces`` reads the file); with any other file whole texts are encoded.
 
 One shuffle moves the texts into id order; encoding, packing and reading back
 are map-only.
 
 Defined cases: a null text is an empty one and has the end id alone. Repeated
 ids are kept, ordered by their text; null ids come first. Special tokens in a
-text are read as the tokenizer reads them.
+text are read as the tokenizer reads them. A very long text is a slice of its own and
+may be a chunk of its own. Columns of other names play no part. Empty input writes no chunks.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -55,11 +59,23 @@ PIECES = regex.compile(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\0]+|\n|\0")
 #: tokens, and white space other than its first space and single line breaks
 WHOLE = re.compile(r"['\x01-\x09\x0b-\x1f\x7f-\xa0]|<\||\n(?=[\s\0]|\Z)|(?<=\0)[^\S ]|\A[^\S ]|(?<![\0])(?!\A)[^\S\n]| (?=[\s\0]|\Z)")
 SIMPLE = re.compile(r" ?\S+\Z")
-#: distinct pieces a worker remembers before it starts anew
-KNOWN_PIECES = 400_000
+#: distinct words a worker remembers before it starts anew
+KNOWN_WORDS = 800_000
 
 
 # ---------------------------------------------------------------- encoding
+def cut_in_pieces(tokenizer_json: str) -> bool:
+    """Whether a tokenizer file cuts texts as ``Encoder`` does: byte-level pieces by the
+    usual pattern, nothing that changes a text before or joins pieces after."""
+    spec = json.loads(tokenizer_json)
+    before, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = (before.get("type") == "ByteLevel" and not before.get("add_prefix_space", True) and before.get("use_regex", True)
+             and not spec.get("normalizer") and model.get("type", "BPE") == "BPE" and not model.get("dropout")
+             and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix"))
+    return plain and all(t["content"].startswith("<|") and not (t.get("lstrip") or t.get("rstrip") or t.get("single_word"))
+                         for t in spec.get("added_tokens") or [])
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, piece by piece.
 
@@ -73,9 +89,18 @@ class Encoder:
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.whole = not cut_in_pieces(tokenizer_json)
         self.newline = self._plain(["\n"])[0]
+        self._forget()
+
+    def _forget(self) -> None:
         self.pieces: dict[str, int] = {}
         self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        #: words (with a space before them), their ids and bounds
+        self.words: dict[str, int] = {}
+        self.word_ids, self.word_bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -103,12 +128,10 @@ class Encoder:
 
     def _rows(self, pieces: list[str]) -> np.ndarray:
         get = self.pieces.get
-        row = [get(p, -1) for p in pieces]
-        new = list(dict.fromkeys([p for p, r in zip(pieces, row) if r < 0])) if -1 in row else []
+        new = [p for p in dict.fromkeys(pieces) if p not in self.pieces]
         if new:
             self._learn(new)
-            row = [get(p) for p in pieces]
-        return np.array(row, dtype=np.int64)
+        return np.fromiter(map(get, pieces), np.int64, len(pieces))
 
     def _words(self, leads: list[str], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of ``leads`` and then of ``words`` with a space before each."""
@@ -143,18 +166,30 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, bounds of the texts in them)."""
-        if len(self.pieces) > KNOWN_PIECES:
-            self.pieces, self.ids, self.bounds = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        if self.whole:
+            found = self._plain(texts)
+            flat = [np.array(x, dtype=np.uint32) for x in found]
+            return np.concatenate([np.zeros(0, np.uint32), *flat]), np.append(0, np.cumsum([len(x) for x in found])).astype(np.int64)
+        if len(self.words) > KNOWN_WORDS:
+            self._forget()
         parts = [_split(t) if t else [] for t in texts]
         codes, words = distinct_codes([w for p in parts for w in p])
+        new = [w for w in words if w not in self.words]
+        if new:
+            ids, bounds = self._words([], new)
+            self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+            self.word_ids = np.concatenate([self.word_ids, ids])
+            self.word_bounds = np.concatenate([self.word_bounds, self.word_bounds[-1] + bounds[1:]])
+        row = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))[codes]
+        start, length = self.word_bounds[row], np.diff(self.word_bounds)[row]
         # the first word of a text has no space before it
         n = np.array([len(p) for p in parts], dtype=np.int64)
         lead, leads = distinct_codes([p[0] for p in parts if p])
-        codes += len(leads)
-        codes[(np.cumsum(n) - n)[n > 0]] = lead
-        ids, bounds = self._words(leads, words)
-        length = np.diff(bounds)[codes]
-        return ids[_ranges(bounds[codes], length)], np.append(0, np.cumsum(length))[np.append(0, np.cumsum(n))]
+        ids, bounds = self._words(leads, [])
+        first = (np.cumsum(n) - n)[n > 0]
+        start[first], length[first] = len(self.word_ids) + bounds[lead], np.diff(bounds)[lead]
+        store = np.concatenate([self.word_ids, ids])
+        return store[_ranges(start, length)], np.append(0, np.cumsum(length))[np.append(0, np.cumsum(n))]
 
 
 def _split(text: str) -> list[str]:
