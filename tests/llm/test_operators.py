@@ -457,3 +457,32 @@ def test_shards_are_runs_and_prune(spark):
     names = spark.createDataFrame([(f"s{i}",) for i in range(2000)] + [(None,)], "s string")
     cells = names.select("s", hilbert_shards.category_cell(F.col("s")).alias("c")).collect()
     assert {r.c for r in cells if r.s is None} == {0} and min(r.c for r in cells if r.s is not None) == 1
+
+
+@pytest.mark.parametrize("change", [
+    {}, {"pre_tokenizer": {"add_prefix_space": True}}, {"added": "[MASK]"}, {"normalizer": {"type": "Lowercase"}},
+    {"truncation": {"direction": "Right", "max_length": 5, "strategy": "LongestFirst", "stride": 0}}])
+def test_any_tokenizer_file_gives_the_library_s_ids(change, monkeypatch):
+    """Files that cut texts in another way are noticed; words that are known from
+    batches before, and a worker that forgets, change nothing."""
+    import json
+
+    from tokenizers import Tokenizer
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    added = change.pop("added", None)
+    spec["pre_tokenizer"] |= change.pop("pre_tokenizer", {})
+    spec |= change
+    if added:
+        spec["added_tokens"].append(spec["added_tokens"][0] | {"id": 50257, "content": added})
+    source = json.dumps(spec)
+    assert token_blocks.cut_in_pieces(source) == (not added and "normalizer" not in change and not spec["pre_tokenizer"]["add_prefix_space"])
+    library = Tokenizer.from_str(source)
+    library.no_truncation()
+    texts = ["Hello world", "", " lead", "It's [MASK]ed, isn't it? [MASK]", "a  b\n c\n\nd\t", "x<|endoftext|>y", "Hello, WORLD again; it's here", "a\0b c", "Hello world Hello"]
+    for limit in (800_000, 2):
+        monkeypatch.setattr(token_blocks, "KNOWN_WORDS", limit)
+        own = token_blocks.Encoder(source)
+        for batch in (texts, texts[::-1], texts[2:5], []):
+            ids, bounds = own.encode(batch)
+            assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [library.encode(t, add_special_tokens=False).ids for t in batch]
