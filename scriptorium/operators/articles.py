@@ -27,7 +27,8 @@ def generated(df: DataFrame, col: str = "json", keep: tuple[str, ...] = ("page_i
     kind = F.schema_of_variant(field("retrieve")("variant"))
     nested = kind.startswith("ARRAY<ARRAY")
     flat, _ = _texts(field("retrieve")("variant"), field("retrieve"))
-    lists = F.when(nested, field("retrieve")("array<array<string>>")).when(kind.isNull(), F.array().cast("array<array<string>>")).otherwise(F.array(flat))
+    lists = F.when(nested, field("retrieve")("array<array<string>>")).when(
+        kind.isNull() | (per_section & (F.size(flat) == 0)), F.array().cast("array<array<string>>")).otherwise(F.array(flat))
     outline = field("outline")("array<string>")
     none = F.array().cast("array<string>")
     return rows.select(*keep, field("key")("string").alias("key"), F.coalesce(outline, none).alias("outline"),

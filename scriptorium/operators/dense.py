@@ -25,6 +25,8 @@ from ..functions.constants import DENSE_K, DENSE_KEEP
 
 #: query vectors multiplied with a block at once
 QUERY_ROWS = 1024
+#: fixed value: tokens of a passage or query that encoders take
+MAX_TOKENS = 512
 
 
 def section_query_text(section, title):
@@ -187,10 +189,19 @@ def hash_embed(df: DataFrame, col: str = "content", dim: int = 64,
     return df.withColumn(out, count(bucket))
 
 
+def first_tokens(col, n: int):
+    """The text up to the end of its ``n``-th word-and-punctuation token."""
+    return F.regexp_extract(T._c(col), f"^(?:[{T.WS_CLASS}]*+(?:{T.TOKEN})){{0,{n}}}+", 0)
+
+
 def embed_passages(df: DataFrame, encoder: Callable[[list[str]], np.ndarray], *,
-                   col: str = "content", out: str = "embedding", batch: int = 512) -> DataFrame:
+                   col: str = "content", out: str = "embedding", batch: int = 512,
+                   max_tokens: int | None = MAX_TOKENS) -> DataFrame:
     """Hook for a user encoder: ``encoder(list_of_texts) -> (n, dim) array``,
-    called on Arrow batches of at most ``batch`` rows inside the tasks."""
+    called on Arrow batches of at most ``batch`` rows inside the tasks. Encoders
+    take passages (and section queries) of so many tokens: a longer text ends after
+    its first ``max_tokens`` word-and-punctuation tokens (None: whole texts; chunks of
+    the usual size are shorter)."""
     from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
     schema = StructType([*df.schema.fields, StructField(out, ArrayType(FloatType()))])
 
@@ -198,8 +209,9 @@ def embed_passages(df: DataFrame, encoder: Callable[[list[str]], np.ndarray], *,
         for pdf in it:
             for start in range(0, len(pdf), batch):
                 part = pdf.iloc[start:start + batch].copy()
-                vecs = np.asarray(encoder(part[col].fillna("").tolist()), dtype=np.float32)
+                vecs = np.asarray(encoder(part["_passage"].tolist()), dtype=np.float32)
                 part[out] = list(vecs)
-                yield part
+                yield part.drop(columns="_passage")
 
-    return df.mapInPandas(run, schema)
+    passage = F.coalesce(F.col(col), F.lit(""))
+    return df.withColumn("_passage", passage if max_tokens is None else first_tokens(passage, max_tokens)).mapInPandas(run, schema)

@@ -647,13 +647,29 @@ def q_dataset_files(spark, d):
     writers.write_dataset(docs, f"{path}/all", "page_id")
     writers.write_jsonl(docs, f"{path}/lines")
     whole = spark.read.schema(docs.schema).parquet(f"{path}/all").withColumn("kind", F.lit("all"))
-    good = spark.read.schema(docs.schema).parquet(f"{path}/good").withColumn("kind", F.lit("good"))
+    good = spark.read.schema(docs.schema).parquet(f"{path}/good/accepted=true").withColumn("kind", F.lit("good"))
     lines = spark.read.schema(docs.schema).json(f"{path}/lines").withColumn("kind", F.lit("lines"))
     log = spark.read.schema("doc_id bigint").json(f"{path}/log").select(
         F.lit(None).cast("bigint").alias("page_id"), "doc_id", F.lit(None).cast("bigint").alias("n_chars"), F.lit("log").alias("kind"))
     return whole.unionByName(good).unionByName(lines).unionByName(log)
 
 
+@query("chunk_text_lookup_bucketed")
+def q_chunk_text_lookup_bucketed(spark, d):
+    """The chunk lookup on stored tables in buckets by article and chunk: ranked chunks
+    and chunk texts meet without an exchange of either."""
+    import uuid
+    from ..sources import writers
+    path, name = _folder(spark, "buckets"), f"t{uuid.uuid4().hex}"
+    texts = X.vectors(spark, d).select("page_id", "chunk_id").join(
+        X.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), "chunk_id")
+    buckets, on = int(spark.conf.get("spark.sql.shuffle.partitions")), ["page_id", "chunk_id"]
+    writers.write_bucketed(_dense(spark, d).select("page_id", "chunk_id", "sec_pos", "rank"), f"{name}_ranked", f"{path}/ranked", on, buckets)
+    writers.write_bucketed(texts, f"{name}_texts", f"{path}/texts", on, buckets)
+    found = dense.lookup_chunk_text(spark.table(f"{name}_ranked"), spark.table(f"{name}_texts"), on=on)
+    return found.select("page_id", "sec_pos", "rank", "chunk_id", F.md5("content").alias("text_md5"))
+
+
 @query("retrieve_indices")
 def q_retrieve_indices(spark, d):
     return sparse.retrieve(X.sparse_queries(spark, d), X.article_docs(spark, d), k=5, method="TFIDF", indices=True)

@@ -755,3 +755,5 @@ SELECT page_id, array_to_string(list(section ORDER BY sec_pos), '|') AS outline,
   md5(array_to_string(list(section || ': ' || docs[1] ORDER BY sec_pos), '|')) AS text_md5,
   md5(array_to_string(list(array_to_string(docs, '~') ORDER BY sec_pos), '|')) AS retrieve_md5
 FROM ({CONTEXTS}) GROUP BY page_id"""
+
+SQL["chunk_text_lookup_bucketed"] = f"SELECT page_id, sec_pos, rank, chunk_id, md5(content) AS text_md5 FROM ({SQL['chunk_text_lookup']})"

@@ -265,3 +265,48 @@ def test_section_beyond_the_lists_is_dropped(spark):
     refs = spark.createDataFrame([(1, 0, "p0")], "pid long, ref_pos long, premise string")
     assert [r.pid for r in citations.attach_premises(pairs, refs, KEYS, only_listed=True).collect()] == [1]
     assert citations.attach_premises(pairs, refs, KEYS).count() == 2
+
+
+def test_generated_records_in_any_form(spark):
+    from scriptorium.operators import articles
+    rows = [(1, '{"key": "K", "outline": ["a", "b"], "text": ["t1[1]", "t2[2][9]"], "retrieve": [["d1"], ["e1", "e2"], ["x"]]}'),
+            (2, '{"text": "whole[1][0]\\nmore[2]", "retrieve": ["d1", "d2"]}'), (3, '{"text": "no list[1]"}'), (4, "{}"), (5, None),
+            (6, "broken {"), (7, '{"text": [], "retrieve": []}'), (8, '{"text": ["a[1]"], "retrieve": []}'), (9, '{"text": "[one]", "retrieve": "d"}')]
+    df = spark.createDataFrame(rows, "page_id long, json string")
+    got = {r.page_id: r for r in articles.generated(df).collect()}
+    assert (got[1].key, got[1].outline, got[1].text, got[1].per_section) == ("K", ["a", "b"], ["t1[1]", "t2[2][9]"], True)
+    assert got[1].retrieve == [["d1"], ["e1", "e2"], ["x"]]
+    assert (got[2].text, got[2].retrieve, got[2].per_section) == (["whole[1][0]\nmore[2]"], [["d1", "d2"]], False)
+    assert all((got[i].text, got[i].retrieve) == ([], []) for i in (4, 5, 6)) and (got[9].text, got[9].retrieve) == (["[one]"], [["d"]])
+    secs = articles.sections_of(articles.generated(df), ["page_id"])
+    assert sorted((r.page_id, r.sec_pos, len(r.retrieve)) for r in secs.collect()) == [(1, 0, 1), (1, 1, 2), (2, 0, 2), (3, 0, 0), (9, 0, 1)]
+    p = citations.cite_records(secs, ["page_id", "sec_pos"], refs="retrieve")
+    assert sorted((r.page_id, r.sec_pos, r.unit_pos, r.cite_pos, r.idx, r.ref or "") for r in p.collect()) == [
+        (1, 0, 0, 0, 0, "d1"), (1, 1, 0, 0, 1, "e2"), (1, 1, 0, 1, 8, ""), (2, 0, 0, 0, 0, "d1"), (2, 0, 0, 1, -1, ""), (2, 0, 1, 0, 1, "d2"), (3, 0, 0, 0, 0, "")]
+
+
+def test_scores_of_records_equal_those_of_joined_tables(spark):
+    """Texts without units, units without citations, ids outside the list."""
+    rnd = random.Random(7)
+    texts = ["", "\n", "plain", "[1]"] + ["".join(rnd.choice(["a b ", "[1]", "[2]", "[7]", "\n", ". "]) for _ in range(12)) for _ in range(40)]
+    df = spark.createDataFrame([(i, t, [f"a{i}", "b"]) for i, t in enumerate(texts)], "pid long, text string, refs array<string>")
+    label = F.when(F.col("ref").isNull(), "0").when(F.pmod(F.col("pid") + F.col("unit_pos"), F.lit(3)) == 0, "0").otherwise("1")
+    rows = citations.cite_records(df, KEYS, outer=True).withColumn("label", label)
+    lists = citations.labels_per_unit(rows, KEYS)
+    units = citations.split_units(df, KEYS)
+    inner = citations.cite_records(df, KEYS).withColumn("label", label)
+    wanted = citations.unit_labels(units, inner, KEYS)
+    order = lambda d: sorted((r.pid, r.unit_pos, tuple(r.labels)) for r in d.collect())
+    assert order(lists.filter("unit_pos IS NOT NULL")) == order(wanted)
+    assert citations.scores_of_units(lists, KEYS).first() == citations.citation_scores(wanted, df, KEYS).first()
+
+
+def test_responses_replace_texts_and_records_keep_documents(spark):
+    from scriptorium.operators import articles
+    inputs = spark.createDataFrame([(1, "old", "k"), (2, "old", None), (3, "old", "z")], "pid long, text string, key string")
+    responses = spark.createDataFrame([(1, "new"), (2, "b"), (2, "a"), (9, "x")], "pid long, text string")
+    out = articles.attach_responses(inputs, responses, KEYS)
+    assert out.columns == inputs.columns and sorted(map(tuple, out.collect())) == [(1, "new", "k"), (2, "b", None)]
+    secs = spark.createDataFrame([(1, 1, "B", "tb", ["d2"]), (1, 0, "A", "ta", [])], "pid long, sec_pos long, section string, text string, retrieve array<string>")
+    r = articles.article_records(secs, KEYS).first()
+    assert (r.outline, r.text, r.retrieve) == (["A", "B"], ["ta", "tb"], [[], ["d2"]])

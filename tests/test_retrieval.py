@@ -218,3 +218,14 @@ def test_dense_null_vector_ranks_last(spark):
     qs = spark.createDataFrame([(1, 0, [1.0, 0.0])], "page_id long, sec_pos long, query_embedding array<float>")
     got = [(r.rank, r.chunk_id) for r in dense.dense_topk(qs, chunks, k=3, keep=3).orderBy("rank").collect()]
     assert got == [(1, 10), (2, 12), (3, 11)]
+
+
+def test_passages_end_with_the_last_token_an_encoder_takes(spark):
+    texts = ["one two, three", "", None, " lead  and\ttail ", "x " * 600, "a" * 5000, "é日 1_2;"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string").withColumn("embedding ", F.lit(1))
+    seen = lambda out: {r.doc_id: r.embedding[0] for r in out.collect()}
+    enc = lambda ts: np.array([[len(t)] for t in ts])
+    assert seen(dense.embed_passages(df, enc, max_tokens=3)) == {0: 8, 1: 0, 2: 0, 3: 15, 4: 5, 5: 5000, 6: 7}
+    out = dense.embed_passages(df, enc)
+    assert seen(out) == {0: 14, 1: 0, 2: 0, 3: 15, 4: 1023, 5: 5000, 6: 7} and "_passage" not in out.columns
+    assert seen(dense.embed_passages(df, enc, max_tokens=None))[4] == 1200

@@ -60,8 +60,19 @@ def test_writers_and_resume(spark):
     writers.write_jsonl(df, os.path.join(out, "jl"))
     assert spark.read.json(os.path.join(out, "jl")).count() == 3
     flagged = df.withColumn("accepted", F.col("page_id") != 2)
-    writers.write_with_rejects(flagged, os.path.join(out, "ok"), os.path.join(out, "fail"))
-    assert [r.page_id for r in spark.read.json(os.path.join(out, "fail")).collect()] == [2]
+    flagged = flagged.unionByName(spark.createDataFrame([(9, "n")], df.schema).withColumn("accepted", F.lit(None).cast("boolean")))
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(it):
+        for b in it:
+            reads.add(b.num_rows)
+            yield b
+
+    once = flagged.mapInArrow(counted, flagged.schema)
+    assert writers.write_with_rejects(once, os.path.join(out, "ok"), os.path.join(out, "fail")) == {"accepted": 2, "rejected": 2}
+    assert reads.value == 4  # one pass over the input
+    assert spark.read.parquet(os.path.join(out, "ok", "accepted=true")).count() == 2
+    assert [r.page_id for r in spark.read.json(os.path.join(out, "fail")).orderBy("page_id").collect()] == [2, 9]
     done_dir = tempfile.mkdtemp(prefix="done-")
     for name in ("1.json", "x1.json", "3.jsonl"):
         _write(done_dir, name, "{}")
@@ -95,3 +106,25 @@ def test_write_dataset_splits_a_hot_key(spark):
     back = spark.read.parquet(os.path.join(out, "ds"))
     files = back.select(F.input_file_name().alias("f")).distinct().count()
     assert back.count() == 4000 and files > 1
+
+
+def test_buckets_spare_the_exchange(spark):
+    """Joins of bucketed tables move nothing, whatever is small enough to broadcast."""
+    out = tempfile.mkdtemp(prefix="buckets-")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(0, 500).select((F.col("id") % 40).alias("page_id"), F.col("id").alias("chunk_id"), F.md5(F.col("id").cast("string")).alias("v"))
+        for name in ("chunks", "vectors"):
+            spark.sql(f"DROP TABLE IF EXISTS test_{name}")
+            writers.write_bucketed(rows, f"test_{name}", os.path.join(out, name), ["page_id", "chunk_id"], 8)
+        both = spark.table("test_chunks").join(spark.table("test_vectors").withColumnRenamed("v", "w"), ["page_id", "chunk_id"])
+        assert both.count() == 500 and both.filter("v <> w").count() == 0
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        asked = rows.filter("chunk_id % 7 = 0").select("page_id", "chunk_id").repartition(3).join(spark.table("test_vectors"), ["page_id", "chunk_id"])
+        assert asked.count() == 72
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("chunks", "vectors"):
+            spark.sql(f"DROP TABLE IF EXISTS test_{name}")
