@@ -1,5 +1,5 @@
 """Text-overlap metrics between a gold text and a candidate: BLEU, METEOR
-(exact-match stage), ROUGE-L (summary level), candidate length, and their
+(exact and stem stages), ROUGE-L (summary level), candidate length, and their
 macro means.
 
 A pair of texts is one row, and every metric is a function of that row alone:
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.stem import stem
 from ..functions.constants import (
     BLEU_WEIGHTS, FLOAT_MIN, METEOR_ALPHA, METEOR_BETA, METEOR_GAMMA)
 
@@ -72,11 +73,18 @@ class _Words:
         self.sizes = np.array([len(x) for x in lists], dtype=np.int64)
         self.text = np.repeat(np.arange(len(lists)), self.sizes)
 
-    def lower(self) -> np.ndarray:
+    def _numbered(self, form) -> np.ndarray:
+        """The words numbered anew by a form of them."""
         number: dict[str, int] = {}
-        again = np.array([number.setdefault(w.lower(), len(number)) for w in self.vocabulary], dtype=np.int64)
+        again = np.array([number.setdefault(form(w), len(number)) for w in self.vocabulary], dtype=np.int64)
         return again[self.code] if len(again) else self.code
 
+    def lower(self) -> np.ndarray:
+        return self._numbered(str.lower)
+
+    def stems(self) -> np.ndarray:
+        return self._numbered(lambda w: stem(w.lower()))
+
     def length(self, side: int) -> np.ndarray:
         """Words of every pair's candidate (side 0) or reference (side 1)."""
         return self.sizes[side::2]
@@ -128,18 +136,28 @@ def _from_last(key: np.ndarray) -> np.ndarray:
     return out
 
 
-def _meteor(w: _Words, alpha: float, beta: float, gamma: float) -> np.ndarray:
+def _matched(c: np.ndarray, r: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of candidate places ``c`` and reference places ``r``: pairs of equal keys, the
+    k-th last with the k-th last."""
+    count = len(key) + 1
+    one, two = (key[at] * count + _from_last(key[at]) if len(at) else at for at in (c, r))
+    _, i, j = np.intersect1d(one, two, assume_unique=True, return_indices=True)
+    return c[i], r[j]
+
+
+def _meteor(w: _Words, alpha: float, beta: float, gamma: float, stages: tuple[str, ...] = ("exact",)) -> np.ndarray:
     """The aligner walks the candidate from its end and takes the last free
     reference occurrence of the same word, so the k-th last occurrence of a word
-    in the candidate pairs with its k-th last in the reference."""
-    code = w.lower()
-    _, key = np.unique((w.text // 2) * (len(w.vocabulary) + 1) + code, return_inverse=True)
-    sides = []
-    for side in (0, 1):
-        at = np.flatnonzero(w.text % 2 == side)
-        sides.append((at, key[at] * (len(code) + 1) + (_from_last(key[at]) if len(at) else 0)))
-    _, c, r = np.intersect1d(sides[0][1], sides[1][1], assume_unique=True, return_indices=True)
-    c, r = sides[0][0][c], sides[1][0][r]
+    in the candidate pairs with its k-th last in the reference. A later stage does
+    the same with what is left and a coarser form of the words (their stems)."""
+    free = [np.flatnonzero(w.text % 2 == side) for side in (0, 1)]
+    found = [(free[0][:0], free[1][:0])]
+    for stage in stages:
+        code = w.lower() if stage == "exact" else w.stems()
+        _, key = np.unique((w.text // 2) * (len(w.vocabulary) + 1) + code, return_inverse=True)
+        found.append(_matched(*free, key))
+        free = [np.setdiff1d(at, taken, assume_unique=True) for at, taken in zip(free, found[-1])]
+    c, r = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(c)
     c, r = c[order], r[order]
     pair = w.text[c] // 2
@@ -262,7 +280,7 @@ def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def overlap_scores(pairs: DataFrame, keys: list[str], metrics: tuple[str, ...] = ("bleu", "meteor", "rouge_l"), *,
                    orders: tuple[int, ...] = (1, 4), alpha: float = METEOR_ALPHA, beta: float = METEOR_BETA,
-                   gamma: float = METEOR_GAMMA) -> DataFrame:
+                   gamma: float = METEOR_GAMMA, stages: tuple[str, ...] = ("exact",)) -> DataFrame:
     """``keys`` and the asked metrics (``bleu_<n>`` for each of ``orders``,
     ``meteor``, ``rouge_l``) of every row of ``pairs (keys, ref, cand)``, all in
     one map-only pass. A null text is an empty one; a pair without a common word
@@ -272,7 +290,8 @@ def overlap_scores(pairs: DataFrame, keys: list[str], metrics: tuple[str, ...] =
     * BLEU: sentence BLEU over whitespace words, clipped n-gram precision,
       brevity penalty, no smoothing (an order without a hit uses the smallest
       double as its precision).
-    * METEOR: exact-match stage over lower-cased words.
+    * METEOR over lower-cased words: ``stages`` are ``exact`` and, with what that leaves,
+      ``stem`` (Porter stems).
     * ROUGE-L: summary level, sentences split at '.'; the words of the longest
       common subsequences of all sentence pairs are united, ``F = 2PR / (P + R +
       1e-8)`` with ``P = |U| / |candidate's words|``, ``R = |U| / |reference's
@@ -290,7 +309,7 @@ def overlap_scores(pairs: DataFrame, keys: list[str], metrics: tuple[str, ...] =
                 words = _Words(cand, ref) if {"bleu", "meteor"} & set(metrics) else None
                 found = _bleu(words, orders) if "bleu" in metrics else {}
                 if "meteor" in metrics:
-                    found["meteor"] = _meteor(words, alpha, beta, gamma)
+                    found["meteor"] = _meteor(words, alpha, beta, gamma, stages)
                 if "rouge_l" in metrics:
                     found["rouge_l"] = np.array([_rouge_l(c, r) for c, r in zip(cand, ref)])
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *(pa.array(found[n]) for n in names)],
@@ -310,6 +329,11 @@ def meteor_exact(pairs: DataFrame, keys: list[str], **weights) -> DataFrame:
     return overlap_scores(pairs, keys, ("meteor",), **weights)
 
 
+def meteor(pairs: DataFrame, keys: list[str], **weights) -> DataFrame:
+    """``keys, meteor`` with the exact and the stem stage."""
+    return overlap_scores(pairs, keys, ("meteor",), stages=("exact", "stem"), **weights)
+
+
 def rouge_l(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, rouge_l``."""
     return overlap_scores(pairs, keys, ("rouge_l",))

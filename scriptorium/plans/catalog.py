@@ -457,6 +457,11 @@ def q_meteor_exact(spark, d):
     return overlap.meteor_exact(_pairs(spark, d), PK)
 
 
+@query("meteor_stem")
+def q_meteor_stem(spark, d):
+    return overlap.meteor(_pairs(spark, d), PK)
+
+
 @query("rouge_l")
 def q_rouge_l(spark, d):
     return overlap.rouge_l(_pairs(spark, d), PK)

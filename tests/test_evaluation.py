@@ -310,3 +310,47 @@ def test_responses_replace_texts_and_records_keep_documents(spark):
     secs = spark.createDataFrame([(1, 1, "B", "tb", ["d2"]), (1, 0, "A", "ta", [])], "pid long, sec_pos long, section string, text string, retrieve array<string>")
     r = articles.article_records(secs, KEYS).first()
     assert (r.outline, r.text, r.retrieve) == (["A", "B"], ["ta", "tb"], [[], ["d2"]])
+
+
+def py_meteor_stages(ref, cand, forms, alpha=0.9, beta=3, gamma=0.5):
+    """Stage by stage over what is left, from the end of both texts."""
+    h, r = list(enumerate(cand.lower().split())), list(enumerate(ref.lower().split()))
+    hl, rl, matches = len(h), len(r), []
+    for form in forms:
+        for i in range(len(h))[::-1]:
+            for j in range(len(r))[::-1]:
+                if form(h[i][1]) == form(r[j][1]):
+                    matches.append((h[i][0], r[j][0]))
+                    h.pop(i)
+                    r.pop(j)
+                    break
+    matches.sort()
+    m = len(matches)
+    if not m:
+        return 0.0
+    chunks = 1 + sum(b != (a[0] + 1, a[1] + 1) for a, b in zip(matches, matches[1:]))
+    p, rc = m / hl, m / rl
+    return (1 - gamma * (chunks / m) ** beta) * p * rc / (alpha * p + (1 - alpha) * rc)
+
+
+def test_meteor_with_stems(spark):
+    from scriptorium.functions.stem import stem
+    rnd = random.Random(12)
+    vocab = ["run", "Running", "runs", "cat", "cats", "Cat", "happy", "happily", "relational", "relate", "the", "The"]
+    rows = [tuple(" ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 12))) for _ in range(2)) for _ in range(120)]
+    rows += [(None, "a"), ("cats", "cat"), ("runs", "running")]
+    got = {r.pid: r.meteor for r in overlap.meteor(_pairs(spark, rows), KEYS).collect()}
+    for i, (ref, cand) in enumerate(rows):
+        assert got[i] == round(py_meteor_stages(ref or "", cand or "", (str, stem)), 6), (ref, cand)
+
+
+def test_stems():
+    """The algorithm's published examples."""
+    from scriptorium.functions.stem import stem
+    examples = """caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing
+    conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file
+    happy happi sky sky relational relat conditional condit rational ration digitizer digit operator oper feudalism feudal
+    decisiveness decis hopefulness hope formaliti formal sensibiliti sensibl triplicate triplic formative form electrical electr
+    goodness good revival reviv allowance allow airliner airlin adjustable adjust replacement replac adoption adopt activate activ
+    effective effect probate probat rate rate cease ceas controll control roll roll is is""".split()
+    assert [stem(w) for w in examples[::2]] == examples[1::2]
