@@ -486,3 +486,11 @@ def test_any_tokenizer_file_gives_the_library_s_ids(change, monkeypatch):
         for batch in (texts, texts[::-1], texts[2:5], []):
             ids, bounds = own.encode(batch)
             assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [library.encode(t, add_special_tokens=False).ids for t in batch]
+
+
+def test_quality_held_out(spark):
+    """Labels of four folds are learned, those of the fifth are only compared."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    found = cotraining.quality_scores(docs, labels.filter(fold != 0)).join(labels.filter(fold == 0), "doc_id").toPandas()
+    assert len(found) > 50 and ((found.predicted == 1) == (found.quality == 1)).mean() > 0.95
