@@ -291,15 +291,13 @@ def chunk_docs_numbered(docs: DataFrame, size: int = CHUNK_SIZE, key: str = "pag
     are then read back as a narrow column and prefix-summed with the
     skew-safe two-level scheme of ``running_offset``; the offsets are joined
     at document level, before the explode."""
-    import uuid
-
-    from ..session import scratch_path
+    from ..session import scratch_folder
     spark = docs.sparkSession
     text = F.coalesce(F.col(content), F.lit(""))
     per_doc = (docs.select(key, order, doc, T.tokens(text).alias("_tok"))
                .select(key, order, doc, chunk_array("_tok", size).alias("_chunks"))
                .withColumn("_n", F.size("_chunks")))
-    path = staging or scratch_path(spark, f"chunks-{uuid.uuid4().hex}")
+    path = staging or scratch_folder(spark, "chunks")
     per_doc.write.mode("overwrite").parquet(path)
     staged = spark.read.parquet(path)
     offsets = running_offset(staged, key, [order, doc], "_n", out="_off")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import stage
 
 
 def running_offset(df: DataFrame, key: str, order: str | list[str], weight: str,
@@ -31,11 +31,9 @@ def running_offset(df: DataFrame, key: str, order: str | list[str], weight: str,
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     narrow = df.select(key, *by, F.col(weight).cast("bigint").alias("_w"))
-    ensure_checkpoint_dir(spark)
-    # Checkpointed (narrow rows only) so that both branches below see one
-    # block assignment: range bounds come from a sample of the input.
-    ranged = narrow.repartitionByRange(n, key, *by).withColumn(
-        "_blk", F.spark_partition_id()).checkpoint(eager=True)
+    # Staged (narrow rows only) so that both branches below see one block
+    # assignment: range bounds come from a sample of the input.
+    ranged = stage(narrow.repartitionByRange(n, key, *by).withColumn("_blk", F.spark_partition_id()), "ranges")
     in_block = (Window.partitionBy(key, "_blk").orderBy(*by)
                 .rowsBetween(Window.unboundedPreceding, -1))
     local = ranged.withColumn(

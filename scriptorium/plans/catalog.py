@@ -144,8 +144,7 @@ def q_topk_padded(spark, d):
 
 
 def _indexed(spark, d, method, k):
-    from ..session import scratch_folder
-    path = scratch_folder(spark, f"{method}-index")
+    path = _folder(spark, f"{method}-index")
     sparse.build_index(X.article_docs(spark, d), path, method)
     return sparse.search_index(X.sparse_queries(spark, d), path, k, method)
 
@@ -580,9 +579,8 @@ def q_judge_summary(spark, d):
 @query("outline_map_split")
 def q_outline_map_split(spark, d):
     """Outlines written as JSON objects on one line each, read by byte ranges."""
-    from ..session import scratch_folder
     from ..sources import json_split
-    path = scratch_folder(spark, "outline-map")
+    path = _folder(spark, "outline-map")
     X.write_outline_maps(X.conversation_articles(spark, d), path)
     return json_split.read_outline_map_split(spark, path)
 
@@ -590,9 +588,8 @@ def q_outline_map_split(spark, d):
 @query("search_results_split")
 def q_search_results_split(spark, d):
     """Pages as search results in JSON arrays on one line each, read by byte ranges."""
-    from ..session import scratch_folder
     from ..sources import json_split
-    path = scratch_folder(spark, "search-results")
+    path = _folder(spark, "search-results")
     pages = X.table(spark, d, "pages").select(F.to_json(F.struct(
         F.col("page_id").cast("string").alias("title"), F.col("url").alias("link"), F.col("html").alias("text"))).alias("value"))
     X.write_elements(pages, path, "[", "]")
@@ -719,10 +716,8 @@ def _events(spark, d):
 @query("article_stream")
 def q_article_stream(spark, d):
     """Articles put together from a stream of several micro-batches."""
-    import uuid
-    from ..session import scratch_folder
     from ..streaming import regroup
-    base = scratch_folder(spark, "article-stream")
+    base = _folder(spark, "article-stream")
     events = _events(spark, d)
     columns = [c.split()[0] for c in regroup.EVENT.split(", ")]
     # the files in their order: a reader takes one after the other
@@ -734,7 +729,7 @@ def q_article_stream(spark, d):
     end.coalesce(1).write.mode("append").parquet(f"{base}/events")
     stream = spark.readStream.schema(regroup.EVENT).option("maxFilesPerTrigger", 1).parquet(f"{base}/events")
     (regroup.regroup_stream(stream, "1 hour").writeStream.format("parquet").option("path", f"{base}/out")
-     .option("checkpointLocation", f"{base}/state-{uuid.uuid4().hex}").outputMode("append").trigger(availableNow=True).start().awaitTermination())
+     .option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination())
     out = spark.read.schema("page_id bigint, sections array<string>, texts array<string>, missing bigint, timed_out boolean").parquet(f"{base}/out")
     return out.select("page_id", F.array_join("sections", "|").alias("sections"), F.md5(F.array_join("texts", "|")).alias("texts_md5"),
                       "missing", F.col("timed_out").cast("int").alias("timed_out"))
@@ -743,9 +738,8 @@ def q_article_stream(spark, d):
 @query("ingest_new_ids")
 def q_ingest_new_ids(spark, d):
     """Pages in three files, the last of which repeats ids of the first ones; run twice."""
-    from ..session import scratch_folder
     from ..streaming import ingest
-    base = scratch_folder(spark, "ingest-ids")
+    base = _folder(spark, "ingest-ids")
     pages = X.table(spark, d, "pages").select("page_id", "url")
     for part in (F.pmod("page_id", F.lit(2)) == 0, F.pmod("page_id", F.lit(2)) == 1, F.pmod("page_id", F.lit(3)) == 0):
         pages.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
@@ -768,10 +762,8 @@ def q_resume_pending(spark, d):
 
 @query("incremental_ingest")
 def q_incremental_ingest(spark, d):
-    import uuid
-    from ..session import scratch_path
     from ..streaming.ingest import ingest_available
-    run = scratch_path(spark, f"ingest-{uuid.uuid4().hex}")
+    run = _folder(spark, "ingest")
     schema = "page_id BIGINT, url STRING, html STRING"
 
     def to_text(df):
