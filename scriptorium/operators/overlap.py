@@ -24,6 +24,7 @@ from ..functions import text as T
 from ..functions.stem import stem
 from ..functions.constants import (
     BLEU_WEIGHTS, FLOAT_MIN, METEOR_ALPHA, METEOR_BETA, METEOR_GAMMA)
+from .sentences import sentences as learned_sentences
 
 #: characters of both texts of the pairs handled at once (a longer pair is alone)
 BATCH_CHARS = 2_000_000
@@ -258,8 +259,11 @@ def union_lcs(refs: list[list[str]], cands: list[list[str]]) -> set[str]:
     return found
 
 
-def _rouge_l(cand: str, ref: str) -> float:
-    refs, cands = sentences(ref), sentences(cand)
+def _rouge_l(cand: str, ref: str, model: dict | None = None) -> float:
+    if model is None:
+        refs, cands = sentences(ref), sentences(cand)
+    else:
+        refs, cands = ([s.split() for s in learned_sentences(t, model)] for t in (ref, cand))
     if not refs or not cands:
         return 0.0
     n = len(union_lcs(refs, cands))
@@ -280,7 +284,8 @@ def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def overlap_scores(pairs: DataFrame, keys: list[str], metrics: tuple[str, ...] = ("bleu", "meteor", "rouge_l"), *,
                    orders: tuple[int, ...] = (1, 4), alpha: float = METEOR_ALPHA, beta: float = METEOR_BETA,
-                   gamma: float = METEOR_GAMMA, stages: tuple[str, ...] = ("exact",)) -> DataFrame:
+                   gamma: float = METEOR_GAMMA, stages: tuple[str, ...] = ("exact",),
+                   sentence_model: dict | None = None) -> DataFrame:
     """``keys`` and the asked metrics (``bleu_<n>`` for each of ``orders``,
     ``meteor``, ``rouge_l``) of every row of ``pairs (keys, ref, cand)``, all in
     one map-only pass. A null text is an empty one; a pair without a common word
@@ -292,7 +297,8 @@ def overlap_scores(pairs: DataFrame, keys: list[str], metrics: tuple[str, ...] =
       double as its precision).
     * METEOR over lower-cased words: ``stages`` are ``exact`` and, with what that leaves,
       ``stem`` (Porter stems).
-    * ROUGE-L: summary level, sentences split at '.'; the words of the longest
+    * ROUGE-L: summary level, sentences split at '.' (or by a ``sentence_model`` of
+      ``sentences.learn``); the words of the longest
       common subsequences of all sentence pairs are united, ``F = 2PR / (P + R +
       1e-8)`` with ``P = |U| / |candidate's words|``, ``R = |U| / |reference's
       words|`` (distinct words)."""
@@ -311,7 +317,7 @@ def overlap_scores(pairs: DataFrame, keys: list[str], metrics: tuple[str, ...] =
                 if "meteor" in metrics:
                     found["meteor"] = _meteor(words, alpha, beta, gamma, stages)
                 if "rouge_l" in metrics:
-                    found["rouge_l"] = np.array([_rouge_l(c, r) for c, r in zip(cand, ref)])
+                    found["rouge_l"] = np.array([_rouge_l(c, r, sentence_model) for c, r in zip(cand, ref)])
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *(pa.array(found[n]) for n in names)],
                                                  names=[*keys, *names])
 

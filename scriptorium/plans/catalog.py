@@ -63,6 +63,15 @@ def q_chunk_docs(spark, d):
     return corpus.chunk_docs(X.article_docs(spark, d))
 
 
+@query("sentence_chunks")
+def q_sentence_chunks(spark, d):
+    """Documents in chunks of whole sentences, by what the corpus shows to end one."""
+    from ..operators import sentences
+    docs = X.article_docs(spark, d)
+    cut = sentences.chunk_sentences(docs, sentences.learn(docs, "content"))
+    return cut.select("page_id", "doc_id", F.posexplode("chunks").alias("chunk_pos", "chunk")).withColumn("n_tokens", T.token_count("chunk"))
+
+
 @query("chunk_ids")
 def q_chunk_ids(spark, d):
     return corpus.chunk_docs_numbered(X.article_docs(spark, d))

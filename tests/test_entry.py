@@ -23,7 +23,7 @@ def test_registry_consistent():
     assert set(s) <= set(q)
     assert len(q) >= 58
     plain = {k for k in q if not k.startswith("op") and k != "pipeline"} | {k for k in q if k.startswith("outline_")}
-    assert plain - set(s) == {"rouge_l", "metric_summary_all", "meteor_stem"}
+    assert plain - set(s) == {"rouge_l", "metric_summary_all", "meteor_stem", "sentence_chunks"}
 
 
 def test_registry_without_llm(monkeypatch):
