@@ -233,3 +233,29 @@ def test_nearest_of_repeated_rows(spark):
         got = sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in learned_partitions.nearest_neighbours(
             df, query_every=10, k=5, parts=parts, target_recall=recall).collect())
         assert got == want
+
+
+def test_pipeline_stages(spark, awkward, nothing, labels, no_labels, tmp_path):
+    """Each stage on awkward rows, with clashing columns, and on none."""
+    import corpus_pipeline
+    for known, name in ((labels, "some"), (no_labels, "none")):
+        d = str(tmp_path / name)
+        known.withColumn("id", F.lit("clash")).write.parquet(f"{d}/labels.parquet")
+        for stage, fn in corpus_pipeline.STAGES:
+            if name == "none" and stage not in ("quality", "toxicity"):
+                continue  # the others read no labels
+            out = fn(spark, awkward, d)
+            rows = out.collect()
+            if stage != "pieces":
+                assert out.columns == awkward.columns, stage
+            ids = [r.doc_id for r in rows]
+            if stage == "quality":
+                assert not {3, 4, 5} & set(ids) and (name == "some" or len(ids) == sum(bool((r[1] or "").split()) for r in ROWS))
+            elif stage == "toxicity":
+                assert name == "some" or len(ids) == len(ROWS)
+                assert ids.count(1) in (0, 2)
+            elif stage == "mixing":
+                assert not {3, 4, 5} & set(ids)
+            elif stage == "pieces":
+                assert len(ids) == len(ROWS) and all(r.same for r in rows)
+            assert fn(spark, nothing, d).count() == 0, stage
