@@ -15,7 +15,7 @@ from scriptorium.streaming import ingest, regroup
 @pytest.fixture
 def small_ranges(spark):
     before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "397")
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
     yield
     for k, v in before.items():
@@ -30,7 +30,7 @@ def nasty(rnd):
 def test_outline_map_by_ranges(spark, small_ranges, tmp_path, style):
     rnd = random.Random(4)
     maps = [{str(i): [nasty(rnd) for _ in range(rnd.randint(0, 6))] for i in range(lo, hi)} for lo, hi in ((0, 60), (60, 61), (0, 0))]
-    maps[1]["60"] = ["x" * 1000, ",".join("abc") * 200]  # an element over many ranges
+    maps[1]["60"] = ["x" * 1000, ",".join("abc") * 400]  # an element over many ranges
     for i, m in enumerate(maps):
         (tmp_path / f"{i}.json").write_text(("﻿" if i == 1 else "") + json.dumps(m, ensure_ascii=False, **style), encoding="utf-8")
     got = sorted(tuple(r) for r in json_split.read_outline_map_split(spark, str(tmp_path)).collect())
