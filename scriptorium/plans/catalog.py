@@ -737,7 +737,7 @@ def q_article_stream(spark, d):
                                 F.timestamp_seconds(F.lit(1_800_000_000)).alias("at"))
     end.coalesce(1).write.mode("append").parquet(f"{base}/events")
     stream = spark.readStream.schema(regroup.EVENT).option("maxFilesPerTrigger", 1).parquet(f"{base}/events")
-    (regroup.regroup_stream(stream, "1 hour").writeStream.format("parquet").option("path", f"{base}/out")
+    (regroup.regroup_stream(stream, "1 hour", late="10 minutes").writeStream.format("parquet").option("path", f"{base}/out")
      .option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination())
     out = spark.read.schema("page_id bigint, sections array<string>, texts array<string>, missing bigint, timed_out boolean").parquet(f"{base}/out")
     return out.select("page_id", F.array_join("sections", "|").alias("sections"), F.md5(F.array_join("texts", "|")).alias("texts_md5"),
