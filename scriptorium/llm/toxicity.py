@@ -17,21 +17,26 @@ classes share: its counts are continuation counts over all labelled text,
 where N(.hx) is the number of symbols that stand before hx, N(.h.) their sum over x
 and T(h) the number of x; the last backoff is uniform. So an expression
 that neither class knows speaks for neither, a rare one is smoothed towards
-silence, and an inflection of a known word has its evidence. Endings, which
-follow grammar and not the class, take no part.
+silence, and an inflection of a known word has its evidence.
+
+The rest of a word, up to its end ``$``, has a model of the same kind: ``~``,
+the ``STEM`` - 1 letters before a symbol and the symbol. So every letter of a
+text takes part, and the tables stay small, which tables of whole words,
+about half of them unique, do not.
 
 A word's evidence is the difference of its two log-likelihoods. A document is
 described by that difference for all its distinct words divided by their number, by the mean evidence of its ``TOP`` most toxic words and by the most
-toxic word (a long ordinary text must not hide a few insults). A logistic
+toxic word (a long ordinary text must not hide a few insults), once for the
+beginnings of its words and once for the whole words. A logistic
 calibration turns these into a score; it is fitted on out-of-fold values (each
 half of the training rows described by the counts of the other half), so it
 never sees a text described by a model that counted it.
 
 Counts and the model are Spark aggregations and joins over all labelled
 training rows; the tables are joined and never gathered. Texts become
-blocks (``BLOCK_PAIRS``) that hold their distinct stems once. A block asks the
-model for each beginning of these stems once and gets the answers back:
-log P_toxic / P_ordinary of its last symbol and of the weight that the classes
+blocks (``BLOCK_PAIRS``) that hold their distinct words once. A block asks the
+model for each string that these words are spelled by once and gets the answers
+back: log P_toxic / P_ordinary of its last symbol and of the weight that the classes
 give to the backoff after it; the latter is the evidence of any symbol there that
 training text does not show.
 
@@ -58,7 +63,7 @@ from pyspark.sql import functions as F
 
 from .common import crc32_fold, distinct_codes, slices, staged, text_key, texts_of
 
-#: letters of a word that the models spell
+#: letters of a word's beginning, and symbols of each string that spells its rest
 STEM = 4
 TOP = 3
 WORD = re.compile(r"\w+")
@@ -72,21 +77,34 @@ BLOCK_PAIRS = 2_000_000
 
 
 # ---------------------------------------------------------------- inside tasks
-def _stems(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """(index of each distinct word of each text into the distinct stems, distinct
-    stems, document bounds into the words)."""
-    lists = [[w[:STEM] for w in dict.fromkeys(WORD.findall(t.lower()))] for t in texts]
-    bounds = np.cumsum([0] + [len(x) for x in lists])
-    flat = [w for x in lists for w in x]
-    if not flat:
-        return np.zeros(0, np.int64), [], bounds
-    codes, distinct = distinct_codes(flat)
-    return codes, [w if len(w) == STEM else w + "$" for w in distinct], bounds
+def _words(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(index of each distinct word of each text into the distinct words, distinct
+    words, number of words per text)."""
+    lists = [list(dict.fromkeys(WORD.findall(t.lower()))) for t in texts]
+    codes, distinct = distinct_codes([w for x in lists for w in x]) if any(lists) else (np.zeros(0, np.int64), [])
+    return codes, distinct, np.array([len(x) for x in lists], dtype=np.int64)
+
+
+def beginnings(word: str) -> list[str]:
+    """``^`` with the first symbol of a word, the first two and so on."""
+    start = (word[:STEM] + "$")[:STEM]
+    return ["^" + start[:i] for i in range(1, len(start) + 1)]
+
+
+def rests(word: str) -> list[str]:
+    """``~`` with each symbol after the first ``STEM`` and the letters before it."""
+    word += "$"
+    return ["~" + word[i - STEM + 1:i + 1] for i in range(STEM, len(word))]
 
 
-def beginnings(stem: str) -> list[str]:
-    """``^`` with the first symbol of a stem, the first two and so on."""
-    return ["^" + stem[:i] for i in range(1, len(stem) + 1)]
+def _spelled(words: list[str], spell) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(word, index into the distinct strings) of each string that spells one of
+    ``words``, the distinct strings."""
+    lists = [spell(w) for w in words]
+    flat = [g for x in lists for g in x]
+    if not flat:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    return np.repeat(np.arange(len(words)), [len(x) for x in lists]), *distinct_codes(flat)
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -108,38 +126,34 @@ def _unpacked_words(raw: bytes) -> list[str]:
 
 def _block(number: int, held: list[tuple]) -> pa.RecordBatch:
     """One row: the rows' values, the distinct words by falling
-    frequency, and per text its stems (packed differences of their positions)
-    with how many of its words have them."""
-    rows, words, pair_word, count, size = zip(*held)
+    frequency, and per text its words (packed differences of their positions)."""
+    rows, words, codes, size = zip(*held)
     start = np.cumsum([0, *map(len, words)])
     same, distinct = distinct_codes([w for x in words for w in x])
-    codes = same[np.concatenate([c + o for c, o in zip(pair_word, start)])]
-    count, size = np.concatenate(count), np.concatenate(size)
+    codes, size = same[np.concatenate([c + o for c, o in zip(codes, start)])], np.concatenate(size)
     order = np.argsort(-np.bincount(codes, minlength=len(distinct)), kind="stable")
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
     doc = np.repeat(np.arange(len(size)), size)
-    sort = np.lexsort((place[codes], doc))
-    codes, count = place[codes][sort], count[sort]
+    codes = place[codes]
+    codes = codes[np.lexsort((codes, doc))]
     step = np.diff(codes, prepend=0)
     step[np.flatnonzero(np.diff(doc, prepend=-1))] = codes[np.flatnonzero(np.diff(doc, prepend=-1))]
     rows = pa.concat_arrays(rows)
     return pa.RecordBatch.from_arrays(
         [pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
          pa.array([_packed_words([distinct[i] for i in order.tolist()])], pa.binary()),
-         *(pa.array([_packed(x)], pa.binary()) for x in (size, step, count))],
-        names=["block", "rows", "words", "sizes", "steps", "counts"])
+         *(pa.array([_packed(x)], pa.binary()) for x in (size, step))],
+        names=["block", "rows", "words", "sizes", "steps"])
 
 
 def _blocks(batches):
     """The texts of a task in blocks."""
     number, held, pairs = TaskContext.get().partitionId() << 32, [], 0
     for b in slices(batches, "text"):
-        codes, words, bounds = _stems(texts_of(b, "text"))
-        n = max(len(words), 1)
-        pair, count = np.unique(np.repeat(np.arange(b.num_rows), np.diff(bounds)) * n + codes, return_counts=True)
-        held.append((b.column("row"), words, pair % n, count, np.bincount(pair // n, minlength=b.num_rows)))
-        pairs += len(pair) + b.num_rows
+        codes, words, size = _words(texts_of(b, "text"))
+        held.append((b.column("row"), words, codes, size))
+        pairs += len(codes) + b.num_rows
         if pairs >= BLOCK_PAIRS:
             yield _block(number, held)
             number, held, pairs = number + 1, [], 0
@@ -164,40 +178,39 @@ def _one_by_one(batches):
 COUNT_SCHEMA = "gram string, " + ", ".join(f"{g} long" for g in GROUPS)
 
 
-def _count(batches):
-    """Counts of the beginnings of stems of blocks with their ``picks (idx,
-    grp)``, a row per beginning and block."""
-    for one in _one_by_one(batches):
-        codes, bounds = _pairs(one)
-        group, picks = np.full(len(bounds) - 1, -1), one.column("picks").flatten()
-        group[picks.field("idx").to_numpy(zero_copy_only=False)] = picks.field("grp").to_numpy(zero_copy_only=False)
-        group = np.repeat(group, np.diff(bounds))
-        words = _unpacked_words(one.column("words")[0].as_py())
-        count = _unpacked(one.column("counts")[0].as_py())
-        known = group >= 0
-        per_word = np.bincount(codes[known] * 4 + group[known], weights=count[known], minlength=4 * len(words)).reshape(-1, 4)
-        counts: dict[str, np.ndarray] = {}
-        for i in np.flatnonzero(per_word.any(axis=1)).tolist():
-            for g in beginnings(words[i]):
-                counts[g] = counts.get(g, 0) + per_word[i]
-        if counts:
-            table = np.array(list(counts.values()))
-            yield pa.RecordBatch.from_pydict({"gram": pa.array(list(counts), pa.string())} | {g: table[:, j].astype(np.int64) for j, g in enumerate(GROUPS)})
-
-
-def features(value: np.ndarray, count: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Per text, from the evidence of its stems and how many of its distinct
-    words have them: evidence per word, mean evidence of its TOP most toxic words,
-    evidence of the most toxic one. A text without words gets 0s."""
+def _counter(spell):
+    """A task's counts of the strings that spell the words of blocks with their
+    ``picks (idx, grp)``, a row per string and block."""
+    def count(batches):
+        for one in _one_by_one(batches):
+            codes, bounds = _pairs(one)
+            group, picks = np.full(len(bounds) - 1, -1), one.column("picks").flatten()
+            group[picks.field("idx").to_numpy(zero_copy_only=False)] = picks.field("grp").to_numpy(zero_copy_only=False)
+            group = np.repeat(group, np.diff(bounds))
+            words = _unpacked_words(one.column("words")[0].as_py())
+            known = group >= 0
+            per_word = np.bincount(codes[known] * 4 + group[known], minlength=4 * len(words)).reshape(-1, 4)
+            used = np.flatnonzero(per_word.any(axis=1))
+            word, gram, grams = _spelled([words[i] for i in used.tolist()], spell)
+            if grams:
+                table = per_word[used][word]
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(grams, pa.string())} | {
+                    g: np.bincount(gram, weights=table[:, j], minlength=len(grams)).astype(np.int64) for j, g in enumerate(GROUPS)})
+
+    return count
+
+
+def features(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Per text, from the evidence of its distinct words: evidence per word, mean
+    evidence of its TOP most toxic words, evidence of the most toxic one. A text
+    without words gets 0s."""
     out = np.zeros((len(bounds) - 1, FEATURES))
     for i in range(len(out)):
-        v, n = value[bounds[i]:bounds[i + 1]], count[bounds[i]:bounds[i + 1]]
+        v = value[bounds[i]:bounds[i + 1]]
         if len(v):
-            at = np.argpartition(v, len(v) - min(TOP, len(v)))[-TOP:]
-            at = at[np.argsort(-v[at], kind="stable")]
-            top = np.maximum(np.repeat(v[at], np.minimum(n[at], TOP))[:TOP], 0)
+            top = np.maximum(np.sort(np.partition(v, len(v) - min(TOP, len(v)))[-TOP:])[::-1], 0)
             # an exact sum, so that copies of a text agree whatever block they are in
-            out[i] = math.fsum((v * n).tolist()) / n.sum(), top.sum() / TOP, top[0]
+            out[i] = math.fsum(v.tolist()) / len(v), top.sum() / TOP, top[0]
     return out
 
 
@@ -216,7 +229,7 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     """``rows (row, text)`` as blocks, staged."""
     kind = rows.schema["row"].dataType.simpleString()
     return staged(rows.select("row", "text").mapInArrow(
-        _blocks, f"block long, rows array<{kind}>, words binary, sizes binary, steps binary, counts binary"), "toxic-blocks")
+        _blocks, f"block long, rows array<{kind}>, words binary, sizes binary, steps binary"), "toxic-blocks")
 
 
 def _without_last(col: str) -> Column:
@@ -225,7 +238,7 @@ def _without_last(col: str) -> Column:
 
 def backoff(grams_: DataFrame) -> DataFrame:
     """``s, p``: the shared model's P(x|h) for every string s = hx that ends one of
-    the beginnings ``gram`` after its first symbol."""
+    the strings ``gram`` after its first symbol."""
     ends = grams_.select("gram", F.explode(F.sequence(F.lit(2), F.length("gram"))).alias("k"))
     ends = ends.select(F.expr("substring(gram, k)").alias("s"), F.expr("substring(gram, k - 1, 1)").alias("x")).distinct()
     counts = staged(ends.groupBy("s").agg(F.count(F.lit(1)).alias("n")).withColumn("h", _without_last("s")), "toxic-continuations")
@@ -245,14 +258,14 @@ def backoff(grams_: DataFrame) -> DataFrame:
     return out
 
 
-def fit(blocks: DataFrame, train: DataFrame) -> DataFrame:
+def fit(blocks: DataFrame, train: DataFrame, spell=beginnings) -> DataFrame:
     """The model from the texts ``train (block, idx, grp)`` of ``blocks``, ``grp``
-    being the position in ``GROUPS``: for every beginning ``gram`` and each view v,
+    being the position in ``GROUPS``: for every ``gram`` that words are spelled by and each view v,
     ``v`` is log P_toxic / P_ordinary of its last symbol and ``v_after`` that of the
     backoff's weight after it."""
     picks = train.groupBy("block").agg(F.collect_list(F.struct("idx", "grp")).alias("picks"))
     chosen = blocks.drop("rows").join(picks, "block")
-    counted = staged(chosen.mapInArrow(_count, COUNT_SCHEMA).groupBy("gram").agg(*[F.sum(g).alias(g) for g in GROUPS])
+    counted = staged(chosen.mapInArrow(_counter(spell), COUNT_SCHEMA).groupBy("gram").agg(*[F.sum(g).alias(g) for g in GROUPS])
                      .withColumn("h", _without_last("gram")), "toxic-grams")
     sides = {f"{c}_{v}": e for v, two in VIEWS.items() for c, e in zip(("t", "o"), two)}
     d = dict(zip(sides, _discount(counted, list(sides.values()))))
@@ -271,29 +284,29 @@ def fit(blocks: DataFrame, train: DataFrame) -> DataFrame:
     known = (counted.join(contexts, "h").join(shared, F.expr("substring(gram, 2)") == F.col("s"))
              .select("gram", *ratio(lambda s: own(s) + left(s) * F.col("p"), "")))
     after = contexts.select(F.col("h").alias("gram"), *ratio(left, "_after"))
-    return staged(known.join(after, "gram", "full").fillna(0.0), "toxic-model")  # ^ alone is a context only
+    return staged(known.join(after, "gram", "full").fillna(0.0), "toxic-model")  # ^ alone and ~ with letters before are contexts only
 
 
-def evidence(stem: str, known: dict[str, tuple], view: int) -> float:
-    """log P_toxic / P_ordinary of a stem, from what is ``known`` of its beginnings."""
-    total, after = 0.0, known["^"][view + 1] if "^" in known else 0.0
-    for g in beginnings(stem):
-        if g not in known:  # all longer ones are unknown as well, after an unknown context
-            return total + after
-        total, after = total + known[g][view], known[g][view + 1]
-    return total
+def evidence(grams: list[str], known: dict[str, tuple], view: int) -> np.ndarray:
+    """log P_toxic / P_ordinary of the last symbol of each of ``grams``, from what is
+    ``known`` of them and of their contexts. After an unknown context it is 0."""
+    none = (0.0,) * (view + 2)
+    return np.array([known[g][view] if g in known else known.get(g[:-1], none)[view + 1] for g in grams])
 
 
-def described(blocks: DataFrame, model: DataFrame, views: list[str]) -> DataFrame:
+def described(blocks: DataFrame, model: DataFrame, views: list[str], whole: bool = False) -> DataFrame:
     """``block, idx, row, x`` of every text of ``blocks``; x holds its features
-    in each of the ``views``, one after the other."""
+    in each of the ``views``, one after the other: by the beginnings of its words
+    and, if ``whole``, after these by the whole words."""
     kind = blocks.schema["rows"].dataType.elementType.simpleString()
-
     columns = [c for v in views for c in (v, f"{v}_after")]
+    spells = [beginnings, rests] if whole else [beginnings]
 
     def ask(batches):
         for one in _one_by_one(batches):
-            asked = sorted({"^"} | {g for w in _unpacked_words(one.column("words")[0].as_py()) for g in beginnings(w)})
+            words = _unpacked_words(one.column("words")[0].as_py())
+            grams = {g for spell in spells for w in words for g in spell(w)}
+            asked = sorted(grams | {g[:-1] for g in grams})
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), one.column("block")[0].as_py())), pa.array(asked, pa.string())],
                                              names=["block", "gram"])
 
@@ -305,10 +318,15 @@ def described(blocks: DataFrame, model: DataFrame, views: list[str]) -> DataFram
         for one in _one_by_one(batches):
             codes, bounds = _pairs(one)
             words = _unpacked_words(one.column("words")[0].as_py())
-            count, got, x = _unpacked(one.column("counts")[0].as_py()), one.column("answers").flatten(), []
+            got, x = one.column("answers").flatten(), []
             known = dict(zip(got.field("gram").to_pylist(), zip(*(got.field(c).to_pylist() for c in columns))))
+            parts = [_spelled(words, spell) for spell in spells]
             for v in range(len(views)):
-                x.append(features(np.array([evidence(w, known, 2 * v) for w in words])[codes], count, bounds))
+                value = np.zeros(len(words))
+                for word, gram, grams in parts:
+                    if grams:
+                        value = value + np.bincount(word, weights=evidence(grams, known, 2 * v)[gram], minlength=len(words))
+                    x.append(features(value[codes], bounds))
             x = np.hstack(x)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(x), one.column("block")[0].as_py())), pa.array(np.arange(len(x), dtype=np.int32)),
@@ -363,20 +381,20 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total, toxic = sum(by_class.values()), by_class.get(1, 0)
     if not 0 < toxic < total:
         return blocks.select(F.explode("rows").alias("row")).select("row.*", F.lit(toxic / total if total else 0.0).alias("score"))
-    model = fit(blocks, train)
+    model = fit(blocks, train).unionByName(fit(blocks, train, rests))
     part = F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, calibration_rows / total))
     # about calibration_rows ids, whatever the input
     sample = staged(train.filter(part).select("id", "key", "grp", "toxic"), "toxic-sample")
     chosen = rows.join(F.broadcast(sample.select("id", "key")), (F.col("row.id") == F.col("id")) & (F.col("row.key") == F.col("key")))
     # a repeated row is described once for each time it stands there; one of them is kept
-    found = described(in_blocks(chosen.select("row", "text")), model, ["b", "a"]).select("row.id", "row.key", "x").groupBy("id", "key").agg(F.first("x").alias("x"))
+    found = described(in_blocks(chosen.select("row", "text")), model, ["b", "a"], whole=True).select("row.id", "row.key", "x").groupBy("id", "key").agg(F.first("x").alias("x"))
     sample = sample.join(found, ["id", "key"]).select("toxic", "grp", "x", "key").orderBy("key").toPandas()
-    x = np.vstack([np.zeros((0, 2 * FEATURES)), *sample["x"]]).reshape(-1, 2, FEATURES)
+    x = np.vstack([np.zeros((0, 4 * FEATURES)), *sample["x"]]).reshape(-1, 2, 2 * FEATURES)
     x = x[np.arange(len(x)), sample["grp"].to_numpy() // 2]  # described by the other half
     weights = logistic(x, sample["toxic"].to_numpy(float)).tolist()
     z = sum((F.col("x")[j] * w for j, w in enumerate(weights[:-1])), F.lit(weights[-1]))
     z = F.greatest(F.least(z, F.lit(700.0)), F.lit(-700.0))
-    return staged(described(blocks, model, ["all"]).select("row.*", (1 / (1 + F.exp(-z))).alias("score")), "toxic-scores")
+    return staged(described(blocks, model, ["all"], whole=True).select("row.*", (1 / (1 + F.exp(-z))).alias("score")), "toxic-scores")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -285,6 +285,23 @@ def test_toxicity_model_is_kneser_ney(spark, monkeypatch):
         assert got[0][i] == pytest.approx(wanted, abs=1e-5) == got[1][i], t
 
 
+def test_toxicity_reads_words_to_their_ends(spark):
+    """Words of both classes begin alike; their ends tell the class, wherever they stand."""
+    rng = np.random.default_rng(3)
+    common = [f"word{i:02d}" for i in range(40)]
+    docs, marks = [], []
+    for i in range(400):
+        words = [*rng.choice(common, 30), *(f"{b}{'ulgo' if i % 4 == 0 else 'inne'}" for b in rng.choice(["stan", "bore", "mika"], 2))]
+        docs.append((i, " ".join(words)))
+        marks.append((i, int(i % 4 == 0)))
+    docs += [(1000, "word01 " * 50 + "stanulgo"), (1001, "word01 " * 50 + "staninne")]
+    scored = toxicity.toxicity_scores(spark.createDataFrame(docs, "doc_id long, text string"),
+                                      spark.createDataFrame(marks, "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in scored.collect()}
+    assert got[1000].predicted == 1 and got[1001].predicted == 0
+    assert all(got[i].predicted == toxic for i, toxic in marks if got[i].held_out)
+
+
 def test_toxicity_held_out(spark):
     """Only rows that took no part in learning."""
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
