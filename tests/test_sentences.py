@@ -61,3 +61,12 @@ def test_as_options_of_chunks_and_pairs(spark, corpus, model):
     plain = overlap.rouge_l(pairs, ["pid"]).first().rouge_l
     learned = overlap.overlap_scores(pairs, ["pid"], ("rouge_l",), sentence_model=model).first().rouge_l
     assert 0 < learned < plain <= 1
+
+
+def test_words_are_counted_before_they_move(spark):
+    """A long text is a row per distinct word, not one per word with the whole text beside it."""
+    text = " ".join(f"w{i % 40}{'.' if i % 8 == 7 else ''}" for i in range(30_000))
+    docs = spark.createDataFrame([(text,), (None,), ("",), ("w7. (Who? me)",)], "text string").coalesce(1)
+    got = {r.word: (r.n, r.after) for b in [docs.mapInArrow(sentences._counted, "word string, n long, after long").collect()] for r in b}
+    assert len(got) == 42 and sum(n for n, _ in got.values()) == 30_003
+    assert got["w7."] == (751, 0) and got["w8"] == (750, 0) and got["me)"] == (1, 1)
