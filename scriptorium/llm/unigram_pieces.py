@@ -43,6 +43,8 @@ UNKNOWN = -10.0
 GAP = 256
 #: units up to this many bytes go through the joint forward pass
 SHORT = 64
+#: characters encoded at once: the cutter holds some hundred bytes for each
+ENCODE_CHARS = 1_000_000
 UNIT = re.compile(r" +[^ ]*|[^ ]+")
 
 
@@ -254,7 +256,7 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", out: str =
         schema = schema.add("text_crc32", LongType()).add("same", BooleanType())
 
     def run(batches):
-        for b in slices(batches, text):
+        for b in slices(batches, text, ENCODE_CHARS):
             texts = texts_of(b, text)
             ids, bounds = shared.value.encode(texts)
             new = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))]
