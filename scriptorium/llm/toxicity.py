@@ -178,9 +178,9 @@ def _one_by_one(batches):
 COUNT_SCHEMA = "gram string, " + ", ".join(f"{g} long" for g in GROUPS)
 
 
-def _counter(spell):
+def _counter(spells):
     """A task's counts of the strings that spell the words of blocks with their
-    ``picks (idx, grp)``, a row per string and block."""
+    ``picks (idx, grp)``, by each of ``spells``; a row per string and block."""
     def count(batches):
         for one in _one_by_one(batches):
             codes, bounds = _pairs(one)
@@ -191,8 +191,10 @@ def _counter(spell):
             known = group >= 0
             per_word = np.bincount(codes[known] * 4 + group[known], minlength=4 * len(words)).reshape(-1, 4)
             used = np.flatnonzero(per_word.any(axis=1))
-            word, gram, grams = _spelled([words[i] for i in used.tolist()], spell)
-            if grams:
+            words = [words[i] for i in used.tolist()]
+            for word, gram, grams in (_spelled(words, spell) for spell in spells):
+                if not grams:
+                    continue
                 table = per_word[used][word]
                 yield pa.RecordBatch.from_pydict({"gram": pa.array(grams, pa.string())} | {
                     g: np.bincount(gram, weights=table[:, j], minlength=len(grams)).astype(np.int64) for j, g in enumerate(GROUPS)})
@@ -258,15 +260,25 @@ def backoff(grams_: DataFrame) -> DataFrame:
     return out
 
 
-def fit(blocks: DataFrame, train: DataFrame, spell=beginnings) -> DataFrame:
-    """The model from the texts ``train (block, idx, grp)`` of ``blocks``, ``grp``
-    being the position in ``GROUPS``: for every ``gram`` that words are spelled by and each view v,
-    ``v`` is log P_toxic / P_ordinary of its last symbol and ``v_after`` that of the
-    backoff's weight after it."""
+def counts(blocks: DataFrame, train: DataFrame, spells=(beginnings, rests)) -> DataFrame:
+    """``gram, h`` and the counts of ``GROUPS`` of every string that spells the words of
+    the texts ``train (block, idx, grp)`` of ``blocks``, ``grp`` being the position in
+    ``GROUPS``; strings of all ``spells`` in one pass, so that blocks move once."""
     picks = train.groupBy("block").agg(F.collect_list(F.struct("idx", "grp")).alias("picks"))
     chosen = blocks.drop("rows").join(picks, "block")
-    counted = staged(chosen.mapInArrow(_counter(spell), COUNT_SCHEMA).groupBy("gram").agg(*[F.sum(g).alias(g) for g in GROUPS])
-                     .withColumn("h", _without_last("gram")), "toxic-grams")
+    return staged(chosen.mapInArrow(_counter(spells), COUNT_SCHEMA).groupBy("gram").agg(*[F.sum(g).alias(g) for g in GROUPS])
+                  .withColumn("h", _without_last("gram")), "toxic-grams")
+
+
+def fit(blocks: DataFrame, train: DataFrame, spell=beginnings) -> DataFrame:
+    """``fitted`` to the words of texts, spelled by ``spell`` alone."""
+    return fitted(counts(blocks, train, (spell,)))
+
+
+def fitted(counted: DataFrame) -> DataFrame:
+    """The model from the ``counts`` of strings of one kind: for every ``gram`` that
+    words are spelled by and each view v, ``v`` is log P_toxic / P_ordinary of its
+    last symbol and ``v_after`` that of the backoff's weight after it."""
     sides = {f"{c}_{v}": e for v, two in VIEWS.items() for c, e in zip(("t", "o"), two)}
     d = dict(zip(sides, _discount(counted, list(sides.values()))))
     contexts = staged(counted.groupBy("h").agg(
@@ -381,7 +393,8 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total, toxic = sum(by_class.values()), by_class.get(1, 0)
     if not 0 < toxic < total:
         return blocks.select(F.explode("rows").alias("row")).select("row.*", F.lit(toxic / total if total else 0.0).alias("score"))
-    model = fit(blocks, train).unionByName(fit(blocks, train, rests))
+    counted = counts(blocks, train)
+    model = fitted(counted.filter("gram LIKE '^%'")).unionByName(fitted(counted.filter("gram LIKE '~%'")))
     part = F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, calibration_rows / total))
     # about calibration_rows ids, whatever the input
     sample = staged(train.filter(part).select("id", "key", "grp", "toxic"), "toxic-sample")

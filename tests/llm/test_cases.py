@@ -259,3 +259,11 @@ def test_pipeline_stages(spark, awkward, nothing, labels, no_labels, tmp_path):
             elif stage == "pieces":
                 assert len(ids) == len(ROWS) and all(r.same for r in rows)
             assert fn(spark, nothing, d).count() == 0, stage
+
+
+def test_toxicity_moves_blocks_once_for_counts(awkward, labels, monkeypatch):
+    """Beginnings and rests of words are counted in one pass over the blocks."""
+    passes, counter = [], toxicity._counter
+    monkeypatch.setattr(toxicity, "_counter", lambda spell: passes.append(spell) or counter(spell))
+    assert toxicity.toxicity_scores(awkward, labels).count() == len(ROWS)
+    assert len(passes) == 1
