@@ -229,3 +229,22 @@ def test_passages_end_with_the_last_token_an_encoder_takes(spark):
     out = dense.embed_passages(df, enc)
     assert seen(out) == {0: 14, 1: 0, 2: 0, 3: 15, 4: 1023, 5: 5000, 6: 7} and "_passage" not in out.columns
     assert seen(dense.embed_passages(df, enc, max_tokens=None))[4] == 1200
+
+
+def test_postings_move_in_blocks_of_documents(spark, tmp_path, monkeypatch):
+    """Neither an index nor TF-IDF retrieval makes a row of a posting: a block's terms are
+    counted once and stand in one row. Repeated ids and null ids or texts are taken as they come."""
+    rows = [(i % 2, None if i == 7 else i // 2, i, None if i == 9 else f"shared w{i % 5} w{i % 3} only{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "page_id long, doc_id long, doc_pos long, content string")
+    blocks = sparse.counted_blocks(docs, "terms", key="page_id", doc="doc_id", content="content", block_docs=8).collect()
+    assert sum(len(b.docs) for b in blocks) == 40 and len({(b.page_id, b.blk) for b in blocks}) == len(blocks) < 10
+    assert all(sorted(set(b.terms)) == sorted(b.terms) and sum(b.df) == len(b.tf) for b in blocks)
+    queries = spark.createDataFrame([(1, 0, "shared w2 only4"), (2, 1, "w1 shared w4")], "query_id long, page_id long, query string")
+    bm25 = sparse.retrieve(queries, docs, k=4, method="bm25").collect()
+    monkeypatch.setattr(sparse, "postings", None)
+    path = str(tmp_path / "index")
+    for method in ("bm25", "tfidf"):
+        wanted = bm25 if method == "bm25" else sparse.retrieve(queries, docs, k=4, method=method).collect()
+        sparse.build_index(docs, f"{path}-{method}", method, block_docs=8)
+        found = sparse.search_index(queries, f"{path}-{method}", 4, method).collect()
+        assert sorted(map(tuple, found)) == sorted(map(tuple, wanted)) and len(found) == 8
