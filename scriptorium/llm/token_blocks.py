@@ -13,8 +13,8 @@ block index and the document index, so it can be decoded by itself. Files and
 rows are in document order. ``path/index`` has one row per range partition with
 its first position in the whole stream.
 
-*Encoding*: a text's ids are the ids of the pieces into which the tokenizer's
-pattern cuts it; a worker encodes every distinct piece once (``Encoder``). This holds
+*Encoding*: a text's ids are the ids of the words into which the tokenizer's
+pattern lets it be cut; a worker encodes a distinct word once (``Encoder``). This holds
 for byte-level files without a normaliser, whose added tokens begin with ``<|``
 (``cut_in_pieces`` reads the file); with any other file whole texts are encoded.
 
@@ -30,37 +30,40 @@ may be a chunk of its own. Columns of other names play no part. Empty input writ
 from __future__ import annotations
 
 import json
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import distinct_codes, slices, text_or_empty, texts_of
+from .common import slices, text_or_empty
 
 BLOCK = 1024
 KEEP = 0.9
 CHUNK = 1 << 18
 END_ID = 2
 #: characters encoded together
-SLICE = 4_000_000
+SLICE = 8_000_000
 #: bytes of text in one range partition
 PARTITION_BYTES = 64 << 20
-WORD_BREAK = re.compile(r"(?<=\S) (?=\S)")
-#: white space other than spaces and line breaks
-RARE_SPACE = re.compile(r"[^\S \n]")
-#: pieces of words, and the mark between words
-PIECES = regex.compile(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\0]+|\n|\0")
-#: what makes a word be encoded whole: apostrophes, control characters, special
-#: tokens, and white space other than its first space and single line breaks
-WHOLE = re.compile(r"['\x01-\x09\x0b-\x1f\x7f-\xa0]|<\||\n(?=[\s\0]|\Z)|(?<=\0)[^\S ]|\A[^\S ]|(?<![\0])(?!\A)[^\S\n]| (?=[\s\0]|\Z)")
-SIMPLE = re.compile(r" ?\S+\Z")
-#: distinct words a worker remembers before it starts anew
-KNOWN_WORDS = 800_000
+#: white space beyond ASCII, as numbers of its UTF-8 bytes
+WIDE_SPACES = [int.from_bytes(c.encode(), "big") for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200b)))]
+#: bytes before which a space is no cut (control characters, white space and "<"), and first bytes of ``WIDE_SPACES``
+NO_CUT = np.array([c <= 32 or c == 0x3C for c in range(256)])
+NO_CUT_WIDE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+#: ASCII letters, and marks that are cut off them
+LETTER = np.array([chr(c).isalpha() and c < 128 for c in range(256)])
+MARKS = ".,;:!?"
+MARK = np.isin(np.arange(256), list(MARKS.encode()))
+#: words that may be joined by line breaks to be encoded together, that many in one call
+SIMPLE = r"^ ?[^\x00-\x20\x7f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$"
+JOINED = 1000
+#: distinct words a worker remembers before it starts anew, and their bytes
+KNOWN_WORDS = 2_000_000
+KNOWN_BYTES = 64 << 20
 
 
 # ---------------------------------------------------------------- encoding
@@ -72,19 +75,20 @@ def cut_in_pieces(tokenizer_json: str) -> bool:
     plain = (before.get("type") == "ByteLevel" and not before.get("add_prefix_space", True) and before.get("use_regex", True)
              and not spec.get("normalizer") and model.get("type", "BPE") == "BPE" and not model.get("dropout")
              and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix"))
-    return plain and all(t["content"].startswith("<|") and not (t.get("lstrip") or t.get("rstrip") or t.get("single_word"))
+    return plain and all(t["content"].startswith("<|") and len(_words(pa.array([t["content"]]))[0]) == 1 and not (t.get("lstrip") or t.get("rstrip") or t.get("single_word"))
                          for t in spec.get("added_tokens") or [])
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, piece by piece.
+    """Ids of whole texts by the tokenizers library, word by word.
 
-    The pattern of byte-level tokenizers cuts a text into runs of letters, of
-    digits and of other characters, each with the space before it; ids never
-    cross these pieces. Texts are split into words at single spaces, distinct
-    words into pieces, and every distinct piece is encoded once. Words that
-    hold an apostrophe (contractions), other white space than single line
-    breaks, or the start of a special token are encoded whole."""
+    The pattern of byte-level tokenizers cuts a text before the last white space
+    of a run (a space goes with the characters after it, a line break stands
+    alone) and between a letter and a mark, and ids never cross these cuts. So the bytes of a batch are cut
+    there, its distinct words are found by Arrow, and the library encodes only
+    words that the worker does not remember, many in one call. A space or line
+    break before a ``<`` is no cut: white space before a special token is a run
+    of its own."""
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
@@ -96,107 +100,88 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.pieces: dict[str, int] = {}
+        #: words (with the space before them), their ids and bounds
+        self.words = pa.array([], pa.binary())
         self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        #: words (with a space before them), their ids and bounds
-        self.words: dict[str, int] = {}
-        self.word_ids, self.word_bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode pieces that are not known yet."""
-        flat, order, lengths = [], [], np.zeros(len(new), dtype=np.int64)
-        joined = [i for i, p in enumerate(new) if SIMPLE.match(p) and "<|" not in p] if len(self.newline) == 1 else []
-        for at in range(0, len(joined), 1000):  # a line break between pieces is a token of its own
-            group = joined[at:at + 1000]
-            row = np.array(self._plain(["\n".join([new[i] for i in group])])[0], dtype=np.uint32)
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Encode words that are not known yet and remember them; their numbers."""
+        text = new.cast(pa.string())
+        joined = pc.and_(pc.match_substring_regex(text, SIMPLE), pc.invert(pc.match_substring(text, "<|")))
+        if len(self.newline) != 1:
+            joined = pa.array(np.zeros(len(new), dtype=bool))
+        simple, rest = text.filter(joined), text.filter(pc.invert(joined)).to_pylist()
+        flat, lengths = [self.ids], [np.zeros(0, np.int64)]
+        starts = np.append(np.arange(0, len(simple), JOINED), len(simple)).astype(np.int32)
+        for group in pc.binary_join(pa.ListArray.from_arrays(starts, simple), "\n").to_pylist() if len(simple) else []:
+            row = np.array(self._plain([group])[0], dtype=np.uint32)  # a line break between words is an id of its own
             breaks = np.flatnonzero(row == self.newline[0])
-            lengths[group] = np.diff(np.concatenate([[-1], breaks, [len(row)]])) - 1
+            lengths.append(np.diff(np.concatenate([[-1], breaks, [len(row)]])) - 1)
             flat.append(np.delete(row, breaks))
-            order += group
-        rest = sorted(set(range(len(new))) - set(joined))
-        for i, ids in zip(rest, self._plain([new[i] for i in rest])):
-            lengths[i] = len(ids)
+        for ids in self._plain(rest):
+            lengths.append(np.array([len(ids)], dtype=np.int64))
             flat.append(np.array(ids, dtype=np.uint32))
-        order += rest
-        first = len(self.pieces)
-        self.pieces.update(zip([new[i] for i in order], range(first, first + len(order))))
-        self.ids = np.concatenate([self.ids, *flat])
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lengths[order])])
-
-    def _rows(self, pieces: list[str]) -> np.ndarray:
-        get = self.pieces.get
-        new = [p for p in dict.fromkeys(pieces) if p not in self.pieces]
-        if new:
-            self._learn(new)
-        return np.fromiter(map(get, pieces), np.int64, len(pieces))
-
-    def _words(self, leads: list[str], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, bounds) of ``leads`` and then of ``words`` with a space before each."""
-        if not leads and not words:
-            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        joined = "\0".join(leads) + ("\0" if leads and words else "") + (" " + "\0 ".join(words) if words else "")
-        n = len(leads) + len(words)
-        whole: dict[int, str] = {}
-        if joined.count("\0") != n - 1:  # NULs inside words: rare, so word by word
-            each = leads + [" " + w for w in words]
-            whole = {i: w for i, w in enumerate(each) if "\0" in w}
-            joined = "\0".join(["" if i in whole else w for i, w in enumerate(each)])
-        hits = [m.start() for m in WHOLE.finditer(joined)]
-        if hits:
-            each = joined.split("\0")
-            at = np.cumsum([len(w) + 1 for w in each])
-            for i in np.unique(np.searchsorted(at, hits, side="right")).tolist():
-                whole[i] = each[i]
-                each[i] = ""
-            joined = "\0".join(each)
-        pieces = PIECES.findall(joined)
-        end = np.array([p == "\0" for p in pieces], dtype=bool)
-        of = (np.cumsum(end) - end)[~end]  # the word of each piece
-        odd = sorted(whole)
-        row = self._rows([p for p in pieces if p != "\0"] + [whole[i] for i in odd])
-        of = np.append(of, odd).astype(np.int64)
-        order = np.argsort(of, kind="stable")
-        row, of = row[order], of[order]
-        length = np.diff(self.bounds)[row]
-        cut = np.searchsorted(of, np.arange(n + 1))
-        return self.ids[_ranges(self.bounds[row], length)], np.append(0, np.cumsum(length))[cut]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in order, bounds of the texts in them)."""
+        number, together = np.empty(len(new), dtype=np.int64), joined.to_numpy(zero_copy_only=False)
+        number[np.append(np.flatnonzero(together), np.flatnonzero(~together))] = np.arange(len(self.words), len(self.words) + len(new))
+        self.words = pa.concat_arrays([self.words, new.filter(joined), new.filter(pc.invert(joined))])
+        self.ids = np.concatenate(flat)
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(lengths))])
+        return number
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, bounds of the texts in them); a null text is empty."""
+        column = pc.fill_null(texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if self.whole:
-            found = self._plain(texts)
+            found = self._plain(column.to_pylist())
             flat = [np.array(x, dtype=np.uint32) for x in found]
             return np.concatenate([np.zeros(0, np.uint32), *flat]), np.append(0, np.cumsum([len(x) for x in found])).astype(np.int64)
-        if len(self.words) > KNOWN_WORDS:
+        if len(self.words) > KNOWN_WORDS or self.words.nbytes > KNOWN_BYTES:
             self._forget()
-        parts = [_split(t) if t else [] for t in texts]
-        codes, words = distinct_codes([w for p in parts for w in p])
-        new = [w for w in words if w not in self.words]
-        if new:
-            ids, bounds = self._words([], new)
-            self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
-            self.word_ids = np.concatenate([self.word_ids, ids])
-            self.word_bounds = np.concatenate([self.word_bounds, self.word_bounds[-1] + bounds[1:]])
-        row = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))[codes]
-        start, length = self.word_bounds[row], np.diff(self.word_bounds)[row]
-        # the first word of a text has no space before it
-        n = np.array([len(p) for p in parts], dtype=np.int64)
-        lead, leads = distinct_codes([p[0] for p in parts if p])
-        ids, bounds = self._words(leads, [])
-        first = (np.cumsum(n) - n)[n > 0]
-        start[first], length[first] = len(self.word_ids) + bounds[lead], np.diff(bounds)[lead]
-        store = np.concatenate([self.word_ids, ids])
-        return store[_ranges(start, length)], np.append(0, np.cumsum(length))[np.append(0, np.cumsum(n))]
-
-
-def _split(text: str) -> list[str]:
-    """Words between single spaces that stand between other characters."""
-    if (text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or RARE_SPACE.search(text)):
-        return WORD_BREAK.split(text)
-    return text.split(" ")
+        words, first = _words(column)
+        coded = words.dictionary_encode()
+        known = pc.index_in(coded.dictionary, value_set=self.words)
+        new = pc.is_null(known)
+        known = pc.fill_null(known, 0).to_numpy().astype(np.int64)
+        known[new.to_numpy(zero_copy_only=False)] = self._learn(coded.dictionary.filter(new))
+        row = known[coded.indices.to_numpy()]
+        length = np.diff(self.bounds)[row]
+        return self.ids[_ranges(self.bounds[row], length)], np.append(0, np.cumsum(length))[first]
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts as slices of their bytes, the number of each text's first word and
+    of all words). A cut is before a space or line break that is the last white space
+    of its run, after such a line break, and between an ASCII letter and one of ``MARKS``."""
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    base = int(bounds[0])
+    raw = np.frombuffer(data, np.uint8)[base:int(bounds[-1])] if data is not None else np.zeros(0, np.uint8)
+    bounds = bounds - base
+    at = np.flatnonzero((raw == 32) | (raw == 10))
+    ends = np.zeros(len(raw) + 1, dtype=bool)
+    ends[bounds] = True
+    at = at[~ends[at + 1]]  # white space at a text's end is no cut
+    after = raw[at + 1]
+    at = at[NO_CUT[after] == 0]
+    wide = np.flatnonzero(NO_CUT_WIDE[raw[at + 1]])
+    if len(wide):
+        tail = np.append(raw, np.zeros(3, np.uint8)).astype(np.uint32)
+        i = at[wide] + 1
+        two = tail[i] << 8 | tail[i + 1]
+        spaces = np.isin(two, WIDE_SPACES) | np.isin(two << 8 | tail[i + 2], WIDE_SPACES)
+        at = np.delete(at, wide[spaces])
+    ends[at] = True
+    ends[at[raw[at] == 10] + 1] = True
+    mark = np.flatnonzero(MARK[raw])
+    mark = mark[mark > 0]
+    ends[mark[LETTER[raw[mark - 1]]]] = True
+    cuts = np.flatnonzero(ends)
+    word_offsets = pa.py_buffer((cuts + base).astype(np.int32))
+    words = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, word_offsets, data if data is not None else pa.py_buffer(b"")])
+    return words, np.searchsorted(cuts, bounds)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -217,14 +202,28 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- blocks
+LOW_WORD = np.uint64(0xFFFFFFFF)
+
+
 def _pack(values: np.ndarray, width: int) -> bytes:
     """Rows of values as little-endian bit strings, each row in whole bytes."""
     if width == 0 or not values.size:
         return b""
     if width in (8, 16, 32):
         return values.astype(f"<u{width // 8}").tobytes()
-    bits = (values[..., None] >> np.arange(width, dtype=values.dtype)) & np.array(1, values.dtype)
-    return np.packbits(bits.astype(np.uint8).reshape(len(values), -1), axis=1, bitorder="little").tobytes()
+    n = values.shape[1]
+    groups = -(-n // 32)
+    padded = np.zeros((len(values), groups * 32), dtype=np.uint64)
+    padded[:, :n] = values
+    turns = padded.reshape(len(values), groups, 32)
+    words = np.zeros((len(values), groups, width + 1), dtype=np.uint64)  # 32 values fill ``width`` words of 32 bits
+    for j in range(32):
+        word, shift = divmod(j * width, 32)
+        part = turns[:, :, j] << np.uint64(shift)
+        words[:, :, word] |= part & LOW_WORD
+        words[:, :, word + 1] |= part >> np.uint64(32)
+    rows = words[:, :, :width].astype("<u4").reshape(len(values), -1).view(np.uint8)
+    return rows[:, :-(-n * width // 8)].tobytes()
 
 
 def _unpack(data: np.ndarray, n: int, width: int) -> np.ndarray:
@@ -233,8 +232,16 @@ def _unpack(data: np.ndarray, n: int, width: int) -> np.ndarray:
         return np.zeros((len(data), n), dtype=np.uint32)
     if width in (8, 16, 32):
         return np.ascontiguousarray(data).view(f"<u{width // 8}").astype(np.uint32)
-    bits = np.unpackbits(data, axis=1, bitorder="little")[:, :n * width].reshape(len(data), n, width)
-    return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+    groups = -(-n // 32)
+    whole = np.zeros((len(data), groups * width * 4), dtype=np.uint8)
+    whole[:, :data.shape[1]] = data
+    words = np.zeros((len(data), groups, width + 1), dtype=np.uint64)
+    words[:, :, :width] = whole.view("<u4").reshape(len(data), groups, width)
+    out = np.empty((len(data), groups, 32), dtype=np.uint32)
+    for j in range(32):
+        word, shift = divmod(j * width, 32)
+        out[:, :, j] = (words[:, :, word] | words[:, :, word + 1] << np.uint64(32)) >> np.uint64(shift) & np.uint64((1 << width) - 1)
+    return out.reshape(len(data), -1)[:, :n]
 
 
 def pack_blocks(ids: np.ndarray, block: int = BLOCK, keep: float = KEEP) -> dict:
@@ -257,12 +264,14 @@ def pack_blocks(ids: np.ndarray, block: int = BLOCK, keep: float = KEEP) -> dict
         step = len(packed) // len(at)
         for j, i in enumerate(at):
             bodies[i] = packed[j * step:(j + 1) * step]
+    of, where = np.nonzero(over)
+    places, values = where.astype("<u2").tobytes(), rest[of, where].astype("<u4").tobytes()
+    end = np.cumsum(count).tolist()
     parts, start, total = [], np.zeros(rows, dtype=np.int64), 0
-    for i in range(rows):
+    for i, (lo, hi) in enumerate(zip([0, *end], end)):
         start[i] = total
-        where = np.flatnonzero(over[i])
-        parts += [bodies[i], where.astype("<u2").tobytes(), rest[i][where].astype("<u4").tobytes()]
-        total += len(bodies[i]) + 6 * len(where)
+        parts += [bodies[i], places[2 * lo:2 * hi], values[4 * lo:4 * hi]]
+        total += len(bodies[i]) + 6 * (hi - lo)
     return {"payload": b"".join(parts), "byte_start": start, "low": low.astype(np.int64), "width": width, "exceptions": count}
 
 
@@ -300,7 +309,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         tokens = encoder(shared.value)
         part, number, position = TaskContext.get().partitionId(), 0, 0
         for b in slices(batches, "text", SLICE):
-            ids, bounds = tokens.encode(texts_of(b, "text"))
+            ids, bounds = tokens.encode(b.column("text"))
             n_docs = b.num_rows
             length = np.diff(bounds) + 1
             ends = np.cumsum(length)

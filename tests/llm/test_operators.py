@@ -505,6 +505,25 @@ def test_any_tokenizer_file_gives_the_library_s_ids(change, monkeypatch):
             assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [library.encode(t, add_special_tokens=False).ids for t in batch]
 
 
+def test_words_of_arrow_columns_give_the_library_s_ids():
+    """Texts are cut on their bytes at white space and marks; a word is encoded once, whatever mark follows it."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        source = f.read()
+    library, own = Tokenizer.from_str(source), token_blocks.Encoder(source)
+    texts = ["a  <|endoftext|> b\u00a0 c", "x \u2028y\u3000 \u1680z", "\u00e9, \u00bb, it's. 'S, don't!", "\n\n a\t b \n c  ", None, "", "\u4e2d \u4e2d\u2014 \u2014",
+             "x\x1c \x1cy\x85 z", "a.<|endoftext|>,b,", "Word. word, word! word\nword word?"]
+    for column in (pa.array(texts), pa.array(["cut off", *texts])[1:], pa.array(texts, pa.large_string())):
+        ids, bounds = own.encode(column)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    seen = []
+    plain = own._plain
+    own._plain = lambda group: seen.extend(group) or plain(group)
+    own.encode(pa.array(["Word, word. word; c"]))
+    assert "".join(seen) == ";"
+
+
 def test_quality_held_out(spark):
     """Labels of four folds are learned, those of the fifth are only compared."""
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
