@@ -11,10 +11,12 @@ clipped counts and alignments are integer array operations on the whole batch.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from math import isqrt
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -66,18 +68,21 @@ class _Words:
     candidate's, then the reference's."""
 
     def __init__(self, cands: list[str], refs: list[str]):
-        lists = [t.split() for pair in zip(cands, refs) for t in pair]
-        number: dict[str, int] = {}
+        lists = pc.utf8_split_whitespace(pa.array([t for pair in zip(cands, refs) for t in pair], pa.large_string()))
         self.pairs = len(cands)
-        self.code = np.array([number.setdefault(w, len(number)) for x in lists for w in x], dtype=np.int64)
-        self.vocabulary = list(number)
-        self.sizes = np.array([len(x) for x in lists], dtype=np.int64)
-        self.text = np.repeat(np.arange(len(lists)), self.sizes)
+        words = lists.flatten()
+        some = pc.greater(pc.binary_length(words), 0)  # white space at the ends leaves empty ones
+        coded = words.filter(some).dictionary_encode()
+        self.code = coded.indices.to_numpy().astype(np.int64)
+        self.vocabulary = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        text = np.repeat(np.arange(2 * self.pairs), pc.list_value_length(lists).to_numpy().astype(np.int64))
+        self.text = text[some.to_numpy(zero_copy_only=False)]
+        self.sizes = np.bincount(self.text, minlength=2 * self.pairs)
 
     def _numbered(self, form) -> np.ndarray:
         """The words numbered anew by a form of them."""
         number: dict[str, int] = {}
-        again = np.array([number.setdefault(form(w), len(number)) for w in self.vocabulary], dtype=np.int64)
+        again = np.array([number.setdefault(w, len(number)) for w in map(form, self.vocabulary)], dtype=np.int64)
         return again[self.code] if len(again) else self.code
 
     def lower(self) -> np.ndarray:
@@ -105,12 +110,14 @@ def _clipped_hits(w: _Words) -> np.ndarray:
         at, gram = at[inside], gram[inside]
         if not len(at):
             break
-        _, gram = np.unique(gram * size + w.code[at + n], return_inverse=True)
-        kinds, side = int(gram.max()) + 1, w.text[at] % 2
+        gram, different = pd.factorize(gram * size + w.code[at + n])
+        kinds, side = len(different), w.text[at] % 2
         both = np.minimum(np.bincount(gram[side == 0], minlength=kinds), np.bincount(gram[side == 1], minlength=kinds))
         owner = np.zeros(kinds, dtype=np.int64)
         owner[gram] = w.text[at] // 2
         out[n] = np.bincount(owner, weights=both, minlength=w.pairs)
+        shared = both[gram] > 0  # a longer n-gram of both begins with a shorter one of both
+        at, gram = at[shared], gram[shared]
     return out
 
 
@@ -128,13 +135,7 @@ def _bleu(w: _Words, orders: tuple[int, ...]) -> dict[str, np.ndarray]:
 
 def _from_last(key: np.ndarray) -> np.ndarray:
     """How many equal keys come after each key."""
-    order = np.argsort(key[::-1], kind="stable")
-    rows = key[::-1][order]
-    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-    place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
-    out = np.empty(len(rows), dtype=np.int64)
-    out[len(rows) - 1 - order] = place
-    return out
+    return pd.Series(key).groupby(key, sort=False).cumcount(ascending=False).to_numpy(dtype=np.int64)
 
 
 def _matched(c: np.ndarray, r: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,8 +143,8 @@ def _matched(c: np.ndarray, r: np.ndarray, key: np.ndarray) -> tuple[np.ndarray,
     k-th last with the k-th last."""
     count = len(key) + 1
     one, two = (key[at] * count + _from_last(key[at]) if len(at) else at for at in (c, r))
-    _, i, j = np.intersect1d(one, two, assume_unique=True, return_indices=True)
-    return c[i], r[j]
+    j = pd.Index(two).get_indexer(one)
+    return c[j >= 0], r[j[j >= 0]]
 
 
 def _meteor(w: _Words, alpha: float, beta: float, gamma: float, stages: tuple[str, ...] = ("exact",)) -> np.ndarray:
@@ -155,9 +156,11 @@ def _meteor(w: _Words, alpha: float, beta: float, gamma: float, stages: tuple[st
     found = [(free[0][:0], free[1][:0])]
     for stage in stages:
         code = w.lower() if stage == "exact" else w.stems()
-        _, key = np.unique((w.text // 2) * (len(w.vocabulary) + 1) + code, return_inverse=True)
+        key, _ = pd.factorize((w.text // 2) * (len(w.vocabulary) + 1) + code)
         found.append(_matched(*free, key))
-        free = [np.setdiff1d(at, taken, assume_unique=True) for at, taken in zip(free, found[-1])]
+        open_ = np.ones(len(w.code), dtype=bool)
+        open_[np.concatenate(found[-1])] = False
+        free = [at[open_[at]] for at in free]
     c, r = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(c)
     c, r = c[order], r[order]
@@ -229,34 +232,69 @@ def lcs_words(ref: list[str], bits: dict[str, int], width: int, row_bits: int =
     return found
 
 
+def common_words(ref: list[str], cand: list[str], in_ref: set[str], in_cand: set[str]) -> set[str]:
+    """As ``lcs_words``, of two sentences and their sets of words.
+
+    Words of the candidate that are not in ``ref`` change no row of the table and
+    are left out; of words of ``ref`` that are not in the candidate one of each run
+    stays, as the walk back passes it. Where what both share of one side is a
+    subsequence of the other's, it is the only longest one."""
+    c = [w for w in cand if w in in_ref]
+    r = [w for w in ref if w in in_cand]
+    short, other = (c, iter(r)) if len(c) <= len(r) else (r, iter(c))
+    if all(w in other for w in short):
+        return set(short)
+    if len(r) < len(ref):
+        r, gap = [], False
+        for w in ref:
+            if w in in_cand:
+                r.append(w)
+                gap = False
+            elif not gap:
+                r.append(w)
+                gap = True
+    return lcs_words(r, word_bits(c), len(c))
+
+
+def _nearest(places: list[int], i: int) -> Iterator[int]:
+    """Ascending ``places``, the nearest to ``i`` first."""
+    high = bisect_left(places, i)
+    low = high - 1
+    while low >= 0 or high < len(places):
+        if high == len(places) or low >= 0 and i - places[low] <= places[high] - i:
+            yield places[low]
+            low -= 1
+        else:
+            yield places[high]
+            high += 1
+
+
 def union_lcs(refs: list[list[str]], cands: list[list[str]]) -> set[str]:
     """Words of the longest common subsequences of all pairs of sentences.
 
     A subsequence holds only words of both its sentences. So a reference
     sentence is compared with a candidate sentence only for a common word that
     is not found yet, the nearest sentences first."""
+    ref_words, cand_words = [set(r) for r in refs], [set(c) for c in cands]
+    wanted = set().union(*ref_words)
     where: dict[str, list[int]] = {}
-    wanted = {w for r in refs for w in r}
-    for j, c in enumerate(cands):
-        for w in wanted.intersection(c):
+    for j, c in enumerate(cand_words):
+        for w in wanted & c:
             where.setdefault(w, []).append(j)
-    bits: dict[int, dict[str, int]] = {}
-    found: set[str] = set()
-    for i, r in enumerate(refs):
+    left = set(where)  # common words that are not found yet
+    for i, of in enumerate(ref_words):
         tried: set[int] = set()
-        for w in set(r):
-            if w in found or w not in where:
+        for w in of & left:
+            if w not in left:
                 continue
-            for j in sorted(where[w], key=lambda j: abs(j - i)):
+            for j in _nearest(where[w], i):
                 if j in tried:
                     continue
                 tried.add(j)
-                if j not in bits:
-                    bits[j] = word_bits(cands[j])
-                found |= lcs_words(r, bits[j], len(cands[j]))
-                if w in found:
+                left -= common_words(refs[i], cands[j], of, cand_words[j])
+                if w not in left:
                     break
-    return found
+    return where.keys() - left
 
 
 def _rouge_l(cand: str, ref: str, model: dict | None = None) -> float:

@@ -196,6 +196,36 @@ def test_union_of_lcs_skips_no_word():
         assert overlap.union_lcs(*side) == set().union(*[one_lcs(tuple(a), tuple(b)) for a in side[0] for b in side[1]])
 
 
+def test_subsequences_that_are_whole_need_no_table(monkeypatch):
+    """What two sentences share, where one side's is a subsequence of the other's, is found
+    without the table; else the table is asked for the shared words alone."""
+    widths = []
+    table_of = overlap.lcs_words
+    monkeypatch.setattr(overlap, "lcs_words", lambda r, b, n: widths.append(n) or table_of(r, b, n))
+    ref = "a b c d e f g h".split()
+    assert overlap.union_lcs([ref], [["b", "x", "d", "y", "h"]]) == {"b", "d", "h"} and not widths
+    assert overlap.union_lcs([ref], [["h", "x", "y", "a", "b"]]) == {"a", "b"} | one_lcs(tuple(ref), ("h", "x", "y", "a", "b"))
+    assert widths == [3]
+
+
+def test_words_are_those_of_split():
+    """Words of a batch are found by Arrow as Python finds them, over all white space."""
+    every = "".join(chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000)
+    texts = [every, "", "  a\x1cb\x85 ", "a\0b c", "\u3000", None or "x"]
+    w = overlap._Words(texts, texts[::-1])
+    words = [t.split() for pair in zip(texts, texts[::-1]) for t in pair]
+    assert [w.vocabulary[i] for i in w.code] == [x for t in words for x in t] and w.sizes.tolist() == [len(t) for t in words]
+
+
+def test_candidates_lack_every_seventh_word(spark):
+    from scriptorium.functions import text as T
+    from scriptorium.plans import fixtures
+    texts = [None, "", " ", "a", "a b c d e f g h", " \x1ca\u3000b c\u2028d\te f\xa0g h i j k l m n ", "a b c d e f g", "\u200b \ufeff x\0y"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    plain = F.array_join(F.filter(T.words("text"), lambda w, i: F.pmod(i, F.lit(7)) != 6), " ")
+    assert all(r.a == r.b for r in df.select(plain.alias("a"), fixtures.without_sevenths("text").alias("b")).collect())
+
+
 def test_one_pass_over_awkward_pairs(spark):
     """All metrics together equal each alone; nulls, blanks, one long text, NUL
     characters, repeated keys, many pairs to a batch of few characters."""
