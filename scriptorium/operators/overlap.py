@@ -12,6 +12,7 @@ clipped counts and alignments are integer array operations on the whole batch.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from math import isqrt
 
@@ -203,23 +204,24 @@ def lcs_words(ref: list[str], bits: dict[str, int], width: int, row_bits: int =
     every = max(1, len(ref) if len(ref) * width <= row_bits else isqrt(len(ref)))
     kept, row = [], full
 
-    def following(row: int, word: str) -> int:
-        hit = row & bits.get(word, 0)
-        return (row + hit | row - hit) & full if hit else row
+    def rows_of(row: int, matches: list[int]) -> list[int]:
+        rows = []
+        for match in matches:
+            hit = row & match
+            if hit:
+                row = (row + hit | row - hit) & full
+            rows.append(row)
+        return rows
 
     for start in range(0, len(ref), every):
         kept.append(row)
         if start + every < len(ref):
-            for w in ref[start:start + every]:
-                row = following(row, w)
+            row = rows_of(row, [bits.get(w, 0) for w in ref[start:start + every]])[-1]
     found, open_ = set(), full
     for block in range(len(kept) - 1, -1, -1):
-        part, rows, row = ref[block * every:(block + 1) * every], [], kept[block]
-        for w in part:
-            row = following(row, w)
-            rows.append(row)
-        for w, row in zip(reversed(part), reversed(rows)):
-            match = bits.get(w, 0)
+        part = ref[block * every:(block + 1) * every]
+        matches = [bits.get(w, 0) for w in part]
+        for w, match, row in zip(reversed(part), reversed(matches), reversed(rows_of(kept[block], matches))):
             at = (match | ~row) & open_
             if not at:  # nothing in common before here
                 return found
@@ -233,7 +235,8 @@ def lcs_words(ref: list[str], bits: dict[str, int], width: int, row_bits: int =
 
 
 def common_words(ref: list[str], cand: list[str], in_ref: set[str], in_cand: set[str]) -> set[str]:
-    """As ``lcs_words``, of two sentences and their sets of words.
+    """As ``lcs_words``, of two sentences and their sets of words (or of those
+    words of them that both texts have).
 
     Words of the candidate that are not in ``ref`` change no row of the table and
     are left out; of words of ``ref`` that are not in the candidate one of each run
@@ -241,6 +244,8 @@ def common_words(ref: list[str], cand: list[str], in_ref: set[str], in_cand: set
     subsequence of the other's, it is the only longest one."""
     c = [w for w in cand if w in in_ref]
     r = [w for w in ref if w in in_cand]
+    if c == r:
+        return set(c)
     short, other = (c, iter(r)) if len(c) <= len(r) else (r, iter(c))
     if all(w in other for w in short):
         return set(short)
@@ -275,26 +280,29 @@ def union_lcs(refs: list[list[str]], cands: list[list[str]]) -> set[str]:
     A subsequence holds only words of both its sentences. So a reference
     sentence is compared with a candidate sentence only for a common word that
     is not found yet, the nearest sentences first."""
-    ref_words, cand_words = [set(r) for r in refs], [set(c) for c in cands]
-    wanted = set().union(*ref_words)
-    where: dict[str, list[int]] = {}
-    for j, c in enumerate(cand_words):
-        for w in wanted & c:
-            where.setdefault(w, []).append(j)
-    left = set(where)  # common words that are not found yet
-    for i, of in enumerate(ref_words):
-        tried: set[int] = set()
-        for w in of & left:
+    common = set().union(*refs) & set().union(*cands)
+    in_cand = [common.intersection(c) for c in cands]
+    where: defaultdict[str, list[int]] = defaultdict(list)
+    for j, words in enumerate(in_cand):
+        for w in words:
+            where[w].append(j)
+    left = set(common)  # what is not found yet
+    for i, r in enumerate(refs):
+        wanted = left.intersection(r)
+        if not wanted:
+            continue
+        of, tried = common.intersection(r), set()
+        for w in wanted:
             if w not in left:
                 continue
             for j in _nearest(where[w], i):
                 if j in tried:
                     continue
                 tried.add(j)
-                left -= common_words(refs[i], cands[j], of, cand_words[j])
+                left -= common_words(r, cands[j], of, in_cand[j])
                 if w not in left:
                     break
-    return where.keys() - left
+    return common - left
 
 
 def _rouge_l(cand: str, ref: str, model: dict | None = None) -> float:
