@@ -1,4 +1,6 @@
 
+import os
+import subprocess
 import sys
 
 import duckdb
@@ -26,6 +28,16 @@ def test_registry_consistent():
     assert plain - set(s) == {"rouge_l", "metric_summary_all", "meteor_stem", "sentence_chunks"}
 
 
+def test_registry_without_session():
+    """The registry can be read by a process that has no Spark session."""
+    code = ("import __spark_entry__ as E; from pyspark import SparkContext; print(len(E.queries()), len(E.oracle_sql())); "
+            "assert SparkContext._active_spark_context is None")
+    said = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.abspath(E.__file__)), capture_output=True, text=True,
+                          timeout=120)
+    assert said.returncode == 0, said.stderr[-2000:]
+    assert said.stdout.split()[-2:] == [str(len(E.queries())), str(len(E.oracle_sql()))]
+
+
 def test_registry_without_llm(monkeypatch):
     """The corpus operators are registered whether or not the training-data
     subpackage and the pipeline are there."""
