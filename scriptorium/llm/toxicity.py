@@ -56,7 +56,9 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +69,8 @@ from .common import crc32_fold, distinct_codes, slices, staged, text_key, texts_
 STEM = 4
 TOP = 3
 WORD = re.compile(r"\w+")
+#: each Latin-1 character in lower case, a space for those that words do not hold
+LATIN = "".join(c.lower() if WORD.match(c) else " " for c in map(chr, range(256))).encode("latin-1")
 #: count columns: class (1 toxic, 0 ordinary) by training half (a, b)
 GROUPS = ("n1a", "n0a", "n1b", "n0b")
 #: the counts that a view of the model uses: toxic, ordinary
@@ -77,34 +81,61 @@ BLOCK_PAIRS = 2_000_000
 
 
 # ---------------------------------------------------------------- inside tasks
+def _parted(text: str) -> str:
+    """The words of a text in lower case, parted by spaces."""
+    try:
+        return text.encode("latin-1").translate(LATIN).decode("latin-1")
+    except UnicodeEncodeError:
+        return " ".join(WORD.findall(text.lower()))
+
+
 def _words(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
     """(index of each distinct word of each text into the distinct words, distinct
     words, number of words per text)."""
-    lists = [list(dict.fromkeys(WORD.findall(t.lower()))) for t in texts]
-    codes, distinct = distinct_codes([w for x in lists for w in x]) if any(lists) else (np.zeros(0, np.int64), [])
-    return codes, distinct, np.array([len(x) for x in lists], dtype=np.int64)
-
-
-def beginnings(word: str) -> list[str]:
-    """``^`` with the first symbol of a word, the first two and so on."""
-    start = (word[:STEM] + "$")[:STEM]
-    return ["^" + start[:i] for i in range(1, len(start) + 1)]
-
-
-def rests(word: str) -> list[str]:
-    """``~`` with each symbol after the first ``STEM`` and the letters before it."""
-    word += "$"
-    return ["~" + word[i - STEM + 1:i + 1] for i in range(STEM, len(word))]
+    lists = pc.ascii_split_whitespace(pa.array([_parted(t) for t in texts], pa.large_string()))
+    held = pc.not_equal(lists.flatten(), "")  # before the first word and after the last
+    coded = lists.flatten().filter(held).dictionary_encode()
+    codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    if not distinct:
+        return codes, distinct, np.zeros(len(texts), dtype=np.int64)
+    doc = pc.list_parent_indices(lists).filter(held).to_numpy()
+    pairs = np.sort(doc * len(distinct) + codes)
+    doc, codes = np.divmod(pairs[np.append(True, pairs[1:] != pairs[:-1])], len(distinct))
+    return codes, distinct, np.bincount(doc, minlength=len(texts))
+
+
+def beginnings(symbols: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[str, np.ndarray, list[np.ndarray]]:
+    """``^`` with the first symbol of a word, the first two and so on: the mark, the word of
+    each string and its symbols (0 where it has ended). ``symbols`` are those of all words with
+    their ``$``, ``start`` and ``length`` their places."""
+    n = np.minimum(length, STEM)
+    word = np.repeat(np.arange(len(n)), n)
+    last = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
+    first = start[word]
+    return "^", word, [np.where(j <= last, symbols[first + np.minimum(j, last)], 0) for j in range(STEM)]
+
+
+def rests(symbols: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[str, np.ndarray, list[np.ndarray]]:
+    """``~`` with each symbol after the first ``STEM`` and the letters before it, as ``beginnings``."""
+    n = np.maximum(length - STEM, 0)
+    word = np.repeat(np.arange(len(n)), n)
+    first = start[word] + np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n) + 1
+    return "~", word, [symbols[first + j] for j in range(STEM)]
 
 
 def _spelled(words: list[str], spell) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(word, index into the distinct strings) of each string that spells one of
     ``words``, the distinct strings."""
-    lists = [spell(w) for w in words]
-    flat = [g for x in lists for g in x]
-    if not flat:
+    symbols = np.frombuffer("".join(w + "$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    length = np.array([len(w) + 1 for w in words], dtype=np.int64)
+    mark, word, columns = spell(symbols, np.cumsum(length) - length, length)
+    if not len(word):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), []
-    return np.repeat(np.arange(len(words)), [len(x) for x in lists]), *distinct_codes(flat)
+    codes, strings = np.zeros(len(word), np.int64), np.full((1, 1), ord(mark), "<u4")
+    for column in columns:  # a code point has 21 bits
+        codes, distinct = pd.factorize(codes << 21 | column)
+        strings = np.hstack([strings[distinct >> 21], (distinct & (1 << 21) - 1).astype("<u4")[:, None]])
+    return word, codes, np.ascontiguousarray(strings).view(f"<U{strings.shape[1]}").ravel().tolist()
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -135,8 +166,7 @@ def _block(number: int, held: list[tuple]) -> pa.RecordBatch:
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
     doc = np.repeat(np.arange(len(size)), size)
-    codes = place[codes]
-    codes = codes[np.lexsort((codes, doc))]
+    codes = np.sort(doc * len(order) + place[codes]) % max(len(order), 1)
     step = np.diff(codes, prepend=0)
     step[np.flatnonzero(np.diff(doc, prepend=-1))] = codes[np.flatnonzero(np.diff(doc, prepend=-1))]
     rows = pa.concat_arrays(rows)
@@ -317,7 +347,7 @@ def described(blocks: DataFrame, model: DataFrame, views: list[str], whole: bool
     def ask(batches):
         for one in _one_by_one(batches):
             words = _unpacked_words(one.column("words")[0].as_py())
-            grams = {g for spell in spells for w in words for g in spell(w)}
+            grams = {g for spell in spells for g in _spelled(words, spell)[2]}
             asked = sorted(grams | {g[:-1] for g in grams})
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), one.column("block")[0].as_py())), pa.array(asked, pa.string())],
                                              names=["block", "gram"])

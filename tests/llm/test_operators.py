@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out labels."""
 
 import math
+import re
 import struct
 from collections import Counter, defaultdict
 
@@ -285,6 +286,26 @@ def test_toxicity_model_is_kneser_ney(spark, monkeypatch):
         assert got[0][i] == pytest.approx(wanted, abs=1e-5) == got[1][i], t
 
 
+def test_toxicity_spells_words_as_plain_python():
+    """Words, their distinct pairs with texts and the strings that spell them equal a plain version, in every script."""
+    texts = ["", " ", "a", "A b a", "Österreich ÖSTERREICH x²½ _a_", "tab\tfour five5\x85six\xa0seven\x1c", "ΣΑΣ ς İstanbul ǅ", "文字 𝒳yz 😀 ok ٣٤",
+             "".join(map(chr, range(0x3000))), " ".join(map(chr, range(0x300))), "w" * 5000 + " w" * 50]
+    for some in (texts, texts[:2], [], texts[:6]):
+        codes, words, size = toxicity._words(some)
+        plain = [list(dict.fromkeys(re.findall(r"\w+", t.lower()))) for t in some]
+        assert words == list(dict.fromkeys(w for x in plain for w in x))
+        ends = np.append(0, np.cumsum(size)).astype(int)
+        assert [{words[c] for c in codes[a:b]} for a, b in zip(ends, ends[1:])] == [set(x) for x in plain]
+        assert size.tolist() == [len(x) for x in plain]
+        whole = [w + "$" for w in words]
+        for spell, strings in ((toxicity.beginnings, [["^" + w[:i] for i in range(1, min(len(w), 4) + 1)] for w in whole]),
+                               (toxicity.rests, [["~" + w[i - 3:i + 1] for i in range(4, len(w))] for w in whole])):
+            word, code, distinct = toxicity._spelled(words, spell)
+            flat = [g for x in strings for g in x]
+            assert distinct == list(dict.fromkeys(flat)) and [distinct[i] for i in code] == flat
+            assert word.tolist() == [i for i, x in enumerate(strings) for _ in x]
+
+
 def test_toxicity_reads_words_to_their_ends(spark):
     """Words of both classes begin alike; their ends tell the class, wherever they stand."""
     rng = np.random.default_rng(3)
