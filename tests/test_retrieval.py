@@ -248,3 +248,47 @@ def test_postings_move_in_blocks_of_documents(spark, tmp_path, monkeypatch):
         sparse.build_index(docs, f"{path}-{method}", method, block_docs=8)
         found = sparse.search_index(queries, f"{path}-{method}", 4, method).collect()
         assert sorted(map(tuple, found)) == sorted(map(tuple, wanted)) and len(found) == 8
+
+
+def test_index_of_rare_terms_stays_small(spark, tmp_path, monkeypatch):
+    """Most terms of a text are rare, so that a term's blocks hold a posting or two: all are stored,
+    a few bytes each, with the largest weight of their block, and found again."""
+    rnd = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rnd.zipf(1.3, 150) if x < 10**6) for _ in range(600)]
+    docs = spark.createDataFrame([(i % 2, i, i, t) for i, t in enumerate(texts)], "page_id long, doc_id long, doc_pos long, content string")
+    queries = spark.createDataFrame([(1, 0, texts[8]), (2, 1, "w1 w2 w3"), (3, 1, texts[5][:40])], "query_id long, page_id long, query string")
+    for method in ("bm25", "tfidf"):
+        path = tmp_path / method
+        monkeypatch.setattr(sparse, "RUN_CHARS", 100_000)
+        sparse.build_index(docs, str(path), method, block_docs=16)
+        pairs = sum(len(set(t.split())) for t in texts)
+        size = sum(p.stat().st_size for p in path.rglob("*.parquet"))
+        assert size < 12 * pairs, (size, pairs)
+        stored = spark.read.parquet(f"{path}/postings").select("page_id", "term", F.explode("blocks").alias("b")).select("page_id", "term", "b.*")
+        each = (stored.select("page_id", "term", "blk", "top", F.explode(F.arrays_zip("at", "tf")).alias("p")).select("*", "p.*")
+                .join(spark.read.parquet(f"{path}/docs"), ["page_id", "blk", "at"]).join(spark.read.parquet(f"{path}/terms"), ["page_id", "term"]))
+        weight = F.col("gain") * F.col("tf") / (F.col("tf") + F.col("norm") if method == "bm25" else F.col("norm"))
+        rows = each.groupBy("page_id", "term", "blk").agg(F.max("top").alias("top"), F.max(weight).alias("most"), F.count("*").alias("n"))
+        seen = rows.agg(F.sum("n"), F.min(F.col("top") - F.col("most")), F.max((F.col("top") - F.col("most")) / (1 + F.abs("most")))).first()
+        assert seen[0] == pairs and seen[1] >= 0 and seen[2] < 1e-6, seen
+        found, wanted = (sorted(map(tuple, x.collect())) for x in (sparse.search_index(queries, str(path), 5, method), sparse.retrieve(queries, docs, 5, method)))
+        assert found == wanted and len(found) == 15
+
+
+def test_index_keeps_the_rows_of_an_id_together(spark, tmp_path, monkeypatch):
+    """Rows of one id are one document wherever runs and blocks end; rows without an id count and are not found."""
+    rows = [(0, None if i % 9 == 0 else i // 4, i, f"shared w{i % 7} w{i % 3} only{i}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "page_id long, doc_id long, doc_pos long, content string")
+    queries = spark.createDataFrame([(1, 0, "shared w2 only41"), (2, 0, "w6 w0 only3")], "query_id long, page_id long, query string")
+    for method in ("bm25", "tfidf"):
+        got = []
+        for n, (chars, block_docs) in enumerate([(10**6, 200), (300, 3)]):
+            monkeypatch.setattr(sparse, "RUN_CHARS", chars)
+            path = str(tmp_path / f"{method}{n}")
+            sparse.build_index(docs, path, method, block_docs=block_docs)
+            of = spark.read.parquet(path + "/docs")
+            assert of.count() == 120 and of.filter("doc_id is not null").groupBy("doc_id").agg(F.countDistinct("blk").alias("n")).filter("n > 1").count() == 0
+            scores, _ = sparse.index_scores(queries, spark, path, 50, method)
+            got.append(sorted((r.query_id, r.doc_id, round(r.score, 6)) for r in scores.collect()))
+        assert got[0] and all(x == got[0] for x in got)
+        assert all(doc is not None for _, doc, _ in got[0])
